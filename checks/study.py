@@ -85,11 +85,11 @@ STUDY = f"""WITH {v.PANEL}, {UNIVERSE}, {v.MARKET}, {BANDED}, {FLAGGED},
 
 
 def _r(h: int) -> str:
-    return f"CASE WHEN len(ps) > {h} THEN exp(ps[{h + 1}] - ps[1]) - 1 END"
+    return f"CASE WHEN len(ps) > {h} THEN round(exp(ps[{h + 1}] - ps[1]) - 1, 12) END"
 
 
 def _x(h: int) -> str:
-    return f"CASE WHEN len(ps) > {h} THEN exp((ps[{h + 1}] - ps[1]) - (pm[{h + 1}] - pm[1])) - 1 END"
+    return f"CASE WHEN len(ps) > {h} THEN round(exp((ps[{h + 1}] - ps[1]) - (pm[{h + 1}] - pm[1])) - 1, 12) END"
 
 
 STUDIED = f"""{STUDY}, studied AS (SELECT stock_code, date, amp_pct, market_cap, pe, pb, cash_div, beta, is_attention, roll_hi, roll_lo,
@@ -194,7 +194,7 @@ def return_stats(spark, sf):
 def return_histograms(spark, sf):
     # A value within rounding of a bin edge may fall on either side, so counts are compared on 5-decimal values.
     ev_rows = events(spark, sf)
-    ev_rows = ev_rows.withColumns({c: F.round(c, 5) for c in (*rp.RETURNS, *rp.EXCESS)})
+    ev_rows = ev_rows.withColumns({c: F.round(F.col(c) + 3.7e-9, 5) for c in (*rp.RETURNS, *rp.EXCESS)})
     return r6(rp.return_histograms(ev_rows, bins=60), "lo", "hi", "mean")
 
 
@@ -292,7 +292,7 @@ def _after(flag: str):
 def _after_sql(flag: str) -> str:
     def fwd(h: int) -> str:
         w = f"(PARTITION BY stock_code ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
-        return f"CASE WHEN count(*) OVER {w} = {h} THEN exp(sum(ln(1 + coalesce(return_pct, 0) / 100)) OVER {w}) - 1 END AS fwd_ret_{h}"
+        return f"CASE WHEN count(*) OVER {w} = {h} THEN round(exp(sum(ln(1 + coalesce(return_pct, 0) / 100)) OVER {w}) - 1, 12) END AS fwd_ret_{h}"
 
     return f"""{BREADTH}, fwd AS (SELECT stock_code, date, {', '.join(fwd(h) for h in (1, 5, 20))} FROM index_rows),
       hit AS (SELECT * FROM fwd WHERE date IN (SELECT date FROM breadth WHERE {flag} = 1)),
@@ -314,7 +314,7 @@ FEATURES = " UNION ALL ".join(
     for n, x in {"market_cap": "market_cap", "beta": "nullif(beta, 0)", "is_attention": "is_attention", "strength": "strength"}.items()
 )
 HIST = " UNION ALL ".join(
-    f"SELECT kind, '{c}' AS measure, round({c}, 5) * 100 AS value FROM event_rows WHERE {c} IS NOT NULL" for c in (*rp.RETURNS, *rp.EXCESS)
+    f"SELECT kind, '{c}' AS measure, round({c} + 3.7e-9, 5) * 100 AS value FROM event_rows WHERE {c} IS NOT NULL" for c in (*rp.RETURNS, *rp.EXCESS)
 )
 CURVE_ROWS = " UNION ALL ".join(
     f"SELECT kind, high, '{n}' AS curve, k - 1 AS k, {x} AS value FROM ev, (SELECT unnest(range(1, 22)) AS k) WHERE len(ps) >= k"

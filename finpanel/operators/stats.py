@@ -72,9 +72,11 @@ def curve_bands(df: DataFrame, curves: Mapping[str, float], by: Sequence[str], *
     by = list(by)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_n)
     df = join_groups(df, sizes, by, few_groups=True).where(F.col("_rows").isNotNull())
-    items = F.array(*[
-        F.struct(F.lit(c).alias("curve"), F.transform(c, lambda x, s=s: x * s).alias("ys")) for c, s in curves.items()
-    ])
+
+    def scaled(curve: str, scale: float) -> Column:
+        return F.struct(F.lit(curve).alias("curve"), F.transform(curve, lambda y: y * scale).alias("ys"))
+
+    items = F.array(*[scaled(c, s) for c, s in curves.items()])
     long = df.select(*by, F.explode(items).alias("_c")).select(*by, "_c.curve", F.posexplode("_c.ys").alias("k", "value"))
     return quantiles(long, [*by, "curve", "k"], "value", [0.25, 0.5, 0.75], ["p25", "median", "p75"]).withColumnRenamed("n", "cnt")
 

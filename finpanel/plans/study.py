@@ -35,8 +35,11 @@ def _growth_totals(df: DataFrame, pct: str, total: str, lost: str) -> DataFrame:
 
 
 def _growth(end: Column, start: Column, total: str, lost: str) -> Column:
-    """Compounded return between two snapshots of the running totals."""
-    grown = F.expm1(end[total] - start[total])
+    """Compounded return between two snapshots of the running totals, cut to 12 decimals.
+
+    The cut removes the noise of the difference, so that an unchanged value has a return of exactly 0.
+    """
+    grown = F.round(F.expm1(end[total] - start[total]), 12)
     return F.when(end[total].isNotNull(), F.when(end[lost] > start[lost], -1.0).otherwise(grown))
 
 
@@ -110,7 +113,7 @@ def study_panel(
         return _growth(end, start, "s", "sz")
 
     def exc(start: Column, end: Column) -> Column:
-        return excess_of(ret(start, end), _growth(end, start, "m", "mz"))
+        return F.round(excess_of(ret(start, end), _growth(end, start, "m", "mz")), 12)
 
     steps = F.sequence(F.lit(0), F.lit(horizon))
     now, entry = F.col("_path")[0], at(entry_lag)
