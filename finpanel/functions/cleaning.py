@@ -32,26 +32,26 @@ def clean_percent(c: Column) -> Column:
 def parse_day(c: Column) -> Column:
     """Date from exactly eight digits ``YYYYMMDD``; an impossible day is null."""
     text = F.trim(c)
-    return F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, F.lit("yyyyMMdd")))
+    return F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd"))
 
 
 def parse_month_end(c: Column) -> Column:
     """Last day of the month from exactly six digits ``YYYYMM``."""
     text = F.trim(c)
-    first = F.when(text.rlike("^[0-9]{6}$"), F.try_to_date(F.concat(text, F.lit("01")), F.lit("yyyyMMdd")))
+    first = F.when(text.rlike("^[0-9]{6}$"), F.try_to_date(F.concat(text, F.lit("01")), "yyyyMMdd"))
     return F.last_day(first)
 
 
 def parse_slash_day(c: Column) -> Column:
     """Date from ``YYYY/MM/DD`` or ``YYYY-MM-DD``."""
     text = F.translate(F.trim(c), "/", "-")
-    return F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(text, F.lit("yyyy-M-d")))
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
 
 
 def parse_iso_day(c: Column) -> Column:
     """Date from ``YYYY-MM-DD``."""
     text = F.trim(c)
-    return F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(text, F.lit("yyyy-M-d")))
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
 
 
 def parse_month_start(c: Column) -> Column:
@@ -59,7 +59,7 @@ def parse_month_start(c: Column) -> Column:
     text = F.translate(F.trim(c), "/", "-")
     return F.when(
         text.rlike("^[0-9]{4}-[0-9]{1,2}$"),
-        F.try_to_date(F.concat(text, F.lit("-1")), F.lit("yyyy-M-d")),
+        F.try_to_date(F.concat(text, F.lit("-1")), "yyyy-M-d"),
     )
 
 
