@@ -26,4 +26,5 @@ from finpanel.functions.measures import (
     missing_if_zero,
     rounded,
     stars,
+    trimmed,
 )

@@ -14,20 +14,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], *, few_groups: bool) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], *, few_groups: bool, how: str = "left") -> DataFrame:
     """Attach one row of ``groups`` to every row; null group keys match each other.
 
     ``few_groups`` states that the number of groups is bounded by the calendar or by constants of the
     query, which bounds the broadcast. Otherwise Spark picks the join from measured sizes.
     """
     if not by:
-        one = groups.select(F.struct(*groups.columns)).scalar()  # a single row
-        return rows.withColumn("_one", one).select(*rows.columns, "_one.*")
+        one = groups.select(F.struct(*groups.columns)).scalar()  # at most a single row
+        joined = rows.withColumn("_one", one)
+        kept = joined.where(F.col("_one").isNotNull()) if how == "inner" else joined
+        return kept.select(*rows.columns, "_one.*")
     side = groups.select(*[F.col(b).alias(f"_g_{b}") for b in by], *[c for c in groups.columns if c not in by])
     if few_groups:
         side = F.broadcast(side)
     on = [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by]
-    return rows.join(side, on, "left").drop(*[f"_g_{b}" for b in by])
+    return rows.join(side, on, how).drop(*[f"_g_{b}" for b in by])
 
 
 def quantiles(
@@ -37,40 +39,40 @@ def quantiles(
     probs: Sequence[float],
     names: Sequence[str] | None = None,
     *,
-    accuracy: int = 10_000,
-    whole_below: int = 40_000,
+    accuracy: int = 20_000,
+    whole_below: int = 20_000,
     few_groups: bool = True,
 ) -> DataFrame:
     """Linear-interpolated quantiles of the non-null values: columns ``by``, ``n`` and one per quantile.
 
-    The sketch is off by at most 1/``accuracy`` of the group, so a bracket of 4/``accuracy`` on both sides
-    holds the wanted ranks. Groups of at most ``whole_below`` values are counted whole, since a bracket
-    narrower than a few ranks proves nothing.
+    Groups of at most ``whole_below`` values are counted whole and need no sketch. In a larger group the
+    sketch is off by at most 1/``accuracy`` of the group, and a bracket of that plus 3/``whole_below`` on
+    both sides of a quantile holds both ranks it lies between, with room for rounding of ranks.
+
+    The input is read up to three times; store it first when it is costly.
     """
     by, probs = list(by), list(probs)
     names = list(names or [f"p{round(p * 100)}" for p in probs])
-    margin = 4.0 / accuracy
+    margin = 1.0 / accuracy + 3.0 / whole_below
     wanted = [p - margin for p in probs] + [p + margin for p in probs]
-    inner = [p for p in wanted if 0.0 < p < 1.0]
+    inner = [p for p in wanted if 0.0 < p < 1.0] or [0.5]
 
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    sketch = rows.groupBy(*by).agg(
-        F.count("_v").alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", inner or [0.5], accuracy).alias("_edges"),
-    )
-
-    def edge(p: float) -> Column:
-        if p <= 0.0:
-            return F.col("_min")
-        if p >= 1.0:
-            return F.col("_max")
-        whole = F.col("_min") if wanted.index(p) < len(probs) else F.col("_max")
-        return F.when(F.col("n") <= whole_below, whole).otherwise(F.col("_edges")[inner.index(p)])
-
-    edges = [edge(p).alias(f"_e{i}") for i, p in enumerate(wanted)]
-    rows = join_groups(rows, sketch.select(*by, "n", *edges), by, few_groups=few_groups)
+    sizes = rows.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # The second condition also keeps all aggregates in use, so that this and ``groups`` share one shuffle.
+    large = sizes.where((F.col("n") > whole_below) & (F.col("_min") < F.col("_max"))).select(*by, F.lit(True).alias("_large"))
+    sketched = join_groups(rows, large, by, few_groups=few_groups, how="inner")
+    sketch = sketched.groupBy(*by).agg(F.percentile_approx("_v", inner, accuracy).alias("_edges"))
+    groups = join_groups(sizes, sketch, by, few_groups=few_groups)
+
+    def edge(i: int, p: float) -> Column:
+        end = F.col("_min") if i < len(probs) else F.col("_max")
+        if p <= 0.0 or p >= 1.0:
+            return end
+        return F.coalesce(F.col("_edges")[inner.index(p)], end)
+
+    edges = [edge(i, p).alias(f"_e{i}") for i, p in enumerate(wanted)]
+    rows = join_groups(rows, groups.select(*by, "n", *edges), by, few_groups=few_groups)
 
     m = len(probs)
     v, e = F.col("_v"), [F.col(f"_e{i}") for i in range(2 * m)]

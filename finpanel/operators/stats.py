@@ -117,6 +117,13 @@ def _two_sided_normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0)))
 
 
+def _range_of(v: Column, step: int) -> Column:
+    """Number of ascending ``_splits`` below ``v``: first among every ``step``-th of them, then in between."""
+    coarse = F.size(F.filter("_coarse", lambda s: s < v))
+    fine = F.size(F.filter(F.slice("_splits", coarse * step + 1, step), lambda s: s < v))
+    return coarse * step + fine
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (), *, buckets: int = 1024) -> DataFrame:
     """Mann-Whitney U of group 1 against group 0, two-sided p.
 
@@ -131,12 +138,14 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (),
     splits = rows.groupBy(*by).agg(
         F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_splits")
     )
+    step = 32
+    splits = splits.withColumn("_coarse", F.filter("_splits", lambda _, i: i % step == step - 1))
     counts = rows.groupBy(*by, "_v").agg(
         F.sum("_g").alias("_n1"), F.count(F.lit(1)).alias("_c")
     )
     v = F.col("_v")
     placed = join_groups(counts, splits, by, few_groups=True).select(
-        *by, "_v", "_n1", "_c", F.size(F.filter("_splits", lambda s: s < v)).alias("_b")
+        *by, "_v", "_n1", "_c", _range_of(v, step).alias("_b")
     )
     per_range = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_size"))
     below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from finpanel.functions.cleaning import day_to_int, flag
+from finpanel.functions.measures import trimmed
 from finpanel.plans.universe import is_stock
 
 
@@ -41,8 +42,8 @@ def rolling_band(df: DataFrame, col: str, *, window: int = 20, hi: float = 0.9,
     total = F.aggregate(prev, F.lit(0.0), lambda acc, x: acc + x)
     return df.withColumns(
         {
-            "roll_hi": F.when(full, F.round(sorted_quantile(prev, window, hi), digits)),
-            "roll_lo": F.when(full, F.round(sorted_quantile(prev, window, lo), digits)),
+            "roll_hi": F.when(full, trimmed(sorted_quantile(prev, window, hi), digits)),
+            "roll_lo": F.when(full, trimmed(sorted_quantile(prev, window, lo), digits)),
             "roll_mean": F.when(full, total / window),
         }
     ).drop("_prev")

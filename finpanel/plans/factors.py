@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.functions.cleaning import day_to_int
-from finpanel.functions.measures import book_to_market, earnings_yield, first_present, rounded
+from finpanel.functions.measures import book_to_market, earnings_yield, first_present, rounded, trimmed
 from finpanel.operators.keys import as_of
 from finpanel.operators.quantiles import quantiles
 from finpanel.operators.stats import unpivot
@@ -49,7 +49,7 @@ def compounded_return(df: DataFrame, frames: dict[str, tuple[int, int]], *, col:
 
         sign = F.when(diff("neg") % 2 == 0, 1.0).otherwise(-1.0)
         growth = F.when(diff("zero") > 0, 0.0).otherwise(sign * F.exp(diff("log")))
-        return F.when(diff("cnt") > 0, F.round((growth - 1.0) * 100.0, digits))
+        return F.when(diff("cnt") > 0, trimmed((growth - 1.0) * 100.0, digits))
 
     return df.withColumns({name: grown(name) for name in frames}).drop("_t", *edges)
 

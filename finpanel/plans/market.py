@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from finpanel.functions.measures import trimmed
 from finpanel.operators.stats import describe, unpivot
 from finpanel.plans.events import sorted_quantile
 from finpanel.plans.study import forward_returns
@@ -40,9 +41,9 @@ def market_breadth(df: DataFrame, *, window: int = 20, hi: float = 0.9, lo: floa
 
     def band(side: str, p: float):
         values = F.col(f"_{side}")
-        return F.when(F.size(values) == window, F.round(sorted_quantile(values, window, p), digits))
+        return F.when(F.size(values) == window, trimmed(sorted_quantile(values, window, p), digits))
 
-    share = F.round("amp_big_pct", digits)
+    share = trimmed(F.col("amp_big_pct"), digits)
     return (
         gathered.withColumns(
             {

@@ -6,12 +6,12 @@ gathered frame per row then serves forward returns, curves, scores and drawdown
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finpanel.functions.measures import excess_of
+from finpanel.functions.measures import trimmed
 from finpanel.operators.quantiles import quantiles
 from finpanel.plans.events import abnormal, amplitude_events, by_security, hump
 
@@ -22,42 +22,48 @@ def attach_market(df: DataFrame, market: DataFrame) -> DataFrame:
     return joined.withColumn("mkt_pct", F.coalesce("mkt_pct", F.lit(0.0)))
 
 
-def _growth_totals(df: DataFrame, pct: str, total: str, lost: str) -> DataFrame:
-    """Running sum of log returns (null return = 0) and running count of -100 % days, which have no log."""
+# Logs that stand for a total loss. The stock's makes any return across the day exactly -1; the market's is
+# far larger and opposite in the excess total, so an excess return across it overflows and becomes null.
+STOCK_LOST = -1_000.0
+MARKET_LOST = 1_000_000.0
+
+
+def _log_growth(pct: str, lost: float) -> Column:
+    """log(1 + r) of a return in percent; a missing return counts as 0, a loss of 100 % as ``lost``."""
     r = F.coalesce(F.col(pct), F.lit(0.0)) / 100.0
-    w = by_security().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns(
-        {
-            total: F.sum(F.when(r > -1.0, F.log1p(r)).otherwise(0.0)).over(w),
-            lost: F.sum((r <= -1.0).cast("int")).over(w),
-        }
-    )
+    return F.when(r > -1.0, F.log1p(r)).otherwise(lost)
 
 
-def _growth(end: Column, start: Column, total: str, lost: str) -> Column:
-    """Compounded return between two snapshots of the running totals, cut to 12 decimals.
+def _grown(log: Column) -> Column:
+    """Compounded return of a difference of log totals, cut to 12 decimals so that no change is exactly 0."""
+    return trimmed(F.expm1(log), 12)
 
-    The cut removes the noise of the difference, so that an unchanged value has a return of exactly 0.
-    """
-    grown = F.round(F.expm1(end[total] - start[total]), 12)
-    return F.when(end[total].isNotNull(), F.when(end[lost] > start[lost], -1.0).otherwise(grown))
+
+def _excess(log: Column) -> Column:
+    """(1 + Rs) / (1 + Rm) - 1 from a difference of excess log totals; null where the market lost all."""
+    value = _grown(log)
+    return F.when(value < F.lit(float("inf")), value)
 
 
-def _snapshots(df: DataFrame, names: Sequence[str], last: int) -> DataFrame:
-    """Gather the running totals of rows T..T+last into the array ``_path`` (shorter at the data end)."""
-    frame = by_security().rowsBetween(0, last)
-    return df.withColumn("_path", F.collect_list(F.struct(*names)).over(frame))
+def _running(c: Column) -> Column:
+    return F.sum(c).over(by_security().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def _drawdown(values: Column) -> Column:
-    """min(path - running maximum) of an array of cumulated returns, in units of cumulated return."""
-    start = F.struct(F.lit(-1.0).alias("peak"), F.lit(0.0).alias("worst"))
+def _drawdown(logs: Column, start: Column) -> Column:
+    """min(path - running maximum) of the cumulated returns behind an array of log totals."""
+    first = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
 
     def step(acc: Column, x: Column) -> Column:
-        peak = F.greatest(acc["peak"], x)
-        return F.struct(peak.alias("peak"), F.least(acc["worst"], x - peak).alias("worst"))
+        value = F.expm1(x - start)
+        peak = F.greatest(acc["peak"], value)
+        return F.struct(peak.alias("peak"), F.least(acc["worst"], value - peak).alias("worst"))
+
+    return F.aggregate(logs, first, step, lambda acc: acc["worst"])
+
 
-    return F.aggregate(values, start, step, lambda acc: acc["worst"])
+def _ahead(total: str, k: int) -> Column:
+    """The running total k rows on, null beyond the data end."""
+    return F.col(total) if k == 0 else F.lead(total, k).over(by_security())
 
 
 def forward_returns(df: DataFrame, *, horizons: Sequence[int] = (1, 5, 20), entry_lag: int = 0) -> DataFrame:
@@ -65,15 +71,9 @@ def forward_returns(df: DataFrame, *, horizons: Sequence[int] = (1, 5, 20), entr
 
     ``entry_lag=0`` buys at the close of the row itself; 1 enters one row later.
     """
-    df = _growth_totals(df, "return_pct", "_s", "_sz")
-    now = F.struct("_s", "_sz")
-    w = by_security()
-    start = now if entry_lag == 0 else F.lead(now, entry_lag).over(w)
-    df = df.withColumns(
-        {"_start": start, **{f"_end_{h}": F.lead(now, h + entry_lag).over(w) for h in horizons}}
-    )
-    out = {f"fwd_ret_{h}": _growth(F.col(f"_end_{h}"), F.col("_start"), "_s", "_sz") for h in horizons}
-    return df.withColumns(out).drop("_s", "_sz", "_start", *[f"_end_{h}" for h in horizons])
+    df = df.withColumn("_s", _running(_log_growth("return_pct", STOCK_LOST)))
+    start = _ahead("_s", entry_lag)
+    return df.withColumns({f"fwd_ret_{h}": _grown(_ahead("_s", h + entry_lag) - start) for h in horizons}).drop("_s")
 
 
 def study_panel(
@@ -89,49 +89,51 @@ def study_panel(
 
     Adds flags and bands, abnormal amplitude and volume, forward and excess returns, persistence scores,
     the curves ``cum_amp`` / ``cum_ret`` / ``cum_exc`` (arrays over k = 0..horizon, null beyond the data
-    end), ``mdd`` and ``hump_event``. One shuffle by security carries all of it.
+    end), ``mdd`` and ``hump_event``. One shuffle by security carries all of it, and a column that is not
+    read costs nothing: its window and curve are pruned.
     """
     df = amplitude_events(attach_market(df, market), window=window)
     df = df.withColumn("abnormal_amp", F.when(F.col("roll_mean") > 0, F.col("amp_pct") / F.col("roll_mean") - 1.0))
     df = abnormal(df, "volume", window=window, to="abnormal_vol", missing=0.0)
     df = hump(df, horizon=horizon)
-    df = _growth_totals(df, "return_pct", "s", "sz")
-    df = _growth_totals(df, "mkt_pct", "m", "mz")
-    running = by_security().rowsBetween(Window.unboundedPreceding, 0)
+    stock = _log_growth("return_pct", STOCK_LOST)
     df = df.withColumns(
         {
-            "a": F.sum(F.coalesce("abnormal_amp", F.lit(0.0))).over(running),
-            "v": F.sum(F.coalesce("abnormal_vol", F.lit(0.0))).over(running),
+            "_s": _running(stock),
+            "_x": _running(stock - _log_growth("mkt_pct", -MARKET_LOST)),
+            "_a": _running(F.coalesce("abnormal_amp", F.lit(0.0))),
+            "_v": _running(F.coalesce("abnormal_vol", F.lit(0.0))),
+        }
+    )
+    frame = by_security().rowsBetween(0, horizon)
+    held = by_security().rowsBetween(entry_lag, horizon + entry_lag)
+    s0, x0 = _ahead("_s", entry_lag), _ahead("_x", entry_lag)
+    df = df.withColumns(
+        {
+            **{f"fwd_ret_{h}": _grown(_ahead("_s", h + entry_lag) - s0) for h in horizons},
+            **{f"fwd_exc_{h}": _excess(_ahead("_x", h + entry_lag) - x0) for h in horizons},
+            "persist_amp": _ahead("_a", horizon) - F.col("_a"),
+            "persist_vol": _ahead("_v", horizon) - F.col("_v"),
+            "_ps": F.collect_list("_s").over(frame),
+            "_px": F.collect_list("_x").over(frame),
+            "_pa": F.collect_list("_a").over(frame),
+            "_held": F.collect_list("_s").over(held),
         }
     )
-    df = _snapshots(df, ["s", "sz", "m", "mz", "a", "v"], horizon + entry_lag)
-
-    def at(k: int | Column) -> Column:
-        return F.get("_path", F.lit(k) if isinstance(k, int) else k)
-
-    def ret(start: Column, end: Column) -> Column:
-        return _growth(end, start, "s", "sz")
 
-    def exc(start: Column, end: Column) -> Column:
-        return F.round(excess_of(ret(start, end), _growth(end, start, "m", "mz")), 12)
+    def curve(path: str, value: Callable[[Column], Column]) -> Column:
+        missing = F.array_repeat(F.lit(None).cast("double"), F.lit(horizon + 1) - F.size(path))
+        return F.concat(F.transform(path, value), missing)
 
-    steps = F.sequence(F.lit(0), F.lit(horizon))
-    now, entry = F.col("_path")[0], at(entry_lag)
-    whole_path = F.size("_path") == horizon + entry_lag + 1
-    held = F.slice("_path", entry_lag + 1, horizon + 1)
     df = df.withColumns(
         {
-            **{f"fwd_ret_{h}": ret(entry, at(h + entry_lag)) for h in horizons},
-            **{f"fwd_exc_{h}": exc(entry, at(h + entry_lag)) for h in horizons},
-            "persist_amp": at(horizon)["a"] - now["a"],
-            "persist_vol": at(horizon)["v"] - now["v"],
-            "cum_amp": F.transform(steps, lambda k: at(k)["a"] - now["a"]),
-            "cum_ret": F.transform(steps, lambda k: ret(now, at(k))),
-            "cum_exc": F.transform(steps, lambda k: exc(now, at(k))),
-            "mdd": F.when(whole_path, _drawdown(F.transform(held, lambda x: ret(entry, x)))),
+            "cum_amp": curve("_pa", lambda a: a - F.col("_a")),
+            "cum_ret": curve("_ps", lambda s: _grown(s - F.col("_s"))),
+            "cum_exc": curve("_px", lambda x: _excess(x - F.col("_x"))),
+            "mdd": F.when(F.size("_held") == horizon + 1, _drawdown(F.col("_held"), F.col("_held")[0])),
         }
     )
-    return df.drop("_path", "s", "sz", "m", "mz", "a", "v", "roll_mean", "mkt_pct")
+    return df.drop("_ps", "_px", "_pa", "_held", "_s", "_x", "_a", "_v", "roll_mean", "mkt_pct")
 
 
 def mark_high(events: DataFrame, *, score: str = "persist_amp", pct: float = 0.8, to: str = "high_persist") -> DataFrame:
