@@ -368,7 +368,7 @@ def master_join(spark, sf):
 
 def stock_and_market_rows(spark, sf):
     """Rows per class: stocks by code pattern, market rows, other index rows."""
-    rows = v.with_index(spark, sf)
+    rows = v.with_index(spark, sf, v.stored_panel(spark, sf))
     kind = F.when(un.is_stock(F.col("stock_code")), "stock").when(un.is_market(F.col("stock_code")), "market").otherwise("index")
     return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("cnt"), F.count("volume").alias("with_volume"))
 

@@ -36,7 +36,7 @@ def risk_free(spark, sf):
 
 
 def risk_free_as_of(spark, sf):
-    days = v.market(spark, sf)
+    days = v.market(v.panel(spark, sf))
     return r6(as_of(days, fa.risk_free(v.rates(spark, sf)), "rf_pct"), "rf_pct")
 
 
@@ -57,26 +57,28 @@ def portfolio_legs(spark, sf):
     return r6(fa.portfolio_legs(rows, fa.breakpoints(rows.where("usable")), **MINIMUMS), *LEGS)
 
 
-def factor_returns(spark, sf):
-    return fa.factor_returns(v.panel(spark, sf), v.market(spark, sf), v.rates(spark, sf), **MINIMUMS)
+def factor_returns(spark, sf, p=None):
+    p = p or v.stored_panel(spark, sf)
+    return fa.factor_returns(p, v.market(p), v.rates(spark, sf), **MINIMUMS)
 
 
 def single_factor_beta(spark, sf):
     """Betas on the market alone, which SQL can check."""
-    factors = materialize(v.market(spark, sf).select("date", F.col("mkt_pct").alias("mkt")), "factors")
-    out = lo.rolling_betas(v.panel(spark, sf), factors, names=["mkt"])
+    p = v.stored_panel(spark, sf)
+    factors = materialize(v.market(p).select("date", F.col("mkt_pct").alias("mkt")), "factors")
+    out = lo.rolling_betas(p, factors, names=["mkt"])
     return r6(out, "beta_mkt")
 
 
 def rolling_betas(spark, sf):
-    factors = materialize(factor_returns(spark, sf), "factors")
-    out = lo.rolling_betas(v.panel(spark, sf), factors)
+    p = v.stored_panel(spark, sf)
+    out = lo.rolling_betas(p, materialize(factor_returns(spark, sf, p), "factors"))
     return r6(out, *[f"beta_{n}" for n in fa.FACTORS])
 
 
 def characteristics_with_betas(spark, sf):
-    factors = materialize(factor_returns(spark, sf), "factors")
-    out = lo.characteristics_with_betas(v.panel(spark, sf), factors)
+    p = v.stored_panel(spark, sf)
+    out = lo.characteristics_with_betas(p, materialize(factor_returns(spark, sf, p), "factors"))
     return r6(out, "bm", "ep", "mom", "rev", *[f"beta_{n}" for n in fa.FACTORS])
 
 

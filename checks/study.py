@@ -102,8 +102,8 @@ STUDIED = f"""{STUDY}, studied AS (SELECT stock_code, date, amp_pct, market_cap,
   FROM ahead)"""
 
 
-def universe(spark, sf):
-    return un.apply_universe(v.with_index(spark, sf))
+def universe(spark, sf, p: DataFrame | None = None) -> DataFrame:
+    return un.apply_universe(v.with_index(spark, sf, p or v.stored_panel(spark, sf)))
 
 
 def universe_rows(spark, sf):
@@ -115,11 +115,12 @@ def universe_counts(spark, sf):
 
 
 def market_rows(spark, sf):
-    return un.market_series(v.with_index(spark, sf))
+    return un.market_series(v.with_index(spark, sf, v.stored_panel(spark, sf)))
 
 
 def study(spark, sf) -> DataFrame:
-    return st.study_panel(universe(spark, sf), v.market(spark, sf))
+    p = v.stored_panel(spark, sf)
+    return st.study_panel(universe(spark, sf, p), v.market(p))
 
 
 STUDY_VALUES = ("fwd_ret_1", "fwd_ret_5", "fwd_ret_20", "fwd_exc_1", "fwd_exc_5", "fwd_exc_20")
@@ -283,7 +284,7 @@ def market_breadth(spark, sf):
 
 def _after(flag: str):
     def run(spark, sf):
-        rows = materialize(v.index_rows(spark, sf), "index")
+        rows = materialize(v.index_rows(spark, sf, v.stored_panel(spark, sf)), "index")
         return r6(mk.index_after_events(materialize(breadth(spark, sf), "breadth"), rows, flag), *DESCRIBED)
 
     return run

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finpanel.session import materialize
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -56,22 +58,27 @@ PANEL = """panel AS (
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_suppkey, CAST(l_shipdate AS DATE))"""
 
 
-def market(spark: SparkSession, sf: str) -> DataFrame:
+def stored_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel as a table of its own, as the studies expect it: several jobs read it."""
+    return materialize(panel(spark, sf), "panel")
+
+
+def market(p: DataFrame) -> DataFrame:
     """Market return per day, the mean over all securities (one row per day)."""
-    return panel(spark, sf).groupBy("date").agg(F.round(F.avg("return_pct"), 6).alias("mkt_pct"))
+    return p.groupBy("date").agg(F.round(F.avg("return_pct"), 6).alias("mkt_pct"))
 
 
 MARKET = "market AS (SELECT date, round(avg(return_pct), 6) AS mkt_pct FROM panel GROUP BY date)"
 
 
-def index_rows(spark: SparkSession, sf: str) -> DataFrame:
+def index_rows(spark: SparkSession, sf: str, p: DataFrame) -> DataFrame:
     """Index rows: the market, and the securities of three regions."""
     region = (
         table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
         .select((F.col("s_suppkey") + 1000).cast("string").alias("stock_code"), "n_regionkey")
     )
     codes = F.when(F.col("n_regionkey") == 0, "SC300").when(F.col("n_regionkey") == 1, "TM100").when(F.col("n_regionkey") == 2, "TWN50")
-    tagged = panel(spark, sf).select("stock_code", "date", "return_pct").join(region, "stock_code").withColumn("idx", codes)
+    tagged = p.select("stock_code", "date", "return_pct").join(region, "stock_code").withColumn("idx", codes)
     both = tagged.select("date", "return_pct", F.explode(F.array(F.lit("Y9999"), F.col("idx"))).alias("stock_code"))
     return both.where(F.col("stock_code").isNotNull()).groupBy("stock_code", "date").agg(F.round(F.avg("return_pct"), 6).alias("return_pct"))
 
@@ -84,9 +91,9 @@ INDEX_ROWS = """index_rows AS (
   WHERE n_regionkey < 3 GROUP BY n_regionkey, date)"""
 
 
-def with_index(spark: SparkSession, sf: str) -> DataFrame:
+def with_index(spark: SparkSession, sf: str, p: DataFrame) -> DataFrame:
     """Price panel as delivered: securities and index rows together."""
-    return panel(spark, sf).unionByName(index_rows(spark, sf), allowMissingColumns=True)
+    return p.unionByName(index_rows(spark, sf, p), allowMissingColumns=True)
 
 
 def rates(spark: SparkSession, sf: str) -> DataFrame:

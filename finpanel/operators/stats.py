@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from finpanel.functions.measures import stars
 from finpanel.operators.quantiles import join_groups, quantiles
+from finpanel.session import materialize
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], values: Mapping[str, Column] | Sequence[str], *, label: str = "measure") -> DataFrame:
@@ -56,7 +57,7 @@ def tercile_stats(df: DataFrame, features: Mapping[str, Column], ret: str, *, by
     by = list(by)
     rows = df.where(F.col(ret).isNotNull())
     long = unpivot(rows, [*by, ret], features, label="feature").where(F.col("value").isNotNull())
-    cuts = quantiles(long, [*by, "feature"], "value", [0.25, 0.75], ["_lo", "_hi"])
+    cuts = materialize(quantiles(long, [*by, "feature"], "value", [0.25, 0.75], ["_lo", "_hi"]), "cuts")
     v = F.col("value")
     bucket = F.when(v > F.col("_hi"), "high").when(v < F.col("_lo"), "low").otherwise("middle")
     placed = join_groups(long, cuts.where(F.col("n") >= min_n), [*by, "feature"], few_groups=True)

@@ -34,7 +34,7 @@ def event_rows(panel: DataFrame, *, pct: float = 0.8) -> DataFrame:
     )
     rows = panel.withColumns({"kind": kind, "strength": strength}).where(F.col("kind").isNotNull())
     rows = materialize(rows, "events")
-    cuts = quantiles(rows, ["kind"], "persist_amp", [pct], ["persist_cut"]).drop("n")
+    cuts = materialize(quantiles(rows, ["kind"], "persist_amp", [pct], ["persist_cut"]).drop("n"), "cuts")
     rows = join_groups(rows, cuts, ["kind"], few_groups=True)
     return rows.withColumn("high", (F.col("persist_amp") >= F.col("persist_cut")).cast("int"))
 
