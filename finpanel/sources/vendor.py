@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK = "﻿"
+MARK = "\ufeff"
 # A character that does not occur in the files, to read a whole line as one cell.
 NO_SEPARATOR = "\u0001"
 
@@ -46,38 +48,31 @@ def read_vendor(
 
     The driver holds one header per file, which is no more than the file listing itself.
     """
-    left = [paths] if isinstance(paths, str) else list(paths)
-    every = spark.read.format("binaryFile").load(left).select("path")  # listing only, no content
-    found: list[DataFrame] = []
-    known: list[str] = []
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    # Listing only: the content column is not read. Scans report paths in URL form, hence the lookup.
+    listed = [r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
+    todo = {_plain(p): p for p in listed}
+    scans: list[DataFrame] = []
     for encoding in encodings:
-        heads = _header_lines(spark, left, encoding, key).collect()
-        layouts: dict[tuple[str, ...], list[str]] = {}
-        for row in heads:
-            if row["path"] not in known:
-                layouts.setdefault(tuple(_names(row["header"], sep)), []).append(row["path"])
-                known.append(row["path"])
-        for names, files in sorted(layouts.items()):
-            found.append(_scan(spark, names, files, sep, encoding, key, columns))
-        rest = [r["path"] for r in every.collect() if _plain(r["path"]) not in {_plain(k) for k in known}]
-        if not rest:
+        if not todo:
             break
-        left = rest
-    skipped = spark.createDataFrame([(p,) for p in (rest if found or known else [r["path"] for r in every.collect()])], "path string")
-    if not found:
+        layouts: dict[tuple[str, ...], list[str]] = {}
+        for row in _header_lines(spark, list(todo.values()), encoding, key).collect():
+            layouts.setdefault(tuple(_names(row["header"], sep)), []).append(todo.pop(_plain(row["path"])))
+        scans += [_scan(spark, names, sorted(files), sep, encoding, key, columns) for names, files in sorted(layouts.items())]
+    if not scans:
         raise ValueError(f"no readable file with a column {key!r}")
-    rows = found[0]
-    for part in found[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    return rows, skipped
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    return rows, spark.createDataFrame([(p,) for p in sorted(todo.values())], "path string")
 
 
 def _plain(path: str) -> str:
-    """Path without scheme and slashes in front, so that listings of both kinds compare."""
-    return "/" + path.split(":", 1)[-1].lstrip("/")
+    """Path as plain text, without scheme: the same for a listed path and for its URL form."""
+    return "/" + unquote(path).split(":", 1)[-1].lstrip("/")
 
 
 def _scan(spark, names, files, sep, encoding, key, columns) -> DataFrame:
+    """One scan over files of one header layout."""
     wanted = [n for n in names if n and (columns is None or n in columns)]
     slots = [f"_c{i}" for i in range(len(names))]
     raw = (
