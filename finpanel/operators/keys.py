@@ -76,8 +76,7 @@ def latest(df: DataFrame, by: Sequence[str], n: int, *, order: str = "date") ->
 
 def on_latest_day(df: DataFrame, *, order: str = "date") -> DataFrame:
     """Rows of the last day present."""
-    last_day = df.agg(F.max(order).alias(order))
-    return df.join(F.broadcast(last_day), order, "left_semi")
+    return df.where(F.col(order) == df.agg(F.max(order)).scalar())
 
 
 def expected_diff(df: DataFrame, col: str, expected: Sequence[str]) -> DataFrame:

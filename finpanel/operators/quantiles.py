@@ -39,9 +39,9 @@ def quantiles(
     probs: Sequence[float],
     names: Sequence[str] | None = None,
     *,
-    accuracy: int = 20_000,
-    whole_below: int = 20_000,
-    few_groups: bool = True,
+    accuracy: int = 50_000,
+    whole_below: int = 50_000,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles of the non-null values: columns ``by``, ``n`` and one per quantile.
 
@@ -49,7 +49,8 @@ def quantiles(
     sketch is off by at most 1/``accuracy`` of the group, and a bracket of that plus 3/``whole_below`` on
     both sides of a quantile holds both ranks it lies between, with room for rounding of ranks.
 
-    The input is read up to three times; store it first when it is costly.
+    The input is read up to three times; store it first when it is costly. For ``few_groups`` see
+    :func:`join_groups`.
     """
     by, probs = list(by), list(probs)
     names = list(names or [f"p{round(p * 100)}" for p in probs])

@@ -1,4 +1,8 @@
-"""Group statistics: moments, quantiles, curves, histograms, box summaries, rank-sum test."""
+"""Group statistics: moments, quantiles, curves, histograms, box summaries, rank-sum test.
+
+``few_groups`` promises that the number of groups is bounded by the calendar or by constants of the query,
+which lets the small per-group tables be broadcast; otherwise Spark picks those joins from measured sizes.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +26,7 @@ def unpivot(df: DataFrame, keep: Sequence[str], values: Mapping[str, Column] | S
     return df.select(*keep, F.explode(F.array(*pairs)).alias("_p")).select(*keep, f"_p.{label}", "_p.value")
 
 
-def describe(df: DataFrame, value: str, by: Sequence[str], *, scale: float = 100.0, min_n: int = 1, few_groups: bool = True) -> DataFrame:
+def describe(df: DataFrame, value: str, by: Sequence[str], *, scale: float = 100.0, min_n: int = 1, few_groups: bool = False) -> DataFrame:
     """N, mean, median, sample std, bias-corrected skew and excess kurtosis, P10/25/75/90, win rate.
 
     Mean, median, std and percentiles are multiplied by ``scale`` (fractions to percent); ``win_pct`` is
@@ -52,37 +56,37 @@ def describe(df: DataFrame, value: str, by: Sequence[str], *, scale: float = 100
     )
 
 
-def tercile_stats(df: DataFrame, features: Mapping[str, Column], ret: str, *, by: Sequence[str] = (), min_n: int = 30) -> DataFrame:
+def tercile_stats(df: DataFrame, features: Mapping[str, Column], ret: str, *, by: Sequence[str] = (), min_n: int = 30, few_groups: bool = False) -> DataFrame:
     """Statistics of ``ret`` in the high (> P75), middle and low (< P25) third of each feature."""
     by = list(by)
     rows = df.where(F.col(ret).isNotNull())
     long = unpivot(rows, [*by, ret], features, label="feature").where(F.col("value").isNotNull())
-    cuts = materialize(quantiles(long, [*by, "feature"], "value", [0.25, 0.75], ["_lo", "_hi"]), "cuts")
+    cuts = materialize(quantiles(long, [*by, "feature"], "value", [0.25, 0.75], ["_lo", "_hi"], few_groups=few_groups), "cuts")
     v = F.col("value")
     bucket = F.when(v > F.col("_hi"), "high").when(v < F.col("_lo"), "low").otherwise("middle")
-    placed = join_groups(long, cuts.where(F.col("n") >= min_n), [*by, "feature"], few_groups=True)
+    placed = join_groups(long, cuts.where(F.col("n") >= min_n), [*by, "feature"], few_groups=few_groups)
     placed = placed.where(F.col("n").isNotNull()).withColumn("bucket", bucket)
-    return describe(placed, ret, [*by, "feature", "bucket"])
+    return describe(placed, ret, [*by, "feature", "bucket"], few_groups=few_groups)
 
 
-def curve_bands(df: DataFrame, curves: Mapping[str, float], by: Sequence[str], *, min_n: int = 5) -> DataFrame:
+def curve_bands(df: DataFrame, curves: Mapping[str, float], by: Sequence[str], *, min_n: int = 5, few_groups: bool = False) -> DataFrame:
     """Median, P25 and P75 of offset curves (array columns) at every offset.
 
     ``curves`` maps each array column to its scale. Groups with fewer than ``min_n`` rows are left out.
     """
     by = list(by)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_n)
-    df = join_groups(df, sizes, by, few_groups=True).where(F.col("_rows").isNotNull())
+    df = join_groups(df, sizes, by, few_groups=few_groups).where(F.col("_rows").isNotNull())
 
     def scaled(curve: str, scale: float) -> Column:
         return F.struct(F.lit(curve).alias("curve"), F.transform(curve, lambda y: y * scale).alias("ys"))
 
     items = F.array(*[scaled(c, s) for c, s in curves.items()])
     long = df.select(*by, F.explode(items).alias("_c")).select(*by, "_c.curve", F.posexplode("_c.ys").alias("k", "value"))
-    return quantiles(long, [*by, "curve", "k"], "value", [0.25, 0.5, 0.75], ["p25", "median", "p75"]).withColumnRenamed("n", "cnt")
+    return quantiles(long, [*by, "curve", "k"], "value", [0.25, 0.5, 0.75], ["p25", "median", "p75"], few_groups=few_groups).withColumnRenamed("n", "cnt")
 
 
-def histogram(df: DataFrame, value: str, by: Sequence[str], *, bins: int = 60) -> DataFrame:
+def histogram(df: DataFrame, value: str, by: Sequence[str], *, bins: int = 60, few_groups: bool = False) -> DataFrame:
     """Counts in ``bins`` equal bins between minimum and maximum, with the group mean."""
     by = list(by)
     rows = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
@@ -90,20 +94,20 @@ def histogram(df: DataFrame, value: str, by: Sequence[str], *, bins: int = 60) -
     v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
     # The maximum belongs to the last bin; a constant group has the single bin 1.
     raw = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins).cast("int") + 1
-    bucket = F.coalesce(F.least(raw, F.lit(bins)), F.lit(1))
-    placed = join_groups(rows, span, by, few_groups=True).withColumn("bin", bucket)
+    bucket = F.when(hi > lo, F.least(raw, F.lit(bins))).otherwise(1)
+    placed = join_groups(rows, span, by, few_groups=few_groups).withColumn("bin", bucket)
     return placed.groupBy(*by, "lo", "hi", "mean", "bin").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def box_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def box_summary(df: DataFrame, value: str, by: Sequence[str], *, few_groups: bool = False) -> DataFrame:
     """Quartiles, extremes, and whiskers (outermost values within 1.5 interquartile ranges)."""
     by = list(by)
     rows = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    box = quantiles(rows, by, "_v", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    box = quantiles(rows, by, "_v", [0.25, 0.5, 0.75], ["q1", "median", "q3"], few_groups=few_groups)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col("_v")
     return (
-        join_groups(rows, box, by, few_groups=True)
+        join_groups(rows, box, by, few_groups=few_groups)
         .groupBy(*by, F.col("n").alias("cnt"), "q1", "median", "q3")
         .agg(
             F.min("_v").alias("lo"), F.max("_v").alias("hi"),
@@ -125,7 +129,7 @@ def _range_of(v: Column, step: int) -> Column:
     return coarse * step + fine
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (), *, buckets: int = 1024) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (), *, buckets: int = 1024, few_groups: bool = False) -> DataFrame:
     """Mann-Whitney U of group 1 against group 0, two-sided p.
 
     Always the normal approximation with tie and continuity correction, also for very small groups.
@@ -145,7 +149,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (),
         F.sum("_g").alias("_n1"), F.count(F.lit(1)).alias("_c")
     )
     v = F.col("_v")
-    placed = join_groups(counts, splits, by, few_groups=True).select(
+    placed = join_groups(counts, splits, by, few_groups=few_groups).select(
         *by, "_v", "_n1", "_c", _range_of(v, step).alias("_b")
     )
     per_range = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_size"))
@@ -154,7 +158,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (),
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_c").over(inside), F.lit(0))
     ranked = placed.withColumn("_before", before)
-    ranked = join_groups(ranked, per_range, [*by, "_b"], few_groups=True)
+    ranked = join_groups(ranked, per_range, [*by, "_b"], few_groups=few_groups)
     mid_rank = F.col("_below") + F.col("_before") + (F.col("_c") + 1) / 2.0
     c = F.col("_c").cast("double")
     total = ranked.groupBy(*by).agg(
@@ -172,14 +176,14 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (),
     return total.select(*by, "n1", "n0", "u", z.alias("z")).withColumn("p_value", _two_sided_normal_p("z"))
 
 
-def compare_groups(df: DataFrame, features: Mapping[str, Column], group: str, *, by: Sequence[str] = (), min_n: int = 5) -> DataFrame:
+def compare_groups(df: DataFrame, features: Mapping[str, Column], group: str, *, by: Sequence[str] = (), min_n: int = 5, few_groups: bool = False) -> DataFrame:
     """Mean and median of each feature in group 1 (``hi``) and 0 (``lo``), with the rank-sum p and stars."""
     by = list(by)
     long = unpivot(df, [*by, group], features, label="feature").where(F.col("value").isNotNull() & F.col(group).isNotNull())
     keys = [*by, "feature"]
     means = long.groupBy(*keys, group).agg(F.avg("value").alias("mean"), F.count("value").alias("cnt"))
-    medians = quantiles(long, [*keys, group], "value", [0.5], ["median"]).drop("n")
-    both = join_groups(means, medians, [*keys, group], few_groups=True)
+    medians = quantiles(long, [*keys, group], "value", [0.5], ["median"], few_groups=few_groups).drop("n")
+    both = join_groups(means, medians, [*keys, group], few_groups=few_groups)
 
     def of(col: str, g: int, name: str) -> Column:
         return F.max(F.when(F.col(group) == g, F.col(col))).alias(name)
@@ -188,5 +192,5 @@ def compare_groups(df: DataFrame, features: Mapping[str, Column], group: str, *,
         of("cnt", 1, "n_hi"), of("cnt", 0, "n_lo"), of("mean", 1, "mean_hi"), of("median", 1, "median_hi"),
         of("mean", 0, "mean_lo"), of("median", 0, "median_lo"),
     ).where((F.col("n_hi") >= min_n) & (F.col("n_lo") >= min_n))
-    tests = mann_whitney(long, "value", group, keys).select(*keys, "u", "z", "p_value")
-    return join_groups(wide, tests, keys, few_groups=True).withColumn("stars", stars(F.col("p_value")))
+    tests = mann_whitney(long, "value", group, keys, few_groups=few_groups).select(*keys, "u", "z", "p_value")
+    return join_groups(wide, tests, keys, few_groups=few_groups).withColumn("stars", stars(F.col("p_value")))

@@ -97,7 +97,7 @@ def breakpoints(rows: DataFrame, *, lo: float = 0.3, hi: float = 0.7) -> DataFra
         "rev": F.col("rev"),
     }
     long = unpivot(rows, ["date"], features, label="feature")
-    return quantiles(long, ["date", "feature"], "value", [lo, 0.5, hi], ["lo", "mid", "hi"])
+    return quantiles(long, ["date", "feature"], "value", [lo, 0.5, hi], ["lo", "mid", "hi"], few_groups=True)
 
 
 def sort_input(df: DataFrame, *, min_mcap: float = 100.0) -> DataFrame:

@@ -70,7 +70,7 @@ def index_after_events(breadth: DataFrame, index_rows: DataFrame, flag: str, *,
     """Statistics of each index's return after market event days, per horizon.
 
     Horizons are rows of the index itself. An index needs ``min_events`` event days, a cell ``min_n``
-    values.
+    values. There are a handful of indices, so the per-cell tables are small.
     """
     names = [f"fwd_ret_{h}" for h in horizons]
     event_days = breadth.where(F.col(flag) == 1).select("date")  # one row per day
@@ -78,4 +78,4 @@ def index_after_events(breadth: DataFrame, index_rows: DataFrame, flag: str, *,
     hits = Window.partitionBy("stock_code")
     after = after.withColumn("_n", F.count(F.lit(1)).over(hits)).where(F.col("_n") >= min_events)
     long = unpivot(after, ["stock_code"], names, label="horizon")
-    return describe(long, "value", ["stock_code", "horizon"], min_n=min_n)
+    return describe(long, "value", ["stock_code", "horizon"], min_n=min_n, few_groups=True)

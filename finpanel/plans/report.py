@@ -34,7 +34,7 @@ def event_rows(panel: DataFrame, *, pct: float = 0.8) -> DataFrame:
     )
     rows = panel.withColumns({"kind": kind, "strength": strength}).where(F.col("kind").isNotNull())
     rows = materialize(rows, "events")
-    cuts = materialize(quantiles(rows, ["kind"], "persist_amp", [pct], ["persist_cut"]).drop("n"), "cuts")
+    cuts = materialize(quantiles(rows, ["kind"], "persist_amp", [pct], ["persist_cut"], few_groups=True).drop("n"), "cuts")
     rows = join_groups(rows, cuts, ["kind"], few_groups=True)
     return rows.withColumn("high", (F.col("persist_amp") >= F.col("persist_cut")).cast("int"))
 
@@ -54,39 +54,39 @@ def event_summary(events: DataFrame) -> DataFrame:
 
 def return_stats(events: DataFrame) -> DataFrame:
     """Statistics of forward and excess returns by kind and horizon, in percent."""
-    return describe(unpivot(events, ["kind"], [*RETURNS, *EXCESS]), "value", ["kind", "measure"])
+    return describe(unpivot(events, ["kind"], [*RETURNS, *EXCESS]), "value", ["kind", "measure"], few_groups=True)
 
 
 def return_histograms(events: DataFrame, *, bins: int = 60) -> DataFrame:
     long = unpivot(events, ["kind"], {n: F.col(n) * 100.0 for n in [*RETURNS, *EXCESS]})
-    return histogram(long, "value", ["kind", "measure"], bins=bins)
+    return histogram(long, "value", ["kind", "measure"], bins=bins, few_groups=True)
 
 
 def persistence_stats(events: DataFrame) -> DataFrame:
     """Excess return over the longest horizon, high persistence against the rest."""
-    return describe(events.where(F.col("high").isNotNull()), "fwd_exc_20", ["kind", "high"])
+    return describe(events.where(F.col("high").isNotNull()), "fwd_exc_20", ["kind", "high"], few_groups=True)
 
 
 def persistence_boxes(events: DataFrame) -> DataFrame:
     rows = events.where(F.col("high").isNotNull()).withColumn("pct", F.col("fwd_exc_20") * 100.0)
-    return box_summary(rows, "pct", ["kind", "high"])
+    return box_summary(rows, "pct", ["kind", "high"], few_groups=True)
 
 
 def persistence_curves(events: DataFrame) -> DataFrame:
-    return curve_bands(events.where(F.col("high").isNotNull()), CURVES, ["kind", "high"])
+    return curve_bands(events.where(F.col("high").isNotNull()), CURVES, ["kind", "high"], few_groups=True)
 
 
 def attention_stats(events: DataFrame, *, min_n: int = 5) -> DataFrame:
     """Excess return over the longest horizon, attention days against others (groups of ``min_n`` events)."""
     sizes = events.groupBy("kind", "is_attention").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_n)
     rows = join_groups(events, sizes, ["kind", "is_attention"], few_groups=True).where(F.col("_size").isNotNull())
-    return describe(rows, "fwd_exc_20", ["kind", "is_attention"])
+    return describe(rows, "fwd_exc_20", ["kind", "is_attention"], few_groups=True)
 
 
 def feature_thirds(events: DataFrame) -> DataFrame:
     """Return over the longest horizon by thirds of five features."""
     features = {n: F.col(n) for n in ("market_cap", "pe", "pb", "cash_div", "beta")}
-    return tercile_stats(events, features, "fwd_ret_20", by=["kind"])
+    return tercile_stats(events, features, "fwd_ret_20", by=["kind"], few_groups=True)
 
 
 def persistence_features() -> Mapping[str, Column]:
@@ -100,7 +100,7 @@ def persistence_features() -> Mapping[str, Column]:
 
 def persistence_compare(events: DataFrame) -> DataFrame:
     """Features of high-persistence events against the rest, with a rank-sum test."""
-    return compare_groups(events, persistence_features(), "high", by=["kind"])
+    return compare_groups(events, persistence_features(), "high", by=["kind"], few_groups=True)
 
 
 def persistence_logit(events: DataFrame, kind: str, *, min_n: int = 50) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from finpanel import schemas
 from finpanel.functions import cleaning as c
 from finpanel.operators.keys import dedupe_latest, split_rejects
-from finpanel.sources.tables import insert_new, load_report, load_table, read_table, snapshot, upsert
+from finpanel.sources.tables import PART, insert_new, load_report, load_table, read_table, snapshot, upsert
 from finpanel.sources.vendor import overflow_map, rename_map
 
 Parts = tuple[DataFrame, DataFrame]
@@ -153,4 +153,4 @@ def load_into(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[st
 def cached_panel(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, force_source: bool = False) -> DataFrame:
     """The consolidated panel table if it exists, else the panel built from the sources."""
     stored = None if force_source else read_table(spark, path)
-    return build() if stored is None else stored.drop("part_year")
+    return build() if stored is None else stored.drop(PART)

@@ -19,5 +19,6 @@ def write_json(df: DataFrame, path: str, *, order: Sequence[str] = (), mode: str
 
 
 def write_panel(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    """Panel as Parquet, clustered by security and sorted by day, so later scans prune by code."""
-    df.repartition("stock_code").sortWithinPartitions("stock_code", "date").write.mode(mode).parquet(path)
+    """Panel as Parquet in ranges of (security, day), so later scans prune by code. Ranges follow the
+    distribution of the rows, so files are even."""
+    df.repartitionByRange("stock_code", "date").sortWithinPartitions("stock_code", "date").write.mode(mode).parquet(path)

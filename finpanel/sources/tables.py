@@ -1,6 +1,6 @@
 """Keyed Parquet tables: upsert, insert-if-absent, snapshots, load reports, incremental loads.
 
-A table with a day column is partitioned by its year, so a load rewrites only the years it touches. The
+A table with a day column is partitioned by month, so a load rewrites only the months it touches. The
 merged rows are written to the shared folder first and replace the old partitions from there; a load that
 is repeated, whole or in part, ends in the same table.
 """
@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finpanel.operators.keys import dedupe_latest
 from finpanel.session import materialize
 
-PART = "part_year"
+PART = "part_month"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -42,24 +42,32 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return _visible(df)
 
 
-def _with_part(df: DataFrame, day: str | None) -> DataFrame:
-    return df if day is None else df.withColumn(PART, F.year(day))
+def _month(day: str) -> Column:
+    return F.year(day) * 100 + F.month(day)
 
 
 def write_table(df: DataFrame, path: str, *, day: str | None = None, mode: str = "overwrite") -> None:
-    """Write a table; with ``day`` partitioned by year. Overwriting replaces only the years in ``df``."""
-    writer = _with_part(df, day).write.mode(mode)
-    if day is not None:
-        writer = writer.partitionBy(PART).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    """Write a table; with ``day`` partitioned by month. Overwriting replaces only the months in ``df``.
+
+    Rows are rebalanced by month first: few files per month, and a month that outgrows a task is split.
+    """
+    if day is None:
+        df.write.mode(mode).parquet(path)
+        return
+    rows = df.withColumn(PART, _month(day)).hint("rebalance", PART)
+    rows.write.mode(mode).partitionBy(PART).option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def _touched(target: DataFrame, batch: DataFrame, day: str | None) -> DataFrame:
-    """Rows of the target in the years of the batch; the list of years is bounded by the calendar."""
+    """Rows of the target in the months of the (stored) batch.
+
+    The months are read first, a list bounded by the calendar, so that the scan skips all other
+    partitions; a join would have to read them.
+    """
     if day is None:
         return target
-    years = batch.select(F.year(day).alias(PART)).distinct()
-    return target.join(F.broadcast(years), PART, "left_semi")
+    months = [r[0] for r in batch.select(_month(day)).distinct().collect()]
+    return target.where(F.col(PART).isin(months))
 
 
 def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], *, day: str | None = None, recency: Sequence[str] = (), stamp: str | None = None) -> None:
@@ -74,7 +82,7 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str]
         batch = batch.withColumn(stamp, F.current_timestamp())
     stored = read_table(spark, path)
     if stored is None:
-        write_table(materialize(batch, "upsert"), path, day=day)
+        write_table(batch, path, day=day)
         return
     batch = materialize(batch, "upsert-batch")
     old = _visible(_touched(stored, batch, day))
@@ -89,7 +97,7 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str]
 def insert_new(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], *, day: str | None = None) -> None:
     """Append the batch rows whose key is not stored yet; stored rows stay as they are."""
     keys = list(keys)
-    batch = dedupe_latest(batch, keys, keys)
+    batch = materialize(dedupe_latest(batch, keys, keys), "insert-batch")
     stored = read_table(spark, path)
     if stored is not None:
         old = _visible(_touched(stored, batch, day))

@@ -103,12 +103,12 @@ def test_upsert(spark):
         assert dump(spark, path) == [("a", D[0], 1.0, 10.0), ("a", D[1], 5.0, 20.0), ("b", D[3], 3.0, 30.0), ("c", D[2], 6.0, None)]
 
 
-def test_upsert_rewrites_only_touched_years(spark, tmp_path):
+def test_upsert_rewrites_only_touched_months(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.upsert(spark, path, frame(spark, [("a", d, 1.0, 1.0) for d in D]), ["k", "date"], day="date")
-    before = {p.name for p in (tmp_path / "t" / "part_year=2025").iterdir()}
+    before = {p.name for p in (tmp_path / "t" / "part_month=202503").iterdir()}
     tables.upsert(spark, path, frame(spark, [("a", D[1], 9.0, 9.0)]), ["k", "date"], day="date")
-    assert {p.name for p in (tmp_path / "t" / "part_year=2025").iterdir()} == before
+    assert {p.name for p in (tmp_path / "t" / "part_month=202503").iterdir()} == before
     assert dump(spark, path)[1] == ("a", D[1], 9.0, 9.0) and len(dump(spark, path)) == 4
 
 
