@@ -180,52 +180,54 @@ DESCRIBED = ("mean", "median", "std", "skew", "kurt", "p10", "p25", "p75", "p90"
 MEASURES = " UNION ALL ".join(f"SELECT kind, '{c}' AS measure, {c} AS value FROM event_rows" for c in (*rp.RETURNS, *rp.EXCESS))
 
 
-def events(spark, sf) -> DataFrame:
-    return rp.event_rows(study(spark, sf))
+def events(spark, sf, *cols: str) -> DataFrame:
+    """Event rows with the columns a report table reads, so that the rest is pruned from the study."""
+    base = ("stock_code", "date", "amp_pct", "amp_big", "amp_sml", "roll_hi", "roll_lo", "is_attention", "persist_amp")
+    return rp.event_rows(study(spark, sf).select(*base, *cols))
 
 
 def event_summary(spark, sf):
-    return r6(rp.event_summary(events(spark, sf)), "mdd_mean_pct")
+    return r6(rp.event_summary(events(spark, sf, "mdd")), "mdd_mean_pct")
 
 
 def return_stats(spark, sf):
-    return r6(rp.return_stats(events(spark, sf)), *DESCRIBED)
+    return r6(rp.return_stats(events(spark, sf, *rp.RETURNS, *rp.EXCESS)), *DESCRIBED)
 
 
 def return_histograms(spark, sf):
     # A value within rounding of a bin edge may fall on either side, so counts are compared on 5-decimal values.
-    ev_rows = events(spark, sf)
+    ev_rows = events(spark, sf, *rp.RETURNS, *rp.EXCESS)
     ev_rows = ev_rows.withColumns({c: F.round(F.col(c) + 3.7e-9, 5) for c in (*rp.RETURNS, *rp.EXCESS)})
     return r6(rp.return_histograms(ev_rows, bins=60), "lo", "hi", "mean")
 
 
 def persistence_stats(spark, sf):
-    return r6(rp.persistence_stats(events(spark, sf)), *DESCRIBED)
+    return r6(rp.persistence_stats(events(spark, sf, "fwd_exc_20")), *DESCRIBED)
 
 
 def persistence_boxes(spark, sf):
-    return r6(rp.persistence_boxes(events(spark, sf)), "q1", "median", "q3", "lo", "hi", "whisker_lo", "whisker_hi")
+    return r6(rp.persistence_boxes(events(spark, sf, "fwd_exc_20")), "q1", "median", "q3", "lo", "hi", "whisker_lo", "whisker_hi")
 
 
 def persistence_curves(spark, sf):
-    return r6(rp.persistence_curves(events(spark, sf)), "p25", "median", "p75")
+    return r6(rp.persistence_curves(events(spark, sf, *rp.CURVES)), "p25", "median", "p75")
 
 
 def attention_stats(spark, sf):
-    return r6(rp.attention_stats(events(spark, sf)), *DESCRIBED)
+    return r6(rp.attention_stats(events(spark, sf, "fwd_exc_20")), *DESCRIBED)
 
 
 def feature_thirds(spark, sf):
-    return r6(rp.feature_thirds(events(spark, sf)), *DESCRIBED)
+    return r6(rp.feature_thirds(events(spark, sf, "fwd_ret_20", "market_cap", "pe", "pb", "cash_div", "beta")), *DESCRIBED)
 
 
 def persistence_compare(spark, sf):
-    out = rp.persistence_compare(events(spark, sf)).drop("p_value")
+    out = rp.persistence_compare(events(spark, sf, "market_cap", "beta")).drop("p_value")
     return r6(out, "mean_hi", "median_hi", "mean_lo", "median_lo", "u", "z")
 
 
 def persistence_logit(spark, sf):
-    return rp.persistence_logit(events(spark, sf), "big")
+    return rp.persistence_logit(events(spark, sf, "market_cap", "beta"), "big")
 
 
 def persistent_overlap(spark, sf):

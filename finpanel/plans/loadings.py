@@ -15,13 +15,26 @@ from finpanel.plans.factors import FACTORS, characteristics, factor_columns
 BLOCK = 256  # windows solved at once
 
 
-def _fill(window: np.ndarray) -> np.ndarray:
-    """Forward, then backward fill along the rows of each window (windows x rows x factors)."""
-    have = ~np.isnan(window)
-    rows = np.arange(window.shape[1])[None, :, None]
-    last = np.maximum.accumulate(np.where(have, rows, -1), axis=1)
-    source = np.where(last < 0, have.argmax(axis=1)[:, None, :], last)
-    return np.take_along_axis(window, source, axis=1)
+def _windows(x: np.ndarray, window: int) -> np.ndarray:
+    """All windows of consecutive rows (windows x rows x factors), gaps filled forward, then backward.
+
+    Filling the whole series forward gives the right values for every window whose first row is complete;
+    only the others, where an older value would leak in, are filled on their own.
+    """
+    have = ~np.isnan(x)
+    rows = np.arange(len(x))[:, None]
+    last = np.maximum.accumulate(np.where(have, rows, 0), axis=0)
+    view = np.lib.stride_tricks.sliding_window_view
+    filled = view(np.take_along_axis(x, last, axis=0), window, axis=0).transpose(0, 2, 1)
+    open_start = ~have[: len(filled)].all(axis=1)
+    if open_start.any():
+        filled = filled.copy()
+        raw = view(x, window, axis=0).transpose(0, 2, 1)[open_start]
+        seen = ~np.isnan(raw)
+        at = np.maximum.accumulate(np.where(seen, np.arange(window)[None, :, None], -1), axis=1)
+        at = np.where(at < 0, seen.argmax(axis=1)[:, None, :], at)
+        filled[open_start] = np.take_along_axis(raw, at, axis=1)
+    return filled
 
 
 def _solve(x: np.ndarray, y: np.ndarray, min_obs: int) -> np.ndarray:
@@ -31,17 +44,23 @@ def _solve(x: np.ndarray, y: np.ndarray, min_obs: int) -> np.ndarray:
     run = (use.sum(axis=1) >= min_obs) & ~np.isnan(x).any(axis=(1, 2))
     if not run.any():
         return slopes
-    x, y, use = x[run], np.where(use[run], y[run], 0.0), use[run].astype(float)
-    count = use.sum(axis=1)
-    xc = (x - np.einsum("bwf,bw->bf", x, use)[:, None, :] / count[:, None, None]) * use[:, :, None]
-    yc = (y - (y.sum(axis=1) / count)[:, None]) * use
+    if not run.all():
+        x, y, use = x[run], y[run], use[run]
+    if use.all():
+        xc = x - x.mean(axis=1, keepdims=True)
+        yc = y - y.mean(axis=1, keepdims=True)
+    else:
+        weight, y = use.astype(float), np.where(use, y, 0.0)
+        count = weight.sum(axis=1)
+        xc = (x - np.einsum("bwf,bw->bf", x, weight)[:, None, :] / count[:, None, None]) * weight[:, :, None]
+        yc = (y - (y.sum(axis=1) / count)[:, None]) * weight
     normal = np.matmul(xc.transpose(0, 2, 1), xc)
-    right = np.einsum("bwf,bw->bf", xc, yc)
+    right = np.matmul(yc[:, None, :], xc)[:, 0, :]
     size, axes = np.linalg.eigh(normal)
     safe = size[:, 0] > size[:, -1] * 1e-10
     found = np.einsum("bij,bj->bi", axes, np.einsum("bji,bj->bi", axes, right) / np.where(size > 0, size, 1.0))
     for i in np.flatnonzero(~safe):  # near-singular windows: minimum-norm least squares
-        keep = use[i] > 0
+        keep = use[i]
         design = np.column_stack([np.ones(keep.sum()), x[i][keep]])
         found[i] = np.linalg.lstsq(design, y[i][keep], rcond=None)[0][1:]
     slopes[run] = found
@@ -55,11 +74,8 @@ def _security_betas(pdf: pd.DataFrame, factors: Sequence[str], window: int, min_
     for start in range(window, len(pdf), BLOCK):
         stop = min(start + BLOCK, len(pdf))
         part = slice(start - window, stop - 1)
-        xw = np.lib.stride_tricks.sliding_window_view(x[part], window, axis=0).transpose(0, 2, 1)
         yw = np.lib.stride_tricks.sliding_window_view(y[part], window)
-        if np.isnan(xw).any():
-            xw = _fill(xw)
-        betas[start:stop] = _solve(xw, yw, min_obs)
+        betas[start:stop] = _solve(_windows(x[part], window), yw, min_obs)
     return betas
 
 
