@@ -15,6 +15,7 @@ from finpanel.functions.measures import capped_size_log, event_strength, missing
 from finpanel.operators.keys import set_overlap
 from finpanel.operators.quantiles import join_groups, quantiles
 from finpanel.operators.stats import box_summary, compare_groups, curve_bands, describe, histogram, tercile_stats, unpivot
+from finpanel.plans.market import amplitude_export, index_after_events, market_breadth
 from finpanel.session import materialize
 
 RETURNS = ("fwd_ret_1", "fwd_ret_5", "fwd_ret_20")
@@ -147,3 +148,30 @@ def overlap_of_persistent(events: DataFrame) -> DataFrame:
     """How many securities had high persistence after big events, after small ones, after both."""
     hit = F.col("high") == 1
     return set_overlap(events, "stock_code", hit & (F.col("kind") == "big"), hit & (F.col("kind") == "sml"))
+
+
+def full_report(panel: DataFrame, index_rows: DataFrame) -> dict[str, DataFrame]:
+    """Every table of the report, by name, from a study panel and the index rows.
+
+    Event rows and market breadth are stored once; the tables are lazy except for the logit fits.
+    """
+    events = event_rows(panel)
+    breadth = materialize(market_breadth(panel), "breadth")
+    tables = {
+        "event_summary": event_summary(events),
+        "return_stats": return_stats(events),
+        "return_histograms": return_histograms(events),
+        "persistence_stats": persistence_stats(events),
+        "persistence_boxes": persistence_boxes(events),
+        "persistence_curves": persistence_curves(events),
+        "persistence_compare": persistence_compare(events),
+        "attention_stats": attention_stats(events),
+        "feature_thirds": feature_thirds(events),
+        "overlap": overlap_of_persistent(events),
+        "market_amplitude": amplitude_export(breadth),
+    }
+    for kind in ("big", "sml"):
+        tables[f"persistence_logit_{kind}"] = persistence_logit(events, kind)
+    for flag in ("mkt_amp_hi", "mkt_amp_lo"):
+        tables[f"index_after_{flag}"] = index_after_events(breadth, index_rows, flag)
+    return tables

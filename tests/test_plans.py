@@ -356,3 +356,22 @@ def test_logit_needs_rows_and_two_classes(spark):
     few = spark.createDataFrame([(float(i % 2), float(i)) for i in range(49)], "y double, a double")
     same = spark.createDataFrame([(1.0, float(i)) for i in range(80)], "y double, a double")
     assert rp.logit_table(few, "y", ["a"]).isEmpty() and rp.logit_table(same, "y", ["a"]).isEmpty()
+
+
+def test_full_report(spark):
+    rng = np.random.default_rng(12)
+    n = 120
+    rows = [
+        (f"{1101 + c}", DAY + dt.timedelta(i), float(rng.uniform(0, 5)), float(rng.normal(0, 2)), float(rng.integers(1, 9)), float(rng.uniform(100, 900)),
+         float(rng.uniform(5, 30)), float(rng.uniform(0.5, 4)), float(rng.uniform(0, 5)), float(rng.uniform(0, 2)), "A" if rng.random() < 0.2 else None)
+        for c in range(8) for i in range(n)
+    ]
+    cols = "stock_code string, date date, amp_pct double, return_pct double, volume double, market_cap double, pe double, pb double, cash_div double, beta double, alert_a string"
+    df = spark.createDataFrame(rows, cols).withColumn("is_attention", F.coalesce((F.col("alert_a") == "A").cast("int"), F.lit(0)))
+    market = df.groupBy("date").agg(F.avg("return_pct").alias("mkt_pct"))
+    index = market.select(F.lit("Y9999").alias("stock_code"), "date", F.col("mkt_pct").alias("return_pct"))
+    tables = rp.full_report(st.study_panel(df, market), index)
+    counts = {name: t.count() for name, t in tables.items()}
+    assert counts["event_summary"] == 2 and counts["return_stats"] == 12 and counts["overlap"] == 1
+    assert counts["persistence_curves"] == 2 * 2 * 3 * 21 and counts["persistence_compare"] == 8
+    assert counts["market_amplitude"] == n and counts["persistence_logit_big"] in (0, 5)

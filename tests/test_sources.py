@@ -210,3 +210,24 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     out = materialize(spark.range(3), "x")
     assert out.count() == 3 and all(shared_folder(spark).split(":")[-1] in f for f in out.inputFiles())
+
+
+def test_bucketed_panel_needs_no_shuffle(spark, tmp_path):
+    from finpanel.plans.events import amplitude_events
+
+    rows = [(f"{c}", date(2024, 1, 1) + dt.timedelta(d), float(d % 7)) for c in range(5) for d in range(25)]
+    df = spark.createDataFrame(rows, "stock_code string, date date, amp_pct double")
+    sinks.save_bucketed(df, "bucketed_panel", buckets=3, path=str(tmp_path / "b"))
+    stored = amplitude_events(spark.table("bucketed_panel"))
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in amplitude_events(df)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, amplitude_events(df).collect()))
+    spark.sql("DROP TABLE bucketed_panel")
+
+
+def test_upsert_scans_only_touched_months(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.upsert(spark, path, frame(spark, [("a", d, 1.0, 1.0) for d in D]), ["k", "date"], day="date")
+    old = tables._touched(tables.read_table(spark, path), frame(spark, [("a", D[1], 9.0, 9.0)]), "date")
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part_month" in plan and "202401" in plan
