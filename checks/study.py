@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views as v
-from finpanel.functions import rounded
+from finpanel.functions import trimmed
 from finpanel.plans import events as ev
 from finpanel.plans import market as mk
 from finpanel.plans import report as rp
@@ -17,7 +17,7 @@ from finpanel.session import materialize
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
     """Six decimals. The small offset keeps exact ties of the seventh decimal from splitting the engines."""
-    return df.withColumns({c: rounded(F.col(c) + 3.7e-9) for c in cols})
+    return df.withColumns({c: trimmed(F.col(c) + 3.7e-9, 6) + 0.0 for c in cols})
 
 
 # ---- events ---------------------------------------------------------------------------------------
@@ -197,7 +197,7 @@ def return_stats(spark, sf):
 def return_histograms(spark, sf):
     # A value within rounding of a bin edge may fall on either side, so counts are compared on 5-decimal values.
     ev_rows = events(spark, sf, *rp.RETURNS, *rp.EXCESS)
-    ev_rows = ev_rows.withColumns({c: F.round(F.col(c) + 3.7e-9, 5) for c in (*rp.RETURNS, *rp.EXCESS)})
+    ev_rows = ev_rows.withColumns({c: trimmed(F.col(c) + 3.7e-9, 5) for c in (*rp.RETURNS, *rp.EXCESS)})
     return r6(rp.return_histograms(ev_rows, bins=60), "lo", "hi", "mean")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finpanel.functions import trimmed
 from finpanel.session import materialize
 
 
@@ -22,13 +23,13 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
     daily = li.groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(
         (F.max("l_extendedprice") / 10000).alias("amp_pct"),
-        F.round(F.max("l_discount") * 100 - 5, 4).alias("return_pct"),
+        trimmed(F.max("l_discount") * 100 - 5, 4).alias("return_pct"),
         F.sum("l_quantity").alias("volume"),
         F.max("l_quantity").alias("_q"),
         (F.min("l_extendedprice") / 2000).alias("pe"),
         (F.min("l_extendedprice") / 20000).alias("pb"),
-        F.when(F.max("l_tax") >= 0.01, F.round(F.max("l_tax") * 100, 2)).alias("div_yield"),
-        F.round(F.max("l_tax") * 50 + 0.5, 2).alias("cash_div"),
+        F.when(F.max("l_tax") >= 0.01, trimmed(F.max("l_tax") * 100, 2)).alias("div_yield"),
+        trimmed(F.max("l_tax") * 50 + 0.5, 2).alias("cash_div"),
         any_row((c("l_returnflag") == "A") & (c("l_linestatus") == "F")).alias("_a"),
         any_row((c("l_returnflag") == "R") & (c("l_linestatus") == "F") & (c("l_quantity") > 45)).alias("_d"),
         any_row(
@@ -38,7 +39,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     sup = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
     return daily.join(sup, "l_suppkey").select(
         (c("l_suppkey") + 1000).cast("string").alias("stock_code"), "date", "amp_pct", "return_pct", "volume",
-        F.round(c("s_acctbal") + 1100 + c("_q"), 2).alias("market_cap"), "pe", "pb", "div_yield", "cash_div",
+        trimmed(c("s_acctbal") + 1100 + c("_q"), 2).alias("market_cap"), "pe", "pb", "div_yield", "cash_div",
         (c("_q") / 50).alias("beta"),
         F.when(c("_a"), "A").alias("alert_a"), F.when(c("_d"), "D").alias("disposition_d"),
         F.when(c("_y"), "Y").alias("full_delivery_y"),
