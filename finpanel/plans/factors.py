@@ -178,7 +178,8 @@ def factor_returns(
     rows = materialize(sort_input(df, min_mcap=min_mcap), "factor-rows")
     cuts = breakpoints(rows.where(F.col("usable")), lo=lo, hi=hi)
     legs = portfolio_legs(rows, cuts, min_names=min_names, min_clean=min_clean, min_sort=min_sort)
-    legs = as_of(legs, market, "mkt_pct")
+    # One row per day from here on; stored, since every as-of lookup reads the days once more.
+    legs = as_of(materialize(legs, "legs"), market, "mkt_pct")
     if rates is None:
         legs = legs.withColumn("rf_pct", F.lit(0.0))
     else:

@@ -231,3 +231,27 @@ def test_upsert_scans_only_touched_months(spark, tmp_path):
     old = tables._touched(tables.read_table(spark, path), frame(spark, [("a", D[1], 9.0, 9.0)]), "date")
     plan = old._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(part_month" in plan and "202401" in plan
+
+
+class _Session:
+    """Just enough of a session without ``spark.checkpoint.dir``."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+        self.conf = self.sparkContext = self
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):  # noqa: N802
+        return self.folder
+
+    def setCheckpointDir(self, folder):  # noqa: N802
+        self.folder = folder
+
+
+def test_shared_folder_when_unset():
+    local = _Session("local[2]")
+    assert shared_folder(local) == shared_folder(local) == local.folder
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(_Session("spark://host:7077"))
