@@ -7,9 +7,11 @@ which lets the small per-group tables be broadcast; otherwise Spark picks those
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ from finpanel.operators.quantiles import join_groups, quantiles
 from finpanel.session import materialize
 
 
+# Tasks get these functions by value: executors need numpy and pandas, but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def unpivot(df: DataFrame, keep: Sequence[str], values: Mapping[str, Column] | Sequence[str], *, label: str = "measure") -> DataFrame:
     """Long form: ``keep`` columns, ``label`` and ``value`` (double), one row per value column."""
     items = values.items() if isinstance(values, Mapping) else [(c, F.col(c)) for c in values]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ from finpanel.plans.factors import FACTORS, characteristics, factor_columns
 
 BLOCK = 256  # windows solved at once
 
+# Tasks get these functions by value: executors need numpy and pandas, but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _windows(x: np.ndarray, window: int) -> np.ndarray:
     """All windows of consecutive rows (windows x rows x factors), gaps filled forward, then backward.
