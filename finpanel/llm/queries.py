@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from finpanel.llm import decontaminate, html_text, url_filter
+from finpanel.llm import chat, decontaminate, html_text, mixing, url_filter
 from finpanel.llm.common import table
 
 # ---- 1: main text of pages --------------------------------------------------------------------------
@@ -21,6 +22,61 @@ b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)>', ' '
 c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(h, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM c"""
 
+# ---- 2: mixing sources ------------------------------------------------------------------------------
+
+
+def op2_mixing(spark, sf):
+    return mixing.Mix(table(spark, sf, "documents")).taken()
+
+
+def mix_targets(spark, sf):
+    """The deterministic half of the mix, which SQL can express: sizes and targets of the sources."""
+    sized = table(spark, sf, "documents").select("source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.source_targets(sized).select("source", F.col("size").alias("source_size"), F.round("target", 6).alias("target"))
+
+
+MIX_TARGETS = r"""
+WITH sources AS (SELECT source, CAST(sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS BIGINT) AS size FROM documents GROUP BY source),
+w AS (SELECT source, size, 2.0 * size AS top, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sources),
+r AS (SELECT *, row_number() OVER (ORDER BY top / weight, source NULLS LAST) AS rank FROM w),
+l AS (SELECT *, ((SELECT sum(size) FROM w) * 1.5 - coalesce(sum(top) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+f AS (SELECT arg_min(level, rank) AS final FROM l WHERE top > level * weight)
+SELECT source, size AS source_size, round(CAST(least(top, coalesce(final * weight, top)) AS DOUBLE), 6) AS target FROM l, f"""
+
+# ---- 6: conversations -------------------------------------------------------------------------------
+
+ODD_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op6_chat(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], "conv_id long, turn long, role string, text string")
+    by_turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = rows.unionByName(odd).select(F.col("conv_id").alias("conv"), by_turn.cast("long").alias("node"), "role", "text")
+    rows = rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
+    out = chat.format_trees(rows)
+    turns = F.array_join(F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("conv").alias("conv_id"), F.size(chat.read_turns(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length(chat.read_loss(F.col("formatted"), F.col("loss_mask"))).cast("long").alias("loss_chars"),
+        F.sha2(chat.read_loss(F.col("formatted"), F.col("loss_mask")), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def _escaped_sql(column: str) -> str:
+    return rf"regexp_replace({column}, '([<\[])(\\*){chat.CONTROL}', '\1\\\2\3', 'g')"
+
+
+CHAT = f"""
+WITH odd(conv_id, turn, role, text) AS (VALUES (-7, 0, 'user', '{ODD_TEXT}'), (-7, 1, 'assistant', '{ODD_TEXT}')),
+rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+  (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM odd)),
+agg AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+  sum(length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {len(chat.START + chat.MIDDLE + chat.END)}) AS formatted_chars FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM agg"""
+
 # ---- 7: verdicts on urls ----------------------------------------------------------------------------
 
 URL_RULES = [
@@ -72,11 +128,16 @@ judged AS (SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_mixing": op2_mixing,
+    "mix_targets": mix_targets,
+    "op6_chat": op6_chat,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
 }
 SQL = {
     "op1_html_text": HTML_TEXT,
+    "mix_targets": MIX_TARGETS,
+    "op6_chat": CHAT,
     "op7_url_filter": URL_FILTER,
     "op8_decontaminate": f"WITH {contamination_sql()} SELECT * FROM judged",
 }
