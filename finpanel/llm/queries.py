@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from finpanel.llm import chat, decontaminate, html_text, mixing, url_filter
+from finpanel.llm import chat, decontaminate, html_text, mixing, surrogates, url_filter
 from finpanel.llm.common import table
 
 # ---- 1: main text of pages --------------------------------------------------------------------------
@@ -126,6 +126,16 @@ judged AS (SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coales
   FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id))"""
 
 
+# ---- 10: personal data ------------------------------------------------------------------------------
+
+SURROGATE_KEY = "change me for each release"
+
+
+def op10_surrogates(spark, sf):
+    """doc_id, text with surrogates, n_replaced. No SQL: surrogates are keyed digests; ``tests/llm`` checks them by a plain loop."""
+    return surrogates.replace(table(spark, sf, "documents"), key=SURROGATE_KEY, columns=["doc_id", "text"])[0]
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_mixing": op2_mixing,
@@ -133,6 +143,7 @@ QUERIES = {
     "op6_chat": op6_chat,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
+    "op10_surrogates": op10_surrogates,
 }
 SQL = {
     "op1_html_text": HTML_TEXT,
