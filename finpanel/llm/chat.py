@@ -33,7 +33,7 @@ def _same(own: str, other: str):
 
 
 def chosen_paths(messages: DataFrame, *, best: int | None = None) -> DataFrame:
-    """Rows conv, leaf, node, place, score: the nodes of each chosen path, ``place`` counted back from the leaf.
+    """Rows conv, leaf, node, place: the nodes of each chosen path, ``place`` counted back from the leaf.
 
     ``messages`` has conv, node, parent, score, one row per node. Self-joins double the distance every node looks up the tree, so
     a path of n turns takes log2(n) joins; the chosen leaves then gather their ancestors with the same tables, far jumps first.
@@ -41,34 +41,45 @@ def chosen_paths(messages: DataFrame, *, best: int | None = None) -> DataFrame:
     smaller leaf). A parent that is not there makes a root; nodes that never reach a root stand on a cycle and have no path.
     """
     nodes = messages.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = nodes.select(F.col("conv").alias("conv2"), F.col("node").alias("known"))
-    jumps = nodes.join(known, _same("parent", "known"), "left").select("conv", "node", F.col("known").alias("up"), "score")
-    jump = materialize(jumps, "chat")
-    largest = jump.groupBy("conv").count().agg(F.max("count")).first()[0] or 1
-    steps = [jump]
-    for _ in range(math.ceil(math.log2(largest)) if largest > 1 else 0):
-        far = jump.select(F.col("conv").alias("conv2"), F.col("node").alias("near"), F.col("up").alias("further"), F.col("score").alias("beyond"))
-        jump = materialize(
-            jump.join(far, _same("up", "near"), "left").select("conv", "node", F.col("further").alias("up"), (F.col("score") + F.coalesce("beyond", F.lit(0.0))).alias("score")),
-            "chat",
-        )
+    known = nodes.select(F.col("conv").alias("conv2"), F.col("node").alias("up"))
+    jump = materialize(nodes.join(known, _same("parent", "up")).select("conv", "node", "up", "score"), "chat")
+    largest = nodes.groupBy("conv").count().agg(F.max("count")).first()[0] or 1
+    steps = []  # the k-th: every node that has an ancestor 2**k above it, that ancestor, and the scores up to it
+    while not jump.isEmpty():
+        if 1 << len(steps) >= largest:
+            break  # further up than a conversation has nodes: these nodes lead to a cycle
         steps.append(jump)
-    parents = steps[0].filter("up IS NOT NULL").select(F.col("conv").alias("conv2"), F.col("up").alias("inner")).distinct()
-    ends = steps[-1].filter("up IS NULL")
-    leaves = ends.join(parents, _same("node", "inner"), "left_anti").select("conv", F.col("node").alias("leaf"), "score")
+        far = jump.select(F.col("conv").alias("conv2"), F.col("node").alias("near"), F.col("up").alias("further"), F.col("score").alias("beyond"))
+        jump = materialize(jump.join(far, _same("up", "near")).select("conv", "node", F.col("further").alias("up"), (F.col("score") + F.col("beyond")).alias("score")), "chat")
+    leaves = nodes.select("conv", F.col("node").alias("leaf"), "score")
+    if steps:
+        parents = steps[0].select(F.col("conv").alias("conv2"), F.col("up").alias("inner")).distinct()
+        leaves = leaves.join(parents, _same("leaf", "inner"), "left_anti")
+    leaves = leaves.join(jump.select(F.col("conv").alias("conv2"), F.col("node").alias("endless")), _same("leaf", "endless"), "left_anti")
     if best is not None:
-        rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("score").desc(), "leaf"))
-        leaves = leaves.withColumn("rank", rank).filter(F.col("rank") <= best).drop("rank")
-    rows = leaves.select("conv", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("place"), "score")
+        leaves = materialize(_best(leaves, steps, nodes, best), "chat")
+    rows = leaves.select("conv", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("place"))
     for k in range(len(steps) - 1, -1, -1):
-        step = steps[k].filter("up IS NOT NULL").select(F.col("conv").alias("conv2"), F.col("node").alias("from"), "up")
-        above = rows.join(step, _same("node", "from")).select("conv", "leaf", F.col("up").alias("node"), (F.col("place") + (1 << k)).alias("place"), "score")
+        step = steps[k].select(F.col("conv").alias("conv2"), F.col("node").alias("from"), "up")
+        above = rows.join(step, _same("node", "from")).select("conv", "leaf", F.col("up").alias("node"), (F.col("place") + (1 << k)).alias("place"))
         rows = rows.unionByName(above)
         if k and k % 4 == 0:
             rows = materialize(rows, "chat")
     return rows
 
 
+def _best(leaves: DataFrame, steps: list[DataFrame], nodes: DataFrame, best: int) -> DataFrame:
+    """The leaves of the ``best`` branches of each conversation: every leaf walks up to its root, far jumps first, adding scores."""
+    walk = leaves.select("conv", "leaf", F.col("leaf").alias("at"), F.lit(0.0).alias("total"))
+    for step in reversed(steps):
+        far = step.select(F.col("conv").alias("conv2"), F.col("node").alias("near"), "up", "score")
+        walk = walk.join(far, _same("at", "near"), "left").select("conv", "leaf", F.coalesce("up", "at").alias("at"), (F.col("total") + F.coalesce("score", F.lit(0.0))).alias("total"))
+    roots = nodes.select(F.col("conv").alias("conv2"), F.col("node").alias("root"), "score")
+    walk = walk.join(roots, _same("at", "root")).withColumn("total", F.col("total") + F.col("score"))
+    rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("total").desc(), "leaf"))
+    return walk.withColumn("rank", rank).filter(F.col("rank") <= best).select("conv", "leaf")
+
+
 def format_trees(messages: DataFrame, *, best: int | None = None, learn: str = "assistant") -> DataFrame:
     """One row per chosen path: conv, leaf, score, formatted, loss_mask.
 
@@ -83,7 +94,7 @@ def format_trees(messages: DataFrame, *, best: int | None = None, learn: str = "
     ).select("conv", "node", "m.*")
     each = materialize(each, "chat")
     paths = chosen_paths(each, best=best)
-    texts = each.select(F.col("conv").alias("conv2"), F.col("node").alias("of"), "role", "text")
+    texts = each.select(F.col("conv").alias("conv2"), F.col("node").alias("of"), F.coalesce("score", F.lit(0.0)).alias("score"), "role", "text")
     turns = paths.join(texts, _same("node", "of")).select(
         "conv", "leaf", "score", "place", (F.col("role") == learn).alias("learn"), escape("role").alias("role"), escape("text").alias("text")
     )
@@ -95,7 +106,7 @@ def format_trees(messages: DataFrame, *, best: int | None = None, learn: str = "
         F.coalesce(F.sum(head + F.length("text") + len(END)).over(path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
     whole = turns.groupBy("conv", "leaf").agg(
-        F.first("score").alias("score"), F.sort_array(F.collect_list(F.struct("turn", "piece", "learn", "before", "within", "n_chars"))).alias("turns")
+        F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("turn", "piece", "learn", "before", "within", "n_chars"))).alias("turns")
     )
     mask = F.transform(
         F.filter("turns", lambda t: t["learn"]),
