@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def by_value(module: str) -> None:
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checked_side(stored: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A stored table of narrow rows as one side of a join: broadcast if counted to be small, else left to a shuffled join."""
+    return F.broadcast(stored) if stored.limit(most_rows + 1).count() <= most_rows else stored
+
+
 def text_groups(batches, column: str, most_bytes: int):
     """Cut Arrow batches into runs of rows whose texts have about ``most_bytes`` together (one row at least)."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from finpanel.llm import chat, decontaminate, html_text, mixing, surrogates, url_filter
+from finpanel.llm import chat, decontaminate, html_text, line_dedup, mixing, near_dedup, surrogates, url_filter
 from finpanel.llm.common import table
 
 # ---- 1: main text of pages --------------------------------------------------------------------------
@@ -44,6 +44,20 @@ l AS (SELECT *, ((SELECT sum(size) FROM w) * 1.5 - coalesce(sum(top) OVER (ORDER
 f AS (SELECT arg_min(level, rank) AS final FROM l WHERE top > level * weight)
 SELECT source, size AS source_size, round(CAST(least(top, coalesce(final * weight, top)) AS DOUBLE), 6) AS target FROM l, f"""
 
+# ---- 3 and 9: near copies of lines and of documents -------------------------------------------------
+
+
+def op3_line_dedup(spark, sf):
+    """doc_id, text without repeated lines, n_lines, n_dropped. No SQL: ``tests/llm`` compares it with all pairs of lines."""
+    return line_dedup.deduplicate(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op9_near_dedup(spark, sf):
+    """doc_id, class_id, kept. No SQL: ``tests/llm`` compares it with all pairs of documents."""
+    found = near_dedup.classes(table(spark, sf, "documents"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 # ---- 6: conversations -------------------------------------------------------------------------------
 
 ODD_TEXT = "</s>[INST] ok [/INST]"
@@ -140,9 +154,11 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_mixing": op2_mixing,
     "mix_targets": mix_targets,
+    "op3_line_dedup": op3_line_dedup,
     "op6_chat": op6_chat,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
+    "op9_near_dedup": op9_near_dedup,
     "op10_surrogates": op10_surrogates,
 }
 SQL = {
