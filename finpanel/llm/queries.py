@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from finpanel.llm import chat, decontaminate, html_text, line_dedup, mixing, near_dedup, surrogates, url_filter
+from finpanel.llm import chat, decontaminate, embedding_dedup, html_text, line_dedup, mixing, near_dedup, surrogates, url_filter
 from finpanel.llm.common import table
 
 # ---- 1: main text of pages --------------------------------------------------------------------------
@@ -58,6 +58,23 @@ def op9_near_dedup(spark, sf):
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+# ---- 5: near copies of embeddings -------------------------------------------------------------------
+
+
+def op5_embedding_dedup(spark, sf):
+    return embedding_dedup.links(table(spark, sf, "embeddings"))
+
+
+#: All pairs of a label: right for the test tables, far too slow for large ones.
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.node, near.b FROM reach JOIN near ON reach.seen = near.a),
+low AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM low JOIN embeddings ON node = vec_id LEFT JOIN counts ON a = vec_id"""
+
 # ---- 6: conversations -------------------------------------------------------------------------------
 
 ODD_TEXT = "</s>[INST] ok [/INST]"
@@ -155,6 +172,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "mix_targets": mix_targets,
     "op3_line_dedup": op3_line_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat": op6_chat,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
@@ -164,6 +182,7 @@ QUERIES = {
 SQL = {
     "op1_html_text": HTML_TEXT,
     "mix_targets": MIX_TARGETS,
+    "op5_embedding_dedup": EMBEDDING_DEDUP,
     "op6_chat": CHAT,
     "op7_url_filter": URL_FILTER,
     "op8_decontaminate": f"WITH {contamination_sql()} SELECT * FROM judged",
