@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession, thing):
+    """Broadcast an object's plain data, which workers can read without the package; ``own`` makes it the object again."""
+    return spark.sparkContext.broadcast(vars(thing))
+
+
+def own(kind: type, handle):
+    thing = object.__new__(kind)
+    vars(thing).update(handle.value)
+    return thing
+
+
 def checked_side(stored: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """A stored table of narrow rows as one side of a join: broadcast if counted to be small, else left to a shuffled join."""
     return F.broadcast(stored) if stored.limit(most_rows + 1).count() <= most_rows else stored

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finpanel.llm.common import by_value
+from finpanel.llm.common import by_value, own, shared
 from finpanel.session import materialize
 
 by_value(__name__)
@@ -44,6 +44,7 @@ class Index:
         full = np.zeros((len(rows), window), dtype=np.uint64)
         for i, r in enumerate(rows):
             full[i, : len(r)] = r
+        full = full.reshape(-1, window)
         distinct, which = np.unique(np.column_stack([full, lengths.astype(np.uint64)]), axis=0, return_inverse=True)
         order = np.argsort(which.ravel(), kind="stable")
         self.owners = np.array(owners, dtype=object)[order]
@@ -141,31 +142,29 @@ def _longest(places, windows, index: Index) -> list[dict]:
     return out
 
 
-def scan(index: Index | None, keep_text: bool, want_matches: bool, most_words: int):
+def scan(index: Index, keep_text: bool, want_matches: bool, most_words: int):
     """Task function: one suffix array per ``most_words`` words of the task's rows (one row at least)."""
 
     def shard(rows: list[dict], parts: list[np.ndarray]) -> list[dict]:
         starts = np.cumsum([0] + [len(p) for p in parts])
         for r, p in zip(rows, parts):
             r["n_words"] = len(p) - 1
-        if index is None:
-            return rows
         places, windows = find(np.concatenate(parts), index)
         docs = np.searchsorted(starts, places, side="right") - 1
         order = np.lexsort((places, docs))
         docs, places, windows = docs[order], places[order], windows[order]
         edges = np.flatnonzero(np.diff(np.concatenate(([-1], docs, [-1]))))
         for a, b in zip(edges[:-1], edges[1:]):
-            r, own = rows[docs[a]], places[a:b] - starts[docs[a]]
-            r["spans"] = _merge([(s["from"], s["to"]) for s in r["spans"]] + list(zip(own.tolist(), (own + index.lengths[windows[a:b]]).tolist())))
+            r, within = rows[docs[a]], places[a:b] - starts[docs[a]]
+            r["spans"] = _merge([(s["from"], s["to"]) for s in r["spans"]] + list(zip(within.tolist(), (within + index.lengths[windows[a:b]]).tolist())))
             hit = {i for w in np.unique(windows[a:b]) for i in index.owners[index.first[w] : index.first[w + 1]]}
             r["items"] = sorted(hit.union(r["items"]))
             if want_matches:
-                r["matches"] = r["matches"] + _longest(own, windows[a:b], index)
+                r["matches"] = r["matches"] + _longest(within, windows[a:b], index)
         return rows
 
     def run(batches):
-        known = index.vocab.get if index else (lambda w, d: 0)
+        known = index.vocab.get
         schema = None
         rows, parts, held = [], [], 0
         for batch in batches:
@@ -218,18 +217,18 @@ def _scanned(
     parts = indexes(benchmark, item, item_text, window, most_words)
     index, passes = next(parts, None), 0
     while index is not None or not passes:
-        shared = spark.sparkContext.broadcast(index)
+        handle = shared(spark, index or Index([], window))
         index = next(parts, None)
         if passes:
             state = materialize(state, "decontaminate")
-        state = _pass(state, shared, keep_text or index is not None, want_matches, shard_words)
+        state = _pass(state, handle, keep_text or index is not None, want_matches, shard_words)
         passes += 1
     return state
 
 
-def _pass(state: DataFrame, shared, keep_text: bool, want_matches: bool, shard_words: int) -> DataFrame:
+def _pass(state: DataFrame, handle, keep_text: bool, want_matches: bool, shard_words: int) -> DataFrame:
     def run(batches):
-        yield from scan(shared.value, keep_text, want_matches, shard_words)(batches)
+        yield from scan(own(Index, handle), keep_text, want_matches, shard_words)(batches)
 
     return state.mapInArrow(run, state.schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from finpanel.llm import chat, decontaminate, embedding_dedup, html_text, line_dedup, mixing, near_dedup, surrogates, url_filter
+from finpanel.llm import chat, decontaminate, embedding_dedup, html_text, line_dedup, mixing, near_dedup, quality, surrogates, url_filter
 from finpanel.llm.common import table
 
 # ---- 1: main text of pages --------------------------------------------------------------------------
@@ -58,6 +58,21 @@ def op9_near_dedup(spark, sf):
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+# ---- 4: quality -------------------------------------------------------------------------------------
+
+
+def quality_model(documents, labels):
+    """A machine that has seen no label of a held-out document."""
+    return quality.learn(documents, labels.filter(~quality.held_out(F.col("doc_id"))))
+
+
+def op4_quality(spark, sf):
+    """doc_id, held_out, score, predicted. No SQL: a trained model; ``tests/llm`` checks its arithmetic and held-out accuracy."""
+    documents = table(spark, sf, "documents")
+    scored = quality.score(documents, quality_model(documents, table(spark, sf, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # ---- 5: near copies of embeddings -------------------------------------------------------------------
 
 
@@ -68,7 +83,7 @@ def op5_embedding_dedup(spark, sf):
 #: All pairs of a label: right for the test tables, far too slow for large ones.
 EMBEDDING_DEDUP = """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
 near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
 reach(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.node, near.b FROM reach JOIN near ON reach.seen = near.a),
 low AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
@@ -172,6 +187,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "mix_targets": mix_targets,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality": op4_quality,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_chat": op6_chat,
     "op7_url_filter": op7_url_filter,
