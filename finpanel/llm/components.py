@@ -34,12 +34,13 @@ class Sets:
 
 
 def _forest(batches):
-    """Links of one task as child, root of its own union-find: at most one per node."""
+    """Links of one task as node, root of its own union-find: one row for every node, roots included."""
     sets, schema = Sets(), None
     for batch in batches:
         schema = batch.schema
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             sets.join(a, b)
+            sets.up.setdefault(sets.root(a), sets.root(a))
     if schema is None:
         return
     nodes = list(sets.up)
@@ -48,34 +49,36 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([sets.root(n) for n in part], pa.int64())], schema=schema)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, *, most_links: int = 200_000, stored: bool = False) -> DataFrame:
     """node, component (its smallest node) for every node of ``links`` (long columns a, b; order and repeats don't matter).
 
-    Each task first shrinks its links to a forest, which bounds what follows by nodes and tasks whatever the number of links.
-    Then stars alternate: every node hands its larger neighbours, then its smaller ones, to its smallest neighbour, until each
-    node hangs on the smallest of its component. A hub's neighbours are spread by adaptive skew joins. Rounds write to the
-    shared folder. A link of a node with itself makes a component of one; no links give no rows.
+    Tasks of at most about ``most_links`` links each shrink theirs to a forest, node to root. Across tasks a node hangs on the smallest of
+    its roots, and the roots that it thereby joins are links for the next round, whose nodes are at most half as many, until one task's
+    share holds all that is left. The rounds' answers are then put together backwards. A node has at most one row per task, so a
+    hub is no hot key. Rounds write to the shared folder. A link of a node with itself makes a component of one; no links, no rows. Links that are
+    read from stored tables anyway (``stored``) are not written again. The result is stored.
     """
-    pairs = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    alone = pairs.filter("a = b").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    edges = materialize(pairs.filter("a <> b").mapInArrow(_forest, "a long, b long"), "components")  # a > b from here on
-    selves = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    state = edges
+    edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    if not stored:
+        edges = materialize(edges, "components")
+    layers = []
     while True:
-        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least")).withColumn("least", F.least("of", "least"))
-        large = both.join(least, F.col("a") == F.col("of")).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        lows = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("least"))
-        small = large.join(lows, F.col("a") == F.col("of"))
-        small = small.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(lows.select(F.col("of").alias("a"), F.col("least").alias("b")))
-        following = materialize(small.distinct(), "components")
-        inner = following.select(F.col("b").alias("inner")).distinct()
-        open_ = following.join(inner, F.col("a") == F.col("inner"), "left_semi").isEmpty() and following.groupBy("a").count().filter("count > 1").isEmpty()
-        state = following
-        if open_:
+        tasks = -(-edges.count() // most_links)
+        dealt = edges.coalesce(1) if tasks <= 1 else edges.repartition(tasks)
+        forest = dealt.mapInArrow(_forest, "a long, b long")
+        if tasks <= 1:
+            layers.append(materialize(forest.toDF("node", "up"), "components"))
             break
-    found = state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(selves).unionByName(alone)
-    return found.groupBy("node").agg(F.min("component").alias("component"))
+        forest = materialize(forest, "components")  # with every root hanging on itself
+        ups = materialize(forest.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "components")
+        layers.append(ups)
+        edges = materialize(forest.join(ups, F.col("a") == F.col("node")).filter("b <> up").select(F.col("b").alias("a"), F.col("up").alias("b")).distinct(), "components")
+    found = layers.pop().withColumnRenamed("up", "component")
+    deep = len(layers) > 0
+    while layers:
+        above = found.select(F.col("node").alias("of"), "component")
+        found = layers.pop().join(above, F.col("up") == F.col("of"), "left").select("node", F.coalesce("component", "up").alias("component"))
+    return materialize(found, "components") if deep else found
 
 
 def small_components(linked: np.ndarray) -> np.ndarray:

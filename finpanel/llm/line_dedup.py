@@ -7,12 +7,11 @@ smallest hash; empty bins of short lines borrow from others by a fixed order of
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finpanel.llm.common import _powers, by_value, checked_side, mix, text_groups
+from finpanel.llm.common import _powers, by_value, checked_side, mix, span_hashes, text_groups
 from finpanel.llm.linking import link_components, shared_buckets
 from finpanel.session import materialize
 
@@ -68,30 +67,21 @@ def _sign(size: int, bands: int, rows: int, most_bytes: int):
     return run
 
 
-def jaccard(one: set, two: set) -> float:
-    shared = len(one & two)
-    return shared / (len(one) + len(two) - shared)
+def items_of(line: str, size: int) -> np.ndarray:
+    """Hashes of the line's shingles, sorted, each once."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size = min(size, len(codes))
+    starts = np.arange(len(codes) - size + 1)
+    return np.unique(span_hashes(codes, starts, starts + size).view(np.int64))
 
 
-def shingles(line: str, size: int) -> set[str]:
-    return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
-
-
-def _similar(size: int, least: float):
-    @F.pandas_udf("boolean")
-    def similar(one: pd.Series, two: pd.Series) -> pd.Series:
-        held: dict[str, set] = {}
-
-        def of(line):
-            if line not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[line] = shingles(line, size)
-            return held[line]
-
-        return pd.Series([jaccard(of(a), of(b)) >= least for a, b in zip(one, two)], dtype=bool)
+def _itemised(size: int):
+    def run(batches):
+        for batch in batches:
+            lists = pa.array([items_of(t, size) for t in batch.column("line").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "items"])
 
-    return similar
+    return run
 
 
 def _text_id(text):
@@ -123,14 +113,9 @@ def repeated_lines(
     signed = materialize(lines.mapInArrow(_sign(size, bands, rows, most_bytes), fields), "signed")
     shared = shared_buckets(signed.select(F.col("d1").alias("node"), F.explode("bands").alias("bucket")))
     near = materialize(shared.select(F.col("node").alias("near")).distinct(), "wanted")
-    texts = materialize(lines.join(checked_side(near), F.col("d1") == F.col("near")).groupBy(F.col("d1").alias("node")).agg(F.first("line").alias("line")), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one, two = (texts.select(F.col("node").alias(f"n{i}"), F.col("line").alias(f"t{i}")) for i in "12")
-        both = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
-        return both.filter(_similar(size, least)("t1", "t2")).select("a", "b")
-
-    groups = checked_side(materialize(link_components(shared, verify).withColumnRenamed("node", "of"), "groups"))
+    texts = lines.join(checked_side(near), F.col("d1") == F.col("near")).groupBy(F.col("d1").alias("node")).agg(F.first("line").alias("line"))
+    items = materialize(texts.mapInArrow(_itemised(size), "node long, items array<long>"), "items")
+    groups = checked_side(materialize(link_components(shared, items, least=least).withColumnRenamed("node", "of"), "groups"))
     own = F.coalesce("component", "d1").alias("g1"), F.when(F.col("component").isNull(), F.col("d2")).otherwise(0).alias("g2")
     placed = signed.join(groups, F.col("d1") == F.col("of"), "left").select("key", "t", "place", *own)
     first = placed.groupBy("g1", "g2").agg(F.min(F.struct("key", "place", "t")).alias("first"), F.count("*").alias("n")).filter("n > 1")

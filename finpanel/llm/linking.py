@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finpanel.llm.common import checked_side
+from finpanel.llm.common import by_value, checked_side
 from finpanel.llm.components import components
 from finpanel.session import materialize
 
+by_value(__name__)
+
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """node, bucket of the buckets with two nodes or more, each row once; stored.
@@ -23,49 +25,107 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return materialize(rows.join(shared, F.col("bucket") == F.col("shared"), "left_semi").distinct(), "buckets")
 
 
-def link_components(state: DataFrame, verify: Callable[[DataFrame], DataFrame], *, pivots: int = 3) -> DataFrame:
-    """node, component of all nodes that ``verify`` links, directly or not, with another one of a common bucket.
+def jaccard(one: np.ndarray, two: np.ndarray) -> float:
+    """Jaccard similarity of two sets given as sorted arrays; 0 for two empty ones."""
+    if len(one) > len(two):
+        one, two = two, one
+    if not len(one):
+        return 0.0
+    at = np.searchsorted(two, one)
+    at[at == len(two)] = 0
+    shared = int((two[at] == one).sum())
+    return shared / (len(one) + len(two) - shared)
+
+
+def _similarity(one: pd.Series, two: pd.Series) -> pd.Series:
+    return pd.Series([jaccard(a, b) for a, b in zip(one, two)], dtype="float64")
 
-    ``state``: node, bucket (longs), as ``shared_buckets`` gives them. ``verify`` gets distinct pairs a < b and returns those that are linked.
+
+def similarities(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """a, b, sim for pairs a, b; ``items``: node, items (sorted distinct longs). A frequent node is spread by adaptive skew joins."""
+    one, two = (items.select(F.col("node").alias(f"n{i}"), F.col("items").alias(f"i{i}")) for i in "12")
+    both = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
+    return both.select("a", "b", F.pandas_udf(_similarity, "double")("i1", "i2").alias("sim"))
+
+
+def _left_over(least: float):
+    """Group function: links of a bucket's two blocks between nodes that are not connected.
+
+    A pair that shares several open buckets is compared in one of them, chosen by the pair.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        bucket, apart = rows["bucket"].iloc[0], rows["low"].iloc[0] != rows["high"].iloc[0]
+        nodes, component, block, size = (rows[c].to_numpy() for c in ("node", "component", "block", "size"))
+        may = (component[:, None] != component[None, :]) & (nodes[:, None] < nodes[None, :])
+        if apart:
+            may &= block[:, None] != block[None, :]
+        may &= np.minimum(size[:, None], size[None, :]) >= least * np.maximum(size[:, None], size[None, :])
+        far = np.array([[np.nan if x is None else x for x in d] for d in rows["known"]], dtype=np.float64)
+        for d in far.T:
+            with np.errstate(invalid="ignore"):
+                may &= ~(np.abs(d[:, None] - d[None, :]) > 1 - least + 1e-9)
+        buckets = np.unique(np.concatenate(rows["open"].to_list()))
+        marks = np.zeros((len(nodes), len(buckets)), dtype=np.float32)
+        for i, own in enumerate(rows["open"]):
+            marks[i, np.searchsorted(buckets, own)] = 1
+        before = marks[:, : np.searchsorted(buckets, bucket)]
+        short = nodes % 1_000_003
+        may &= (before @ before.T) == (short[:, None] + short[None, :]) % np.maximum(marks @ marks.T, 1)
+        items = rows["items"].to_list()
+        found = [(nodes[i], nodes[j]) for i, j in zip(*np.nonzero(may)) if jaccard(items[i], items[j]) >= least]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def link_components(state: DataFrame, items: DataFrame, *, least: float = 0.8, pivots: int = 2, block: int = 256, block_items: int = 2_000_000) -> DataFrame:
+    """node, component of all nodes that are linked, directly or not, with another one of a common bucket.
+
+    ``state``: node, bucket (longs), as ``shared_buckets`` gives them. ``items``: node, items (sorted distinct longs). Two nodes are linked
+    if the Jaccard similarity of their items is ``least`` or more.
 
     In every round each bucket compares one member, the pivot, with its other members, and drops the pivot: all pairs of the
     pivot are then settled. The member that shares the most buckets with others is the pivot, as the text that a group of copies was
     made from agrees with most of them. Members that are connected already need no comparison, so a large group of copies is
-    done after a round or two, in as many comparisons as it has members. What ``pivots`` rounds leave, unlinked members of buckets whose
-    signature is no proof, is compared pair by pair, save pairs that are connected or have been compared. No link is lost.
+    done after a round or two, in as many comparisons as it has members. What ``pivots`` rounds leave are unlinked members of buckets
+    whose signature is no proof. They are compared with all members that they aren't connected with, bucket by bucket in pairs of
+    blocks of bounded rows and items, each pair in one bucket only. Jaccard distance is a metric, so a pair whose distances to a
+    common pivot differ by more than a link allows needs no comparison. No link is lost.
     """
     sizes = state.groupBy("bucket").agg(F.count("*").alias("n"))
     degree = state.join(sizes.withColumnRenamed("bucket", "of"), F.col("bucket") == F.col("of")).groupBy(F.col("node").alias("of")).agg(F.sum("n").alias("degree"))
-    state = materialize(state.join(degree, F.col("node") == F.col("of")).select("node", "bucket", "degree", F.col("node").alias("component")), "buckets")
-    links = tested = None
-    for turn in range(pivots + 1):
+    known = F.expr("CAST(array() AS array<double>)").alias("known")
+    state = materialize(state.join(degree, F.col("node") == F.col("of")).select("node", "bucket", "degree", F.col("node").alias("component"), known), "buckets")
+    groups = None
+    for _ in range(pivots):
         if state.isEmpty():
             break
-        if turn < pivots:
-            top = F.max(F.struct("degree", (-F.col("node")).alias("neg"), "component"))
-            best = state.groupBy(F.col("bucket").alias("at")).agg(top.alias("top")).select("at", (-F.col("top.neg")).alias("pivot"), F.col("top.component").alias("theirs"))
-            met = state.join(best, F.col("bucket") == F.col("at")).filter("node <> pivot")
-            pairs = met.filter("component <> theirs").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            state = met.select("node", "bucket", "degree")
-        else:
-            other = state.select(F.col("bucket").alias("at"), F.col("node").alias("b"), F.col("component").alias("theirs"))
-            pairs = state.join(other, (F.col("bucket") == F.col("at")) & (F.col("node") < F.col("b")) & (F.col("component") != F.col("theirs"))).select(F.col("node").alias("a"), "b")
-            state = None
-        pairs = pairs.distinct()
-        if tested is not None:
-            known = tested.select(F.col("a").alias("ka"), F.col("b").alias("kb"))
-            pairs = pairs.join(known, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(verify(pairs).select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if state is None:
-            break
-        groups = materialize(components(links), "components")
-        labelled = state.join(groups.withColumnRenamed("node", "of").withColumnRenamed("component", "c"), F.col("node") == F.col("of"), "left")
-        labelled = labelled.select("node", "bucket", "degree", F.coalesce("c", "node").alias("component"))
-        open_ = labelled.groupBy(F.col("bucket").alias("at")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        state = materialize(labelled.join(open_, F.col("bucket") == F.col("at"), "left_semi"), "buckets")
-    if links is None:
-        return state.select("node", F.col("node").alias("component"))
-    return components(links)
+        top = F.max(F.struct("degree", (-F.col("node")).alias("neg"), "component"))
+        best = state.groupBy(F.col("bucket").alias("at")).agg(top.alias("top")).select("at", (-F.col("top.neg")).alias("pivot"), F.col("top.component").alias("theirs"))
+        met = materialize(state.join(best, F.col("bucket") == F.col("at")).filter("node <> pivot").drop("at"), "buckets")
+        pairs = met.filter("component <> theirs").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        sims = materialize(similarities(pairs, items), "pairs")
+        links = sims.filter(F.col("sim") >= least).select("a", "b")
+        if groups is not None:
+            links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        groups = components(links, stored=True)
+        named = checked_side(groups.withColumnRenamed("node", "of").withColumnRenamed("component", "c"))
+        near = met.join(checked_side(sims), (F.col("node") == F.col("a")) & (F.col("pivot") == F.col("b")), "left").join(named, F.col("node") == F.col("of"), "left")
+        near = near.select("node", "bucket", "degree", F.coalesce("c", "node").alias("component"), F.concat("known", F.array(1 - F.col("sim"))).alias("known"))
+        open_ = near.groupBy(F.col("bucket").alias("at")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("at")
+        state = materialize(near.join(checked_side(materialize(open_, "buckets")), F.col("bucket") == F.col("at"), "left_semi"), "buckets")
+    if groups is None:
+        return state.select("node", "component")
+    if not state.isEmpty():
+        sized = state.join(items.select(F.col("node").alias("of"), F.size("items").alias("size"), "items"), F.col("node") == F.col("of")).drop("of")
+        blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_items)).cast("int")
+        lengths = items.select(F.col("node").alias("of"), F.size("items").alias("size"))
+        held = state.join(lengths, F.col("node") == F.col("of")).groupBy(F.col("bucket").alias("at")).agg(blocks.alias("blocks"))
+        all_ = state.groupBy(F.col("node").alias("of")).agg(F.collect_set("bucket").alias("open"))
+        rows = sized.join(checked_side(materialize(held, "blocks")), F.col("bucket") == F.col("at")).join(all_, F.col("node") == F.col("of"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("node", "bucket", "component", "known", "open", "size", "items", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        links = rows.groupBy("bucket", "low", "high").applyInPandas(_left_over(least), "a long, b long")
+        groups = components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return groups

@@ -9,7 +9,6 @@ similarity. Points are drawn in order of time and a process stops at the latest
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,12 +69,20 @@ def bag_of(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(word_hashes(text.encode("utf-8", "surrogatepass")), size), return_counts=True)
 
 
-def overlap(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets: sum of minima over sum of maxima."""
-    _, a, b = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(one[1][a], two[1][b]).sum()
-    whole = one[1].sum() + two[1].sum() - shared
-    return float(shared) / float(whole) if whole else 0.0
+def items_of(text: str, size: int) -> np.ndarray:
+    """The multiset as a sorted set, the n-th occurrence of a shingle an item of its own: Jaccard similarity of such sets is the weighted one."""
+    bag, counts = bag_of(text, size)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort(mix(np.repeat(bag, counts) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+
+
+def _itemised(size: int):
+    def run(batches):
+        for batch in batches:
+            lists = pa.array([items_of(t, size) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "items"])
+
+    return run
 
 
 def _sign(size: int, bands: int, rows: int, most_bytes: int):
@@ -101,23 +108,6 @@ def _digests(text):
     return F.xxhash64(F.lit(1), text).alias("d1"), F.xxhash64(F.lit(2), text).alias("d2")
 
 
-def _similar(size: int, least: float):
-    @F.pandas_udf("boolean")
-    def similar(one: pd.Series, two: pd.Series) -> pd.Series:
-        bags: dict[str, tuple] = {}
-
-        def bag(text):
-            if text not in bags:
-                if len(bags) > 64:
-                    bags.clear()
-                bags[text] = bag_of(text, size)
-            return bags[text]
-
-        return pd.Series([overlap(bag(a), bag(b)) >= least for a, b in zip(one, two)], dtype=bool)
-
-    return similar
-
-
 def classes(
     documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, bands: int = 20, rows: int = 6, most_bytes: int = 4_000_000,
 ) -> DataFrame:
@@ -140,14 +130,8 @@ def classes(
     near = shared.select(F.col("node").alias("near")).distinct()
     wanted = materialize(nodes.join(near, F.col("node") == F.col("near"), "left_semi").select("node", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "wanted")
     texts = source.join(checked_side(wanted), (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2"))).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one, two = (texts.select(F.col("node").alias(f"n{i}"), F.col("text").alias(f"t{i}")) for i in "12")
-        both = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
-        return both.filter(_similar(size, least)("t1", "t2")).select("a", "b")
-
-    groups = link_components(shared, verify)
+    items = materialize(texts.mapInArrow(_itemised(size), "node long, items array<long>"), "items")
+    groups = link_components(shared, items, least=least)
     named = nodes.select("node", F.col("d1").alias("w1"), F.col("d2").alias("w2"), "least_key").join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy(F.col("component").alias("c")).agg(F.min("least_key").alias("class_id"))
