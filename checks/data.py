@@ -168,6 +168,20 @@ def upserted(spark, sf):
     return tables.load_table(spark, path)
 
 
+PANEL_TABLE = "stock_code string, date date, amp_pct double, volume double, note string"
+
+
+def upserted_columns(spark, sf):
+    """Batches with more and with fewer columns over the same months, under a declared schema: no column is lost."""
+    p, path = materialize(_panel_part(spark, sf), "panel"), scratch_path(spark, "table-columns")
+    tables.upsert(spark, path, p.where("date < '1998-01-01'"), KEYS, day="date", schema=PANEL_TABLE)
+    middle = p.where("date >= '1997-07-01' AND date < '1999-01-01'").select("stock_code", "date", F.lit("new").alias("note"))
+    tables.upsert(spark, path, middle, KEYS, day="date", schema=PANEL_TABLE)
+    last = p.where("date >= '1998-07-01'").select("stock_code", "date", (F.col("volume") + 1).alias("volume"))
+    tables.upsert(spark, path, last, KEYS, day="date", schema=PANEL_TABLE)
+    return tables.load_table(spark, path, PANEL_TABLE)
+
+
 def inserted_new(spark, sf):
     """Insert-if-absent: keys in both keep the stored values."""
     p, path = materialize(_panel_part(spark, sf), "panel"), scratch_path(spark, "table-insert")
@@ -196,10 +210,10 @@ def load_report(spark, sf):
 
 
 def incremental_twice(spark, sf):
-    """Last days reloaded twice over an older table; the second run changes nothing."""
+    """Last days reloaded twice over a table of all days; the second run changes nothing."""
     p, path = materialize(_panel_part(spark, sf), "panel"), scratch_path(spark, "table-incr")
-    tables.upsert(spark, path, p.where("date < '2000-01-01'"), KEYS, day="date")
-    batch = p.where("date < '2000-01-03'").withColumn("volume", F.col("volume") + 1)
+    tables.upsert(spark, path, p, KEYS, day="date")
+    batch = p.withColumn("volume", F.col("volume") + 1)
     for _ in range(2):
         tables.incremental_load(spark, path, batch, KEYS, lookback_days=7)
     return tables.load_table(spark, path)
@@ -252,6 +266,21 @@ def fx_files(spark, sf):
     return good
 
 
+def fx_mixed_headers(spark, sf):
+    """Quotes in two files with their own column orders; keys in both take the later file's close, blank keys go to the rejects."""
+    folder, q = scratch_path(spark, "fx-mixed"), v.fx(spark, sf)
+    day, close = F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("close").cast("string").alias("close")
+    rest = [F.lit("1").alias(n) for n in ("open", "high", "low")] + [F.lit("0%").alias("change%")]
+    blank = F.when(F.dayofyear("date") % 17 == 0, " ").otherwise(F.col("currency")).alias("currency")
+    q.select(F.col("currency"), day, close, *rest).coalesce(1).write.options(header=True).csv(f"{folder}/a")
+    q.select(day, *rest, (F.col("close") + 1).cast("string").alias("close"), blank).coalesce(1).write.options(header=True).csv(f"{folder}/b")
+    raw = vendor.read_bom_csv(spark, [f"{folder}/a", f"{folder}/b"], required=list(schemas.FX_COLUMNS))
+    own = F.when(F.col("_src").isin([r[0] for r in vendor.read_bom_csv(spark, f"{folder}/b", required=list(schemas.FX_COLUMNS)).select("_src").distinct().collect()]), "b").otherwise("a")
+    good, bad = loads.fx_table(raw.withColumn("_src", own))
+    rows = good.select("currency", "date", "close", F.lit(None).cast("string").alias("reason"))
+    return rows.unionByName(bad.select(F.lit(None).cast("string").alias("currency"), "date", "close", F.col("reject_reason").alias("reason")))
+
+
 def csv_export(spark, sf):
     """Momentum-free panel part exported as CSV in (date, code) order and read back."""
     path = scratch_path(spark, "csv")
@@ -389,12 +418,14 @@ QUERIES = {
     "inserted_new": inserted_new,
     "snapshot_restored": snapshot_restored,
     "load_report": load_report,
+    "upserted_columns": upserted_columns,
     "incremental_twice": incremental_twice,
     "streamed": streamed,
     "row_counts": row_counts,
     "legacy_names": legacy_names,
     "vendor_files": vendor_files,
     "fx_files": fx_files,
+    "fx_mixed_headers": fx_mixed_headers,
     "csv_export": csv_export,
     "json_export": json_export,
     "cached_panel": cached_panel,
@@ -451,14 +482,19 @@ SQL = {
     "inserted_new": f"{_MERGED} SELECT stock_code, date, amp_pct, CASE WHEN date >= DATE '1998-01-01' THEN volume + 1 ELSE volume END AS volume FROM p",
     "snapshot_restored": f"{_MERGED} SELECT * FROM p WHERE date < DATE '1998-01-01'",
     "load_report": f"{_MERGED} SELECT count(*) AS total, count(*) FILTER (date >= DATE '1998-01-01') AS added, min(date) AS min_date, max(date) AS max_date FROM p",
-    "incremental_twice": f"""{_MERGED}, e AS (SELECT max(date) AS last FROM p WHERE date < DATE '2000-01-03') SELECT stock_code, date, amp_pct,
-        CASE WHEN date >= last - 7 THEN volume + 1 ELSE volume END AS volume FROM p, e WHERE date < DATE '2000-01-03'""",
+    "incremental_twice": f"""{_MERGED}, e AS (SELECT max(date) AS last FROM p) SELECT stock_code, date, amp_pct,
+        CASE WHEN date >= last - 7 THEN volume + 1 ELSE volume END AS volume FROM p, e""",
     "streamed": f"{_MERGED} SELECT stock_code, date, amp_pct, CASE WHEN date >= DATE '1997-07-01' THEN volume + 1 ELSE volume END AS volume FROM p",
     "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("orders", "lineitem", "events", "supplier")),
     "legacy_names": f"{_MERGED} SELECT stock_code, date, volume FROM p",
     "vendor_files": f"""WITH {v.PANEL} SELECT stock_code, '名稱' AS name, date, amp_pct, CASE WHEN date < DATE '1998-01-01' THEN return_pct + 0.0 END AS return_pct,
         CASE WHEN date >= DATE '1998-01-01' THEN volume END AS volume FROM panel""",
     "fx_files": f"WITH {v.FX} SELECT currency, date, close, 1000.5::DOUBLE AS open, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS DOUBLE) AS low, 0.03::DOUBLE AS change_pct FROM fx",
+    "upserted_columns": f"""{_MERGED} SELECT stock_code, date, CASE WHEN date < DATE '1998-01-01' THEN amp_pct END AS amp_pct,
+        CASE WHEN date >= DATE '1998-07-01' THEN volume + 1 WHEN date < DATE '1998-01-01' THEN volume END AS volume,
+        CASE WHEN date >= DATE '1997-07-01' AND date < DATE '1999-01-01' THEN 'new' END AS note FROM p""",
+    "fx_mixed_headers": f"""WITH {v.FX} SELECT currency, date, CASE WHEN dayofyear(date) % 17 = 0 THEN close ELSE close + 1 END AS close, CAST(NULL AS VARCHAR) AS reason FROM fx
+        UNION ALL SELECT NULL, date, close + 1, 'key' FROM fx WHERE dayofyear(date) % 17 = 0""",
     "csv_export": f"{_MERGED} SELECT * FROM p",
     "json_export": f"{BREADTH} SELECT strftime(date, '%Y-%m-%d') AS date, {_r6sql('amp_big_pct', 'mkt_hi90', 'mkt_lo10')} FROM breadth",
     "cached_panel": f"WITH {v.PANEL} SELECT * FROM panel",

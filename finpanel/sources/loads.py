@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from finpanel import schemas
 from finpanel.functions import cleaning as c
 from finpanel.operators.keys import dedupe_latest, split_rejects
+from finpanel.session import materialize
 from finpanel.sources.tables import PART, insert_new, load_report, load_table, read_table, snapshot, upsert
 from finpanel.sources.vendor import overflow_map, rename_map
 
@@ -78,7 +79,8 @@ def deposit_rates(raw: DataFrame) -> DataFrame:
 
 
 def fx_table(raw: DataFrame) -> Parts:
-    named = rename_map(raw, schemas.FX_COLUMNS)
+    """Currency quotes: key (currency, date); of equal keys the later file counts, blank keys are rejected."""
+    named = _with_source(raw, schemas.FX_COLUMNS)
     rows = named.withColumns(
         {
             "currency": c.currency_code(F.col("currency")),
@@ -87,11 +89,11 @@ def fx_table(raw: DataFrame) -> Parts:
             **{n: c.clean_number(F.col(n)) for n in ("close", "open", "high", "low")},
         }
     )
-    return split_rejects(rows, {"date": F.col("date").isNull()})
+    return _latest(split_rejects(rows, {"key": F.col("currency").isNull(), "date": F.col("date").isNull()}), ["currency", "date"])
 
 
 def index_history_table(raw: DataFrame) -> Parts:
-    named = rename_map(raw, schemas.INDEX_HISTORY_COLUMNS)
+    named = _with_source(raw, schemas.INDEX_HISTORY_COLUMNS)
     number = partial(c.clean_number, drop="[,+]")
     rows = named.withColumns(
         {
@@ -101,11 +103,11 @@ def index_history_table(raw: DataFrame) -> Parts:
             **{n: number(F.col(n)).try_cast(t) for n, t in schemas.INDEX_HISTORY_TYPES.items()},
         }
     )
-    return split_rejects(rows, {"key": F.col("index_code").isNull(), "date": F.col("trade_date").isNull()})
+    return _latest(split_rejects(rows, {"key": F.col("index_code").isNull(), "date": F.col("trade_date").isNull()}), ["index_code", "trade_date"])
 
 
 def revenue_table(raw: DataFrame) -> Parts:
-    named = rename_map(raw, schemas.REVENUE_COLUMNS)
+    named = _with_source(raw, schemas.REVENUE_COLUMNS)
     rows = named.withColumns(
         {
             "security_code": c.text_or_null(F.col("security_code")),
@@ -119,7 +121,7 @@ def revenue_table(raw: DataFrame) -> Parts:
         "date": F.col("month").isNull(),
         "revenue": F.col("revenue_ntd_thousand").isNull(),
     }
-    return split_rejects(rows, rules)
+    return _latest(split_rejects(rows, rules), ["security_code", "month"])
 
 
 def security_master(rows: DataFrame) -> DataFrame:
@@ -138,13 +140,17 @@ def research_panel(prices: DataFrame) -> DataFrame:
     return prices.select(c.code_of(key).alias("stock_code"), c.name_of(key).alias("name"), "date", *names)
 
 
-def load_into(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], *, day: str, backup: str | None = None, master: str | None = None, stamp: str | None = None) -> DataFrame:
-    """Whole load of one table: snapshot, upsert, new securities, report (total, added, first and last day)."""
+def load_into(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], *, day: str, backup: str | None = None, master: str | None = None, stamp: str | None = None, schema: str | None = None) -> DataFrame:
+    """Whole load of one table: snapshot, upsert, new securities, report (total, added, first and last day).
+
+    The rows are stored once, so that the sources are parsed once. Of equal keys the one from the later file (``_src``) counts.
+    """
+    rows = materialize(rows, "load")
     stored = read_table(spark, path)
     before = 0 if stored is None else stored.count()
     if backup:
         snapshot(spark, path, backup)
-    upsert(spark, path, rows, keys, day=day, stamp=stamp)
+    upsert(spark, path, rows, keys, day=day, stamp=stamp, schema=schema, recency=["_src"] if "_src" in rows.columns else ())
     if master:
         insert_new(spark, master, security_master(rows), ["security_code"])
     return load_report(load_table(spark, path), day, before=before)

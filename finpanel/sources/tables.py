@@ -3,6 +3,9 @@
 A table with a day column is partitioned by month, so a load rewrites only the months it touches. The
 merged rows are written to the shared folder first and replace the old partitions from there; a load that
 is repeated, whole or in part, ends in the same table.
+
+A table may be given a declared schema (DDL): it is then read by it and batches are brought to it; a column that the schema
+lacks is an error, one that a batch lacks keeps what is stored. Without one the table has all columns that any load brought.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from finpanel.operators.keys import dedupe_latest
 from finpanel.session import materialize
@@ -21,9 +25,12 @@ PART = "part_month"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table without its partition column, or None when it does not exist yet."""
+    """The table with its partition column, or None when it does not exist yet.
+
+    Months may have been written by batches with different columns, so the files' schemas are merged.
+    """
     try:
-        df = spark.read.parquet(path)
+        df = spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as err:
         if err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -35,11 +42,22 @@ def _visible(df: DataFrame) -> DataFrame:
     return df.drop(PART)
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
+def load_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     df = read_table(spark, path)
     if df is None:
         raise ValueError(f"no table at {path}")
-    return _visible(df)
+    return _visible(df) if schema is None else conform(_visible(df), schema, complete=True)
+
+
+def conform(df: DataFrame, schema: str, *, complete: bool = False) -> DataFrame:
+    """The columns of ``df`` in the declared order and types; unknown ones raise, ``complete`` adds missing ones as nulls."""
+    declared = StructType.fromDDL(schema)
+    unknown = sorted(set(df.columns) - set(declared.names))
+    if unknown:
+        raise ValueError(f"columns that the table does not declare: {unknown}")
+    return df.select(*[
+        (F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared if complete or f.name in df.columns
+    ])
 
 
 def _month(day: str) -> Column:
@@ -70,19 +88,22 @@ def _touched(target: DataFrame, batch: DataFrame, day: str | None) -> DataFrame:
     return target.where(F.col(PART).isin(months))
 
 
-def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], *, day: str | None = None, recency: Sequence[str] = (), stamp: str | None = None) -> None:
+def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], *, day: str | None = None, recency: Sequence[str] = (), stamp: str | None = None, schema: str | None = None) -> None:
     """Insert the batch, replacing rows with the same key.
 
-    Equal keys within the batch are reduced to the last by ``recency``. Columns the batch does not have
-    keep their stored values. ``day`` must be one of the keys; ``stamp`` names a column set to now.
+    Equal keys within the batch are reduced to the last by ``recency``; recency columns that start with ``_`` are not stored.
+    Columns the batch does not have keep their stored values, new columns are null in rows that are stored already.
+    ``day`` must be one of the keys; ``stamp`` names a column set to now. For ``schema`` see the module.
     """
     keys = list(keys)
-    batch = dedupe_latest(batch, keys, recency or keys)
+    batch = dedupe_latest(batch, keys, recency or keys).drop(*[c for c in recency if c.startswith("_")])
     if stamp:
         batch = batch.withColumn(stamp, F.current_timestamp())
+    if schema is not None:
+        batch = conform(batch, schema)
     stored = read_table(spark, path)
     if stored is None:
-        write_table(batch, path, day=day)
+        write_table(batch if schema is None else conform(batch, schema, complete=True), path, day=day)
         return
     batch = materialize(batch, "upsert-batch")
     old = _visible(_touched(stored, batch, day))
@@ -91,12 +112,16 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str]
     if missing:
         fresh = batch.join(old.select(*keys, *missing), keys, "left")
     merged = old.join(batch.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    if schema is not None:
+        merged = conform(merged, schema, complete=True)
     write_table(materialize(merged, "upsert"), path, day=day)
 
 
-def insert_new(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], *, day: str | None = None) -> None:
+def insert_new(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], *, day: str | None = None, schema: str | None = None) -> None:
     """Append the batch rows whose key is not stored yet; stored rows stay as they are."""
     keys = list(keys)
+    if schema is not None:
+        batch = conform(batch, schema, complete=True)
     batch = materialize(dedupe_latest(batch, keys, keys), "insert-batch")
     stored = read_table(spark, path)
     if stored is not None:
@@ -149,10 +174,10 @@ def recent(batch: DataFrame, day: str, *, days: int | None = None, months: int |
     return batch.where(F.col(day) >= since)
 
 
-def incremental_load(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], *, day: str = "date", lookback_days: int | None = 7, lookback_months: int | None = None) -> None:
+def incremental_load(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], *, day: str = "date", lookback_days: int | None = 7, lookback_months: int | None = None, schema: str | None = None) -> None:
     """Reload an overlap of recent days (or months) and upsert it; running twice changes nothing."""
     if lookback_months is not None:
         part = recent(batch, day, months=lookback_months)
     else:
         part = recent(batch, day, days=lookback_days)
-    upsert(spark, path, part, keys, day=day)
+    upsert(spark, path, part, keys, day=day, schema=schema)

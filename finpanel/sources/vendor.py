@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +16,32 @@ MARK = "\ufeff"
 NO_SEPARATOR = "\u0001"
 
 
-def _header_lines(spark: SparkSession, paths: Sequence[str], encoding: str, key: str) -> DataFrame:
-    """(path, header) of the files that have a readable line with the key header in it."""
+def _header_lines(spark: SparkSession, paths: Sequence[str], encoding: str, keys: Sequence[str]) -> tuple[list[tuple[str, str]], list[str]]:
+    """(path, header) of the files that have a line with all key headers in it, and the files that can't be read to their end.
+
+    The scan reads all lines, so a file that is broken anywhere fails it; halving the list finds which, at the cost of a few more
+    scans if there are any and of none otherwise.
+    """
+    if not paths:
+        return [], []
     lines = (
         spark.read.schema("line string")
-        .options(sep=NO_SEPARATOR, quote="", encoding=encoding, multiLine=True, ignoreCorruptFiles=True)
+        .options(sep=NO_SEPARATOR, quote="", encoding=encoding, multiLine=True, ignoreCorruptFiles=False)
         .csv(list(paths))
         .select(F.col("_metadata.file_path").alias("path"), F.col("line"))
     )
-    found = lines.where(F.col("line").contains(key))
-    return found.groupBy("path").agg(F.first("line").alias("header"))
+    is_header = reduce(lambda a, b: a & b, [F.contains("line", F.lit(k)) for k in keys])
+    headers = lines.groupBy("path").agg(F.first(F.when(is_header, F.col("line")), ignorenulls=True).alias("header"))
+    try:
+        return [(r["path"], r["header"]) for r in headers.where("header IS NOT NULL").collect()], []
+    except (PySparkException, Py4JJavaError) as err:
+        if "FAILED_READ_FILE" not in str(err):
+            raise
+        if len(paths) == 1:
+            return [], list(paths)
+    half = len(paths) // 2
+    (a, x), (b, y) = (_header_lines(spark, part, encoding, keys) for part in (paths[:half], paths[half:]))
+    return a + b, x + y
 
 
 def _names(header: str, sep: str) -> list[str]:
@@ -44,26 +62,28 @@ def read_vendor(
     Files are grouped by their header line and each group is one scan, because a single scan over
     files with different headers would mix columns up by position. ``key`` is a header every good file
     has; a file without it is tried in the next encoding (UTF-16 without a mark), then skipped and
-    listed. With ``columns`` only those are kept, where a file has them. ``_src`` is the file name.
+    listed. A file that can't be read to its end, such as a compressed one that was cut, is listed and gives no row. With ``columns`` only those are kept, where a file has them. ``_src`` is the file name.
 
     The driver holds one header per file, which is no more than the file listing itself.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     # Listing only: the content column is not read. Scans report paths in URL form, hence the lookup.
     listed = [r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
-    todo = {_plain(p): p for p in listed}
+    todo, broken = {_plain(p): p for p in listed}, []
     scans: list[DataFrame] = []
     for encoding in encodings:
         if not todo:
             break
         layouts: dict[tuple[str, ...], list[str]] = {}
-        for row in _header_lines(spark, list(todo.values()), encoding, key).collect():
-            layouts.setdefault(tuple(_names(row["header"], sep)), []).append(todo.pop(_plain(row["path"])))
+        headers, cut = _header_lines(spark, list(todo.values()), encoding, [key])
+        broken += [todo.pop(_plain(p)) for p in cut]
+        for path, header in headers:
+            layouts.setdefault(tuple(_names(header, sep)), []).append(todo.pop(_plain(path)))
         scans += [_scan(spark, names, sorted(files), sep, encoding, key, columns) for names, files in sorted(layouts.items())]
     if not scans:
         raise ValueError(f"no readable file with a column {key!r}")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
-    return rows, spark.createDataFrame([(p,) for p in sorted(todo.values())], "path string")
+    return rows, spark.createDataFrame([(p,) for p in sorted([*todo.values(), *broken])], "path string")
 
 
 def _plain(path: str) -> str:
@@ -77,7 +97,7 @@ def _scan(spark, names, files, sep, encoding, key, columns) -> DataFrame:
     slots = [f"_c{i}" for i in range(len(names))]
     raw = (
         spark.read.schema(", ".join(f"{s} string" for s in slots))
-        .options(sep=sep, encoding=encoding, multiLine=True, ignoreCorruptFiles=True)
+        .options(sep=sep, encoding=encoding, multiLine=True, ignoreCorruptFiles=False)
         .csv(files)
     )
     cells = [F.trim(F.regexp_replace(F.col(slots[names.index(n)]), MARK, "")).alias(n) for n in wanted]
@@ -86,13 +106,26 @@ def _scan(spark, names, files, sep, encoding, key, columns) -> DataFrame:
 
 
 def read_bom_csv(spark: SparkSession, path: str | Sequence[str], *, required: Sequence[str]) -> DataFrame:
-    """Comma file in UTF-8 with an optional mark, all cells as strings; missing required columns raise."""
-    df = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True)
-    df = df.toDF(*[c.strip(MARK).strip() for c in df.columns])
-    missing = sorted(set(required) - set(df.columns))
+    """Comma files in UTF-8 with an optional mark, all cells as strings, united by column name; ``_src`` is the file name.
+
+    Every file is read by its own header, so files may order their columns differently; one that lacks a required column raises.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    listed = [r["path"] for r in spark.read.format("binaryFile").load(paths).where("length > 0").select("path").collect()]
+    if not listed:
+        raise ValueError(f"missing columns: {sorted(required)}")
+    headers, broken = _header_lines(spark, listed, "UTF-8", list(required)[:1])
+    if broken:
+        raise ValueError(f"files that can't be read: {sorted(broken)}")
+    plain = {_plain(p): p for p in listed}
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for where, header in headers:
+        layouts.setdefault(tuple(_names(header, ",")), []).append(plain.pop(_plain(where)))
+    missing = sorted({c for names in layouts for c in set(required) - set(names)} | (set(required) if plain else set()))
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    return df
+    scans = [_scan(spark, names, sorted(files), ",", "UTF-8", required[0], None) for names, files in sorted(layouts.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def rename_map(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

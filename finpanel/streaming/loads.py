@@ -20,15 +20,17 @@ def stream_upsert(
     progress: str,
     clean: Callable[[DataFrame], DataFrame] | None = None,
     recency: Sequence[str] = (),
+    schema: str | None = None,
 ) -> StreamingQuery:
     """Merge everything new in the streaming ``source`` into the table, then stop.
 
     Files are taken once (``progress`` keeps track, in a shared folder). A micro-batch that is repeated
-    after a failure is merged again with the same result, since the merge is by key.
+    after a failure is merged again with the same result, since the merge is by key. Of equal keys in one micro-batch the greatest
+    by ``recency`` counts; give the source a column with the file's name for the later file to win.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        upsert(spark, path, clean(batch) if clean else batch, keys, day=day, recency=recency)
+        upsert(spark, path, clean(batch) if clean else batch, keys, day=day, recency=recency, schema=schema)
 
     return (
         source.writeStream.foreachBatch(merge)

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 from datetime import date
 
 import pytest
@@ -40,6 +41,34 @@ def test_vendor_files(spark, tmp_path):
     assert (panel["name"], panel["amp_pct"]) == ("加權指數", 3.0)
 
 
+def test_vendor_file_is_loaded_whole_or_not_at_all(spark, tmp_path):
+    text = f"{KEY}\t年月日\t高低價差%\n" + "".join(f"{i} x{i * 7919 % 1000}\t20240102\t{i}\n" for i in range(20_000))
+    (tmp_path / "good.csv.gz").write_bytes(gzip.compress(text.encode("utf-16")))
+    whole = gzip.compress(text.replace(" x", " y").encode("utf-16"))
+    (tmp_path / "cut.csv.gz").write_bytes(whole[: len(whole) // 2])
+    raw, skipped = vendor.read_vendor(spark, str(tmp_path), key=KEY)
+    assert raw.count() == 20_000 and raw.where(F.col(KEY).contains(" y")).isEmpty()
+    assert [r["path"].rsplit("/", 1)[-1] for r in skipped.collect()] == ["cut.csv.gz"]
+
+
+def test_comma_files_by_name(spark, tmp_path):
+    put(tmp_path, "2024a.csv", "currency,date,close,open,high,low,change%\nusd,2024-01-02,9,1,1,1,1%\n ,2024-01-03,1,1,1,1,1%\n", "utf-8-sig")
+    put(tmp_path, "2024b.csv", "date,close,currency,open,high,low,change%\n2024-01-02,1,usd,1,1,1,1%\n", "utf-8")
+    good, bad = loads.fx_table(vendor.read_bom_csv(spark, str(tmp_path), required=list(schemas.FX_COLUMNS)))
+    assert [(r["currency"], r["date"], r["close"]) for r in good.collect()] == [("USD", date(2024, 1, 2), 1.0)]
+    assert [r["reject_reason"] for r in bad.collect()] == ["key"]
+
+
+def test_tables_keep_all_columns(spark, tmp_path):
+    path, key = str(tmp_path / "t"), ["k", "date"]
+    tables.upsert(spark, path, frame(spark, [("a", D[1], 1.0)], "k string, date date, x double"), key, day="date")
+    tables.upsert(spark, path, frame(spark, [("b", D[1], 2.0, "n")], "k string, date date, x double, y string"), key, day="date")
+    tables.upsert(spark, path, frame(spark, [("b", D[1], 3.0)], "k string, date date, x double"), key, day="date")
+    assert sorted(tuple(r) for r in tables.load_table(spark, path).select("k", "x", "y").collect()) == [("a", 1.0, None), ("b", 3.0, "n")]
+    with pytest.raises(ValueError, match="does not declare"):
+        tables.upsert(spark, path, frame(spark, [("b", D[1], 3.0)], "k string, date date, z double"), key, day="date", schema="k string, date date, x double, y string")
+
+
 def test_vendor_without_any_readable_file(spark, tmp_path):
     put(tmp_path, "x.csv", "a,b\n", "utf-8")
     with pytest.raises(ValueError, match="no readable file"):
