@@ -89,7 +89,7 @@ def fx_table(raw: DataFrame) -> Parts:
             **{n: c.clean_number(F.col(n)) for n in ("close", "open", "high", "low")},
         }
     )
-    return _latest(split_rejects(rows, {"key": F.col("currency").isNull(), "date": F.col("date").isNull()}), ["currency", "date"])
+    return _latest(split_rejects(rows, {"key": F.coalesce(F.col("currency") == "", F.lit(True)), "date": F.col("date").isNull()}), ["currency", "date"])
 
 
 def index_history_table(raw: DataFrame) -> Parts:
