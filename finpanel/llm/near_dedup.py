@@ -109,7 +109,7 @@ def _digests(text):
 
 
 def classes(
-    documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, bands: int = 20, rows: int = 6, most_bytes: int = 4_000_000,
+    documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8, bands: int = 20, rows: int = 6, most_bytes: int = 2_000_000,
 ) -> DataFrame:
     """Per row: key, d1, d2 (digests of the text), class_id (smallest key of its class).
 
