@@ -17,6 +17,7 @@ from finpanel.session import materialize
 
 by_value(__name__)
 
+BLANK = " \t\r\x0b\x0c\x00"  # what is trimmed from lines
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -75,11 +76,11 @@ def items_of(line: str, size: int) -> np.ndarray:
     return np.unique(span_hashes(codes, starts, starts + size).view(np.int64))
 
 
-def _itemised(size: int):
+def _sized(size: int):
     def run(batches):
         for batch in batches:
-            lists = pa.array([items_of(t, size) for t in batch.column("line").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "items"])
+            counts = pa.array([len(items_of(t, size)) for t in batch.column("line").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("line"), counts], names=["node", "items", "size"])
 
     return run
 
@@ -93,7 +94,7 @@ def _lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     """key, t, place, d1, d2, line (trimmed, lower-cased) of all lines that are not blank."""
     body = F.col(f"`{text}`").cast("string")
     rows = documents.select(F.col(f"`{key}`").alias("key"), _text_id(body).alias("t"), F.posexplode(F.split(body, "\n", -1)).alias("place", "line"))
-    line = F.lower(F.regexp_replace("line", r"^[\s\x00]+|[\s\x00]+$", ""))
+    line = F.lower(F.btrim("line", F.lit(BLANK)))
     rows = rows.select("key", "t", "place", line.alias("line")).filter("line <> ''")
     return rows.select("key", "t", "place", F.xxhash64(F.lit(1), "line").alias("d1"), F.xxhash64(F.lit(2), "line").alias("d2"), "line")
 
@@ -114,8 +115,8 @@ def repeated_lines(
     shared = shared_buckets(signed.select(F.col("d1").alias("node"), F.explode("bands").alias("bucket")))
     near = materialize(shared.select(F.col("node").alias("near")).distinct(), "wanted")
     texts = lines.join(checked_side(near), F.col("d1") == F.col("near")).groupBy(F.col("d1").alias("node")).agg(F.first("line").alias("line"))
-    items = materialize(texts.mapInArrow(_itemised(size), "node long, items array<long>"), "items")
-    groups = checked_side(materialize(link_components(shared, items, least=least).withColumnRenamed("node", "of"), "groups"))
+    items = materialize(texts.mapInArrow(_sized(size), "node long, items string, size int"), "items")  # lines are shorter than their hashes
+    groups = checked_side(materialize(link_components(shared, items, lambda line: items_of(line, size), least=least).withColumnRenamed("node", "of"), "groups"))
     own = F.coalesce("component", "d1").alias("g1"), F.when(F.col("component").isNull(), F.col("d2")).otherwise(0).alias("g2")
     placed = signed.join(groups, F.col("d1") == F.col("of"), "left").select("key", "t", "place", *own)
     first = placed.groupBy("g1", "g2").agg(F.min(F.struct("key", "place", "t")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -140,6 +141,6 @@ def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
     lines = F.split(body, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
     kept = F.when(F.col("places").isNull(), body).otherwise(F.array_join(F.transform(left, lambda p: F.get(lines, p)), "\n"))
-    n = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\s\x00]"))), F.lit(0)).cast("long")
+    n = F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != "")), F.lit(0)).cast("long")
     out = (kept.alias(c) if c == text else F.col(f"c{i}").alias(c) for i, c in enumerate(names))
     return joined.select(*out, n.alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))

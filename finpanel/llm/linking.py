@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,18 +39,23 @@ def jaccard(one: np.ndarray, two: np.ndarray) -> float:
     return shared / (len(one) + len(two) - shared)
 
 
-def _similarity(one: pd.Series, two: pd.Series) -> pd.Series:
-    return pd.Series([jaccard(a, b) for a, b in zip(one, two)], dtype="float64")
+def similarities(pairs: DataFrame, items: DataFrame, read: Callable) -> DataFrame:
+    """a, b, sim for pairs a, b; for ``items`` and ``read`` see ``link_components``. A frequent node is spread by adaptive skew joins."""
 
+    def similarity(one: pd.Series, two: pd.Series) -> pd.Series:
+        out, last, known = [], None, None
+        for a, b in zip(one, two):
+            if known is None or b is not last and not np.array_equal(b, last):
+                last, known = b, read(b)  # rows come sorted by b
+            out.append(jaccard(read(a), known))
+        return pd.Series(out, dtype="float64")
 
-def similarities(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """a, b, sim for pairs a, b; ``items``: node, items (sorted distinct longs). A frequent node is spread by adaptive skew joins."""
     one, two = (items.select(F.col("node").alias(f"n{i}"), F.col("items").alias(f"i{i}")) for i in "12")
     both = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
-    return both.select("a", "b", F.pandas_udf(_similarity, "double")("i1", "i2").alias("sim"))
+    return both.select("a", "b", F.pandas_udf(similarity, "double")("i1", "i2").alias("sim"))
 
 
-def _left_over(least: float):
+def _left_over(least: float, read: Callable):
     """Group function: links of a bucket's two blocks between nodes that are not connected.
 
     A pair that shares several open buckets is compared in one of them, chosen by the pair.
@@ -72,18 +79,19 @@ def _left_over(least: float):
         before = marks[:, : np.searchsorted(buckets, bucket)]
         short = nodes % 1_000_003
         may &= (before @ before.T) == (short[:, None] + short[None, :]) % np.maximum(marks @ marks.T, 1)
-        items = rows["items"].to_list()
+        items = [read(x) for x in rows["items"]]
         found = [(nodes[i], nodes[j]) for i, j in zip(*np.nonzero(may)) if jaccard(items[i], items[j]) >= least]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def link_components(state: DataFrame, items: DataFrame, *, least: float = 0.8, pivots: int = 2, block: int = 256, block_items: int = 2_000_000) -> DataFrame:
+def link_components(state: DataFrame, items: DataFrame, read: Callable = np.asarray, *, least: float = 0.8, pivots: int = 2, block: int = 256, block_items: int = 2_000_000) -> DataFrame:
     """node, component of all nodes that are linked, directly or not, with another one of a common bucket.
 
-    ``state``: node, bucket (longs), as ``shared_buckets`` gives them. ``items``: node, items (sorted distinct longs). Two nodes are linked
-    if the Jaccard similarity of their items is ``least`` or more.
+    ``state``: node, bucket (longs), as ``shared_buckets`` gives them. ``items``: node, items, size; ``read`` makes of ``items``
+    the node's items as a sorted array without repeats, of that size. Two nodes are linked if the Jaccard similarity of their items
+    is ``least`` or more.
 
     In every round each bucket compares one member, the pivot, with its other members, and drops the pivot: all pairs of the
     pivot are then settled. The member that shares the most buckets with others is the pivot, as the text that a group of copies was
@@ -105,7 +113,7 @@ def link_components(state: DataFrame, items: DataFrame, *, least: float = 0.8, p
         best = state.groupBy(F.col("bucket").alias("at")).agg(top.alias("top")).select("at", (-F.col("top.neg")).alias("pivot"), F.col("top.component").alias("theirs"))
         met = materialize(state.join(best, F.col("bucket") == F.col("at")).filter("node <> pivot").drop("at"), "buckets")
         pairs = met.filter("component <> theirs").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        sims = materialize(similarities(pairs, items), "pairs")
+        sims = materialize(similarities(pairs, items, read), "pairs")
         links = sims.filter(F.col("sim") >= least).select("a", "b")
         if groups is not None:
             links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -118,14 +126,14 @@ def link_components(state: DataFrame, items: DataFrame, *, least: float = 0.8, p
     if groups is None:
         return state.select("node", "component")
     if not state.isEmpty():
-        sized = state.join(items.select(F.col("node").alias("of"), F.size("items").alias("size"), "items"), F.col("node") == F.col("of")).drop("of")
+        sized = state.join(items.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
         blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_items)).cast("int")
-        lengths = items.select(F.col("node").alias("of"), F.size("items").alias("size"))
+        lengths = items.select(F.col("node").alias("of"), "size")
         held = state.join(lengths, F.col("node") == F.col("of")).groupBy(F.col("bucket").alias("at")).agg(blocks.alias("blocks"))
         all_ = state.groupBy(F.col("node").alias("of")).agg(F.collect_set("bucket").alias("open"))
         rows = sized.join(checked_side(materialize(held, "blocks")), F.col("bucket") == F.col("at")).join(all_, F.col("node") == F.col("of"))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("node", "bucket", "component", "known", "open", "size", "items", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        links = rows.groupBy("bucket", "low", "high").applyInPandas(_left_over(least), "a long, b long")
+        links = rows.groupBy("bucket", "low", "high").applyInPandas(_left_over(least, read), "a long, b long")
         groups = components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return groups

@@ -80,7 +80,7 @@ def _itemised(size: int):
     def run(batches):
         for batch in batches:
             lists = pa.array([items_of(t, size) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, lists.value_lengths()], names=["node", "items", "size"])
 
     return run
 
@@ -130,7 +130,7 @@ def classes(
     near = shared.select(F.col("node").alias("near")).distinct()
     wanted = materialize(nodes.join(near, F.col("node") == F.col("near"), "left_semi").select("node", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "wanted")
     texts = source.join(checked_side(wanted), (F.col("d1") == F.col("w1")) & (F.col("d2") == F.col("w2"))).groupBy("node").agg(F.first("text").alias("text"))
-    items = materialize(texts.mapInArrow(_itemised(size), "node long, items array<long>"), "items")
+    items = materialize(texts.mapInArrow(_itemised(size), "node long, items array<long>, size int"), "items")
     groups = link_components(shared, items, least=least)
     named = nodes.select("node", F.col("d1").alias("w1"), F.col("d2").alias("w2"), "least_key").join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     named = named.withColumn("component", F.coalesce("component", "node"))

@@ -35,7 +35,7 @@ def test_links_in_one_unproved_bucket(spark, block):
     items = [np.unique(np.concatenate([rng.choice(b, 38, replace=False), rng.integers(0, 10**9, 2)])) for b in base for _ in range(8)]
     pairs = [(i, j) for i, j in itertools.combinations(range(len(items)), 2) if linking.jaccard(items[i], items[j]) >= 0.8]
     state = spark.createDataFrame([(i, 1) for i in range(len(items))] + [(i, 2) for i in range(0, len(items), 2)], "node long, bucket long")
-    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(items)], "node long, items array<long>")
+    table = spark.createDataFrame([(i, x.tolist(), len(x)) for i, x in enumerate(items)], "node long, items array<long>, size int")
     got = {r.node: r.component for r in linking.link_components(linking.shared_buckets(state), table, block=block).collect()}
     want = _roots(len(items), pairs)
     assert {i: got.get(i, i) for i in range(len(items))} == dict(enumerate(want))
