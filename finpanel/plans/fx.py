@@ -12,10 +12,10 @@ def cross_rate(fx: DataFrame, bridge: str, *, digits: int = 4) -> DataFrame:
     """Rates between ``bridge`` and every other currency of the day, from quotes in a common unit.
 
     With quotes in US dollars per unit, bridge close / other close is *other currency per one bridge
-    unit* (``foreign_per_bridge``); the inverse is ``bridge_per_foreign``. The bridge side holds one row
-    per day, so it is broadcast.
+    unit* (``foreign_per_bridge``); the inverse is ``bridge_per_foreign``. The bridge side is reduced to one
+    row per day (the highest quote), so it is broadcast.
     """
-    base = fx.where(F.col("currency") == bridge).select("date", F.col("close").alias("bridge_close"))
+    base = fx.where(F.col("currency") == bridge).groupBy("date").agg(F.max("close").alias("bridge_close"))
     other = fx.where(F.col("currency") != bridge).select("currency", "date", "close")
     joined = other.join(F.broadcast(base), "date")
     zero = F.lit(0.0)

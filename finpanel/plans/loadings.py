@@ -102,7 +102,7 @@ def rolling_betas(
     """
     live = factor_columns(factors, names)
     keep = list(keep)
-    side = factors.select("date", *[F.col(n).cast("double").alias(f"_f_{n}") for n in live])
+    side = factors.groupBy("date").agg(*[F.max(F.col(n).cast("double")).alias(f"_f_{n}") for n in live])  # one row per day
     joined = df.select("stock_code", "date", "return_pct", *keep).join(F.broadcast(side), "date", "left")
     fields = [f for f in df.select("stock_code", "date", *keep).schema.fields]
     schema = T.StructType(fields + [T.StructField(f"beta_{n}", T.DoubleType()) for n in names])

@@ -17,8 +17,9 @@ from finpanel.plans.events import abnormal, amplitude_events, by_security, hump
 
 
 def attach_market(df: DataFrame, market: DataFrame) -> DataFrame:
-    """Market return of the day as ``mkt_pct``; a day without one counts as 0. One row per day: broadcast."""
-    joined = df.join(F.broadcast(market.select("date", "mkt_pct")), "date", "left")
+    """Market return of the day as ``mkt_pct``; a day without one counts as 0. Reduced to one row per day (the highest), so broadcast."""
+    daily = market.groupBy("date").agg(F.max("mkt_pct").alias("mkt_pct"))
+    joined = df.join(F.broadcast(daily), "date", "left")
     return joined.withColumn("mkt_pct", F.coalesce("mkt_pct", F.lit(0.0)))
 
 
