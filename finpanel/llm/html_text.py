@@ -2,7 +2,8 @@
 
 Every block of text gives points for its length and its commas to its ancestors, less the further up they are; an element's
 score is discounted by the share of its text that stands in links. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts and reader comments are cut out of the tree before, by element, role and class names.
+scripts and reader comments are cut out of the tree before, by element, role and class names. Class names alone don't cut what holds
+most of the page's text, and if little of the page is left, it is scored again without them.
 """
 
 from __future__ import annotations
@@ -49,6 +50,9 @@ CUT_NAMES = {
     "paywall", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "rss", "search", "searchbox", "share", "sharing", "shoutbox",
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "teaser", "toolbar", "topbar", "tracking", "widget", "widgets",
 }
+#: Of these, what often has more text than the article beside it.
+OUTGROWS = {"comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disclaimer", "discussion", "disqus", "gdpr", "replies", "reply", "respond", "shoutbox"}
+FILED_UNDER = re.compile(r"(?:category|cat|tag)[-_]", re.I)  # class names that say what an article is about
 GOOD_NAMES = {"article", "articles", "body", "content", "entry", "hentry", "main", "post", "story", "text", "blog", "page"}
 CONTAINERS = {"div", "section", "article", "main", "body", "td"}  # their own text counts for themselves, else for the parent
 COMMAS = ",、，،"
@@ -57,39 +61,40 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "names", "cut", "score", "chars", "linked", "commas", "passed")
+    __slots__ = ("tag", "parent", "kids", "names", "cut", "named", "score", "chars", "linked", "commas", "passed")
 
-    def __init__(self, tag, parent, names=frozenset(), cut=False):
+    def __init__(self, tag, parent, names=frozenset(), cut=False, named=False):
         self.tag, self.parent, self.kids, self.names, self.cut = tag, parent, [], names, cut
+        self.named = named  # its class or id says that it is no article
         self.score, self.chars, self.linked, self.commas = 0.0, 0, 0, 0
         self.passed = [0.0] * len(SHARES)  # points by how many blocks below they come from
 
 
-def _names(rest: str) -> tuple[frozenset, bool]:
-    """Parts of class and id, without those that only say what the element has (``with-sidebar``); whether attributes hide it."""
-    parts, hidden = set(), False
+def _names(rest: str) -> tuple[frozenset, bool, bool]:
+    """Parts of class and id, without those that only say what the element has (``with-sidebar``) or is about (``tag-cookies``);
+    whether attributes hide it; whether a name of its own, not one like ``post-comments``, says that it is an article.
+    """
+    parts, hidden, good = set(), False, False
     for name, value in ATTRIBUTE.findall(rest):
         name = name.lower()
         if name in ("class", "id"):
             for word in unescape(value.strip("\"'")).split():
+                if FILED_UNDER.match(word):
+                    continue
                 words = [w.lower() for w in NAME_PART.findall(word)]
-                for i, w in enumerate(words):
-                    if not (i and words[i - 1] in ("has", "with", "no", "without", "is")):
-                        parts.add(w)
+                words = {w for i, w in enumerate(words) if not (i and words[i - 1] in ("has", "with", "no", "without", "is"))}
+                good |= bool(words & GOOD_NAMES) and not words & CUT_NAMES
+                parts |= words
         elif name == "role":
             hidden |= value.strip("\"'").lower() in CUT_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value.strip("\"'").lower() == "true"):
             hidden = True
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return frozenset(parts), hidden
+    return frozenset(parts), hidden, good
 
 
-def _is_cut(tag: str, names: frozenset, hidden: bool) -> bool:
-    if tag in ("html", "body", "main"):
-        return False
-    if tag in CUT or hidden:
-        return True
+def _is_named(tag: str, names: frozenset) -> bool:
     if tag == "article":
         return bool(names & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "promo", "teaser", "related"})
     if tag in HEADINGS or tag == "p":
@@ -142,8 +147,9 @@ def parse(html: str) -> Node:
         if tag == "br":
             here.kids.append("\n")
             continue
-        names, hidden = _names(rest) if rest else (frozenset(), False)
-        node = Node(tag, here, names, _is_cut(tag, names, hidden))
+        names, hidden, good = _names(rest) if rest else (frozenset(), False, False)
+        may = tag not in ("html", "body", "main")
+        node = Node(tag, here, names, may and (tag in CUT or hidden), may and not good and _is_named(tag, names))
         here.kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, position)
@@ -192,6 +198,34 @@ def _has_heading(node: Node) -> bool:
     return False
 
 
+def _cut_named(root: Node, level: int) -> int:
+    """Cut elements by their class names: all but those with most of the page's unlinked text, which must also hold its title or main
+    part if they are of a kind that outgrows articles (level 0); only of that kind (level 1); none (level 2).
+
+    Returns the characters of the page's unlinked text, with that of elements cut here.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not node.cut:
+            order.append(node)
+            stack.extend(k for k in node.kids if not isinstance(k, str))
+    free, leads = {}, set()
+    for node in reversed(order):
+        kids = [k for k in node.kids if not isinstance(k, str) and not k.cut]
+        free[node] = 0 if node.tag == "a" else sum(len(k.strip()) for k in node.kids if isinstance(k, str)) + sum(free[k] for k in kids)
+        if node.tag in ("h1", "main") or any(k in leads for k in kids):
+            leads.add(node)
+    for node in order:
+        if node.named:
+            outgrows = bool(node.names & OUTGROWS)
+            if level == 0:
+                node.cut = 2 * free[node] <= free[root] or outgrows and node not in leads
+            else:
+                node.cut = level == 1 and outgrows
+    return free[root]
+
+
 def _measure(root: Node) -> list[Node]:
     """Cut what is no article, count text and linked text bottom-up, and pass the points of blocks to their ancestors.
 
@@ -317,8 +351,16 @@ def main_text(html: str | None) -> str:
     """Text of the article of one page."""
     if not html:
         return ""
-    root = parse(html.replace("\x00", ""))
-    return " ".join(_blocks(_chosen(root, _measure(root))))
+    html, best = html.replace("\x00", ""), ""
+    for level in range(3):
+        root = parse(html)
+        free = _cut_named(root, level)
+        text = " ".join(_blocks(_chosen(root, _measure(root))))
+        if len(text) > len(best):
+            best = text
+        if len(best) >= 0.1 * free or level == 1 and best:  # comments and notices only if there is nothing else
+            break
+    return best
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

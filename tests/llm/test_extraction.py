@@ -29,6 +29,27 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+ARTICLE = f"<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+LONG = " ".join([PARAGRAPH] * 3)
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<p>Hi.</p><div class='post hentry category-search tag-cookies'>{ARTICLE}</div>", LONG),
+    (f"<div>Site</div><div id=social-history class='main content'>{ARTICLE}</div>", LONG),
+    (f"<article class='post comments-open'>{ARTICLE}</article>", LONG),
+    (f"<article class='teaser'>{ARTICLE}</article><div>x</div>", LONG),
+    (f"<div class=search-page><div class=widget>{ARTICLE}<div class=ad>buy</div></div></div>", LONG),
+    (f"<div class=share>{ARTICLE}</div><div class=promo>{ARTICLE}</div>", f"{LONG} {LONG}"),
+    (f"<div class=layout-comments-open><h1>T</h1>{ARTICLE}</div><p>x</p>", f"T {LONG}"),
+    (f"<div class=comments>{ARTICLE}</div>", LONG),
+    (f"<div class=post><p>{PARAGRAPH}</p></div><div class=post-comments>{ARTICLE * 9}</div><div id=cookie-consent>{ARTICLE}</div>", PARAGRAPH),
+    (f"<div class=post>{ARTICLE}</div><div class='related'><p>{PARAGRAPH}</p></div>", LONG),
+])
+def test_class_words_do_not_cut_the_article(html, want):
+    got = html_text.main_text(html)
+    assert want in got and len(got) <= len(want) + 6 and "buy" not in got
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 20_000 + "x") == "x"
     assert html_text.main_text("<header>" + "<div>" * 5_000 + "<h1>x</h1>") == ""
