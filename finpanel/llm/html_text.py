@@ -286,8 +286,59 @@ def _value(node: Node) -> float:
     return (node.score + bonus) * (1 - _density(node)) if node.chars else 0.0
 
 
+def _shape(node: Node) -> tuple:
+    return node.tag, frozenset(w for w in node.names if not w.isdigit())
+
+
+def _raised(best: Node) -> Node:
+    """``best``, or the highest element around it beside which stand further parts of the article.
+
+    A part is an element whose own text has a good share of the best value, or one that lies as ``best`` does: by the same
+    tags and class names from the common ancestor down. Siblings on the way that don't belong to the element, and containers of
+    nothing but links in those beside the highest, are cut.
+    """
+    least, top, node, path = 0.2 * _value(best), best, best, [_shape(best)]
+    while node.parent is not None:
+        parts, stack = False, [(k, 0) for k in node.parent.kids if k is not node and not isinstance(k, str)]
+        while stack and not parts:
+            k, depth = stack.pop()
+            if k.cut or not k.chars or k.tag not in BLOCK:
+                continue
+            alike = depth < len(path) and _shape(k) == path[-1 - depth]
+            if alike and depth == len(path) - 1 and _density(k) < 0.25:
+                parts = True
+            elif k.tag in CONTAINERS and k.passed[0] and _density(k) < 0.25 and _value(k) >= least:
+                parts = True
+            stack.extend((x, depth + 1 if alike else len(path)) for x in k.kids if not isinstance(x, str))
+        if parts:
+            top = node
+        path.append(_shape(node.parent))
+        node = node.parent
+    node = best
+    while node is not top:
+        for k in node.parent.kids:
+            if not isinstance(k, str) and k is not node and not _belongs(k, least):
+                k.cut = True
+        node = node.parent
+    stack = [k for k in top.parent.kids if k is not top and not isinstance(k, str)] if top is not best else []
+    while stack:
+        k = stack.pop()
+        k.cut |= k.tag in CONTAINERS and _density(k) >= 0.5
+        stack.extend(x for x in k.kids if not isinstance(x, str) and not k.cut)
+    return top
+
+
+def _belongs(k: Node, least: float) -> bool:
+    """Whether a sibling of a part of the article is one, too."""
+    if k.cut or not k.chars:
+        return False
+    if k.tag in HEADINGS:
+        return True
+    return _density(k) < 0.5 and (k.tag not in BLOCK or k.tag in ("p", "ul", "ol", "dl", "blockquote", "pre", "table", "figure") or k.score and _value(k) >= least or _density(k) < 0.25)
+
+
 def _chosen(root: Node, order: list[Node]) -> list:
-    """The best container, or the article around it, with the siblings that belong to it, in page order."""
+    """The best container, or the article around it, raised to where its parts stand, with the siblings that belong to it, in page order."""
     may = [n for n in order if n.tag in BLOCK and n.tag not in HEADINGS | {"p", "li", "tr", "pre"} and n.score]
     if not may:
         return [root]
@@ -295,10 +346,11 @@ def _chosen(root: Node, order: list[Node]) -> list:
     up = best
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
-    best = up or best
+    best, least, out, seen = up or best, 0.2 * _value(up or best), [], False
+    if up is None:
+        best = _raised(best)
     if best.parent is None:
         return [best]
-    least, out, seen = 0.2 * _value(best), [], False
     inside = best.tag in ("article", "main")
     for k in best.parent.kids:
         if k is best:
@@ -309,13 +361,10 @@ def _chosen(root: Node, order: list[Node]) -> list:
                 out.append(k)
         elif k.cut or not k.chars:
             continue
-        elif k.tag in HEADINGS:
-            if not inside or not seen:
-                out.append(k)
         elif inside:
-            if k.tag == best.tag and _value(k) >= least:
+            if k.tag in HEADINGS and not seen or k.tag == best.tag and _value(k) >= least:
                 out.append(k)
-        elif _density(k) < 0.5 and (k.tag not in BLOCK or k.tag in ("p", "ul", "ol", "dl", "blockquote", "pre", "table", "figure") or k.score and _value(k) >= least or k.chars > 80 and _density(k) < 0.25):
+        elif _belongs(k, least):
             out.append(k)
     return out
 

@@ -50,6 +50,20 @@ def test_class_words_do_not_cut_the_article(html, want):
     assert want in got and len(got) <= len(want) + 6 and "buy" not in got
 
 
+@pytest.mark.parametrize("html, want", [
+    (f"<div class=wrap>{f'<div class=row><div class=col><p>{PARAGRAPH}</p></div></div>' * 3}</div>", LONG),
+    (f"<div><div><div>{ARTICLE * 4}</div></div><div><div><p>{PARAGRAPH}</p></div></div></div>", f"{LONG} " * 4 + PARAGRAPH),
+    (f"<div class=wrap><div class=row id=row-1><div class=col>{ARTICLE * 4}</div></div><div class=row><div class=col><p>Short.</p></div></div></div>", f"{LONG} " * 4 + "Short."),
+    (f"<div><div><div><div>{ARTICLE}</div></div></div><div><div><div>{ARTICLE}</div></div></div></div>", f"{LONG} {LONG}"),
+    (f"<div><div class=part>{ARTICLE * 4}</div><div class=end>In short.</div></div>", f"{LONG} " * 4 + "In short."),
+    (f"<div><div><div>{ARTICLE}</div><div><a href=1>more</a></div></div><div><div>{ARTICLE}</div></div></div>", f"{LONG} {LONG}"),
+    (f"<div id=page><div class=text><div>{ARTICLE}</div></div><div class=box><div class=in><a href=1>{PARAGRAPH}</a></div></div></div>", LONG),
+    (f"<div id=page><div class=text><div>{ARTICLE * 4}</div></div><div class=box><div class=in><span>So it was.</span></div></div></div>", " ".join([LONG] * 4)),
+])
+def test_sections_in_wrappers(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 20_000 + "x") == "x"
     assert html_text.main_text("<header>" + "<div>" * 5_000 + "<h1>x</h1>") == ""
