@@ -3,6 +3,8 @@
 Mentions are found by one pattern; the distinct values behind them (addresses, numbers, keys, parts of names) make a table that
 is reduced before any join, gets its surrogates there, and is checked: no two values of a kind share a surrogate and none is a value
 of the data. Values that fail are tried again. Every mention of a value gets the same surrogate, in all documents.
+
+Names are found behind titles and phrases; the words of a name so found are replaced wherever else they stand in that document.
 """
 
 from __future__ import annotations
@@ -28,9 +30,21 @@ ENDINGS = {
     ("given_m", True): ["н", "лав", "мир", "тин"], ("given_f", True): ["на", "рия", "лина", "са"], ("given_x", True): ["ша", "ня"], ("surname", True): ["ко", "нюк", "дзе", "шин"],
 }
 
-VALUE = r"""(?=[^\s"',;]*\d)[^\s"',;]{6,}"""
-SECRET = rf"""(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{{0,3}}[=:]\s{{0,3}}["']?{VALUE}"""
-NAME = rf"(?:{'|'.join(MALE + FEMALE + EITHER)})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?+(?!\p{{L}})"
+#: Behind ``=`` and in quotes any value is a secret; behind a bare colon only one with a digit, as prose goes on there ("password: required").
+DIGIT_VALUE, ANY_VALUE = r"""(?=[^\s"',;]*\d)[^\s"',;]{6,}""", r"""(?=[^\s"',;]*[\p{L}\d])[^\s"',;]{6,}"""
+SECRET = (
+    r"""(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}"""
+    rf"""(?:=\s{{0,3}}["']?{ANY_VALUE}|:\s{{0,3}}(?:["']?{DIGIT_VALUE}|"{ANY_VALUE}(?=")|'{ANY_VALUE}(?=')))"""
+)
+#: Small words inside names, which stay as they are.
+PARTICLES = "van|von|vom|der|den|de|del|della|di|da|do|dos|das|du|la|las|los|le|el|al|bin|ibn|ben|ter|ten|zu|zum|zur|af|av|y|e"
+PREFIX = rf"(?:(?:(?:{PARTICLES})[ -])*+(?:[dl]['’](?=\p{{Lu}}))?+)"
+#: One part of a name: inner capitals, apostrophes (O'Neil, D'Angelo), or an initial before another part.
+WORD = r"(?:\p{Lu}\.(?= ?\p{Lu}[\p{L}\p{M}.'’])|\p{Lu}['’]\p{L}[\p{L}\p{M}]++|\p{Lu}[\p{L}\p{M}]*+(?:['’]\p{Lu}[\p{L}\p{M}]*+)*+)"
+TITLE = rf"(?:(?:{'|'.join(MALE + FEMALE + EITHER)})\.? )++"
+NAME = rf"{TITLE}{PREFIX}{WORD}(?:(?:[ -]|(?<=\.)){PREFIX}{WORD})*+"
+#: A part of a name that stands alone in the text.
+ALONE = rf"(?<![\p{{L}}\p{{N}}])(?:\p{{Lu}}['’]\p{{L}}[\p{{L}}\p{{M}}]++|\p{{Lu}}[\p{{L}}\p{{M}}]++(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}]*+)*+)(?![\p{{L}}\p{{N}}])"
 CARD = r"(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?![\d-])"
 PATTERN = "(?<![\\p{L}\\p{N}])(?:" + "|".join([
     r"(?<![._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -56,27 +70,37 @@ def kind_of(mention):
     )
 
 
+def is_name(mention):
+    return mention.rlike("^" + TITLE)
+
+
 def parts_of(mention):
     """The mention as parts in order: kind (null: kept as it stands) and value."""
     def part(kind, value):
         return F.struct(kind.cast("string").alias("kind"), value.alias("value"))
 
     plain = F.lit(None)
-    head = F.regexp_extract(mention, rf"""^(.*?[=:]\s{{0,3}}["']?){VALUE}$""", 1)
-    title = F.regexp_extract(mention, rf"^((?:{'|'.join(MALE + FEMALE + EITHER)})\.? )", 1)
+    head = F.regexp_extract(mention, r"""^([^=:]*[=:]\s{0,3}["']?)""", 1)
+    title = F.regexp_extract(mention, rf"^({TITLE})", 1)
     names = F.substr(mention, F.length(title) + 1)
-    first = F.regexp_extract(names, r"^\p{L}+", 0)
-    bare = F.regexp_replace(title, r"\.? $", "")
-    gender = (
-        F.when(bare.isin(MALE), "given_m").when(bare.isin(FEMALE), "given_f").when(first.isin(MALE_NAMES), "given_m").when(first.isin(FEMALE_NAMES), "given_f").otherwise("given_x")
-    )
-    alone = F.length(first) == F.length(names)  # one name after a title is a surname, after a phrase a given name
-    said = bare.isin([e for e in EITHER if " " in e])
+    words, gaps = F.regexp_extract_all(names, F.lit(WORD), F.lit(0)), F.split(names, WORD, -1)
+    first = F.get(words, F.lit(0))
+
+    def titled(titles):
+        return title.rlike(rf"(?:^| )(?:{'|'.join(titles)})\.? ")
+
+    gender = F.when(titled(MALE), "given_m").when(titled(FEMALE), "given_f").when(first.isin(MALE_NAMES), "given_m").when(first.isin(FEMALE_NAMES), "given_f").otherwise("given_x")
+    said = titled([e for e in EITHER if " " in e])
+
+    def named(word, i):
+        """The first of several parts, initials and common given names are given names, all others surnames; one part after a title is
+        a surname, after a phrase a given name."""
+        given = F.when(F.size(words) == 1, said).when(i == F.size(words) - 1, False).otherwise((i == 0) | word.endswith(".") | word.isin(MALE_NAMES + FEMALE_NAMES))
+        return F.array(part(plain, F.get(gaps, i)), part(F.when(given, gender).otherwise("surname"), word))
+
     return (
         F.when(kind_of(mention) == "secret", F.array(part(plain, head), part(F.lit("secret"), F.substr(mention, F.length(head) + 1))))
-        .when(kind_of(mention) == "name", F.when(alone, F.array(part(plain, title), part(F.when(said, gender).otherwise("surname"), names))).otherwise(
-            F.array(part(plain, title), part(gender, first), part(plain, F.substr(names, F.length(first) + 1, F.lit(1))), part(F.lit("surname"), F.substr(names, F.length(first) + 2)))
-        ))
+        .when(kind_of(mention) == "name", F.concat(F.array(part(plain, title)), F.flatten(F.transform(words, named))))
         .when(kind_of(mention) == "email", F.array(
             part(F.lit("mailbox"), F.substring_index(mention, "@", 1)), part(plain, F.lit("@")), part(F.lit("domain"), F.regexp_extract(mention, r"@(.*)\.\p{L}+$", 1)),
             part(plain, F.regexp_extract(mention, r"(\.\p{L}+)$", 1)),
@@ -175,6 +199,7 @@ def replace(documents: DataFrame, *, key: str, text: str = "text", columns: list
 
     Rows without a mention stay where they are; only rows with one are stored, and joined with their surrogates by a row number, so
     a value that very many rows mention is spread by adaptive skew joins and rows of one document meet only in that document's task.
+    In rows with a name, the capitalised words between mentions are joined with that row's parts of names, by row number and word.
 
     Null and empty texts stay and have no mention; repeated rows are replaced each, alike; an empty table gives an empty one.
     ``n_replaced`` is the one name that is added; a column of that name is replaced.
@@ -194,9 +219,23 @@ def replace(documents: DataFrame, *, key: str, text: str = "text", columns: list
         F.sort_array(F.collect_list(F.struct("n", F.coalesce("surrogate", "v").alias("s")))).alias("s")
     ).select(F.col("mention").alias("m"), F.array_join(F.transform("s", lambda x: x["s"]), "").alias("new"))
     fills = mentions.join(materialize(built, "surrogates"), F.col("mention") == F.col("m")).groupBy(F.col("row").alias("of")).agg(F.sort_array(F.collect_list(F.struct("place", "new"))).alias("fills"))
-    joined = stored.join(fills, F.col("row") == F.col("of"))
+    parts_here = mentions.filter(is_name(F.col("mention"))).join(parts.filter(F.length("v") > 1).withColumnRenamed("mention", "m"), F.col("mention") == F.col("m"))
+    parts_here = parts_here.filter("k IS NOT NULL AND NOT endswith(v, '.')").groupBy("row", "v").agg(F.max("k").alias("k"))  # one that is a surname, too, stands for that
+    parts_here = parts_here.join(table, (F.col("k") == F.col("kind")) & (F.col("v") == F.col("value"))).select(F.col("row").alias("of"), "v", F.col("surrogate").alias("new"))
+    between = stored.filter(F.exists("found", is_name)).select("row", F.posexplode(F.split(F.col(place), PATTERN, -1)).alias("gap", "text"))
+    words = between.select("row", "gap", F.posexplode_outer(F.regexp_extract_all("text", F.lit(ALONE), F.lit(0))).alias("place", "word"))
+    words = words.join(parts_here, (F.col("row") == F.col("of")) & (F.col("word") == F.col("v")), "left").select("row", "gap", "place", F.coalesce("new", "word").alias("word"), F.col("new").isNotNull().cast("int").alias("n"))
+    texts = words.groupBy("row", "gap").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("words"), F.sum("n").alias("n"))
+    texts = texts.groupBy(F.col("row").alias("named")).agg(F.sort_array(F.collect_list(F.struct("gap", "words"))).alias("again"), F.sum("n").alias("more")).filter("more > 0")
+    joined = stored.join(fills, F.col("row") == F.col("of")).join(texts, F.col("row") == F.col("named"), "left")
     gaps = F.split(F.col(place), PATTERN, -1)
+
+    def renamed(gap, again):
+        return F.array_join(F.zip_with(F.split(gap, ALONE, -1), again["words"], lambda g, w: F.concat(g, F.coalesce(w["word"], F.lit("")))), "")
+
+    gaps = F.when(F.col("again").isNull(), gaps).otherwise(F.zip_with(gaps, "again", renamed))
     filled = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("fills")), "fills", lambda g, f: F.concat(g, f["new"])), ""), F.element_at(gaps, -1))
-    changed = joined.select(*(filled.alias(f"c{i}") if n == text else F.col(f"c{i}") for i, n in enumerate(names)), F.size("fills").cast("long").alias("n_replaced"))
+    n_replaced = (F.size("fills") + F.coalesce("more", F.lit(0))).cast("long").alias("n_replaced")
+    changed = joined.select(*(filled.alias(f"c{i}") if n == text else F.col(f"c{i}") for i, n in enumerate(names)), n_replaced)
     same = rows.filter(~body.rlike(PATTERN)).withColumn("n_replaced", F.lit(0).cast("long"))
     return changed.unionByName(same).toDF(*names, "n_replaced"), table

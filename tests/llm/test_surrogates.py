@@ -63,3 +63,31 @@ def test_crowded_kinds_stay_distinct(spark):
 def test_nothing_to_replace(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert surrogates.replace(empty, key="k")[0].collect() == []
+
+
+def test_whole_names_and_their_further_mentions(spark):
+    texts = {
+        1: "Mr John Paul Smith saw Dr. José Luis García, Mr McDonald, Mr John McDonald and Ms Anna O'Neil.",
+        2: "Mr Smith came. Smith said that Smith's Smithson and SMITH left; O'Neil did not.",
+        3: "Herr Prof. Dr. Karl-Heinz von der Müller-Lüdenscheidt met Mr J. R. Tolkien and Ms D'Angelo; Lüdenscheidt, D'Angelo and Tolkien stayed.",
+        4: "O'Neil and Smith came alone.",
+        5: 'password=correcthorse token = "battery-staple" secret: "quotedwords" password: required; pwd=******',
+    }
+    out, values = surrogates.replace(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), key="k")
+    got = {r.doc_id: r for r in out.collect()}
+    assert {k: r.n_replaced for k, r in got.items()} == {1: 5, 2: 3, 3: 6, 4: 0, 5: 3}
+    gone = {1: ["John", "Paul", "Smith", "José", "Luis", "García", "Donald", "Anna", "Neil"], 3: ["Karl", "Heinz", "Müller", "Lüdenscheidt", "J.", "R.", "Tolkien", "Angelo"], 5: ["correct", "battery", "quoted"]}
+    assert not [s for k, all_ in gone.items() for s in all_ if s in got[k].text]
+    new = {(r.kind, r.value): r.surrogate for r in values.collect()}
+    smith = new["surname", "Smith"]
+    assert got[2].text == f"Mr {smith} came. {smith} said that {smith}'s Smithson and SMITH left; O'Neil did not."
+    assert f"Paul {smith}".split()[1] in got[1].text and got[1].text.count(new["surname", "McDonald"]) == 2
+    assert re.fullmatch(r"Herr Prof\. Dr\. \w+-\w+ von der \w+-(\w+) met Mr \w+ \w+ (\w+) and Ms (\w+); \1, \3 and \2 stayed\.", got[3].text)
+    assert got[4].text == texts[4] and got[5].text.endswith("password: required; pwd=******")
+
+
+def test_a_name_keeps_the_rest_of_its_text(spark):
+    rows = [(i, "Vor Mr Smith, +1 (988) 555-2485\nÉmile Smith-Smith  Smith\n" + "word Word Smith " * i) for i in range(50)]
+    out, values = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), key="k")
+    new = {r.value: r.surrogate for r in values.collect()}
+    assert {r.doc_id: (r.text, r.n_replaced) for r in out.collect()} == {i: (t.replace("Smith", new["Smith"]).replace("+1 (988) 555-2485", new["+1 (988) 555-2485"]), 5 + i) for i, t in rows}
