@@ -156,12 +156,19 @@ def study_drawdown(spark, sf):
     return r6(study(spark, sf), "mdd").select("stock_code", "date", "mdd")
 
 
-def study_curves(spark, sf):
-    big = study(spark, sf).where(F.col("amp_big") == 1)
-    long = big.select("stock_code", "date", F.posexplode(F.arrays_zip("cum_amp", "cum_ret", "cum_exc")).alias("k", "p"))
+def curves(rows: DataFrame) -> DataFrame:
+    long = rows.select("stock_code", "date", F.posexplode(F.arrays_zip("cum_amp", "cum_ret", "cum_exc")).alias("k", "p"))
     return r6(long.select("stock_code", "date", "k", "p.*"), "cum_amp", "cum_ret", "cum_exc")
 
 
+def study_curves(spark, sf):
+    return curves(study(spark, sf).where(F.col("amp_big") == 1))
+
+
+def study_curves_all(spark, sf):
+    return curves(study(spark, sf))
+
+
 # ---- report tables --------------------------------------------------------------------------------
 
 EVENT_ROWS = f"""{STUDIED}, kinds AS (SELECT *, CASE WHEN amp_big = 1 THEN 'big' ELSE 'sml' END AS kind,
@@ -227,7 +234,9 @@ def persistence_compare(spark, sf):
 
 
 def persistence_logit(spark, sf):
-    return rp.persistence_logit(events(spark, sf, "market_cap", "beta"), "big")
+    rows = materialize(events(spark, sf, "market_cap", "beta"), "logit-events")
+    big, sml = (rp.persistence_logit(rows, kind).withColumn("kind", F.lit(kind)) for kind in ("big", "sml"))
+    return big.unionByName(sml)
 
 
 def persistent_overlap(spark, sf):
@@ -341,6 +350,7 @@ QUERIES = {
     "study_scores": study_scores,
     "study_drawdown": study_drawdown,
     "study_curves": study_curves,
+    "study_curves_all": study_curves_all,
     "event_summary": event_summary,
     "return_stats": return_stats,
     "return_histograms": return_histograms,
@@ -379,6 +389,8 @@ SQL = {
     "study_drawdown": f"{STUDIED} SELECT stock_code, date, {_r6sql('mdd')} FROM studied",
     "study_curves": f"""{STUDIED} SELECT stock_code, date, CAST(k - 1 AS INTEGER) AS k, round(pa[k] - pa[1] + 3.7e-9, 6) + 0.0 AS cum_amp, round(exp(ps[k] - ps[1]) - 1 + 3.7e-9, 6) + 0.0 AS cum_ret,
         round(exp((ps[k] - ps[1]) - (pm[k] - pm[1])) - 1 + 3.7e-9, 6) + 0.0 AS cum_exc FROM studied, (SELECT unnest(range(1, 22)) AS k) WHERE amp_big = 1""",
+    "study_curves_all": f"""{STUDIED} SELECT stock_code, date, CAST(k - 1 AS INTEGER) AS k, round(pa[k] - pa[1] + 3.7e-9, 6) + 0.0 AS cum_amp, round(exp(ps[k] - ps[1]) - 1 + 3.7e-9, 6) + 0.0 AS cum_ret,
+        round(exp((ps[k] - ps[1]) - (pm[k] - pm[1])) - 1 + 3.7e-9, 6) + 0.0 AS cum_exc FROM studied, (SELECT unnest(range(1, 22)) AS k)""",
     "event_summary": f"""{EVENT_ROWS} SELECT kind, count(*) AS events, count(DISTINCT stock_code) AS securities, min(date) AS min_date, max(date) AS max_date,
         CAST(sum(is_attention) AS BIGINT) AS attention, round(avg(mdd) * 100 + 3.7e-9, 6) + 0.0 AS mdd_mean_pct FROM event_rows GROUP BY kind""",
     "return_stats": f"{EVENT_ROWS}, long AS ({MEASURES}) SELECT kind, measure, {DESCRIBE} FROM long WHERE value IS NOT NULL GROUP BY kind, measure",

@@ -27,3 +27,15 @@ def test_query_agrees_with_sql(spark, con, name):
 def test_contract(spark):
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert driver.entry(spark).columns == ["stock_code", "ymd", "attention_a", "disposition_d", "full_delivery_y", "amp_big", "amp_sml"]
+
+
+def test_all_rows_and_both_kinds(spark, con):
+    from checks import study
+
+    every, big = study.study_curves_all(spark, SF), study.study_curves(spark, SF)
+    assert differences(every, con, study.SQL["study_curves_all"]) == []
+    assert every.count() > big.count() and big.exceptAll(every).isEmpty()
+    logit, rows = study.persistence_logit(spark, SF), study.events(spark, SF, "market_cap", "beta")
+    for kind in ("big", "sml"):
+        assert sorted(logit.filter(f"kind = '{kind}'").drop("kind").collect()) == sorted(study.rp.persistence_logit(rows, kind).collect())
+    assert {r.kind for r in logit.collect()} == {"big", "sml"}
