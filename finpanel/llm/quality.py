@@ -137,12 +137,15 @@ def _featured():
 def learn(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", label: str = "quality", most_rows: int = 8_000, **training) -> Machine:
     """A machine fitted on at most ``most_rows`` (8,000) labelled documents, the first by a hash of their key.
 
-    Of several labels of one key the mean decides (0.5 counts as 1); null labels and keys are left out. Without labelled rows the score is
+    Of several labels of one key the mean decides (0.5 counts as 1); null labels and keys are left out. Of several documents of one
+    key the one with the smallest hash of its text is learnt from; repeats are reduced by tasks, before the shuffle. Without labelled rows the score is
     0.5 for all. Training runs on the driver, on the sample's sparse vectors only.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("known")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("known"), "known").limit(most_rows)
-    rows = _columns(documents, key, text, n_chars).join(F.broadcast(sample), F.col("key") == F.col("known")).select("label", "text", "n_chars")
+    rows = _columns(documents, key, text, n_chars).join(F.broadcast(sample), F.col("key") == F.col("known"))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "n_chars")).alias("one")
+    rows = rows.groupBy("known").agg(F.first("label").alias("label"), one).select("label", "one.text", "one.n_chars")
     found = rows.mapInArrow(_featured(), "label int, place array<long>, weight array<double>, stats array<double>").toArrow()
     parts = [(np.array(p, dtype=np.int64), np.array(w), np.array(s)) for p, w, s in zip(*(found.column(c).to_pylist() for c in ("place", "weight", "stats")))]
     order = sorted(range(len(parts)), key=lambda i: (parts[i][2].tolist(), parts[i][0].tolist()))  # whatever order tasks end in

@@ -48,6 +48,18 @@ def test_learning_and_odd_rows(spark):
     assert all(r.h == (duckdb_crc(r.doc_id) % 3 == 1) for r in held if r.doc_id is not None) and [r.h for r in held if r.doc_id is None] == [False]
 
 
+def test_one_row_of_each_sampled_key(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda parts, labels, **_: seen.append(([(p.tolist(), s.tolist()) for p, _, s in parts], labels.tolist())))
+    rows = [(i, f"text {i}", 6) for i in range(40)] + [(7, "text again", 9)] * 500 + [(7, None, None), (7, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    quality.learn(docs, labels, most_rows=30)
+    quality.learn(docs.repartition(7), labels, most_rows=30)
+    quality.learn(docs, labels)
+    assert [len(p) for p, _ in seen] == [30, 30, 40] and seen[0] == seen[1] and sum(seen[2][1]) == 20
+
+
 def duckdb_crc(doc_id):
     import zlib
 
