@@ -85,6 +85,9 @@ def _sized(size: int):
     return run
 
 
+MOST_PLACES = 4_000_000  # dropped lines in a side that is broadcast
+
+
 def _text_id(text):
     """With the key, what tells one document from another that has the same key."""
     return F.xxhash64(text)
@@ -134,7 +137,9 @@ def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
     lost = repeated_lines(documents, key=key, text=text, **options)
-    lost = checked_side(materialize(lost.select(F.col("key").alias("k"), "t", "places"), "lost"), 500_000)
+    lost = materialize(lost.select(F.col("key").alias("k"), "t", "places"), "lost")
+    if (lost.agg(F.sum(F.size("places"))).first()[0] or 0) <= MOST_PLACES:  # a row has one number for each line its document loses
+        lost = checked_side(lost, 500_000)
     rows = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     own, body = F.col(f"c{names.index(key)}"), F.col(f"c{names.index(text)}").cast("string")
     joined = rows.join(lost, own.eqNullSafe(F.col("k")) & (_text_id(body) == F.col("t")), "left")

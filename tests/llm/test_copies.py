@@ -146,3 +146,14 @@ def test_embeddings(spark, options):
     else:
         assert got == want
     assert embedding_dedup.links(df.limit(0)).collect() == []
+
+
+def test_many_dropped_lines_are_not_broadcast(spark, monkeypatch):
+    lines = "\n".join(f"line {'x' * i} number {i}" for i in range(20))
+    docs = spark.createDataFrame([(i, lines) for i in range(3)], "doc_id long, text string")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    few = line_dedup.deduplicate(docs)
+    monkeypatch.setattr(line_dedup, "MOST_PLACES", 10, raising=False)
+    many = line_dedup.deduplicate(docs)
+    assert hinted(few) and not hinted(many)
+    assert sorted(few.collect()) == sorted(many.collect()) and sum(r.n_dropped for r in many.collect()) >= 40
