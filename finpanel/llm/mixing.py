@@ -58,7 +58,7 @@ def permuted(i, n, *key):
 
 
 def placed(sized: DataFrame, sources: DataFrame, seed: int, rows_per_part: int = 4096) -> DataFrame:
-    """Every document with its source's sid and the words before it in its source's stream (hashed order).
+    """Every document with its text's hash, its source's sid and the words before it in its source's stream (hashed order).
 
     A source may hold most rows, so running totals are taken within parts of the hash range and added to totals of the parts.
     """
@@ -69,10 +69,10 @@ def placed(sized: DataFrame, sources: DataFrame, seed: int, rows_per_part: int =
     parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
     named = sources.select(F.col("source").alias("n"), "sid")
     parts = parts.join(named, F.col("s").eqNullSafe(F.col("n"))).select("s", "p", "base", "sid")
-    within = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = rows.join(parts, rows["source"].eqNullSafe(parts["s"]) & (rows["part"] == parts["p"]))
-    return joined.select("doc_id", "size", "sid", (F.col("base") + F.col("inner")).alias("start"))
+    return joined.select("doc_id", "t", "size", "sid", (F.col("base") + F.col("inner")).alias("start"))
 
 
 def drawn_slots(sources: DataFrame, seed: int, block: int, shard_slots: int) -> DataFrame:
@@ -127,7 +127,7 @@ def drawn_slots(sources: DataFrame, seed: int, block: int, shard_slots: int) ->
 
 
 class Mix:
-    """A drawn mix: ``sources``, ``documents`` (doc_id, size, sid, start) and ``slots`` as stored tables."""
+    """A drawn mix: ``sources``, ``documents`` (doc_id, t, size, sid, start) and ``slots`` as stored tables."""
 
     def __init__(self, documents: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, block: int = 512, shard_slots: int = 4096, **targets):
         """``targets``: weights, share, most (see ``source_targets``).
@@ -137,8 +137,9 @@ class Mix:
         same rows and seed give the same mix, in whatever order or partitions they come.
         """
         self.block = block
-        sized = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"))
+        sized = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("t"))
         sized = materialize(sized, "mix")
+        self.texts = documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("s"), F.col(f"`{text}`").alias("text"))
         self.sources = materialize(source_targets(sized, **targets), "mix")
         self.documents = materialize(placed(sized, self.sources, seed), "mix")
         self.slots = drawn_slots(self.sources, seed, block, shard_slots)
@@ -149,21 +150,44 @@ class Mix:
         last = F.floor((F.col("start") + F.col("size") - 1) / b)
         rows = self.documents.filter("size > 0").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / b), last)))
         return rows.select(
-            "doc_id", "size", F.col("sid").alias("own"), "start", "block_no", F.greatest("start", F.col("block_no") * b).alias("from"),
+            "doc_id", "t", F.col("sid").alias("own"), "start", "block_no", F.greatest("start", F.col("block_no") * b).alias("from"),
             F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * b).alias("to"),
         )
 
-    def spans(self) -> DataFrame:
-        """shard, slot, sid, doc_id, word_from, n_words: what every slot holds, by document; blocks are joined by index."""
+    def _spans(self) -> DataFrame:
         joined = self._segments().join(self.slots, (F.col("own") == F.col("sid")) & (F.col("block_no") == F.col("block")))
         n = F.least("to", F.col("block") * self.block + F.col("take")) - F.col("from")
-        return joined.select("shard", "slot", "sid", "doc_id", (F.col("from") - F.col("start")).alias("word_from"), n.alias("n_words")).filter("n_words > 0")
+        return joined.select("shard", "slot", "sid", "doc_id", "t", "start", (F.col("from") - F.col("start")).alias("word_from"), n.alias("n_words")).filter("n_words > 0")
+
+    def spans(self) -> DataFrame:
+        """shard, slot, sid, doc_id, word_from, n_words: what every slot holds, by document; blocks are joined by index."""
+        return self._spans().drop("t", "start")
+
+    def blocks(self) -> DataFrame:
+        """shard, slot, sid, n_words, text: the mix itself. Words keep the white space after them, a new line parts documents.
+
+        A document's spans are collected before they meet its text, which is cut once, so only the words of the mix are shuffled on.
+        """
+        each = self._spans().groupBy("sid", "doc_id", "t").agg(F.collect_list(F.struct("shard", "slot", "start", "word_from", "n_words")).alias("held"))
+        each = each.join(self.sources.select(F.col("sid").alias("n"), "source"), F.col("sid") == F.col("n"))
+        texts = self.texts.withColumn("x", F.xxhash64("text")).groupBy("k", "s", "x").agg(F.first("text").alias("text"))
+        found = each.join(texts, F.col("doc_id").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("t") == F.col("x")))
+
+        def cut(words):
+            return F.transform("held", lambda h: F.struct(
+                h["shard"].alias("shard"), h["slot"].alias("slot"), h["start"].alias("start"), h["n_words"].alias("n"),
+                F.array_join(F.slice(words, (h["word_from"] + 1).cast("int"), h["n_words"].cast("int")), "").alias("piece"),
+            ))
+
+        words = F.regexp_extract_all("text", F.lit(WORDS + r"[\x20\x09-\x0D]*"), F.lit(0))
+        pieces = found.select("sid", F.inline(F.flatten(F.transform(F.array(words), cut))))  # the words are a lambda's variable: found once
+        held = pieces.groupBy("shard", "slot", "sid").agg(F.sum("n").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("pieces"))
+        return held.select("shard", "slot", "sid", "n_words", F.array_join(F.transform("pieces", lambda p: p["piece"]), "\n").alias("text"))
 
     def taken(self) -> DataFrame:
-        """Per document: doc_id, size, source_size, target (its source's), taken (words the mix holds, repeats counted)."""
-        joined = self._segments().join(self.slots, (F.col("own") == F.col("sid")) & (F.col("block_no") == F.col("block")), "left")
-        n = F.greatest(F.least("to", F.col("block") * self.block + F.col("take")) - F.col("from"), F.lit(0).cast("long"))
-        some = joined.groupBy("doc_id", "size", "own", "start").agg(F.sum(F.when(F.col("block").isNotNull(), n).otherwise(0)).alias("taken")).select("doc_id", "size", "own", "taken")
-        none = self.documents.filter("size = 0").select("doc_id", "size", F.col("sid").alias("own"), F.lit(0).cast("long").alias("taken"))
-        facts = self.sources.select("sid", F.col("size").alias("source_size"), "target")
-        return some.unionByName(none).join(facts, F.col("own") == F.col("sid")).select("doc_id", "size", "source_size", "target", "taken")
+        """Per document: doc_id, size, source_size, target (its source's), taken (words of its spans in the mix, repeats counted)."""
+        held = self._spans().groupBy(F.col("sid").alias("of"), F.col("start").alias("at")).agg(F.sum("n_words").alias("held"))
+        rows = self.documents.join(held, (F.col("size") > 0) & (F.col("sid") == F.col("of")) & (F.col("start") == F.col("at")), "left")
+        facts = self.sources.select(F.col("sid").alias("own"), F.col("size").alias("source_size"), "target")
+        rows = rows.select("doc_id", "size", "sid", F.coalesce("held", F.lit(0).cast("long")).alias("taken"))
+        return rows.join(facts, F.col("own") == F.col("sid")).select("doc_id", "size", "source_size", "target", "taken")

@@ -29,6 +29,11 @@ def op2_mixing(spark, sf):
     return mixing.Mix(table(spark, sf, "documents")).taken()
 
 
+def mix_blocks(spark, sf):
+    """The mix itself: what every slot of every shard holds."""
+    return mixing.Mix(table(spark, sf, "documents")).blocks()
+
+
 def mix_targets(spark, sf):
     """The deterministic half of the mix, which SQL can express: sizes and targets of the sources."""
     sized = table(spark, sf, "documents").select("source", mixing.n_words(F.col("text")).alias("size"))
@@ -185,7 +190,7 @@ def op10_surrogates(spark, sf):
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_mixing": op2_mixing,
-    "mix_targets": mix_targets,
+    "mix_blocks": mix_blocks, "mix_targets": mix_targets,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_embedding_dedup": op5_embedding_dedup,

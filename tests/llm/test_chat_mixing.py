@@ -116,6 +116,22 @@ def test_mix(spark, block, shard_slots):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_blocks_hold_the_words_of_the_spans(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" + "\n" * (j % 3) for j in range(n)), s) for i, (n, s) in enumerate([(5, "a"), (700, "a"), (90, "b"), (0, None), (33, None), (64, "b"), (1, "a")])]
+    rows += [(1, rows[1][1], "a"), (1, rows[1][1].replace("w", "v"), "a"), (None, "no key", "b")]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=64, shard_slots=8)
+    texts = {}
+    for k, t, _ in rows:
+        texts.setdefault(k, set()).add(tuple(t.split()))
+    want = {}
+    for r in mix.spans().collect():
+        want.setdefault((r.shard, r.slot), []).append({t[r.word_from : r.word_from + r.n_words] for t in texts[r.doc_id]})
+    got = {(r.shard, r.slot): r for r in mix.blocks().collect()}
+    assert got.keys() == want.keys() and all(len(r.text.split()) == r.n_words <= 64 for r in got.values())
+    assert all(any(" ".join(p) in " ".join(got[k].text.split()) for p in ps) for k, pieces in want.items() for ps in pieces)
+    assert sum(r.taken for r in mix.taken().collect()) == sum(r.n_words for r in got.values())
+
+
 def test_empty_mix(spark):
     docs = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert mixing.Mix(docs.limit(0)).taken().collect() == []
