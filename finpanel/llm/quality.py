@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finpanel.llm.common import by_value, mix, own, shared, shingle_hashes, text_groups, word_hashes
+from finpanel.session import materialize
 
 by_value(__name__)
 
@@ -38,14 +39,15 @@ def statistics(raw: bytes, words: np.ndarray, counts: np.ndarray, n_chars) -> np
 
 
 def features(text: str | None, n_chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words, their weights (of length 1 together), and the statistics."""
+    """Places of the hashed words, each place once, their weights (of length 1 together), and the statistics."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = word_hashes((text or "").lower().encode("utf-8", "surrogatepass"))
     distinct, counts = np.unique(words, return_counts=True)
-    place = (mix(distinct) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    weight = np.log1p(counts)
+    held = np.bincount((mix(distinct) >> np.uint64(64 - WORD_BITS)).astype(np.int64), weights=counts, minlength=1 << WORD_BITS)
+    place = np.flatnonzero(held)
+    weight = np.log1p(held[place])
     weight = weight / np.sqrt((weight**2).sum()) if len(weight) else weight
-    return place, weight, statistics(raw, words, counts, n_chars)
+    return place.astype(np.int16), weight.astype(np.float32), statistics(raw, words, counts, n_chars)
 
 
 class Machine:
@@ -125,31 +127,50 @@ def train(parts: list, labels: np.ndarray, *, factors: int = 8, epochs: int = 12
 def _featured():
     def run(batches):
         for batch in batches:
-            out = [features(t, n) for t, n in zip(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), *(pa.array([o[i] for o in out], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.float64(), pa.float64())))],
-                names=["label", "place", "weight", "stats"],
-            )
+            for part in text_groups([batch], "text", 4_000_000):
+                out = [features(t, n) for t, n in zip(part.column("text").to_pylist(), part.column("n_chars").to_pylist())]
+                lists = [pa.array([o[i] for o in out], pa.list_(k)) for i, k in enumerate((pa.int16(), pa.float32(), pa.float64()))]
+                size = pa.array([len(o[0]) for o in out], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("turn"), part.column("label"), size, *lists], names=["turn", "label", "size", "place", "weight", "stats"])
 
     return run
 
 
-def learn(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", label: str = "quality", most_rows: int = 8_000, **training) -> Machine:
+def _vectors(column) -> list[np.ndarray]:
+    """Rows of an Arrow list column as slices of one array."""
+    column = column.combine_chunks()
+    edges, whole = column.offsets.to_numpy(), column.values.to_numpy()
+    return [whole[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
+def learn(
+    documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", label: str = "quality",
+    most_rows: int = 8_000, most_entries: int = 4_000_000, **training,
+) -> Machine:
     """A machine fitted on at most ``most_rows`` (8,000) labelled documents, the first by a hash of their key.
 
     Of several labels of one key the mean decides (0.5 counts as 1); null labels and keys are left out. Of several documents of one
     key the one with the smallest hash of its text is learnt from; repeats are reduced by tasks, before the shuffle. Without labelled rows the score is
-    0.5 for all. Training runs on the driver, on the sample's sparse vectors only.
+    0.5 for all. Training runs on the driver, on the sample's sparse vectors only: the first of them that have ``most_entries`` (4,000,000, in 6 bytes
+    each) together, so that what reaches the driver is bounded however long the texts are. Vectors are written to the shared folder before that.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("known")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("known"), "known").limit(most_rows)
+    sample = known.withColumn("turn", F.xxhash64("known")).orderBy("turn", "known").limit(most_rows)
     rows = _columns(documents, key, text, n_chars).join(F.broadcast(sample), F.col("key") == F.col("known"))
     one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "n_chars")).alias("one")
-    rows = rows.groupBy("known").agg(F.first("label").alias("label"), one).select("label", "one.text", "one.n_chars")
-    found = rows.mapInArrow(_featured(), "label int, place array<long>, weight array<double>, stats array<double>").toArrow()
-    parts = [(np.array(p, dtype=np.int64), np.array(w), np.array(s)) for p, w, s in zip(*(found.column(c).to_pylist() for c in ("place", "weight", "stats")))]
-    order = sorted(range(len(parts)), key=lambda i: (parts[i][2].tolist(), parts[i][0].tolist()))  # whatever order tasks end in
-    return train([parts[i] for i in order], np.array(found.column("label").to_pylist(), dtype=np.float64)[order], **training)
+    rows = rows.groupBy("known").agg(F.first("turn").alias("turn"), F.first("label").alias("label"), one).select("turn", "label", "one.text", "one.n_chars")
+    rows = rows.mapInArrow(_featured(), "turn long, label int, size int, place array<short>, weight array<float>, stats array<double>")
+    stored = materialize(rows, "sample")
+    sizes = stored.select("turn", "size").toArrow()  # at most most_rows
+    turns, sizes = (sizes.column(c).to_numpy() for c in ("turn", "size"))
+    order = np.argsort(turns)
+    fit = int((np.cumsum(sizes[order]) <= most_entries).sum())
+    found = stored.filter(F.col("turn") <= int(turns[order[fit - 1]])) if fit else stored.limit(0)
+    found = found.select("turn", "label", "place", "weight", "stats").toArrow()
+    parts = list(zip(*(_vectors(found.column(c)) for c in ("place", "weight", "stats"))))
+    order = np.argsort(found.column("turn").to_numpy(), kind="stable")
+    known = found.column("label").to_numpy().astype(np.float64)
+    return train([parts[i] for i in order], known[order], **training)
 
 
 def _columns(documents: DataFrame, key: str, text: str, n_chars: str) -> DataFrame:

@@ -99,3 +99,16 @@ def test_query_agrees_with_sql(spark, name):
 def test_registered():
     found = driver.queries()
     assert "pipeline" in found and all(any(n.startswith(f"op{i}_") for n in found) for i in range(1, 11))
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda parts, labels, **_: seen.append((sum(len(p) for p, _, _ in parts), len(parts))))
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 30000), i -> concat('w', i * (id + 3)))) AS text", "9L AS n_chars")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality")
+    quality.learn(docs, labels, most_entries=200_000)
+    quality.learn(docs, labels.limit(0), most_entries=200_000)
+    (entries, rows), nothing = seen
+    assert 150_000 < entries <= 200_000 and 10 <= rows < 60 and nothing == (0, 0)
+    place, weight, _ = quality.features("a b b c " + "d " * 1000, 1)
+    assert place.dtype == np.int16 and len(set(place.tolist())) == len(place) == 4 and weight.dtype == np.float32
