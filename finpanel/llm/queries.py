@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from finpanel.llm import chat, decontaminate, embedding_dedup, html_text, line_dedup, mixing, near_dedup, quality, surrogates, url_filter
+from finpanel.llm import chat, decontaminate, embedding_dedup, html_text, line_dedup, mixing, more_queries, near_dedup, quality, surrogates, url_filter
 from finpanel.llm.common import table
 
 # ---- 1: main text of pages --------------------------------------------------------------------------
@@ -208,3 +208,5 @@ SQL = {
     "op7_url_filter": URL_FILTER,
     "op8_decontaminate": f"WITH {contamination_sql()} SELECT * FROM judged",
 }
+QUERIES |= more_queries.QUERIES
+SQL |= more_queries.SQL

@@ -98,7 +98,7 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_registered():
     found = driver.queries()
-    assert "pipeline" in found and all(any(n.startswith(f"op{i}_") for n in found) for i in range(1, 11))
+    assert "pipeline" in found and all(any(n.startswith(f"op{i}_") for n in found) for i in range(1, 14))
 
 
 def test_sample_is_bounded_in_bytes(spark, monkeypatch):
