@@ -1,4 +1,9 @@
-"""Rolling factor betas. The panel is shuffled by security; inside a task numpy solves the small systems."""
+"""Rolling factor betas from running products. The panel is shuffled by security; inside a task numpy solves the small systems.
+
+A window's normal equations hold sums of products over its rows: 36 of the factors and the constant with each other, 8 with the return (for seven
+factors). They are taken from sums that run forward and backward through blocks as long as the window: a window is the end of one block and the start of
+the next, so every row is multiplied once, whatever the window, and no large totals are subtracted from each other.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,9 @@ from pyspark.sql import types as T
 
 from finpanel.plans.factors import FACTORS, characteristics, factor_columns
 
-BLOCK = 256  # windows solved at once
+BLOCK = 256  # windows solved at once where rows are needed
+NOISE = 1e-8  # least variance of a factor in a window, as a share of its mean square, that is not taken for rounding
+SAFE = 1e-6  # least share of a factor's variance that the factors before it must leave, for normal equations to be solved as they stand
 
 # Tasks get these functions by value: executors need numpy and pandas, but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -72,15 +79,90 @@ def _solve(x: np.ndarray, y: np.ndarray, min_obs: int) -> np.ndarray:
     return slopes
 
 
+def _window_sums(rows: np.ndarray, window: int) -> np.ndarray:
+    """Sums over all windows of ``window`` consecutive rows, one per start."""
+    blocks = -(-len(rows) // window) + 1
+    padded = np.zeros((blocks * window, rows.shape[1]))
+    padded[: len(rows)] = rows
+    cut = padded.reshape(blocks, window, -1)
+    ahead = np.cumsum(cut, axis=1).reshape(len(padded), -1)  # from the block's start up to a row
+    rest = np.cumsum(cut[:, ::-1], axis=1)[:, ::-1].reshape(len(padded), -1)  # from a row to the block's end
+    start = np.arange(len(rows) - window + 1)
+    return rest[start] + np.where((start % window > 0)[:, None], ahead[start + window - 1], 0.0)
+
+
+def _filled_forward(x: np.ndarray) -> np.ndarray:
+    """The last value up to each row; NaN before the first."""
+    last = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))[:, None]), axis=0)
+    return np.where(last < 0, np.nan, np.take_along_axis(x, np.maximum(last, 0), axis=0))
+
+
+def _eliminated(normal: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of many small normal equations, and which of them are safe: scaled to correlations, no pivot is below SAFE."""
+    k = normal.shape[1]
+    size = np.sqrt(np.maximum(normal[:, range(k), range(k)], 0.0))
+    scale = np.where(size > 0, size, 1.0)
+    a = np.concatenate([normal / scale[:, :, None] / scale[:, None, :], (target / scale)[:, :, None]], axis=2)
+    safe = (size > 0).all(axis=1)
+    for i in range(k):
+        pivot = a[:, i, i]
+        safe &= pivot > SAFE
+        row = a[:, i, i:] / np.where(pivot > SAFE, pivot, 1.0)[:, None]
+        a[:, i + 1 :, i:] -= a[:, i + 1 :, i, None] * row[:, None, :]
+        a[:, i, i:] = row
+    found = np.zeros_like(target)
+    for i in reversed(range(k)):
+        found[:, i] = a[:, i, k] - np.einsum("bj,bj->b", a[:, i, i + 1 : k], found[:, i + 1 :])
+    return found / scale, safe
+
+
 def _security_betas(pdf: pd.DataFrame, factors: Sequence[str], window: int, min_obs: int) -> np.ndarray:
+    """Betas of each row of a security from the ``window`` rows before it.
+
+    Factors are filled forward through the series. Where a window begins inside a gap, the products of its first rows are replaced by those of
+    the first value after the gap. Nearly singular windows are solved from their rows by ``_solve``.
+    """
     y = pdf["return_pct"].to_numpy(float) / 100.0
     x = pdf[list(factors)].to_numpy(float)
-    betas = np.full((len(pdf), len(factors)), np.nan)
-    for start in range(window, len(pdf), BLOCK):
-        stop = min(start + BLOCK, len(pdf))
-        part = slice(start - window, stop - 1)
-        yw = np.lib.stride_tricks.sliding_window_view(y[part], window)
-        betas[start:stop] = _solve(_windows(x[part], window), yw, min_obs)
+    n, k = x.shape
+    betas = np.full((n, k), np.nan)
+    have, use = ~np.isnan(x), ~np.isnan(y)
+    if n <= window or not use.any():
+        return betas
+    center = np.array([np.median(c[h]) if h.any() else 0.0 for c, h in zip(x.T, have.T)])  # keeps products small, even beside outliers
+    xs = np.column_stack([np.nan_to_num(_filled_forward(x) - center), np.ones(n)])
+    ys = np.where(use, y - np.median(y[use]), 0.0)
+    left, right = np.triu_indices(k + 1)
+    pairs = len(left)
+
+    def products(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.column_stack([rows[:, left] * rows[:, right] * use[at, None], rows * ys[at, None]])
+
+    counts = _window_sums(np.column_stack([have, use]).astype(float), window)[:-1]
+    run = np.flatnonzero((counts[:, k] >= max(min_obs, 1)) & (counts[:, :k] > 0).all(axis=1))
+    sums = _window_sums(products(xs, np.arange(n)), window)[run]
+    after = np.minimum.accumulate(np.where(have, np.arange(n)[:, None], n)[::-1], axis=0)[::-1]  # next row that has the factor
+    ends = after[run] - run[:, None]  # rows of each window's start that lie in a gap
+    for step in range(int(ends.max(initial=0))):
+        open_ = np.flatnonzero((ends > step).any(axis=1))
+        row, later = run[open_] + step, np.take_along_axis(x, np.minimum(after[run[open_]], n - 1), axis=0) - center
+        other = xs[row].copy()
+        other[:, :k] = np.where(ends[open_] > step, later, other[:, :k])
+        sums[open_] += products(other, row) - products(xs[row], row)
+    both = np.zeros((len(run), k + 1, k + 1))
+    both[:, left, right] = both[:, right, left] = sums[:, :pairs]
+    moments, count = sums[:, pairs:], counts[run, k, None]
+    mean = both[:, :k, k] / count
+    normal = both[:, :k, :k] - mean[:, :, None] * both[:, None, k, :k]
+    found, safe = _eliminated(normal, moments[:, :k] - mean * moments[:, k:])
+    safe &= (normal[:, range(k), range(k)] > NOISE * both[:, range(k), range(k)]).all(axis=1)
+    betas[window + run[safe]] = found[safe]
+    slow = run[~safe]
+    for at in range(0, len(slow), BLOCK):
+        part = slow[at : at + BLOCK]
+        lo, hi = part[0], part[-1] + window
+        yw = np.lib.stride_tricks.sliding_window_view(y[lo:hi], window)[part - lo]
+        betas[window + part] = _solve(_windows(x[lo:hi], window)[part - lo], yw, min_obs)
     return betas
 
 

@@ -375,3 +375,25 @@ def test_full_report(spark):
     assert counts["event_summary"] == 2 and counts["return_stats"] == 12 and counts["overlap"] == 1
     assert counts["persistence_curves"] == 2 * 2 * 3 * 21 and counts["persistence_compare"] == 8
     assert counts["market_amplitude"] == n and counts["persistence_logit_big"] in (0, 5)
+
+
+def test_running_products_against_whole_windows():
+    """Gaps, a factor that is constant for a while, outliers, few returns: as solving every window from its rows."""
+    rng = np.random.default_rng(4)
+    n, k, window = 700, 4, 60
+    names = [f"f{i}" for i in range(k)]
+    for gaps, missing, odd in ((0.0, 0.0, None), (0.1, 0.2, None), (0.0, 0.0, "constant"), (0.02, 0.0, "outlier"), (0.0, 0.0, "late"), (0.0, 0.97, None)):
+        x, y = rng.normal(size=(n, k)), rng.normal(size=n)
+        x[rng.random((n, k)) < gaps], y[rng.random(n) < missing] = np.nan, np.nan
+        if odd == "constant":
+            x[100:300, 2] = 1.5
+        elif odd == "outlier":
+            x[50, 1], y[80] = 1e7, 1e7
+        elif odd == "late":
+            x[:200, 3] = np.nan
+        got = lo._security_betas(pd.DataFrame({**dict(zip(names, x.T)), "return_pct": y}), names, window, 20)
+        y /= 100.0
+        want = np.full((n, k), np.nan)
+        want[window:] = lo._solve(lo._windows(x, window)[:-1], np.lib.stride_tricks.sliding_window_view(y, window)[:-1], 20)
+        assert np.array_equal(np.isnan(got), np.isnan(want))
+        assert np.allclose(got, want, rtol=1e-7, atol=1e-9, equal_nan=True), (gaps, missing, odd)
