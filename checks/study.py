@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import views as v
+from checks.solve import normal_p, solved
 from finpanel.functions import trimmed
+from finpanel.operators.quantiles import quantiles
+from finpanel.operators.stats import WIDTHS, mann_whitney
 from finpanel.plans import events as ev
 from finpanel.plans import market as mk
 from finpanel.plans import report as rp
@@ -229,14 +232,38 @@ def feature_thirds(spark, sf):
 
 
 def persistence_compare(spark, sf):
-    out = rp.persistence_compare(events(spark, sf, "market_cap", "beta")).drop("p_value")
-    return r6(out, "mean_hi", "median_hi", "mean_lo", "median_lo", "u", "z")
+    out = rp.persistence_compare(events(spark, sf, "market_cap", "beta"))
+    return r6(out, "mean_hi", "median_hi", "mean_lo", "median_lo", "u", "z", "p_value")
+
+
+RANKED = ("u", "z", "p_value")
+
+
+def rank_sums_by_security(spark, sf):
+    """Rank-sum tests of small groups, most of them with exact p: days of strong moves against others, per security and quarter."""
+    rows = v.panel(spark, sf).select("stock_code", F.date_trunc("quarter", "date").cast("date").alias("quarter"), "amp_pct", (F.abs("return_pct") >= 4).cast("int").alias("strong"))
+    return r6(mann_whitney(rows, "amp_pct", "strong", ["stock_code", "quarter"]).where("n1 > 0 AND n0 > 0"), *RANKED)
+
+
+LOGIT_VALUES = ("coef", "std_err", "z", "p_value", "ci_lo", "ci_hi", "pseudo_r2")
 
 
 def persistence_logit(spark, sf):
-    rows = materialize(events(spark, sf, "market_cap", "beta"), "logit-events")
-    big, sml = (rp.persistence_logit(rows, kind).withColumn("kind", F.lit(kind)) for kind in ("big", "sml"))
-    return big.unionByName(sml)
+    return r6(rp.persistence_logit(events(spark, sf, "market_cap", "beta")), *LOGIT_VALUES)
+
+
+def round_return_histograms(spark, sf):
+    rows = events(spark, sf, *rp.RETURNS, *rp.EXCESS)
+    rows = rows.withColumns({c: trimmed(F.col(c) + 3.7e-9, 5) for c in (*rp.RETURNS, *rp.EXCESS)})  # as in return_histograms
+    return r6(rp.round_return_histograms(rows), "mean", "width", "lo", "hi")
+
+
+def large_group_quantiles(spark, sf):
+    """Quantiles of groups of all sizes, among them all line items in one group."""
+    rows = v.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("price"))
+    every = rows.withColumn("l_returnflag", F.lit("all"))
+    marks = quantiles(materialize(rows.unionByName(every), "prices"), ["l_returnflag"], "price", [0.001, 0.1, 0.5, 0.9, 0.999], ["p01", "p10", "p50", "p90", "p99"])
+    return r6(marks, "p01", "p10", "p50", "p90", "p99")
 
 
 def persistent_overlap(spark, sf):
@@ -335,6 +362,52 @@ CURVE_ROWS = " UNION ALL ".join(
     }.items()
 )
 
+LOGIT_X = ("log_mcap", "beta", "is_attention", "strength", "const")
+LOGIT_STEPS = 9
+
+
+def _logit_sql() -> str:
+    """Newton steps as chained tables: each has the coefficients per kind, from all rows' weighted cross-products under the ones before."""
+    k = len(LOGIT_X)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    eta = " + ".join(f"b{i} * x{i}" for i in range(k))
+    parts = [f"""logit_rows AS MATERIALIZED (SELECT kind, CAST(coalesce(persist_amp >= persist_cut, false) AS DOUBLE) AS y, ln(1 + greatest(coalesce(market_cap, 0), 0)) AS x0,
+    nullif(beta, 0) AS x1, CAST(coalesce(is_attention, 0) AS DOUBLE) AS x2, strength AS x3, 1.0 AS x4 FROM event_rows WHERE nullif(beta, 0) IS NOT NULL AND strength IS NOT NULL)""",
+             f"b_0 AS (SELECT kind, {', '.join(f'0.0 AS b{i}' for i in range(k))} FROM logit_rows GROUP BY kind HAVING count(*) >= 50 AND min(y) < max(y))"]
+    units = tuple(f"u{i}" for i in range(k))
+    for n in range(LOGIT_STEPS + 1):
+        last = n == LOGIT_STEPS
+        sums = ", ".join([f"sum(p * (1 - p) * x{i} * x{j}) AS a_{i}_{j}" for i, j in pairs] + [f"sum((y - p) * x{i}) AS t_{i}" for i in range(k)])
+        unit = "".join(f", {1.0 if i == j else 0.0} AS u{i}_{j}" for i in range(k) for j in range(k)) if last else ""
+        parts.append(f"p_{n} AS (SELECT r.*, {eta} AS eta, 1 / (1 + exp(-({eta}))) AS p FROM logit_rows AS r JOIN b_{n} USING (kind))")
+        parts.append(f"s_{n} AS MATERIALIZED (SELECT kind, {sums}{unit}, count(*) AS n, avg(y) AS share, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(eta)))) AS fit FROM p_{n} GROUP BY kind)")
+        if not last:
+            parts.append(solved(f"s_{n}", k, ["kind"], prefix=f"e{n}"))
+            parts.append(f"b_{n + 1} AS MATERIALIZED (SELECT kind, {', '.join(f'b{i} + x_t_{i} AS b{i}' for i in range(k))} FROM b_{n} JOIN e{n}_done USING (kind))")
+    parts.append(solved(f"s_{LOGIT_STEPS}", k, ["kind"], units, prefix="inv"))
+    rows = " UNION ALL ".join(f"SELECT kind, '{name}' AS variable, b{i} AS coef, sqrt(x_u{i}_{i}) AS std_err FROM b_{LOGIT_STEPS} JOIN inv_done USING (kind)" for i, name in enumerate(LOGIT_X))
+    parts.append(f"coefs AS (SELECT *, coef / std_err AS z, coef - 1.959963984540054 * std_err AS ci_lo, coef + 1.959963984540054 * std_err AS ci_hi FROM ({rows}))")
+    parts.append(f"""named AS (SELECT coefs.*, n, {normal_p('z')} AS p_value, 1 - fit / (n * (share * ln(share) + (1 - share) * ln(1 - share))) AS pseudo_r2
+    FROM coefs JOIN s_{LOGIT_STEPS} USING (kind))""")
+    return f"""{EVENT_ROWS}, {', '.join(parts)}
+        SELECT kind, variable, {_r6sql(*LOGIT_VALUES)}, n, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS stars FROM named"""
+
+
+#: Exact p by counting: in how many ways k of the first r ranks have a given sum.
+RANK_SUMS = f"""WITH RECURSIVE {v.PANEL}, long AS (SELECT stock_code, date_trunc('quarter', date) AS quarter, amp_pct AS value, CAST(abs(return_pct) >= 4 AS INTEGER) AS g
+    FROM panel WHERE amp_pct IS NOT NULL AND return_pct IS NOT NULL),
+  ranked AS (SELECT *, rank() OVER (PARTITION BY stock_code, quarter ORDER BY value) + (count(*) OVER (PARTITION BY stock_code, quarter, value) - 1) / 2.0 AS rk FROM long),
+  ties AS (SELECT stock_code, quarter, sum(c * c * c - c) AS t FROM (SELECT stock_code, quarter, value, CAST(count(*) AS DOUBLE) AS c FROM long GROUP BY ALL) GROUP BY ALL),
+  us AS (SELECT stock_code, quarter, CAST(sum(g) AS BIGINT) AS n1, CAST(sum(1 - g) AS BIGINT) AS n0, sum(rk) FILTER (g = 1) - sum(g) * (sum(g) + 1) / 2.0 AS u, any_value(t) AS t
+    FROM ranked JOIN ties USING (stock_code, quarter) GROUP BY stock_code, quarter HAVING sum(g) > 0 AND sum(1 - g) > 0),
+  zs AS (SELECT *, greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / nullif(sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - t / ((n1 + n0) * (n1 + n0 - 1.0)))), 0) AS z FROM us),
+  ways(r, k, s, c) AS (SELECT 0, 0, 0, CAST(1 AS HUGEINT) UNION ALL
+    SELECT r + 1, k + d, s + d * (r + 1), CAST(sum(c) AS HUGEINT) FROM ways, (VALUES (0), (1)) AS t(d) WHERE r < 90 AND k + d <= 8 GROUP BY ALL),
+  exact AS (SELECT stock_code, quarter, 2.0 * CAST(sum(c) FILTER (s >= k * (k + 1) / 2 + greatest(u, n1 * n0 - u)) AS DOUBLE) / CAST(sum(c) AS DOUBLE) AS p
+    FROM zs JOIN ways ON r = n1 + n0 AND k = least(n1, n0) WHERE t = 0 AND least(n1, n0) <= 8 GROUP BY stock_code, quarter)"""
+RANK_SUMS_BY_SECURITY = f"""{RANK_SUMS}, found AS (SELECT stock_code, CAST(quarter AS DATE) AS quarter, n1, n0, u, z, CASE WHEN t = 0 AND least(n1, n0) <= 8 THEN least(p, 1.0) ELSE {normal_p('z')} END AS p_value
+  FROM zs LEFT JOIN exact USING (stock_code, quarter)) SELECT stock_code, quarter, n1, n0, {', '.join(f'round({c} + 3.7e-9, 6) + 0.0 AS {c}' for c in ('u', 'z', 'p_value'))} FROM found"""
+
 QUERIES = {
     "event_table": event_table,
     "event_flag_totals": event_flag_totals,
@@ -361,6 +434,9 @@ QUERIES = {
     "feature_thirds": feature_thirds,
     "persistence_compare": persistence_compare,
     "persistence_logit": persistence_logit,
+    "rank_sums_by_security": rank_sums_by_security,
+    "round_return_histograms": round_return_histograms,
+    "large_group_quantiles": large_group_quantiles,
     "persistent_overlap": persistent_overlap,
     "persistence_probability": persistence_probability,
     "running_probability": running_probability,
@@ -417,9 +493,18 @@ SQL = {
           quantile_cont(value, 0.5) FILTER (high = 1) AS median_hi, avg(value) FILTER (high = 0) AS mean_lo, quantile_cont(value, 0.5) FILTER (high = 0) AS median_lo,
           sum(rk) FILTER (high = 1) AS r1 FROM ranked GROUP BY kind, feature),
         us AS (SELECT *, CAST(n_hi AS DOUBLE) AS a, CAST(n_lo AS DOUBLE) AS b, r1 - CAST(n_hi AS DOUBLE) * (n_hi + 1) / 2 AS u FROM tot JOIN ties USING (kind, feature)),
-        zs AS (SELECT *, greatest(abs(u - a * b / 2) - 0.5, 0) / sqrt(a * b / 12 * ((a + b + 1) - t / ((a + b) * (a + b - 1)))) AS z FROM us WHERE n_hi >= 5 AND n_lo >= 5)
-        SELECT kind, feature, n_hi, n_lo, {_r6sql('mean_hi', 'median_hi', 'mean_lo', 'median_lo', 'u', 'z')},
-        CASE WHEN z > 3.290526731 THEN '***' WHEN z > 2.575829304 THEN '**' WHEN z > 1.959963985 THEN '*' ELSE '' END AS stars FROM zs""",
+        zs AS (SELECT *, greatest(abs(u - a * b / 2) - 0.5, 0) / sqrt(a * b / 12 * ((a + b + 1) - t / ((a + b) * (a + b - 1)))) AS z FROM us WHERE n_hi >= 5 AND n_lo >= 5),
+        ps AS (SELECT *, {normal_p('z')} AS p_value FROM zs)
+        SELECT kind, feature, n_hi, n_lo, {_r6sql('mean_hi', 'median_hi', 'mean_lo', 'median_lo', 'u', 'z', 'p_value')},
+        CASE WHEN z > 3.290526731 THEN '***' WHEN z > 2.575829304 THEN '**' WHEN z > 1.959963985 THEN '*' ELSE '' END AS stars FROM ps""",
+    "persistence_logit": _logit_sql(),
+    "rank_sums_by_security": RANK_SUMS_BY_SECURITY,
+    "round_return_histograms": f"""{EVENT_ROWS}, long AS ({HIST}), span AS (SELECT kind, measure, min(value) AS least, max(value) AS most, avg(value) AS mean FROM long GROUP BY kind, measure),
+        sized AS (SELECT *, [w FOR w IN [{', '.join(repr(w) for w in WIDTHS)}] IF floor(most / w) - floor(least / w) < 60][1] AS width FROM span),
+        placed AS (SELECT kind, measure, mean, CAST(width AS DOUBLE) AS width, floor(value / CAST(width AS DOUBLE)) AS bin FROM long JOIN sized USING (kind, measure))
+        SELECT kind, measure, {_r6sql('mean', 'width')}, round(bin * width + 3.7e-9, 6) + 0.0 AS lo, round((bin + 1) * width + 3.7e-9, 6) + 0.0 AS hi, count(*) AS cnt FROM placed GROUP BY kind, measure, mean, width, bin""",
+    "large_group_quantiles": """WITH long AS (SELECT l_returnflag, l_extendedprice AS price FROM lineitem UNION ALL SELECT 'all', l_extendedprice FROM lineitem)
+        SELECT l_returnflag, count(price) AS n, """ + ", ".join(f"round(quantile_cont(price, {p}) + 3.7e-9, 6) + 0.0 AS {n}" for p, n in ((0.001, "p01"), (0.1, "p10"), (0.5, "p50"), (0.9, "p90"), (0.999, "p99"))) + " FROM long GROUP BY l_returnflag",
     "persistent_overlap": f"""{EVENT_ROWS}, m AS (SELECT stock_code, max(CAST(high = 1 AND kind = 'big' AS INTEGER)) AS a, max(CAST(high = 1 AND kind = 'sml' AS INTEGER)) AS b FROM event_rows GROUP BY stock_code),
         s AS (SELECT CAST(sum(coalesce(a, 0)) AS BIGINT) AS n_a, CAST(sum(coalesce(b, 0)) AS BIGINT) AS n_b, CAST(sum(coalesce(a, 0) * coalesce(b, 0)) AS BIGINT) AS n_both, CAST(sum(greatest(coalesce(a, 0), coalesce(b, 0))) AS BIGINT) AS n_any FROM m)
         SELECT *, round(n_both / n_any + 3.7e-9, 6) AS jaccard, round(n_both / n_a * 100 + 3.7e-9, 6) AS pct_of_a, round(n_both / n_b * 100 + 3.7e-9, 6) AS pct_of_b FROM s""",

@@ -1,18 +1,23 @@
-"""Exact group quantiles without collecting a group.
+"""Exact group quantiles without collecting or sorting a group.
 
-A sketch brackets each wanted rank, then only the values inside the brackets are counted one by one; all
-other rows shrink to one counter per gap on the map side. So a group may hold any share of the rows.
+A wanted rank lies in a range of values, at first the group's whole span. Each round cuts that range into equal sub-ranges, counts them, and goes
+on with the one that holds the rank, cut down to the smallest and largest value found in it. Counters are bounded by the number of sub-ranges, whatever
+the group's size, and counts prove where the rank is. A round separates a range's ends, so it always shrinks; a rank is found
+when it is the first or the last of its range. Two or three rounds do for most data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
-from operator import add, or_
+from itertools import count
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finpanel.session import materialize
+
 
 def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], *, few_groups: bool, how: str = "left") -> DataFrame:
     """Attach one row of ``groups`` to every row; null group keys match each other.
@@ -32,6 +37,28 @@ def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], *, few_gr
     return rows.join(side, on, how).drop(*[f"_g_{b}" for b in by])
 
 
+def value_spans(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per group: n, and the smallest and largest value, as ``quantiles`` takes them."""
+    rows = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).where(F.col("_v").isNotNull())
+    return rows.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+
+def _share(v: Column, lo: Column, hi: Column, ranges: int, first: bool) -> Column:
+    """Where ``v`` lies between ``lo`` and ``hi``, from 0 to 1, never falling as ``v`` grows: linear in the value, or in its logarithm where the ends differ
+    by orders of magnitude. Where they differ in sign it is linear around 0 and logarithmic beyond in the first round, and parts the signs later."""
+
+    def between(scaled: Callable[[Column], Column]) -> Column:
+        return (scaled(v) - scaled(lo)) / F.nullif(scaled(hi) - scaled(lo), F.lit(0.0))
+
+    unit = F.greatest(F.abs(lo), F.abs(hi)) / float(1 << 20)
+    return (
+        F.when((lo > 0) & (hi / ranges > lo), between(F.log))
+        .when((hi < 0) & (lo / ranges < hi), between(lambda x: -F.log(-x)))
+        .when((lo < 0) & (hi > 0), between(lambda x: F.signum(x) * (F.log1p(F.abs(x) / unit) if first else 1.0)))
+        .otherwise(between(lambda x: x / 2))  # halves: a span may be beyond all doubles
+    )
+
+
 def quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -39,64 +66,63 @@ def quantiles(
     probs: Sequence[float],
     names: Sequence[str] | None = None,
     *,
-    accuracy: int = 50_000,
-    whole_below: int = 50_000,
+    ranges: int = 1024,
+    spans: DataFrame | None = None,
     few_groups: bool = False,
 ) -> DataFrame:
-    """Linear-interpolated quantiles of the non-null values: columns ``by``, ``n`` and one per quantile.
-
-    Groups of at most ``whole_below`` values are counted whole and need no sketch. In a larger group the
-    sketch is off by at most 1/``accuracy`` of the group, and a bracket of that plus 3/``whole_below`` on
-    both sides of a quantile holds both ranks it lies between, with room for rounding of ranks.
+    """Linear-interpolated quantiles of the values: columns ``by``, ``n`` and one per quantile. Null and NaN are no values.
 
-    The input is read up to three times; store it first when it is costly. For ``few_groups`` see
-    :func:`join_groups`.
+    Runs its rounds at once; each reads the input, after the first only the few values inside the wanted ranges are counted. Store the input when it is
+    costly. ``spans``: the stored result of ``value_spans`` where a caller has it, which saves one reading. For ``few_groups`` see :func:`join_groups`.
     """
     by, probs = list(by), list(probs)
     names = list(names or [f"p{round(p * 100)}" for p in probs])
-    margin = 1.0 / accuracy + 3.0 / whole_below
-    wanted = [p - margin for p in probs] + [p + margin for p in probs]
-    inner = [p for p in wanted if 0.0 < p < 1.0] or [0.5]
-
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    sizes = rows.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # The second condition also keeps all aggregates in use, so that this and ``groups`` share one shuffle.
-    large = sizes.where((F.col("n") > whole_below) & (F.col("_min") < F.col("_max"))).select(*by, F.lit(True).alias("_large"))
-    sketched = join_groups(rows, large, by, few_groups=few_groups, how="inner")
-    sketch = sketched.groupBy(*by).agg(F.percentile_approx("_v", inner, accuracy).alias("_edges"))
-    groups = join_groups(sizes, sketch, by, few_groups=few_groups)
-
-    def edge(i: int, p: float) -> Column:
-        end = F.col("_min") if i < len(probs) else F.col("_max")
-        if p <= 0.0 or p >= 1.0:
-            return end
-        return F.coalesce(F.col("_edges")[inner.index(p)], end)
-
-    edges = [edge(i, p).alias(f"_e{i}") for i, p in enumerate(wanted)]
-    rows = join_groups(rows, groups.select(*by, "n", *edges), by, few_groups=few_groups)
-
-    m = len(probs)
-    v, e = F.col("_v"), [F.col(f"_e{i}") for i in range(2 * m)]
-    in_bracket = reduce(or_, [(v >= e[i]) & (v <= e[m + i]) for i in range(m)])
-    counted = (
-        rows.withColumn("_gap", reduce(add, [(v > x).cast("int") for x in e]))
-        .withColumn("_key", F.when(in_bracket, v))
-        .groupBy(*by, "n", "_gap", "_key")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    order = Window.partitionBy(*by).orderBy("_gap", F.col("_key").asc_nulls_first())
-    counted = counted.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > rank, F.col("_key")))
-
-    aggs = [F.max("n").alias("n")]
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        aggs += [at_rank(F.floor(pos)).alias(f"_a{i}"), at_rank(F.ceil(pos)).alias(f"_b{i}")]
-    picked = counted.groupBy(*by).agg(*aggs)
+    wanted = range(2 * len(probs))
+    rows = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).where(F.col("_v").isNotNull())
+    start = spans.select(*by, "n", "_lo", "_hi") if spans is not None else value_spans(df, by, value)
+    places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ranks = [f(p).cast("long") for p in places for f in (F.floor, F.ceil)]
+    whole = {"lo": F.col("_lo"), "hi": F.col("_hi"), "before": F.lit(0).cast("long"), "count": F.col("n")}
+    state = start.select(*by, "n", *[r.alias(f"_rank{j}") for j, r in zip(wanted, ranks)], *[c.alias(f"_{k}{j}") for j in wanted for k, c in whole.items()])
+
+    def col(kind: str, j: int) -> Column:
+        return F.col(f"_{kind}{j}")
+
+    def is_open(j: int) -> Column:
+        inside = col("rank", j) - col("before", j)
+        return (col("lo", j) < col("hi", j)) & (inside > 0) & (inside < col("count", j) - 1)
+
+    state = materialize(state, "ranks")
+    for turn in count():
+        open_ = state.where(reduce(or_, [is_open(j) for j in wanted]))
+        if open_.isEmpty():
+            break
+        edges = open_.select(*by, *[F.when(is_open(j), col(k, j)).alias(f"_{k}{j}") for j in wanted for k in ("lo", "hi")])
+        met = join_groups(rows, edges, by, few_groups=few_groups, how="inner")
+        v, lo, hi = F.col("_v"), F.lit(None).cast("double"), F.lit(None).cast("double")
+        for j in reversed(wanted):
+            inside = (v >= col("lo", j)) & (v <= col("hi", j))
+            lo, hi = F.when(inside, col("lo", j)).otherwise(lo), F.when(inside, col("hi", j)).otherwise(hi)
+        met = met.select(*by, "_v", lo.alias("_from"), hi.alias("_to")).where(F.col("_from").isNotNull())
+        cell = F.when(v == F.col("_to"), F.lit(ranges)).otherwise(F.coalesce(F.floor(_share(v, F.col("_from"), F.col("_to"), ranges, first=turn == 0) * ranges), F.lit(0)).cast("int"))
+        cells = met.groupBy(*by, "_from", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        upto = F.sum("_c").over(Window.partitionBy(*by, "_from").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+        cells = cells.withColumn("_below", upto - F.col("_c"))
+        known = join_groups(cells, open_.drop("n"), by, few_groups=few_groups)
+        picks = []
+        for j in wanted:
+            inside = col("rank", j) - col("before", j) - F.col("_below")
+            holds = is_open(j) & (F.col("_from") == col("lo", j)) & (inside >= 0) & (inside < F.col("_c"))
+            picks.append(F.min(F.when(holds, F.struct("_least", "_most", "_below", "_c"))).alias(f"_pick{j}"))
+        found = join_groups(state, known.groupBy(*by).agg(*picks), by, few_groups=few_groups)
+        moved = {}
+        for j in wanted:
+            pick = F.col(f"_pick{j}")
+            moved |= {f"_lo{j}": F.coalesce(pick["_least"], col("lo", j)), f"_hi{j}": F.coalesce(pick["_most"], col("hi", j))}
+            moved |= {f"_before{j}": col("before", j) + F.coalesce(pick["_below"], F.lit(0)), f"_count{j}": F.coalesce(pick["_c"], col("count", j))}
+        state = materialize(found.withColumns(moved).select(*state.columns), "ranks")
     out = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        pos = F.lit(float(p)) * (F.col("n") - 1)
-        out.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (pos - F.floor(pos))).alias(name))
-    return picked.select(*by, "n", *out)
+    for i, (place, name) in enumerate(zip(places, names)):
+        a, b = (F.when(col("rank", j) == col("before", j), col("lo", j)).otherwise(col("hi", j)) for j in (2 * i, 2 * i + 1))
+        out.append((a + (b - a) * (place - F.floor(place))).alias(name))
+    return state.select(*by, "n", *out)

@@ -10,6 +10,7 @@ import math
 import sys
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -39,21 +40,23 @@ def describe(df: DataFrame, value: str, by: Sequence[str], *, scale: float = 100
     the share of values > 0 in percent.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull())
+    rows = df.where(F.nanvl(F.col(value).cast("double"), F.lit(None)).isNotNull())
     moments = rows.groupBy(*by).agg(
-        F.count(value).alias("cnt"),
+        F.count(value).alias("cnt"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
         (F.avg(value) * scale).alias("mean"),
         (F.stddev_samp(value) * scale).alias("std"),
         F.skewness(value).alias("_g1"),
         F.kurtosis(value).alias("_g2"),
         (F.avg((F.col(value) > 0).cast("double")) * 100.0).alias("win_pct"),
     )
+    moments = materialize(moments, "moments")
+    spans = moments.select(*by, F.col("cnt").alias("n"), F.col("_lo").cast("double"), F.col("_hi").cast("double"))
     n, g1, g2 = F.col("cnt").cast("double"), F.col("_g1"), F.col("_g2")
     skew = F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
     kurt = F.when(
         n >= 4, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * g2 + 6.0)
     )
-    marks = quantiles(rows, by, value, [0.10, 0.25, 0.50, 0.75, 0.90], ["p10", "p25", "median", "p75", "p90"], few_groups=few_groups)
+    marks = quantiles(rows, by, value, [0.10, 0.25, 0.50, 0.75, 0.90], ["p10", "p25", "median", "p75", "p90"], spans=spans, few_groups=few_groups)
     joined = join_groups(moments.where(F.col("cnt") >= min_n), marks.drop("n"), by, few_groups=few_groups)
     return joined.select(
         *by, "cnt", "mean", (F.col("median") * scale).alias("median"), "std",
@@ -105,6 +108,24 @@ def histogram(df: DataFrame, value: str, by: Sequence[str], *, bins: int = 60, f
     return placed.groupBy(*by, "lo", "hi", "mean", "bin").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+WIDTHS = [m * 10.0**k for k in range(-9, 13) for m in (1, 2, 5)]
+
+
+def round_histogram(df: DataFrame, value: str, by: Sequence[str], *, most_bins: int = 60, few_groups: bool = False) -> DataFrame:
+    """Counts in bins of a round width, aligned to its multiples, with the group mean: lo and hi are a bin's edges, hi not included.
+
+    The width is the smallest of 1, 2 and 5 times a power of ten that covers a group with at most ``most_bins`` bins.
+    """
+    by = list(by)
+    rows = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).where(F.col("_v").isNotNull())
+    span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.avg("_v").alias("mean"))
+    fits = F.filter(F.array(*(F.lit(w) for w in WIDTHS)), lambda w: F.floor(F.col("_hi") / w) - F.floor(F.col("_lo") / w) < most_bins)
+    span = span.select(*by, "mean", F.get(fits, 0).alias("width"))
+    placed = join_groups(rows, span, by, few_groups=few_groups).withColumn("_at", F.floor(F.col("_v") / F.col("width")))
+    counts = placed.groupBy(*by, "mean", "width", "_at").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.select(*by, "mean", "width", (F.col("_at") * F.col("width")).alias("lo"), ((F.col("_at") + 1) * F.col("width")).alias("hi"), "cnt")
+
+
 def box_summary(df: DataFrame, value: str, by: Sequence[str], *, few_groups: bool = False) -> DataFrame:
     """Quartiles, extremes, and whiskers (outermost values within 1.5 interquartile ranges)."""
     by = list(by)
@@ -123,48 +144,65 @@ def box_summary(df: DataFrame, value: str, by: Sequence[str], *, few_groups: boo
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _two_sided_normal_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0)))
+EXACT_BELOW, MOST_PAIRS = 8, 1_000_000
 
 
-def _range_of(v: Column, step: int) -> Column:
-    """Number of ascending ``_splits`` below ``v``: first among every ``step``-th of them, then in between."""
-    coarse = F.size(F.filter("_coarse", lambda s: s < v))
-    fine = F.size(F.filter(F.slice("_splits", coarse * step + 1, step), lambda s: s < v))
-    return coarse * step + fine
+def rank_sum_counts(m: int, n: int) -> list[int]:
+    """In how many ways U takes each value 0 to m * n, for groups of m and n without ties.
+
+    The counts are the coefficients of a Gaussian binomial: one factor (1 - q^(n+i)) / (1 - q^i) for each of the m values, in whole numbers.
+    """
+    counts = np.array([0] * (m * n + 1), dtype=object)
+    counts[0] = 1
+    for i in range(1, m + 1):
+        if n + i <= m * n:
+            counts[n + i :] = counts[n + i :] - counts[: -n - i]
+        for r in range(min(i, len(counts))):
+            counts[r::i] = np.cumsum(counts[r::i])
+    return counts.tolist()
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (), *, buckets: int = 1024, few_groups: bool = False) -> DataFrame:
+def exact_p(n1: int, n0: int, u: float) -> float:
+    """Two-sided p of U: twice the share of arrangements whose U is as large as the larger of U and its mirror, at most 1."""
+    counts = rank_sum_counts(min(n1, n0), max(n1, n0))
+    upper = sum(counts[int(max(u, n1 * n0 - u)) :])
+    return min(1.0, 2 * upper / sum(counts))
+
+
+@F.pandas_udf(T.DoubleType())
+def _two_sided_p(n1: pd.Series, n0: pd.Series, u: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    out = []
+    for a, b, x, t, s in zip(n1, n0, u, ties, z):
+        if t == 0 and 0 < min(a, b) <= EXACT_BELOW and a * b <= MOST_PAIRS:
+            out.append(exact_p(int(a), int(b), x))
+        else:
+            out.append(None if pd.isna(s) else math.erfc(abs(s) / math.sqrt(2.0)))
+    return pd.Series(out, dtype="float64")
+
+
+def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (), *, per_range: int = 100_000, few_groups: bool = False) -> DataFrame:
     """Mann-Whitney U of group 1 against group 0, two-sided p.
 
-    Always the normal approximation with tie and continuity correction, also for very small groups.
-    Ranks never need one ordered pass over all values: rows are counted per distinct value, the distinct
-    values fall into ``buckets`` value ranges from a sketch, and a value's rank is the size of the ranges
-    below plus its place inside its own range.
+    p is exact where one group has at most 8 values and no two values are equal, else the normal approximation with tie and continuity
+    correction (also where such a small group meets so many values that there are more than a million pairs). Ranks never need one ordered pass over all
+    values: rows are counted per distinct value, and the distinct values are sorted by ranges, as many as their number asks for
+    (about ``per_range`` in each). A value's rank is the size of the ranges below plus its place inside its own.
     """
     by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v"), F.col(group).cast("int").alias("_g"))
+    rows = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"), F.col(group).cast("int").alias("_g"))
     rows = rows.where(F.col("_v").isNotNull() & F.col("_g").isNotNull())
-    splits = rows.groupBy(*by).agg(
-        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_splits")
-    )
-    step = 32
-    splits = splits.withColumn("_coarse", F.filter("_splits", lambda _, i: i % step == step - 1))
-    counts = rows.groupBy(*by, "_v").agg(
-        F.sum("_g").alias("_n1"), F.count(F.lit(1)).alias("_c")
-    )
-    v = F.col("_v")
-    placed = join_groups(counts, splits, by, few_groups=few_groups).select(
-        *by, "_v", "_n1", "_c", _range_of(v, step).alias("_b")
-    )
-    per_range = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_size"))
+    counts = materialize(rows.groupBy(*by, "_v").agg(F.sum("_g").alias("_n1"), F.count(F.lit(1)).alias("_c")), "counts")
+    parts = -(-counts.count() // per_range)
+    if parts > 1:
+        placed = materialize(counts.repartitionByRange(parts, *by, "_v").withColumn("_b", F.spark_partition_id()), "ranges")
+    else:
+        placed = counts.withColumn("_b", F.lit(0))
+    per_part = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_size"))
     below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = per_range.select(*by, "_b", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_below"))
+    per_part = per_part.select(*by, "_b", F.coalesce(F.sum("_size").over(below), F.lit(0)).alias("_below"))
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_c").over(inside), F.lit(0))
-    ranked = placed.withColumn("_before", before)
-    ranked = join_groups(ranked, per_range, [*by, "_b"], few_groups=few_groups)
+    ranked = placed.withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    ranked = join_groups(ranked, per_part, [*by, "_b"], few_groups=few_groups and parts <= 1)
     mid_rank = F.col("_below") + F.col("_before") + (F.col("_c") + 1) / 2.0
     c = F.col("_c").cast("double")
     total = ranked.groupBy(*by).agg(
@@ -179,7 +217,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = (),
     spread = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("_ties") / F.nullif(n * (n - 1), F.lit(0.0))))
     gap = F.greatest(F.abs(F.col("u") - n1 * n0 / 2.0) - 0.5, F.lit(0.0))
     z = gap / F.nullif(spread, F.lit(0.0))
-    return total.select(*by, "n1", "n0", "u", z.alias("z")).withColumn("p_value", _two_sided_normal_p("z"))
+    return total.select(*by, "n1", "n0", "u", "_ties", z.alias("z")).withColumn("p_value", _two_sided_p("n1", "n0", "u", "_ties", "z")).drop("_ties")
 
 
 def compare_groups(df: DataFrame, features: Mapping[str, Column], group: str, *, by: Sequence[str] = (), min_n: int = 5, few_groups: bool = False) -> DataFrame:

@@ -5,16 +5,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
+from operator import add
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finpanel.functions.measures import capped_size_log, event_strength, missing_if_zero, stars
 from finpanel.operators.keys import set_overlap
 from finpanel.operators.quantiles import join_groups, quantiles
-from finpanel.operators.stats import box_summary, compare_groups, curve_bands, describe, histogram, tercile_stats, unpivot
+from finpanel.operators.stats import box_summary, compare_groups, curve_bands, describe, histogram, round_histogram, tercile_stats, unpivot
 from finpanel.plans.market import amplitude_export, index_after_events, market_breadth
 from finpanel.session import materialize
 
@@ -63,6 +64,12 @@ def return_histograms(events: DataFrame, *, bins: int = 60) -> DataFrame:
     return histogram(long, "value", ["kind", "measure"], bins=bins, few_groups=True)
 
 
+def round_return_histograms(events: DataFrame, *, most_bins: int = 60) -> DataFrame:
+    """Histograms as a chart library bins them: round widths, at most ``most_bins`` bins."""
+    long = unpivot(events, ["kind"], {n: F.col(n) * 100.0 for n in [*RETURNS, *EXCESS]})
+    return round_histogram(long, "value", ["kind", "measure"], most_bins=most_bins, few_groups=True)
+
+
 def persistence_stats(events: DataFrame) -> DataFrame:
     """Excess return over the longest horizon, high persistence against the rest."""
     return describe(events.where(F.col("high").isNotNull()), "fwd_exc_20", ["kind", "high"], few_groups=True)
@@ -104,44 +111,77 @@ def persistence_compare(events: DataFrame) -> DataFrame:
     return compare_groups(events, persistence_features(), "high", by=["kind"], few_groups=True)
 
 
-def persistence_logit(events: DataFrame, kind: str, *, min_n: int = 50) -> DataFrame:
-    """Logit of high persistence on log size, beta, attention and strength, for one kind of event.
+def persistence_logit(events: DataFrame, kind: str | None = None, *, min_n: int = 50) -> DataFrame:
+    """Logit of high persistence on log size, beta, attention and strength, per kind of event (or for one kind, without the column).
 
     One row per coefficient: estimate, standard error, z, p, 95 % interval, with N and McFadden's R².
-    An event without a score counts as not high. Empty when there are too few rows or a single class.
+    An event without a score counts as not high. A kind with too few rows or a single class is left out.
     """
     label = F.coalesce((F.col("persist_amp") >= F.col("persist_cut")).cast("double"), F.lit(0.0))
     x = persistence_features()
-    rows = events.where(F.col("kind") == kind).select(
-        label.alias("label"), capped_size_log(F.col("market_cap")).alias("log_mcap"),
+    rows = (events if kind is None else events.where(F.col("kind") == kind)).select(
+        "kind", label.alias("label"), capped_size_log(F.col("market_cap")).alias("log_mcap"),
         x["beta"].alias("beta"), x["is_attention"].alias("is_attention"), x["strength"].alias("strength"),
     )
-    return logit_table(rows, "label", ["log_mcap", "beta", "is_attention", "strength"], min_n=min_n)
+    fitted = logit_table(rows, "label", ["log_mcap", "beta", "is_attention", "strength"], by="kind", min_n=min_n)
+    return fitted if kind is None else fitted.drop("kind")
 
 
-def logit_table(df: DataFrame, label: str, features: list[str], *, min_n: int = 50) -> DataFrame:
-    """Binomial regression with the summary a statistics package prints. Only the few coefficients reach
-    the driver; the fit reads the stored rows once per iteration."""
+def logit_table(df: DataFrame, label: str, features: list[str], *, by: str | None = None, min_n: int = 50, rounds: int = 50, tol: float = 1e-10) -> DataFrame:
+    """Binomial regression with the summary a statistics package prints, for each group of the text column ``by``.
+
+    Newton steps: each is one aggregation of the stored rows to the sums of weighted cross-products of features and constant and of the score, per
+    group. What reaches the driver has the size of the coefficients; groups must be few, as constants of the query. Nulls in
+    ``label``, ``features`` or ``by`` leave a row out; groups below ``min_n`` rows or with one class are left out.
+    """
     spark = df.sparkSession
-    schema = "variable string, coef double, std_err double, z double, p_value double, ci_lo double, ci_hi double, n long, pseudo_r2 double"
-    rows = materialize(df.select(label, *features).dropna(), "logit")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("lo"), F.max(label).alias("hi")).first()
-    if size["n"] < min_n or size["lo"] == size["hi"]:
-        return spark.createDataFrame([], schema).withColumn("stars", F.lit(None).cast("string"))
-    ready = VectorAssembler(inputCols=features, outputCol="x").transform(rows)
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="x", labelCol=label, maxIter=50, tol=1e-10
-    ).fit(ready)
-    fit = model.summary
-    names = [*features, "const"]  # the intercept comes last in the summary
-    coefs = [*model.coefficients.toArray().tolist(), model.intercept]
-    r2 = 1.0 - fit.deviance / fit.nullDeviance
+    schema = "_by string, variable string, coef double, std_err double, z double, p_value double, ci_lo double, ci_hi double, n long, pseudo_r2 double"
+    size = len(features) + 1
+    x = [*(F.col(f).cast("double") for f in features), F.lit(1.0)]
+    group = F.lit("all") if by is None else F.col(by).cast("string")
+    rows = df.select(group.alias("_by"), F.col(label).cast("double").alias("_y"), *(c.alias(f"_x{i}") for i, c in enumerate(x)))
+    rows = materialize(rows.dropna(), "logit")
+    y = F.col("_y")
+    known = {r["_by"]: (r["n"], r["ones"]) for r in rows.groupBy("_by").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("ones")).collect()}
+    known = {g: (n, ones) for g, (n, ones) in known.items() if n >= min_n and 0 < ones < n}
+    beta, done, table = {g: np.zeros(size) for g in known}, set(), []
+    for turn in range(rounds + 1):
+        if len(done) == len(known):
+            break
+        at = F.create_map(*[F.lit(v) for g in known if g not in done for v in (g, beta[g].tolist())])
+        eta = reduce(add, [F.col(f"_x{i}") * F.get("_b", i) for i in range(size)])
+        step = rows.withColumn("_b", F.try_element_at(at, F.col("_by"))).where(F.col("_b").isNotNull())
+        step = step.withColumn("_eta", eta).withColumn("_p", 1.0 / (1.0 + F.exp(-F.col("_eta"))))
+        weight = F.col("_p") * (1.0 - F.col("_p"))
+        pairs = [(i, j) for i in range(size) for j in range(i, size)]
+        fit = F.sum(y * F.col("_eta") - F.greatest(F.col("_eta"), F.lit(0.0)) - F.log1p(F.exp(-F.abs(F.col("_eta")))))
+        sums = [F.sum(weight * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}") for i, j in pairs]
+        sums += [F.sum((y - F.col("_p")) * F.col(f"_x{i}")).alias(f"g{i}") for i in range(size)]
+        for r in step.groupBy("_by").agg(fit.alias("fit"), *sums).collect():
+            g, info = r["_by"], np.zeros((size, size))
+            for i, j in pairs:
+                info[i, j] = info[j, i] = r[f"h{i}_{j}"]
+            inverse = np.linalg.pinv(info, hermitian=True)
+            move = inverse @ np.array([r[f"g{i}"] for i in range(size)])
+            if np.abs(move).max() <= tol * (1.0 + np.abs(beta[g]).max()) or turn == rounds:
+                done.add(g)
+                table += _logit_rows(g, [*features, "const"], beta[g], np.sqrt(np.diag(inverse)), r["fit"], *known[g])
+            else:
+                beta[g] = beta[g] + move
+    out = spark.createDataFrame(table, schema).withColumn("stars", stars(F.col("p_value")))
+    return out.drop("_by") if by is None else out.withColumnRenamed("_by", by)
+
+
+def _logit_rows(group: str, names: list[str], coefs: np.ndarray, errors: np.ndarray, fit: float, n: int, ones: float) -> list[tuple]:
+    share = ones / n
+    r2 = 1.0 - fit / (ones * math.log(share) + (n - ones) * math.log(1.0 - share))
     half = 1.959963984540054  # Fixed value: 97.5 % point of the normal distribution.
-    table = []
-    for name, b, se, z in zip(names, coefs, fit.coefficientStandardErrors, fit.tValues):
-        p = math.erfc(abs(z) / math.sqrt(2.0))
-        table.append((name, float(b), float(se), float(z), p, b - half * se, b + half * se, int(size["n"]), float(r2)))
-    return spark.createDataFrame(table, schema).withColumn("stars", stars(F.col("p_value")))
+    out = []
+    for name, b, se in zip(names, coefs.tolist(), errors.tolist()):
+        z = b / se if se > 0 else None
+        p = None if z is None else math.erfc(abs(z) / math.sqrt(2.0))
+        out.append((group, name, b, se, z, p, b - half * se, b + half * se, int(n), r2))
+    return out
 
 
 def overlap_of_persistent(events: DataFrame) -> DataFrame:

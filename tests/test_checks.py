@@ -35,7 +35,8 @@ def test_all_rows_and_both_kinds(spark, con):
     every, big = study.study_curves_all(spark, SF), study.study_curves(spark, SF)
     assert differences(every, con, study.SQL["study_curves_all"]) == []
     assert every.count() > big.count() and big.exceptAll(every).isEmpty()
-    logit, rows = study.persistence_logit(spark, SF), study.events(spark, SF, "market_cap", "beta")
+    rows = study.materialize(study.events(spark, SF, "market_cap", "beta"), "events")
+    logit = study.rp.persistence_logit(rows)
     for kind in ("big", "sml"):
         assert sorted(logit.filter(f"kind = '{kind}'").drop("kind").collect()) == sorted(study.rp.persistence_logit(rows, kind).collect())
     assert {r.kind for r in logit.collect()} == {"big", "sml"}

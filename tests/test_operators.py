@@ -32,17 +32,18 @@ def test_quantiles_small_groups(spark):
     check_quantiles(spark, {"a": [3, 1, 2, None], "b": [5], "c": [1, 1, 1, 9], "d": [None], None: [1, 2]})
 
 
-@pytest.mark.parametrize("shape", ["normal", "ties", "heavy", "sorted"])
-def test_quantiles_through_brackets(spark, shape):
-    """Sketch and bracket path on groups far above the whole-group limit, with one hot value."""
+@pytest.mark.parametrize("shape", ["normal", "ties", "heavy", "sorted", "scales"])
+def test_quantiles_through_rounds(spark, shape):
+    """Many rounds: groups far larger than the number of sub-ranges, with one hot value."""
     rng = np.random.default_rng(7)
     xs = {
         "normal": rng.normal(size=20_000),
         "ties": rng.integers(0, 9, size=20_000).astype(float),
         "heavy": np.where(rng.random(20_000) < 0.34, 1.0, rng.pareto(0.7, 20_000)),
         "sorted": np.arange(20_000.0),
+        "scales": np.concatenate([10.0 ** rng.uniform(-300, 300, 2000), -(10.0 ** rng.uniform(-3, 30, 1000))]),
     }[shape]
-    check_quantiles(spark, {"big": xs.tolist(), "small": [1, 2, 3]}, accuracy=200, whole_below=400)
+    check_quantiles(spark, {"big": xs.tolist(), "small": [1, 2, 3]}, ranges=32)
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -55,7 +56,7 @@ def test_quantiles_without_groups(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "x double")
     row = quantiles(df, [], "x", [0.8], ["cut"]).first()
     assert (row["n"], row["cut"]) == (101, 80.0)
-    big = quantiles(df, [], "x", [0.8], ["cut"], accuracy=10, whole_below=40).first()
+    big = quantiles(df, [], "x", [0.8], ["cut"], ranges=3).first()
     assert big["cut"] == 80.0
 
 
@@ -169,13 +170,39 @@ def brute_u(a, b):
     return u, math.erfc(z / math.sqrt(2))
 
 
-@pytest.mark.parametrize("buckets", [1024, 8])
-def test_mann_whitney(spark, buckets):
+def test_quantiles_take_no_nan_and_spread_ends(spark):
+    df = spark.createDataFrame([("a", x) for x in (1.7e308, -1.7e308, float("nan"), None, 5.0, -0.0, 0.0)], "g string, x double")
+    row = quantiles(df, ["g"], "x", [0.25, 0.5, 0.75], ["a", "b", "c"]).first()
+    assert (row["n"], row["a"], row["b"], row["c"]) == (5, 0.0, 0.0, 5.0)
+
+
+def test_exact_rank_sum():
+    from itertools import combinations
+
+    for m, n in ((1, 1), (2, 3), (3, 3), (4, 5), (1, 7), (5, 2)):
+        want = [0] * (m * n + 1)
+        for taken in combinations(range(m + n), m):
+            want[sum(taken) - m * (m - 1) // 2] += 1
+        assert ss.rank_sum_counts(m, n) == want
+        for u in range(m * n + 1):
+            upper = sum(want[max(u, m * n - u) :])
+            assert ss.exact_p(m, n, u) == pytest.approx(min(1.0, 2 * upper / sum(want)))
+
+
+def test_exact_p_of_small_groups(spark):
+    rows = [("small", int(i in (6, 8, 9)), float(i * i)) for i in range(11)] + [("tied", i % 2, float(i // 2)) for i in range(9)]
+    got = {r["f"]: r for r in ss.mann_whitney(spark.createDataFrame(rows, "f string, g int, x double"), "x", "g", ["f"]).collect()}
+    assert got["small"]["u"] == 20.0 and got["small"]["p_value"] == pytest.approx(ss.exact_p(3, 8, 20))
+    assert got["tied"]["p_value"] == pytest.approx(math.erfc(got["tied"]["z"] / math.sqrt(2)))
+
+
+@pytest.mark.parametrize("per_range", [100_000, 8])
+def test_mann_whitney(spark, per_range):
     rng = np.random.default_rng(3)
     a, b = np.round(rng.normal(0.3, 1, 300), 1), np.round(rng.normal(0, 1, 500), 1)
     rows = [("f", 1, float(x)) for x in a] + [("f", 0, float(x)) for x in b] + [("c", g, 1.0) for g in (0, 1, 1)]
     df = spark.createDataFrame(rows, "f string, g int, x double")
-    got = {r["f"]: r for r in ss.mann_whitney(df, "x", "g", ["f"], buckets=buckets).collect()}
+    got = {r["f"]: r for r in ss.mann_whitney(df, "x", "g", ["f"], per_range=per_range).collect()}
     u, p = brute_u(a, b)
     assert got["f"]["u"] == pytest.approx(u) and got["f"]["p_value"] == pytest.approx(p)
     assert got["c"]["z"] is None and got["c"]["p_value"] is None
@@ -188,3 +215,12 @@ def test_compare_groups(spark):
     got = ss.compare_groups(df, feats, "high").collect()
     assert [r["feature"] for r in got] == ["x"]
     assert (got[0]["n_hi"], got[0]["n_lo"], got[0]["u"], got[0]["stars"]) == (10, 8, 0.0, "***")
+
+
+def test_round_histogram(spark):
+    xs = [-0.31, -0.3, 0.0, 0.29, 5.0, 5.6]
+    df = spark.createDataFrame([("a", x) for x in xs] + [("b", 7.0), ("b", None)], "g string, x double")
+    got = {(r["g"], round(r["lo"], 6)): (r["cnt"], r["width"]) for r in ss.round_histogram(df, "x", ["g"], most_bins=60).collect()}
+    assert got == {("a", -0.4): (1, 0.1), ("a", -0.3): (1, 0.1), ("a", 0.0): (1, 0.1), ("a", 0.2): (1, 0.1), ("a", 5.0): (1, 0.1), ("a", 5.5): (1, 0.1), ("b", 7.0): (1, 1e-9)}
+    wide = ss.round_histogram(df, "x", ["g"], most_bins=3).where("g = 'a'").collect()
+    assert {r["width"] for r in wide} == {5.0} and sum(r["cnt"] for r in wide) == 6

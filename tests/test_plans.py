@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,13 +268,13 @@ def test_factor_returns_against_loops(spark):
 
 
 def test_hot_day_and_hot_value_sort(spark):
-    """A day with far more names than the sketch limit, a third of them with the same value."""
+    """A day with far more names than sub-ranges, a third of them with the same value."""
     rng = np.random.default_rng(4)
     xs = np.where(rng.random(9000) < 0.34, 1.0, rng.gamma(2, 1, 9000))
     from finpanel.operators.quantiles import quantiles
 
     df = spark.createDataFrame([(DAY, float(x)) for x in xs] + [(DAY + dt.timedelta(1), 2.0)], "date date, bm double")
-    got = quantiles(df, ["date"], "bm", [0.3, 0.7], ["lo", "hi"], accuracy=100, whole_below=300).where(F.col("date") == DAY).first()
+    got = quantiles(df, ["date"], "bm", [0.3, 0.7], ["lo", "hi"], ranges=16).where(F.col("date") == DAY).first()
     assert (got["lo"], got["hi"]) == pytest.approx(tuple(np.quantile(xs, [0.3, 0.7])))
 
 
@@ -358,6 +359,18 @@ def test_logit_needs_rows_and_two_classes(spark):
     assert rp.logit_table(few, "y", ["a"]).isEmpty() and rp.logit_table(same, "y", ["a"]).isEmpty()
 
 
+def test_logit_of_groups(spark):
+    """Groups are fitted together, each as if alone; nulls leave rows out."""
+    rng = np.random.default_rng(2)
+    rows = [(g, float(rng.random() < 0.3 + 0.4 * (x > 0)), float(x)) for g in "ab" for x in rng.normal(size=150)] + [(None, 1.0, 0.0), ("a", None, 1.0), ("c", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, y double, x double")
+    both = rp.logit_table(df, "y", ["x"], by="g")
+    for g in "ab":
+        alone = rp.logit_table(df.where(F.col("g") == g), "y", ["x"])
+        assert sorted(both.where(F.col("g") == g).drop("g").collect()) == sorted(alone.collect())
+    assert {r["g"] for r in both.collect()} == {"a", "b"}
+
+
 def test_full_report(spark):
     rng = np.random.default_rng(12)
     n = 120
