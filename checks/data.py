@@ -254,6 +254,38 @@ def vendor_files(spark, sf):
     return loads.research_panel(good).select("stock_code", "name", "date", "amp_pct", "return_pct", "volume")
 
 
+def vendor_skipped(spark, sf):
+    """Panel rows by year in files of several kinds: rows per security and year that were read, and the files that were not, with the reason.
+
+    Plain and compressed files are good; one kind has no header, one is no compressed file though its name says so, one is in an encoding that can't be read to its end.
+    """
+    folder = scratch_path(spark, "kinds")
+    p = materialize(v.panel(spark, sf).select(F.concat("stock_code", F.lit(" 名稱")).alias("證券代碼"), F.date_format("date", "yyyyMMdd").alias("年月日"), F.col("amp_pct").alias("高低價差%")), "panel-text")
+    kinds = {
+        "plain": dict(header=True, encoding="UTF-16"), "bare": dict(header=True, encoding="UTF-16LE"), "packed": dict(header=True, encoding="UTF-16", compression="gzip"),
+        "headless": dict(header=False, encoding="UTF-16"), "torn": dict(header=True, encoding="UTF-16"), "mixed": dict(header=True, encoding="UTF-16LE"),
+    }
+    for year, (kind, how) in enumerate(kinds.items(), 1993):
+        part = p.where(F.substring("年月日", 1, 4) == str(year))
+        if kind == "mixed":  # half of a pair of code units, as cut by a careless tool
+            part = part.withColumn("高低價差%", F.concat(F.col("高低價差%").cast("string"), F.lit("\ufffd")))
+        part.coalesce(1).write.options(sep="\t", **how).csv(f"{folder}/{kind}")
+    _rename_parts(spark, f"{folder}/torn", ".gz")
+    raw, skipped = vendor.read_vendor(spark, f"{folder}/*/*", key="證券代碼")
+    rows = raw.groupBy(F.substring("證券代碼", 1, 4).alias("name"), F.substring("年月日", 1, 4).alias("detail")).agg(F.count(F.lit(1)).alias("cnt"))
+    left = skipped.groupBy(F.element_at(F.split("path", "/"), -2).alias("name"), F.col("reason").alias("detail")).agg(F.count(F.lit(1)).alias("cnt"))
+    return rows.unionByName(left)
+
+
+def _rename_parts(spark, folder, end):
+    """Files of ``folder`` get a longer name."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(where):
+        if status.getPath().getName().startswith("part-"):
+            files.rename(status.getPath(), status.getPath().suffix(end))
+
+
 def fx_files(spark, sf):
     """Currency quotes written as comma text, read back and loaded."""
     folder = scratch_path(spark, "fx")
@@ -424,6 +456,7 @@ QUERIES = {
     "row_counts": row_counts,
     "legacy_names": legacy_names,
     "vendor_files": vendor_files,
+    "vendor_skipped": vendor_skipped,
     "fx_files": fx_files,
     "fx_mixed_headers": fx_mixed_headers,
     "csv_export": csv_export,
@@ -487,6 +520,8 @@ SQL = {
     "streamed": f"{_MERGED} SELECT stock_code, date, amp_pct, CASE WHEN date >= DATE '1997-07-01' THEN volume + 1 ELSE volume END AS volume FROM p",
     "row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("orders", "lineitem", "events", "supplier")),
     "legacy_names": f"{_MERGED} SELECT stock_code, date, volume FROM p",
+    "vendor_skipped": f"""WITH {v.PANEL} SELECT stock_code AS name, CAST(year(date) AS VARCHAR) AS detail, count(*) AS cnt FROM panel WHERE year(date) IN (1993, 1994, 1995, 1998) GROUP BY ALL
+        UNION ALL VALUES ('headless', 'no header', 1), ('torn', 'damaged compression', 1)""",
     "vendor_files": f"""WITH {v.PANEL} SELECT stock_code, '名稱' AS name, date, amp_pct, CASE WHEN date < DATE '1998-01-01' THEN return_pct + 0.0 END AS return_pct,
         CASE WHEN date >= DATE '1998-01-01' THEN volume END AS volume FROM panel""",
     "fx_files": f"WITH {v.FX} SELECT currency, date, close, 1000.5::DOUBLE AS open, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS DOUBLE) AS low, 0.03::DOUBLE AS change_pct FROM fx",

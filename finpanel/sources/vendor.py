@@ -1,51 +1,193 @@
-"""Vendor text files: tab-separated UTF-16 with differing headers, and comma files with a byte-order mark."""
+"""Vendor text files: tab-separated UTF-16 with differing headers, and comma files with a byte-order mark.
+
+The driver reads the first bytes of each file: they tell the encoding and the header. Plain files are then scanned once, in splits of any size that
+begin at line ends; what the scan gives is stored, with the files whose text can't be trusted marked. Those, and compressed files, are read one by one, strictly, each
+to rows or to one reason why it can't be read. A file enters with all its rows or not at all.
+"""
 
 from __future__ import annotations
 
+import bz2
+import codecs
+import csv
+import gzip
+import io
+import sys
+import zlib
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 from urllib.parse import unquote
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK = "\ufeff"
-# A character that does not occur in the files, to read a whole line as one cell.
-NO_SEPARATOR = "\u0001"
+from finpanel.session import materialize
+
+MARK, UNREADABLE = "\ufeff", "\ufffd"
+HEAD_BYTES = 1 << 16
+PACKED = {".gz": lambda raw: gzip.GzipFile(fileobj=raw), ".bz2": bz2.BZ2File}
+
+# Tasks get these functions by value: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class Head(NamedTuple):
+    """What the first bytes of a file tell: its encoding and column names, or the reason why it is left out."""
+
+    path: str
+    encoding: str = ""
+    names: tuple[str, ...] = ()
+    reason: str = ""
+
+
+def _packed(path: str) -> str | None:
+    return next((end for end in PACKED if path.endswith(end)), None)
+
+
+def _first_text_bytes(path: str, raw: bytes) -> bytes:
+    if path.endswith(".gz"):
+        return zlib.decompressobj(31).decompress(raw, HEAD_BYTES)
+    return bz2.BZ2Decompressor().decompress(raw, HEAD_BYTES) if path.endswith(".bz2") else raw
+
+
+def _why(err: Exception) -> str:
+    for kind, reason in ((UnicodeError, "not in its encoding"), (EOFError, "cut off"), ((zlib.error, gzip.BadGzipFile), "damaged compression")):
+        if isinstance(err, kind):
+            return reason
+    return f"unreadable: {type(err).__name__}"
+
+
+def _encoding(raw: bytes, wanted: str) -> tuple[str, str] | None:
+    """Encoding with a fixed byte order for ``wanted``, and the text of ``raw``; None if the file is not of that encoding."""
+    if wanted == "UTF-16":  # needs a mark
+        wanted = {codecs.BOM_UTF16_LE: "UTF-16LE", codecs.BOM_UTF16_BE: "UTF-16BE"}.get(raw[:2], "")
+        if not wanted:
+            return None
+    return wanted, raw.decode(wanted, errors="ignore")
+
 
+def _head(spark: SparkSession, path: str, keys: Sequence[str], sep: str, encodings: Sequence[str]) -> Head:
+    jvm = spark.sparkContext._jvm
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+        try:
+            raw = _first_text_bytes(path, bytes(stream.readNBytes(HEAD_BYTES)))
+        finally:
+            stream.close()
+    except (Py4JJavaError, zlib.error, OSError) as err:
+        return Head(path, reason=_why(err))
+    for wanted in encodings:
+        found = _encoding(raw, wanted)
+        for line in found[1].split("\n") if found else ():
+            if all(k in line for k in keys):
+                return Head(path, found[0], tuple(c.strip().strip('"').strip(MARK).strip() for c in line.rstrip("\r").split(sep)))
+    return Head(path, reason="no header")
+
+
+def _strict(sep: str, encodings: Mapping[str, str]):
+    """Rows path, cells of whole files, or one row path, error for a file that can't be decoded or unpacked to its end."""
+
+    def record(path: str, rows: list, error: str | None) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.list_(pa.string()), pa.string())
+        columns = ([path] * len(rows), rows, [error] * len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "cells", "error"])
 
-def _header_lines(spark: SparkSession, paths: Sequence[str], encoding: str, keys: Sequence[str]) -> tuple[list[tuple[str, str]], list[str]]:
-    """(path, header) of the files that have a line with all key headers in it, and the files that can't be read to their end.
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                raw, end = io.BytesIO(memoryview(content.as_buffer())), _packed(path)
+                text = io.TextIOWrapper(PACKED[end](raw) if end else raw, encoding=encodings[path], newline="")
+                rows = []
+                try:
+                    for cells in csv.reader(text, delimiter=sep):
+                        rows.append(cells)
+                        if len(rows) >= 5000:
+                            yield record(path, rows, None)
+                            rows = []
+                    yield record(path, rows, None)
+                except (EOFError, OSError, UnicodeError, csv.Error, zlib.error) as err:
+                    yield record(path, [None], _why(err))
+
+    return run
+
+
+def _cells_of(rows: DataFrame, cells: Sequence[Column], names: Sequence[str], key: str, columns: Sequence[str] | None, *more: Column) -> DataFrame:
+    """Named, trimmed cells; header lines are left out."""
+    wanted = [n for n in names if n and (columns is None or n in columns)]
+    named = [F.btrim(F.replace(cells[names.index(n)], F.lit(MARK), F.lit("")), F.lit(" \r")).alias(n) for n in wanted]
+    found = rows.select(*named, *more)
+    return found.where(F.coalesce(F.col(f"`{key}`") != key, F.lit(True)))
 
-    The scan reads all lines, so a file that is broken anywhere fails it; halving the list finds which, at the cost of a few more
-    scans if there are any and of none otherwise.
+
+def _scan(spark: SparkSession, names: Sequence[str], files: list[str], sep: str, encoding: str, key: str, columns: Sequence[str] | None) -> DataFrame:
+    """One scan over plain files of one header and encoding, in splits. Lines end with a line feed, so a quoted cell can't hold one.
+
+    Bytes that look like a line end across two characters, or that are no text, leave a replacement character behind: ``_odd`` marks such rows.
     """
-    if not paths:
-        return [], []
-    lines = (
-        spark.read.schema("line string")
-        .options(sep=NO_SEPARATOR, quote="", encoding=encoding, multiLine=True, ignoreCorruptFiles=False)
-        .csv(list(paths))
-        .select(F.col("_metadata.file_path").alias("path"), F.col("line"))
+    slots = [f"_c{i}" for i in range(len(names))]
+    raw = (
+        spark.read.schema(", ".join(f"{s} string" for s in slots))
+        .options(sep=sep, encoding=encoding, lineSep="\n", ignoreCorruptFiles=False)
+        .csv(files)
     )
-    is_header = reduce(lambda a, b: a & b, [F.contains("line", F.lit(k)) for k in keys])
-    headers = lines.groupBy("path").agg(F.first(F.when(is_header, F.col("line")), ignorenulls=True).alias("header"))
-    try:
-        return [(r["path"], r["header"]) for r in headers.where("header IS NOT NULL").collect()], []
-    except (PySparkException, Py4JJavaError) as err:
-        if "FAILED_READ_FILE" not in str(err):
-            raise
-        if len(paths) == 1:
-            return [], list(paths)
-    half = len(paths) // 2
-    (a, x), (b, y) = (_header_lines(spark, part, encoding, keys) for part in (paths[:half], paths[half:]))
-    return a + b, x + y
+    odd = F.contains(F.concat_ws("", *slots), F.lit(UNREADABLE))
+    return _cells_of(raw, [F.col(s) for s in slots], names, key, columns, F.col("_metadata.file_name").alias("_src"), F.col("_metadata.file_path").alias("_path"), odd.alias("_odd"))
+
+
+def _read_strictly(spark: SparkSession, heads: list[Head], sep: str, key: str, columns: Sequence[str] | None) -> tuple[list[DataFrame], list[tuple[str, str]]]:
+    """Rows of files that are read one by one, by header, and (path, reason) of the broken ones."""
+    if not heads:
+        return [], []
+    content = spark.read.format("binaryFile").load([h.path for h in heads]).select("path", "content")
+    found = materialize(content.mapInArrow(_strict(sep, {h.path: h.encoding for h in heads}), "path string, cells array<string>, error string"), "files")
+    broken = {r["path"]: r["error"] for r in found.where("error IS NOT NULL").collect()}  # one row per broken file
+    good = [h for h in heads if h.path not in broken]
+    out = []
+    for names in sorted({h.names for h in good}):
+        rows = found.where(F.col("path").isin([h.path for h in good if h.names == names]))
+        out.append(_cells_of(rows, [F.get("cells", i) for i in range(len(names))], names, key, columns, F.element_at(F.split("path", "/"), -1).alias("_src")))
+    return out, sorted(broken.items())
+
+
+def read_files(
+    spark: SparkSession, paths: Sequence[str], *, keys: Sequence[str], sep: str, encodings: Sequence[str], columns: Sequence[str] | None = None,
+) -> tuple[DataFrame | None, DataFrame, list[Head]]:
+    """(rows or None, skipped, heads): rows of all readable files, united by column name, with ``_src``; path and reason of the others.
+
+    The driver holds one header per file, no more than the listing itself.
+    """
+    listed = [r["path"] for r in spark.read.format("binaryFile").load(list(paths)).select("path").collect()]  # the content column is not read
+    with ThreadPoolExecutor(16) as pool:
+        heads = list(pool.map(lambda p: _head(spark, p, keys, sep, encodings), listed))
+    skipped = [(h.path, h.reason) for h in heads if h.reason]
+    plain = [h for h in heads if not h.reason and not _packed(h.path)]
+    strict = [h for h in heads if not h.reason and _packed(h.path)]
+    key, parts = keys[0], []
+    layouts = sorted({(h.names, h.encoding) for h in plain})
+    scans = [_scan(spark, names, sorted(h.path for h in plain if (h.names, h.encoding) == (names, enc)), sep, enc, key, columns) for names, enc in layouts]
+    if scans:
+        stored = materialize(_united(scans), "vendor")
+        odd = [r["_path"] for r in stored.where("_odd").select("_path").distinct().collect()]  # at most one row per file
+        strict += [h for h in plain if _plain(h.path) in {_plain(p) for p in odd}]
+        parts.append((stored.where(~F.col("_path").isin(odd)) if odd else stored).drop("_path", "_odd"))
+    more, broken = _read_strictly(spark, strict, sep, key, columns)
+    parts += more
+    return _united(parts) if parts else None, spark.createDataFrame(sorted([*skipped, *broken]), "path string, reason string"), heads
 
 
-def _names(header: str, sep: str) -> list[str]:
-    return [c.strip().strip('"').strip(MARK).strip() for c in header.rstrip("\r\n").split(sep)]
+def _united(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _plain(path: str) -> str:
+    """Path as plain text, without scheme: the same for a listed path and for its URL form."""
+    return "/" + unquote(path).split(":", 1)[-1].lstrip("/")
 
 
 def read_vendor(
@@ -57,75 +199,37 @@ def read_vendor(
     sep: str = "\t",
     encodings: Sequence[str] = ("UTF-16", "UTF-16LE"),
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, skipped paths) of text files, all cells as trimmed strings, united by column *name*.
-
-    Files are grouped by their header line and each group is one scan, because a single scan over
-    files with different headers would mix columns up by position. ``key`` is a header every good file
-    has; a file without it is tried in the next encoding (UTF-16 without a mark), then skipped and
-    listed. A file that can't be read to its end, such as a compressed one that was cut, is listed and gives no row. With ``columns`` only those are kept, where a file has them. ``_src`` is the file name.
+    """(rows, skipped) of text files, all cells as trimmed strings, united by column *name*; skipped has path and reason.
 
-    The driver holds one header per file, which is no more than the file listing itself.
+    Every file is read by its own header line, the first one with ``key`` in it, which must stand in the first 64 KB. A file without it is tried in the
+    next encoding (UTF-16 without a mark), then skipped. A file that can't be decoded or unpacked to its end gives no row. With ``columns`` only
+    those are kept, where a file has them. ``_src`` is the file name. Rows are stored in the shared folder; a cell must not hold a line feed
+    unless its file is compressed.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    # Listing only: the content column is not read. Scans report paths in URL form, hence the lookup.
-    listed = [r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect()]
-    todo, broken = {_plain(p): p for p in listed}, []
-    scans: list[DataFrame] = []
-    for encoding in encodings:
-        if not todo:
-            break
-        layouts: dict[tuple[str, ...], list[str]] = {}
-        headers, cut = _header_lines(spark, list(todo.values()), encoding, [key])
-        broken += [todo.pop(_plain(p)) for p in cut]
-        for path, header in headers:
-            layouts.setdefault(tuple(_names(header, sep)), []).append(todo.pop(_plain(path)))
-        scans += [_scan(spark, names, sorted(files), sep, encoding, key, columns) for names, files in sorted(layouts.items())]
-    if not scans:
+    rows, skipped, _ = read_files(spark, [paths] if isinstance(paths, str) else paths, keys=[key], sep=sep, encodings=encodings, columns=columns)
+    if rows is None:
         raise ValueError(f"no readable file with a column {key!r}")
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
-    return rows, spark.createDataFrame([(p,) for p in sorted([*todo.values(), *broken])], "path string")
-
-
-def _plain(path: str) -> str:
-    """Path as plain text, without scheme: the same for a listed path and for its URL form."""
-    return "/" + unquote(path).split(":", 1)[-1].lstrip("/")
-
-
-def _scan(spark, names, files, sep, encoding, key, columns) -> DataFrame:
-    """One scan over files of one header layout."""
-    wanted = [n for n in names if n and (columns is None or n in columns)]
-    slots = [f"_c{i}" for i in range(len(names))]
-    raw = (
-        spark.read.schema(", ".join(f"{s} string" for s in slots))
-        .options(sep=sep, encoding=encoding, multiLine=True, ignoreCorruptFiles=False)
-        .csv(files)
-    )
-    cells = [F.trim(F.regexp_replace(F.col(slots[names.index(n)]), MARK, "")).alias(n) for n in wanted]
-    rows = raw.select(*cells, F.col("_metadata.file_name").alias("_src"))
-    return rows.where(F.coalesce(F.col(f"`{key}`") != key, F.lit(True)))  # header lines
+    return rows, skipped
 
 
 def read_bom_csv(spark: SparkSession, path: str | Sequence[str], *, required: Sequence[str]) -> DataFrame:
     """Comma files in UTF-8 with an optional mark, all cells as strings, united by column name; ``_src`` is the file name.
 
-    Every file is read by its own header, so files may order their columns differently; one that lacks a required column raises.
+    Every file is read by its own header, so files may order their columns differently; one that lacks a required column raises, and so does one that can't be
+    read to its end. Empty files are passed over.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    listed = [r["path"] for r in spark.read.format("binaryFile").load(paths).where("length > 0").select("path").collect()]
-    if not listed:
+    filled = [r["path"] for r in spark.read.format("binaryFile").load(paths).where("length > 0").select("path").collect()]
+    if not filled:
         raise ValueError(f"missing columns: {sorted(required)}")
-    headers, broken = _header_lines(spark, listed, "UTF-8", list(required)[:1])
-    if broken:
-        raise ValueError(f"files that can't be read: {sorted(broken)}")
-    plain = {_plain(p): p for p in listed}
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for where, header in headers:
-        layouts.setdefault(tuple(_names(header, ",")), []).append(plain.pop(_plain(where)))
-    missing = sorted({c for names in layouts for c in set(required) - set(names)} | (set(required) if plain else set()))
+    rows, skipped, heads = read_files(spark, filled, keys=list(required)[:1], sep=",", encodings=["UTF-8"])
+    missing = sorted({c for h in heads for c in set(required) - set(h.names) if h.names or h.reason == "no header"})
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    scans = [_scan(spark, names, sorted(files), ",", "UTF-8", required[0], None) for names, files in sorted(layouts.items())]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    broken = sorted(r["path"] for r in skipped.collect())
+    if broken:
+        raise ValueError(f"files that can't be read: {broken}")
+    return rows
 
 
 def rename_map(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

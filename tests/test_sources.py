@@ -51,6 +51,49 @@ def test_vendor_file_is_loaded_whole_or_not_at_all(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[-1] for r in skipped.collect()] == ["cut.csv.gz"]
 
 
+def test_vendor_files_split_at_line_ends(spark, tmp_path):
+    """One plain file is read by many tasks, in both byte orders, with line feeds alone or after carriage returns."""
+    lines = [f"{i} 名{i}\t20240102\t\"{i}\"" for i in range(5000)]
+    for name, mark, encoding, end in (("le", "\ufeff", "utf-16-le", "\r\n"), ("be", "\ufeff", "utf-16-be", "\n"), ("bare", "", "utf-16-le", "\n")):
+        (tmp_path / f"{name}.csv").write_bytes((mark + end.join([f"{KEY}\t年月日\t高低價差%", *lines])).encode(encoding))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    try:
+        raw, skipped = vendor.read_vendor(spark, str(tmp_path / "*.csv"), key=KEY)
+        heads = [vendor._head(spark, str(tmp_path / "le.csv"), [KEY], "\t", ["UTF-16", "UTF-16LE"])]
+        scan = vendor._scan(spark, heads[0].names, [heads[0].path], "\t", heads[0].encoding, KEY, None)
+        assert scan.rdd.getNumPartitions() > 20
+        assert skipped.isEmpty() and raw.groupBy("_src").count().select("count").distinct().collect() == [(5000,)]
+        assert raw.agg(F.sum(F.col("高低價差%").cast("long"))).first()[0] == 3 * sum(range(5000))
+        assert raw.where(F.col(KEY) != F.concat(F.col("高低價差%"), F.lit(" 名"), F.col("高低價差%"))).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_bytes_that_only_look_like_line_ends(spark, tmp_path):
+    """U+0A31 before U+4E00 holds the bytes of a line feed across two characters: the file is read again, whole."""
+    odd = f"{KEY}\t年月日\n1 x\u0a31\u4e00y\t20240102\n2 z\t20240103\n"
+    (tmp_path / "odd.csv").write_bytes(b"\xff\xfe" + odd.encode("utf-16-le"))
+    (tmp_path / "fine.csv").write_bytes(b"\xff\xfe" + f"{KEY}\t年月日\n3 z\t20240103\n".encode("utf-16-le"))
+    raw, skipped = vendor.read_vendor(spark, str(tmp_path), key=KEY)
+    assert sorted(r[KEY] for r in raw.collect()) == ["1 x\u0a31\u4e00y", "2 z", "3 z"] and skipped.isEmpty()
+
+
+def test_broken_files_have_reasons(spark, tmp_path):
+    good = f"{KEY}\t年月日\n1 x\t20240102\n".encode("utf-16-le")
+    files = {
+        "good.csv": b"\xff\xfe" + good, "half.csv": b"\xff\xfe" + good + b"\x00\xd8\x41\x00\x0a\x00", "not.csv.gz": good, "cut.csv.gz": gzip.compress(good * 500)[:-20],
+        "noheader.csv": b"abc", "fine.csv.gz": gzip.compress(b"\xff\xfe" + good),
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    raw, skipped = vendor.read_vendor(spark, str(tmp_path), key=KEY)
+    assert sorted(r["_src"] for r in raw.collect()) == ["fine.csv.gz", "good.csv"]
+    reasons = {r["path"].rsplit("/", 1)[-1]: r["reason"] for r in skipped.collect()}
+    assert set(reasons) == set(files) - {"good.csv", "fine.csv.gz"}
+    assert reasons["half.csv"] == "not in its encoding" and reasons["cut.csv.gz"] == "cut off" and reasons["noheader.csv"] == "no header"
+
+
 def test_comma_files_by_name(spark, tmp_path):
     put(tmp_path, "2024a.csv", "currency,date,close,open,high,low,change%\nusd,2024-01-02,9,1,1,1,1%\n ,2024-01-03,1,1,1,1,1%\n", "utf-8-sig")
     put(tmp_path, "2024b.csv", "date,close,currency,open,high,low,change%\n2024-01-02,1,usd,1,1,1,1%\n", "utf-8")
