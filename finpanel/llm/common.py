@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from all names in ``taken``, whatever their case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def shared(spark: SparkSession, thing):
     """Broadcast an object's plain data, which workers can read without the package; ``own`` makes it the object again."""
     return spark.sparkContext.broadcast(vars(thing))

@@ -6,24 +6,27 @@ smallest hash; empty bins of short lines borrow from others by a fixed order of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finpanel.llm.common import _powers, by_value, checked_side, mix, span_hashes, text_groups
-from finpanel.llm.linking import link_components, shared_buckets
+from finpanel.llm.common import _powers, by_value, checked_side, free_name, mix, span_hashes, text_groups
+from finpanel.llm.linking import link_components
 from finpanel.session import materialize
 
 by_value(__name__)
 
 BLANK = " \t\r\x0b\x0c\x00"  # what is trimmed from lines
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+PIECE = 1 << 19  # characters that are hashed at once
 
 
-def line_bands(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
-    """Band keys of each line, from the shingles of ``size`` characters; a shorter line is one shingle."""
-    bins = bands * rows
+def line_bins(lines: list[str], size: int, bins: int) -> np.ndarray:
+    """The smallest hash of each line's shingles of ``size`` characters in each bin, EMPTY where none falls; a shorter line is one shingle."""
     pad = "\0" * (size - 1)
     codes = np.frombuffer((pad.join(lines) + pad + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.array([len(x) for x in lines], dtype=np.int64)
@@ -38,7 +41,29 @@ def line_bands(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray
     bin_ = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     held = np.full(len(lines) * bins, EMPTY)
     np.minimum.at(held, line * bins + bin_, mix(hashes))
-    own = held.reshape(len(lines), bins)
+    return held.reshape(len(lines), bins)
+
+
+def pieces_of(line: str, size: int) -> list[str]:
+    """A long line in pieces that overlap by a shingle less a character, so that they have the line's shingles."""
+    return [line[i : i + PIECE + size - 1] for i in range(0, max(1, len(line) - size + 1), PIECE)]
+
+
+def line_bands(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
+    """Band keys of each line. Empty bins of short lines borrow from others by a fixed order of bins; long lines are hashed piece by piece."""
+    bins = bands * rows
+    own, at = np.full((len(lines), bins), EMPTY), 0
+    while at < len(lines):
+        to, chars = at, 0
+        while to < len(lines) and (to == at or chars + len(lines[to]) <= PIECE):
+            chars += len(lines[to])
+            to += 1
+        if chars > PIECE:  # one long line
+            for piece in pieces_of(lines[at], size):
+                own[at] = np.minimum(own[at], line_bins([piece], size, bins)[0])
+        else:
+            own[at:to] = line_bins(lines[at:to], size, bins)
+        at = to
     full = own.copy()
     order = np.argsort(mix(np.arange(bins * bins, dtype=np.uint64)).reshape(bins, bins), axis=1)
     lacking = np.argwhere(own == EMPTY)
@@ -55,32 +80,50 @@ def line_bands(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray
     return keys
 
 
-def _sign(size: int, bands: int, rows: int, most_bytes: int):
-    names = ["key", "t", "place", "d1", "d2"]
+def digests(lines: list[str]) -> np.ndarray:
+    """128 bits of each line as two longs."""
+    packed = b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines)
+    return np.frombuffer(packed, dtype="<i8").reshape(-1, 2)
+
+
+def _sign(size: int, bands: int, rows: int, most_bytes: int, named: Callable):
+    names = ["key", "t", "place", "d1", "d2", "line", "bands"]
 
     def run(batches):
-        for part in text_groups(batches, "line", most_bytes):
-            keys = line_bands(part.column("line").to_pylist(), size, bands, rows)
-            offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [lists], names=[*names, "bands"])
+        for part in text_groups(batches, "text", most_bytes):
+            of, places, lines = [], [], []
+            for i, text in enumerate(part.column("text").to_pylist()):
+                for place, raw in enumerate(text.split("\n")) if text else ():
+                    line = raw.strip(BLANK).lower()
+                    if line:
+                        of.append(i)
+                        places.append(place)
+                        lines.append(line)
+            keys, both = line_bands(lines, size, bands, rows), named(lines)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+            rows_of = pa.array(of, pa.int64())
+            columns = [part.column("key").take(rows_of), part.column("t").take(rows_of), pa.array(places, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.string()), lists], names=names)
 
     return run
 
 
 def items_of(line: str, size: int) -> np.ndarray:
     """Hashes of the line's shingles, sorted, each once."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    size = min(size, len(codes))
-    starts = np.arange(len(codes) - size + 1)
-    return np.unique(span_hashes(codes, starts, starts + size).view(np.int64))
+    found = []
+    for piece in pieces_of(line, size):
+        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        width = min(size, len(codes))
+        starts = np.arange(len(codes) - width + 1)
+        found.append(np.unique(span_hashes(codes, starts, starts + width).view(np.int64)))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def _sized(size: int):
     def run(batches):
         for batch in batches:
-            counts = pa.array([len(items_of(t, size)) for t in batch.column("line").to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("line"), counts], names=["node", "items", "size"])
+            counts = pa.array([len(items_of(t, size)) for t in batch.column("items").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("items"), counts], names=["node", "items", "size"])
 
     return run
 
@@ -93,49 +136,56 @@ def _text_id(text):
     return F.xxhash64(text)
 
 
-def _lines(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """key, t, place, d1, d2, line (trimmed, lower-cased) of all lines that are not blank."""
-    body = F.col(f"`{text}`").cast("string")
-    rows = documents.select(F.col(f"`{key}`").alias("key"), _text_id(body).alias("t"), F.posexplode(F.split(body, "\n", -1)).alias("place", "line"))
-    line = F.lower(F.btrim("line", F.lit(BLANK)))
-    rows = rows.select("key", "t", "place", line.alias("line")).filter("line <> ''")
-    return rows.select("key", "t", "place", F.xxhash64(F.lit(1), "line").alias("d1"), F.xxhash64(F.lit(2), "line").alias("d2"), "line")
-
-
 def repeated_lines(
-    documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 8, least: float = 0.8, bands: int = 10, rows: int = 4, most_bytes: int = 2_000_000,
+    documents: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 8, least: float = 0.8, bands: int = 10, rows: int = 4, most_bytes: int = 1_000_000, named: Callable = digests,
 ) -> DataFrame:
     """key, t, places: the lines (numbers from 0) that a document loses, for documents that lose any; ``t`` is the text's hash.
 
     Lines are compared trimmed and lower-cased. Two lines are linked if their sets of ``size``-character shingles have a Jaccard
     similarity of ``least`` or more (a shorter line is one shingle). Of the lines that links connect, in all documents and within
-    one, the first stays: smallest key (null first), then place. Equal lines are found by a 128-bit hash. Candidates share one of the bands
-    (at 0.8 with probability 0.995) and are verified on their text. Blank lines are never compared and stay.
+    one, the first stays: smallest key (null first), then place. Equal lines are found by a 128-bit hash (``named``), and that names them throughout.
+    Candidates share one of the bands (at 0.8 with probability 0.995) and are verified on their text. Blank lines are never compared and
+    stay. A line may be of any length.
     """
-    lines = _lines(documents, key, text)
-    fields = "key {}, t long, place int, d1 long, d2 long, bands array<long>".format(lines.schema["key"].dataType.simpleString())
-    signed = materialize(lines.mapInArrow(_sign(size, bands, rows, most_bytes), fields), "signed")
-    shared = shared_buckets(signed.select(F.col("d1").alias("node"), F.explode("bands").alias("bucket")))
-    near = materialize(shared.select(F.col("node").alias("near")).distinct(), "wanted")
-    texts = lines.join(checked_side(near), F.col("d1") == F.col("near")).groupBy(F.col("d1").alias("node")).agg(F.first("line").alias("line"))
+    body = F.col(f"`{text}`").cast("string")
+    source = documents.select(F.col(f"`{key}`").alias("key"), _text_id(body).alias("t"), body.alias("text"))
+    fields = "key {}, t long, place int, d1 long, d2 long, line string, bands array<long>".format(source.schema["key"].dataType.simpleString())
+    signed = materialize(source.mapInArrow(_sign(size, bands, rows, most_bytes, named), fields), "signed")
+    members = signed.select("d1", "d2", F.explode("bands").alias("bucket"))
+    ends = members.groupBy("bucket").agg(*(f(c).alias(f"{n}{c}") for c in ("d1", "d2") for n, f in (("low", F.min), ("high", F.max))))
+    several = ends.filter("lowd1 < highd1 OR lowd2 < highd2").select(F.col("bucket").alias("shared"))
+    several = checked_side(materialize(several, "buckets"))
+    shared = materialize(members.join(several, F.col("bucket") == F.col("shared"), "left_semi").distinct(), "buckets")
+    nodes = materialize(shared.select("d1", "d2").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    near = checked_side(nodes.select(F.col("d1").alias("n1"), F.col("d2").alias("n2"), "node"))
+    is_near = (F.col("d1") == F.col("n1")) & (F.col("d2") == F.col("n2"))
+    state = materialize(shared.join(near, is_near).select("node", "bucket"), "buckets")
+    texts = signed.select("d1", "d2", "line").join(near, is_near).groupBy("node").agg(F.first("line").alias("items"))
     items = materialize(texts.mapInArrow(_sized(size), "node long, items string, size int"), "items")  # lines are shorter than their hashes
-    groups = checked_side(materialize(link_components(shared, items, lambda line: items_of(line, size), least=least).withColumnRenamed("node", "of"), "groups"))
-    own = F.coalesce("component", "d1").alias("g1"), F.when(F.col("component").isNull(), F.col("d2")).otherwise(0).alias("g2")
-    placed = signed.join(groups, F.col("d1") == F.col("of"), "left").select("key", "t", "place", *own)
-    first = placed.groupBy("g1", "g2").agg(F.min(F.struct("key", "place", "t")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = checked_side(materialize(first.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), "first"), "firsts"))
-    repeats = placed.join(first, (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2")))
+    groups = link_components(state, items, lambda line: items_of(line, size), least=least).withColumnRenamed("node", "of")
+    linked = nodes.join(groups, F.col("node") == F.col("of")).select("d1", "d2", "component")
+    equal = signed.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2", F.lit(None).cast("long").alias("component"))
+    several = linked.unionByName(equal).groupBy(F.col("d1").alias("n1"), F.col("d2").alias("n2")).agg(F.max("component").alias("component"))
+    several = checked_side(materialize(several, "groups"))
+    alone = F.col("component").isNull()
+    own = F.when(alone, F.col("d1")).alias("g1"), F.when(alone, F.col("d2")).alias("g2"), F.coalesce("component", F.lit(-1)).alias("g3")
+    placed = materialize(signed.select("key", "t", "place", "d1", "d2").join(several, is_near).select("key", "t", "place", *own), "placed")
+    first = placed.groupBy("g1", "g2", "g3").agg(F.min(F.struct("key", "place", "t")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), F.col("g3").alias("f3"), "first")
+    first = checked_side(materialize(first, "firsts"))
+    repeats = placed.join(first, F.col("g1").eqNullSafe(F.col("f1")) & F.col("g2").eqNullSafe(F.col("f2")) & (F.col("g3") == F.col("f3")))
     same = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("place") == F.col("first.place")) & (F.col("t") == F.col("first.t"))
     return repeats.filter(~same).groupBy("key", "t").agg(F.collect_set("place").alias("places"))
 
 
-def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``documents`` with the repeated lines taken out of ``text``, and n_lines, n_dropped (of lines that are not blank) added.
+def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", **options) -> DataFrame:
+    """``documents`` with the repeated lines taken out of ``text``, and two columns added: how many lines that are not blank it had, and how many it lost.
 
     Null and empty texts stay as they are and have no line; rows that agree in key and text are one document and lose the same
-    lines; an empty table gives an empty one. Other columns stay; ones named n_lines or n_dropped are replaced.
+    lines; an empty table gives an empty one. Other columns stay as they are; a new one whose name is taken gets underscores behind it.
     """
-    names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
+    names = documents.columns
+    n_lines, n_dropped = free_name(n_lines, names), free_name(n_dropped, names)
     lost = repeated_lines(documents, key=key, text=text, **options)
     lost = materialize(lost.select(F.col("key").alias("k"), "t", "places"), "lost")
     if (lost.agg(F.sum(F.size("places"))).first()[0] or 0) <= MOST_PLACES:  # a row has one number for each line its document loses
@@ -146,6 +196,6 @@ def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
     lines = F.split(body, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
     kept = F.when(F.col("places").isNull(), body).otherwise(F.array_join(F.transform(left, lambda p: F.get(lines, p)), "\n"))
-    n = F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != "")), F.lit(0)).cast("long")
+    n = F.coalesce(F.regexp_count(body, F.lit(r"[^ \t\r\x0B\x0C\x00\n][^\n]*")), F.lit(0)).cast("long")
     out = (kept.alias(c) if c == text else F.col(f"c{i}").alias(c) for i, c in enumerate(names))
-    return joined.select(*out, n.alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select(*out, n.alias(n_lines), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias(n_dropped))

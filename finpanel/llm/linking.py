@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,37 +57,103 @@ def similarities(pairs: DataFrame, items: DataFrame, read: Callable) -> DataFram
     return both.select("a", "b", F.pandas_udf(similarity, "double")("i1", "i2").alias("sim"))
 
 
+FEW = 24  # members of a group whose pairs are compared in a plain loop
+
+
+def _cells(column) -> list:
+    """Values of an Arrow column, lists as slices of one array."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    whole, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [whole[x:y] for x, y in zip(edges[:-1], edges[1:])]
+
+
+FIELDS = ("node", "component", "block", "size", "known", "open", "items")
+
+
+def _runs(batches, keys: tuple[str, ...]):
+    """Groups of sorted rows: key and one list per field. A group may go on in the next batch."""
+    now, held = None, None
+    for batch in batches:
+        key = np.stack([batch.column(k).to_numpy() for k in keys])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        cells = [_cells(batch.column(f)) for f in FIELDS]
+        for x, y in zip(edges[:-1], edges[1:]):
+            if x == y:
+                continue
+            mine, part = tuple(key[:, x].tolist()), [c[x:y] for c in cells]
+            if mine == now:
+                held = [h + p for h, p in zip(held, part)]
+                continue
+            if now is not None:
+                yield now, held
+            now, held = mine, part
+    if now is not None:
+        yield now, held
+
+
 def _left_over(least: float, read: Callable):
-    """Group function: links of a bucket's two blocks between nodes that are not connected.
+    """Links of a bucket's two blocks between nodes that are not connected.
 
     A pair that shares several open buckets is compared in one of them, chosen by the pair.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket, apart = rows["bucket"].iloc[0], rows["low"].iloc[0] != rows["high"].iloc[0]
-        nodes, component, block, size = (rows[c].to_numpy() for c in ("node", "component", "block", "size"))
+    apart_by = 1 - least + 1e-9
+
+    def few(bucket, apart, node, component, block, size, known, open_, items):
+        sets, sets_of, out = [set(o.tolist()) for o in open_], {}, []
+        for i, j in combinations(range(len(node)), 2):
+            if component[i] == component[j] or apart and block[i] == block[j] or min(size[i], size[j]) < least * max(size[i], size[j]):
+                continue
+            if any(abs(x - y) > apart_by for x, y in zip(known[i].tolist(), known[j].tolist())):  # false for a distance that isn't known
+                continue
+            shared = sets[i] & sets[j]
+            if len(shared) > 1 and sum(x < bucket for x in shared) != (node[i] % 1_000_003 + node[j] % 1_000_003) % len(shared):
+                continue
+            for x in (i, j):
+                if x not in sets_of:
+                    sets_of[x] = read(items[x])
+            if jaccard(sets_of[i], sets_of[j]) >= least:
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+        return out
+
+    def many(bucket, apart, *columns):
+        nodes, component, block, size = (np.array(c) for c in columns[:4])
+        known, open_, items = columns[4:]
         may = (component[:, None] != component[None, :]) & (nodes[:, None] < nodes[None, :])
         if apart:
             may &= block[:, None] != block[None, :]
         may &= np.minimum(size[:, None], size[None, :]) >= least * np.maximum(size[:, None], size[None, :])
-        far = np.array([[np.nan if x is None else x for x in d] for d in rows["known"]], dtype=np.float64)
+        far = np.array([d.tolist() for d in known], dtype=np.float64)
         for d in far.T:
             with np.errstate(invalid="ignore"):
-                may &= ~(np.abs(d[:, None] - d[None, :]) > 1 - least + 1e-9)
-        buckets = np.unique(np.concatenate(rows["open"].to_list()))
+                may &= ~(np.abs(d[:, None] - d[None, :]) > apart_by)
+        buckets = np.unique(np.concatenate(open_))
         marks = np.zeros((len(nodes), len(buckets)), dtype=np.float32)
-        for i, own in enumerate(rows["open"]):
+        for i, own in enumerate(open_):
             marks[i, np.searchsorted(buckets, own)] = 1
         before = marks[:, : np.searchsorted(buckets, bucket)]
         short = nodes % 1_000_003
         may &= (before @ before.T) == (short[:, None] + short[None, :]) % np.maximum(marks @ marks.T, 1)
-        items = [read(x) for x in rows["items"]]
-        found = [(nodes[i], nodes[j]) for i, j in zip(*np.nonzero(may)) if jaccard(items[i], items[j]) >= least]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        wanted = np.flatnonzero(may.any(axis=0) | may.any(axis=1))
+        sets = {i: read(items[i]) for i in wanted.tolist()}
+        return [(int(nodes[i]), int(nodes[j])) for i, j in zip(*(x.tolist() for x in np.nonzero(may))) if jaccard(sets[i], sets[j]) >= least]
+
+    def run(batches):
+        out = []
+        for (bucket, low, high), columns in _runs(batches, ("bucket", "low", "high")):
+            out += (few if len(columns[0]) <= FEW else many)(bucket, low != high, *columns)
+            if len(out) >= 50_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
 
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def link_components(state: DataFrame, items: DataFrame, read: Callable = np.asarray, *, least: float = 0.8, pivots: int = 2, block: int = 256, block_items: int = 2_000_000) -> DataFrame:
     """node, component of all nodes that are linked, directly or not, with another one of a common bucket.
 
@@ -134,6 +202,7 @@ def link_components(state: DataFrame, items: DataFrame, read: Callable = np.asar
         rows = sized.join(checked_side(materialize(held, "blocks")), F.col("bucket") == F.col("at")).join(all_, F.col("node") == F.col("of"))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("node", "bucket", "component", "known", "open", "size", "items", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        links = rows.groupBy("bucket", "low", "high").applyInPandas(_left_over(least, read), "a long, b long")
+        ranked = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+        links = ranked.mapInArrow(_left_over(least, read), "a long, b long")
         groups = components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return groups

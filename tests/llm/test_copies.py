@@ -105,11 +105,42 @@ def test_lines(spark):
     rows = _texts(7)
     docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n_lines int")
     got = line_dedup.deduplicate(docs)
-    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "n_lines", "n_lines_", "n_dropped"] and {r.n_lines for r in got.collect()} == {1}
+    plain = {(r.doc_id, r.n_lines_, r.n_dropped) for r in got.collect()}
+    assert all(n >= d for _, n, d in plain) and any(d for *_, d in plain)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(_without_repeats(rows), key=str)
     assert line_dedup.deduplicate(docs.limit(0)).collect() == []
 
 
+def test_lines_whose_first_hash_agrees(spark):
+    """Lines are named by 128 bits: two that agree in 64 of them are two lines, even where one of them has copies and near copies."""
+    def named(lines):
+        import numpy
+
+        whole = line_dedup.digests(lines).copy()
+        whole[:, 0] = 7
+        return numpy.ascontiguousarray(whole)
+
+    texts = ["a line that is quite long and stands here twice", "a line that is quite long and stands here twice.", "nothing of the kind", "a line that is quite long and stands here twice", "again something else entirely", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.deduplicate(docs, named=named).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
+
+
+def test_long_lines_in_pieces(spark, monkeypatch):
+    rng = random.Random(1)
+    lines = ["".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (5, 7, 8, 9, 100, 999, 1000, 1007, 5000)]
+    whole, sets = line_dedup.line_bands(lines, 8, 10, 4), [line_dedup.items_of(x, 8) for x in lines]
+    for piece in (1, 50, 1000):
+        monkeypatch.setattr(line_dedup, "PIECE", piece)
+        assert np.array_equal(line_dedup.line_bands(lines, 8, 10, 4), whole)
+        assert all(np.array_equal(line_dedup.items_of(x, 8), s) for x, s in zip(lines, sets))
+    monkeypatch.undo()
+    long = "x" * 10 + "".join(rng.choice("abcdefghij ") for _ in range(2_000_000))
+    docs = spark.createDataFrame([(1, long), (2, "other\n" + long[:-9] + "changed"), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.deduplicate(docs).collect()} == {1: (1, 0), 2: (2, 1), 3: (0, 0), 4: (0, 0)}
+
+
 def _vectors():
     rng = np.random.default_rng(4)
     rows = []
