@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finpanel.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from finpanel.llm.common import table
+from finpanel.llm.common import free_name, table
 from finpanel.llm.queries import quality_model
 from finpanel.session import materialize
 
@@ -21,9 +21,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand elsewhere before; one that loses all its lines is a copy and goes. n_chars follows the text."""
-    found = line_dedup.deduplicate(docs).filter("n_dropped = 0 OR n_dropped < n_lines")
+    n_lines, n_dropped = free_name("n_lines", docs.columns), free_name("n_dropped", docs.columns)
+    lost = F.col(n_dropped)
+    found = line_dedup.deduplicate(docs, n_lines=n_lines, n_dropped=n_dropped).filter((lost == 0) | (lost < F.col(n_lines)))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(lost > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 
