@@ -211,12 +211,12 @@ def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
 class PrefixTrie:
     """``nodes``: node, hi, lo (its hash; the root's is 0), parent (null at the root), member (smallest sequence), parent_member, depth, n_members, n_children, weight."""
 
-    def __init__(self, rows: DataFrame, sequences: DataFrame, *, parts: int | None = None, siblings: int = 4096, most: int = 200_000, block: int = 1 << 16):
+    def __init__(self, rows: DataFrame, sequences: DataFrame, *, parts: int | None = None, siblings: int = 256, most: int = 200_000, block: int = 1 << 16):
         """Build the trie of ``rows``: seq (long), at, token (binary, 16 bytes of a digest or more), weight (long).
 
         A sequence is its rows in the order of ``at``; ``sequences`` (seq) names each one once, those without rows, too. No sequence, no node. The weight
         of a node is the smallest of its last tokens' weights. A node's name has 127 bits. Nodes that many sequences share are reduced in tasks before the shuffle; a
-        node's children are chained in groups of about ``siblings``, so one with very many children is spread, too. ``most`` and ``block``: see
+        node's children are chained in groups of about ``siblings`` (256), so one with very many children is spread, too. ``most`` and ``block``: see
         ``list_ranks`` and ``prefix_sums``. Tables that are read again are stored in the shared folder.
         """
         self.siblings, self.most, self.block, self.parts = siblings, most, block, parts
