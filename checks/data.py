@@ -230,6 +230,33 @@ def streamed(spark, sf):
     return tables.load_table(spark, path)
 
 
+def streamed_late(spark, sf):
+    """Files of one key in one micro-batch, and an older file that arrives last: the greatest file number counts throughout."""
+    src, path, progress = (scratch_path(spark, n) for n in ("stream-in", "table-stream", "stream-progress"))
+    p = materialize(_panel_part(spark, sf), "panel")
+
+    def file(number, rows):
+        return rows.select("stock_code", "date", (F.col("volume") + number).alias("volume"), F.lit(number).alias("_file"))
+
+    arrivals = [[file(3, p.where("date < '1996-01-01'")), file(2, p.where("date < '1997-01-01'"))], [file(4, p.where("date >= '1998-01-01'"))], [file(1, p)]]
+    schema = arrivals[0][0].schema
+    for files in arrivals:
+        for rows in files:
+            rows.coalesce(1).write.mode("append").parquet(src)
+        source = spark.readStream.schema(schema).parquet(src)
+        stream_upsert(spark, source, path, KEYS, day="date", progress=progress, recency=["_file"]).awaitTermination()
+    return tables.load_table(spark, path)
+
+
+def loaded_table(spark, sf):
+    """Monthly revenue through the whole load, by declared table: types, and the time of the load on every row."""
+    path = scratch_path(spark, "table-revenue")
+    rows = materialize(monthly_revenue(spark, sf), "revenue")
+    for part in (rows.where("month < '1996-01-01'"), rows.where("month >= '1995-06-01'").withColumn("revenue_ntd_thousand", F.col("revenue_ntd_thousand") + 1)):
+        loads.load_into(spark, path, part, table="monthly_revenue")
+    return tables.load_table(spark, path).select("security_code", "security_name", "month", "revenue_ntd_thousand", F.col("updated_at").isNotNull().alias("stamped"))
+
+
 def row_counts(spark, sf):
     return tables.row_counts({t: v.table(spark, sf, t) for t in ("orders", "lineitem", "events", "supplier")})
 
@@ -320,6 +347,28 @@ def csv_export(spark, sf):
     return spark.read.schema("stock_code string, date date, amp_pct double, volume double").csv(path, header=True)
 
 
+def ordered_export(spark, sf):
+    """The panel as ordered text files: read back, every row has the number that its place in the files gives it."""
+    path = scratch_path(spark, "ordered")
+    sinks.write_ordered(_panel_part(spark, sf), path, ["date", "stock_code"])
+    return sinks.read_ordered(spark, path, "stock_code string, date date, amp_pct double, volume double")
+
+
+def written_lists(spark, sf):
+    """All lists written from listings of suppliers, read back in the order of the files: list, row, code, name, isin."""
+    rows = listing.extract_table_rows(listing_pages(spark, sf)).withColumn("category", F.when(F.col("code").cast("int") % 5 == 0, "ETF").otherwise("股票"))
+    later = rows.withColumn("name", F.concat("name", F.lit("-later")))
+    listings = {"listed": rows.where(F.col("code").cast("int") % 2 == 0), "otc": later, "emerging": rows, "funds": later, "indices": rows.where(F.col("code").cast("int") % 3 == 0)}
+    paths = listing.write_lists({k: materialize(r, "listing") for k, r in listings.items()}, scratch_path(spark, "lists"))
+    out = None
+    for name, path in paths.items():
+        columns = listing.LIST_COLUMNS[listing.LISTS[name][2]]
+        back = sinks.read_ordered(spark, path, ", ".join(f"{c} string" for c in columns))
+        part = back.select(F.lit(name).alias("list"), "row", "code", "name", (F.col("isin") if "isin" in columns else F.lit(None).cast("string")).alias("isin"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def json_export(spark, sf):
     """The published market amplitude series, written as JSON records and read back."""
     path = scratch_path(spark, "json")
@@ -434,6 +483,10 @@ def stock_and_market_rows(spark, sf):
     return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("cnt"), F.count("volume").alias("with_volume"))
 
 
+REVENUE = """SELECT CAST(l_suppkey AS VARCHAR) AS security_code, CASE WHEN l_suppkey % 3 <> 0 THEN 'N' || l_suppkey END AS security_name,
+    CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(floor(max(l_extendedprice)) AS BIGINT) AS revenue_ntd_thousand FROM lineitem
+    WHERE l_suppkey % 11 <> 5 AND l_suppkey % 13 <> 7 GROUP BY l_suppkey, date_trunc('month', l_shipdate)"""
+
 QUERIES = {
     "clean_numbers": clean_numbers,
     "parsed_dates": parsed_dates,
@@ -460,6 +513,10 @@ QUERIES = {
     "fx_files": fx_files,
     "fx_mixed_headers": fx_mixed_headers,
     "csv_export": csv_export,
+    "ordered_export": ordered_export,
+    "written_lists": written_lists,
+    "streamed_late": streamed_late,
+    "loaded_table": loaded_table,
     "json_export": json_export,
     "cached_panel": cached_panel,
     "listing_rows": listing_rows,
@@ -501,9 +558,7 @@ SQL = {
         max(o_totalprice) AS eps, min(o_totalprice) AS roe, CAST(NULL AS DOUBLE) AS roa, CASE WHEN count(*) > 1 THEN CAST(count(*) AS DOUBLE) END AS gross_margin,
         CAST(NULL AS DOUBLE) AS net_margin, CAST(NULL AS DOUBLE) AS debt_ratio FROM orders GROUP BY o_custkey, date_trunc('quarter', o_orderdate)""",
     "json_items": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS absent FROM events",
-    "monthly_revenue": """SELECT CAST(l_suppkey AS VARCHAR) AS security_code, CASE WHEN l_suppkey % 3 <> 0 THEN 'N' || l_suppkey END AS security_name,
-        CAST(date_trunc('month', l_shipdate) AS DATE) AS month, CAST(floor(max(l_extendedprice)) AS BIGINT) AS revenue_ntd_thousand FROM lineitem
-        WHERE l_suppkey % 11 <> 5 AND l_suppkey % 13 <> 7 GROUP BY l_suppkey, date_trunc('month', l_shipdate)""",
+    "monthly_revenue": REVENUE,
     "index_history": f"""WITH {v.PANEL} SELECT stock_code AS index_code, CAST(NULL AS VARCHAR) AS index_name, date AS trade_date, CAST(CAST(amp_pct * 10000 AS DECIMAL(18, 2)) AS DOUBLE) AS price_index,
         CAST(NULL AS DOUBLE) AS return_index, return_pct + 0.0 AS change_pts, return_pct + 0.0 AS change_pct FROM panel WHERE CAST(stock_code AS INTEGER) % 9 <> 4""",
     "dedupe_latest": f"""SELECT * EXCLUDE (rn) FROM (SELECT * REPLACE (l_discount + 0.0 AS l_discount, l_tax + 0.0 AS l_tax),
@@ -530,6 +585,15 @@ SQL = {
         CASE WHEN date >= DATE '1997-07-01' AND date < DATE '1999-01-01' THEN 'new' END AS note FROM p""",
     "fx_mixed_headers": f"""WITH {v.FX} SELECT currency, date, CASE WHEN dayofyear(date) % 17 = 0 THEN close ELSE close + 1 END AS close, CAST(NULL AS VARCHAR) AS reason FROM fx
         UNION ALL SELECT NULL, date, close + 1, 'key' FROM fx WHERE dayofyear(date) % 17 = 0""",
+    "ordered_export": f"{_MERGED} SELECT *, row_number() OVER (ORDER BY date, stock_code) AS row FROM p",
+    "written_lists": f"""WITH {_LISTED}, base AS (SELECT code, name, isin, CAST(code AS INTEGER) AS c FROM listed),
+        merged AS (SELECT *, CASE WHEN c % 2 = 0 THEN name ELSE name || '-later' END AS first_name FROM base),
+        lists AS (SELECT 'stocks' AS list, code, first_name AS name, NULL AS isin FROM merged WHERE c % 5 <> 0 UNION ALL SELECT 'etf', code, first_name, isin FROM merged WHERE c % 5 = 0
+          UNION ALL SELECT 'emerging', code, name, NULL FROM base UNION ALL SELECT 'funds', code, name || '-later', isin FROM base UNION ALL SELECT 'indices', code, name, isin FROM base WHERE c % 3 = 0)
+        SELECT list, row_number() OVER (PARTITION BY list ORDER BY code) AS row, code, name, isin FROM lists""",
+    "streamed_late": f"""{_MERGED} SELECT stock_code, date, volume + CASE WHEN date >= DATE '1998-01-01' THEN 4 WHEN date < DATE '1996-01-01' THEN 3 WHEN date < DATE '1997-01-01' THEN 2 ELSE 1 END AS volume FROM p""",
+    "loaded_table": f"""SELECT security_code, security_name, month, CASE WHEN month >= DATE '1995-06-01' THEN revenue_ntd_thousand + 1 ELSE revenue_ntd_thousand END AS revenue_ntd_thousand,
+        true AS stamped FROM ({REVENUE})""",
     "csv_export": f"{_MERGED} SELECT * FROM p",
     "json_export": f"{BREADTH} SELECT strftime(date, '%Y-%m-%d') AS date, {_r6sql('amp_big_pct', 'mkt_hi90', 'mkt_lo10')} FROM breadth",
     "cached_panel": f"WITH {v.PANEL} SELECT * FROM panel",

@@ -270,6 +270,22 @@ def persistent_overlap(spark, sf):
     return r6(rp.overlap_of_persistent(events(spark, sf)), "jaccard", "pct_of_a", "pct_of_b")
 
 
+REPORT_PARTS = {
+    "event_summary": ("kind",), "return_stats": ("kind", "measure"), "persistence_stats": ("kind", "high"), "persistence_boxes": ("kind", "high"),
+    "persistence_curves": ("kind", "high", "curve", "k"), "persistence_compare": ("kind", "feature"), "persistence_logit": ("kind", "variable"),
+    "attention_stats": ("kind", "is_attention"), "feature_thirds": ("kind", "feature", "bucket"),
+}
+
+
+def full_report(spark, sf):
+    """All tables of the report as one long table, but for the histograms, whose edges are compared on their own."""
+    p = v.stored_panel(spark, sf)
+    rows = materialize(v.index_rows(spark, sf, p), "index")
+    tables = rp.full_report(materialize(study(spark, sf), "study"), rows)
+    tables.pop("return_histograms")
+    return r6(rp.report_rows(tables), "value")
+
+
 def big_events(spark, sf) -> DataFrame:
     rows = study(spark, sf).where(F.col("amp_big") == 1).select("stock_code", "date", "persist_amp")
     return materialize(rows, "big-events")
@@ -438,6 +454,7 @@ QUERIES = {
     "round_return_histograms": round_return_histograms,
     "large_group_quantiles": large_group_quantiles,
     "persistent_overlap": persistent_overlap,
+    "full_report": full_report,
     "persistence_probability": persistence_probability,
     "running_probability": running_probability,
     "persistence_merged": persistence_merged,
@@ -515,3 +532,25 @@ SQL = {
     "index_after_wide_days": _after_sql("mkt_amp_hi"),
     "index_after_calm_days": _after_sql("mkt_amp_lo"),
 }
+
+
+def _report_sql() -> str:
+    """The SQL of the single tables, put into one long form."""
+    parts, unions = [], []
+    index = {f"index_after_{flag}": (SQL[name], ("stock_code", "horizon")) for flag, name in (("mkt_amp_hi", "index_after_wide_days"), ("mkt_amp_lo", "index_after_calm_days"))}
+    single = {name: (SQL[name], keys) for name, keys in REPORT_PARTS.items()}
+    rest = {"overlap": (SQL["persistent_overlap"], ()), "market_amplitude": (f"{BREADTH} SELECT strftime(date, '%Y-%m-%d') AS date, {_r6sql('amp_big_pct', 'mkt_hi90', 'mkt_lo10')} FROM breadth", ("date",))}
+    for name, (sql, keys) in (single | rest | index).items():
+        parts.append(f"t_{name} AS MATERIALIZED ({sql})")
+        item = " || ' ' || ".join(f"coalesce(CAST({k} AS VARCHAR), '-')" for k in sorted(keys, key=rp.REPORT_KEYS.index)) or "''"
+        unions += [f"SELECT '{name}' AS section, {item} AS item, '{c}' AS value_name, CAST({c} AS DOUBLE) AS value FROM t_{name}" for c in REPORT_VALUES[name]]
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(unions)}"
+
+
+REPORT_VALUES = {
+    "event_summary": ("events", "securities", "attention", "mdd_mean_pct"), "persistence_boxes": ("cnt", "q1", "median", "q3", "lo", "hi", "whisker_lo", "whisker_hi"),
+    "persistence_curves": ("cnt", "p25", "median", "p75"), "persistence_compare": ("n_hi", "n_lo", "mean_hi", "median_hi", "mean_lo", "median_lo", *RANKED),
+    "persistence_logit": (*LOGIT_VALUES, "n"), "overlap": ("n_a", "n_b", "n_both", "n_any", "jaccard", "pct_of_a", "pct_of_b"), "market_amplitude": ("amp_big_pct", "mkt_hi90", "mkt_lo10"),
+}
+REPORT_VALUES |= {n: ("cnt", *DESCRIBED) for n in ("return_stats", "persistence_stats", "attention_stats", "feature_thirds", "index_after_mkt_amp_hi", "index_after_mkt_amp_lo")}
+SQL["full_report"] = _report_sql()

@@ -24,10 +24,10 @@ EXCESS = ("fwd_exc_1", "fwd_exc_5", "fwd_exc_20")
 CURVES = {"cum_amp": 1.0, "cum_ret": 100.0, "cum_exc": 100.0}
 
 
-def event_rows(panel: DataFrame, *, pct: float = 0.8) -> DataFrame:
+def event_rows(panel: DataFrame, *, pct: float = 0.8, min_scores: int = 10) -> DataFrame:
     """Event rows of both kinds (``kind`` big / sml; a row is never both), with strength and persistence.
 
-    ``high`` is 1 from the kind's ``pct`` score quantile on, 0 below, null without a score.
+    ``high`` is 1 from the kind's ``pct`` score quantile on, 0 below, null without a score or if the kind has fewer than ``min_scores`` of them.
     """
     kind = F.when(F.col("amp_big") == 1, "big").when(F.col("amp_sml") == 1, "sml")
     strength = F.coalesce(
@@ -36,7 +36,8 @@ def event_rows(panel: DataFrame, *, pct: float = 0.8) -> DataFrame:
     )
     rows = panel.withColumns({"kind": kind, "strength": strength}).where(F.col("kind").isNotNull())
     rows = materialize(rows, "events")
-    cuts = materialize(quantiles(rows, ["kind"], "persist_amp", [pct], ["persist_cut"], few_groups=True).drop("n"), "cuts")
+    cuts = materialize(quantiles(rows, ["kind"], "persist_amp", [pct], ["persist_cut"], few_groups=True), "cuts")
+    cuts = cuts.select("kind", F.when(F.col("n") >= min_scores, F.col("persist_cut")).alias("persist_cut"))
     rows = join_groups(rows, cuts, ["kind"], few_groups=True)
     return rows.withColumn("high", (F.col("persist_amp") >= F.col("persist_cut")).cast("int"))
 
@@ -184,16 +185,17 @@ def _logit_rows(group: str, names: list[str], coefs: np.ndarray, errors: np.ndar
     return out
 
 
-def overlap_of_persistent(events: DataFrame) -> DataFrame:
-    """How many securities had high persistence after big events, after small ones, after both."""
-    hit = F.col("high") == 1
-    return set_overlap(events, "stock_code", hit & (F.col("kind") == "big"), hit & (F.col("kind") == "sml"))
+def overlap_of_persistent(events: DataFrame, *, min_events: int = 10) -> DataFrame:
+    """How many securities had high persistence after big events, after small ones, after both; empty with fewer than ``min_events`` of a kind."""
+    hit, big = F.col("high") == 1, F.col("kind") == "big"
+    enough = events.agg((F.least(F.count_if(big), F.count_if(~big)) >= min_events).alias("enough")).scalar()
+    return set_overlap(events, "stock_code", hit & big, hit & ~big).where(enough)
 
 
 def full_report(panel: DataFrame, index_rows: DataFrame) -> dict[str, DataFrame]:
     """Every table of the report, by name, from a study panel and the index rows.
 
-    Event rows and market breadth are stored once; the tables are lazy except for the logit fits.
+    Event rows and market breadth are stored once; quantiles and the logit run their rounds at once, the rest is lazy.
     """
     events = event_rows(panel)
     breadth = materialize(market_breadth(panel), "breadth")
@@ -205,13 +207,29 @@ def full_report(panel: DataFrame, index_rows: DataFrame) -> dict[str, DataFrame]
         "persistence_boxes": persistence_boxes(events),
         "persistence_curves": persistence_curves(events),
         "persistence_compare": persistence_compare(events),
+        "persistence_logit": persistence_logit(events),
         "attention_stats": attention_stats(events),
         "feature_thirds": feature_thirds(events),
         "overlap": overlap_of_persistent(events),
         "market_amplitude": amplitude_export(breadth),
     }
-    for kind in ("big", "sml"):
-        tables[f"persistence_logit_{kind}"] = persistence_logit(events, kind)
     for flag in ("mkt_amp_hi", "mkt_amp_lo"):
         tables[f"index_after_{flag}"] = index_after_events(breadth, index_rows, flag)
     return tables
+
+
+#: Columns that name a row of a report table; all other numbers are its values.
+REPORT_KEYS = ("kind", "measure", "high", "is_attention", "curve", "k", "feature", "bucket", "variable", "bin", "date", "stock_code", "horizon")
+
+
+def report_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """All tables as one: section, item (the row's key values, joined by blanks), value_name, value (double; null where there is none)."""
+    out = None
+    for name, df in tables.items():
+        keys = [c for c in REPORT_KEYS if c in df.columns]
+        item = F.concat_ws(" ", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys])
+        kinds = dict(df.dtypes)
+        values = {c: F.col(c) for c in df.columns if c not in keys and kinds[c] in ("bigint", "int", "double")}
+        long = unpivot(df.withColumn("item", item), ["item"], values, label="value_name").select(F.lit(name).alias("section"), "item", "value_name", "value")
+        out = long if out is None else out.unionByName(long)
+    return out

@@ -194,3 +194,30 @@ PANEL_NAMES = {
     "disposition_d": "disposition_d",
     "full_delivery_y": "full_delivery_y",
 }
+
+
+def _ddl(columns, day, text=(), extra="") -> str:
+    """Schema of a table from its source columns: a text key, the day, text columns, and numbers else."""
+    kinds = {day: "date"} | {c: "string" for c in text}
+    names = list(columns.values())
+    return ", ".join([f"{c} {'string' if i == 0 else kinds.get(c, 'double')}" for i, c in enumerate(names)] + ([extra] if extra else []))
+
+
+MASTER_TABLE = "security_code string, ticker string, name string, market string"
+
+#: Table -> declared schema, keys, day. Loads bring their rows to it.
+TABLES = {
+    "stock_price": (_ddl(PRICE_COLUMNS, "date", PRICE_TEXT), ("security_code", "date"), "date"),
+    "chip": (_ddl(CHIP_COLUMNS, "date", extra="extras map<string,double>"), ("security_code", "date"), "date"),
+    "market_stats": (_ddl(MARKET_COLUMNS, "date"), ("security_code", "date"), "date"),
+    "intl_index": (_ddl(INTL_INDEX_COLUMNS, "date"), ("security_code", "date"), "date"),
+    "director_monthly": (_ddl(DIRECTOR_COLUMNS, "month"), ("security_code", "month"), "month"),
+    "quarterly": ("security_code string, season date, data map<string,double>", ("security_code", "season"), "season"),
+    "deposit_rates": (_ddl(DEPOSIT_COLUMNS, "date"), ("bank", "date"), "date"),
+    "fx": (_ddl(FX_COLUMNS, "date"), ("currency", "date"), "date"),
+    "index_history": (
+        "index_code string, index_name string, trade_date date, " + ", ".join(f"{c} {t}" for c, t in INDEX_HISTORY_TYPES.items()) + ", updated_at timestamp",
+        ("index_code", "trade_date"), "trade_date",
+    ),
+    "monthly_revenue": ("security_code string, security_name string, month date, revenue_ntd_thousand bigint, updated_at timestamp", ("security_code", "month"), "month"),
+}

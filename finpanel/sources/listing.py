@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finpanel.operators.keys import dedupe_first
+from finpanel.sources.sinks import write_ordered
 
 # Code and name are separated by an ideographic space; positions of the other cells.
 NAME_SPACE = "　"
@@ -91,3 +92,30 @@ def list_columns(rows: DataFrame, kind: str) -> DataFrame:
     """The column subset of one of the written lists, under its headers, ordered by code."""
     names = LIST_COLUMNS[kind]
     return rows.orderBy("code").select(*[F.col(c).alias(h) for c, h in names.items()])
+
+
+# The written lists, by the listings they come from (in order of precedence), their category (None: all) and their columns.
+LISTS = {
+    "stocks": (("listed", "otc"), "股票", "stocks"),
+    "emerging": (("emerging",), None, "stocks"),
+    "etf": (("listed", "otc"), "ETF", "etf"),
+    "funds": (("funds",), None, "issued"),
+    "indices": (("indices",), None, "issued"),
+}
+
+
+def write_lists(listings: Mapping[str, DataFrame], folder: str, *, mode: str = "errorifexists") -> dict[str, str]:
+    """Write every list whose listings are given, ordered by code, under ``folder``; list -> path.
+
+    A list of all categories keeps repeated codes, one out of several listings the first of them.
+    """
+    paths = {}
+    for name, (sources, category, kind) in LISTS.items():
+        if not all(s in listings for s in sources):
+            continue
+        found = [listings[s] for s in sources]
+        rows = found[0] if category is None else select_category(found, category)
+        paths[name] = f"{folder.rstrip('/')}/{name}"
+        columns = LIST_COLUMNS[kind]
+        write_ordered(rows.select(*[F.col(c).alias(h) for c, h in columns.items()]), paths[name], [columns["code"]], mode=mode)
+    return paths

@@ -12,7 +12,7 @@ from finpanel import schemas
 from finpanel.functions import cleaning as c
 from finpanel.operators.keys import dedupe_latest, split_rejects
 from finpanel.session import materialize
-from finpanel.sources.tables import PART, insert_new, load_report, load_table, read_table, snapshot, upsert
+from finpanel.sources.tables import insert_new, load_report, load_table, read_table, snapshot, upsert
 from finpanel.sources.vendor import overflow_map, rename_map
 
 Parts = tuple[DataFrame, DataFrame]
@@ -140,11 +140,18 @@ def research_panel(prices: DataFrame) -> DataFrame:
     return prices.select(c.code_of(key).alias("stock_code"), c.name_of(key).alias("name"), "date", *names)
 
 
-def load_into(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], *, day: str, backup: str | None = None, master: str | None = None, stamp: str | None = None, schema: str | None = None) -> DataFrame:
+def load_into(
+    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str] | None = None, *, day: str | None = None, table: str | None = None, backup: str | None = None,
+    master: str | None = None, stamp: str | None = None, schema: str | None = None,
+) -> DataFrame:
     """Whole load of one table: snapshot, upsert, new securities, report (total, added, first and last day).
 
-    The rows are stored once, so that the sources are parsed once. Of equal keys the one from the later file (``_src``) counts.
+    ``table`` names one of ``schemas.TABLES``, which then gives schema, keys and day. The rows are stored once, so that the sources are parsed once. Of
+    equal keys the one from the later file (``_src``) counts.
     """
+    if table is not None:
+        schema, keys, day = schemas.TABLES[table]
+        stamp = stamp or ("updated_at" if "updated_at timestamp" in schema else None)
     rows = materialize(rows, "load")
     stored = read_table(spark, path)
     before = 0 if stored is None else stored.count()
@@ -152,11 +159,11 @@ def load_into(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[st
         snapshot(spark, path, backup)
     upsert(spark, path, rows, keys, day=day, stamp=stamp, schema=schema, recency=["_src"] if "_src" in rows.columns else ())
     if master:
-        insert_new(spark, master, security_master(rows), ["security_code"])
+        insert_new(spark, master, security_master(rows), ["security_code"], schema=schemas.MASTER_TABLE)
     return load_report(load_table(spark, path), day, before=before)
 
 
 def cached_panel(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, force_source: bool = False) -> DataFrame:
     """The consolidated panel table if it exists, else the panel built from the sources."""
     stored = None if force_source else read_table(spark, path)
-    return build() if stored is None else stored.drop(PART)
+    return build() if stored is None else stored

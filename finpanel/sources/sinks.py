@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, *, order: Sequence[str] = (), mode: str = "errorifexists") -> None:
@@ -18,6 +19,39 @@ def write_json(df: DataFrame, path: str, *, order: Sequence[str] = (), mode: str
     rows.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_ordered(df: DataFrame, path: str, order: Sequence[str], *, format: str = "csv", mode: str = "errorifexists", **options) -> None:
+    """Files of sorted ranges: all rows of one file come before those of the next, by the ordinal in the files' names, whatever the number of files.
+
+    Ties in ``order`` are broken by the other columns, so that the same rows always give the same sequence.
+    """
+    columns = [*order, *[c for c in df.columns if c not in order]]
+    if format == "csv":
+        options = {"header": True, "encoding": "UTF-8"} | options
+    if format == "json":
+        options = {"ignoreNullFields": False} | options
+    df.orderBy(*[F.col(f"`{c}`") for c in columns]).write.mode(mode).format(format).options(**options).save(path)
+
+
+def read_ordered(spark: SparkSession, path: str | Sequence[str], schema: str, *, format: str = "csv", row: str = "row", **options) -> DataFrame:
+    """Rows of ``write_ordered`` with their number, from 1, in column ``row``: earlier files first, then place in the file.
+
+    Places are counted within splits of bounded size; what stands before a split is a running total over the splits, a narrow row for each.
+    """
+    if format == "csv":
+        options = {"header": True} | options
+    found = spark.read.schema(schema).format(format).options(**options).load(path)
+    names = found.columns
+    folder = F.regexp_replace("_metadata.file_path", "[^/]*$", "")
+    split = F.struct(folder.alias("folder"), F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"))
+    rows = found.select(*names, split.alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    sizes = rows.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_split.folder").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("_split").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_split").orderBy("_id"))
+    placed = rows.withColumn("_at", within).join(sizes, F.col("_split") == F.col("_of"))
+    return placed.select(*names, (F.col("_before") + F.col("_at")).alias(row))
+
+
 def write_panel(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """Panel as Parquet in ranges of (security, day), so later scans prune by code. Ranges follow the
     distribution of the rows, so files are even."""

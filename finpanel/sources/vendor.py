@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finpanel.session import materialize
+from finpanel.sources.files import first_bytes
 
 MARK, UNREADABLE = "\ufeff", "\ufffd"
 HEAD_BYTES = 1 << 16
@@ -72,14 +73,8 @@ def _encoding(raw: bytes, wanted: str) -> tuple[str, str] | None:
 
 
 def _head(spark: SparkSession, path: str, keys: Sequence[str], sep: str, encodings: Sequence[str]) -> Head:
-    jvm = spark.sparkContext._jvm
     try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-        try:
-            raw = _first_text_bytes(path, bytes(stream.readNBytes(HEAD_BYTES)))
-        finally:
-            stream.close()
+        raw = _first_text_bytes(path, first_bytes(spark, path, HEAD_BYTES))
     except (Py4JJavaError, zlib.error, OSError) as err:
         return Head(path, reason=_why(err))
     for wanted in encodings:

@@ -387,7 +387,12 @@ def test_full_report(spark):
     counts = {name: t.count() for name, t in tables.items()}
     assert counts["event_summary"] == 2 and counts["return_stats"] == 12 and counts["overlap"] == 1
     assert counts["persistence_curves"] == 2 * 2 * 3 * 21 and counts["persistence_compare"] == 8
-    assert counts["market_amplitude"] == n and counts["persistence_logit_big"] in (0, 5)
+    assert counts["market_amplitude"] == n and counts["persistence_logit"] in (0, 5, 10)
+    rows = rp.report_rows(tables)
+    assert {r["section"] for r in rows.select("section").distinct().collect()} == {t for t, c in counts.items() if c}
+    assert rows.where("section = 'return_stats' AND value_name = 'cnt'").count() == 12
+    few = rp.event_rows(st.study_panel(df, market).limit(40))
+    assert few.where("high IS NOT NULL").isEmpty() and rp.overlap_of_persistent(few).isEmpty()
 
 
 def test_running_products_against_whole_windows():

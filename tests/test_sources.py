@@ -178,9 +178,10 @@ def test_upsert(spark):
 def test_upsert_rewrites_only_touched_months(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.upsert(spark, path, frame(spark, [("a", d, 1.0, 1.0) for d in D]), ["k", "date"], day="date")
-    before = {p.name for p in (tmp_path / "t" / "part_month=202503").iterdir()}
+    before = tables.version_of(spark, path)
     tables.upsert(spark, path, frame(spark, [("a", D[1], 9.0, 9.0)]), ["k", "date"], day="date")
-    assert {p.name for p in (tmp_path / "t" / "part_month=202503").iterdir()} == before
+    after = tables.version_of(spark, path)
+    assert after.number == before.number + 1 and {m for m in after.parts if after.parts[m] != before.parts[m]} == {"202401"}
     assert dump(spark, path)[1] == ("a", D[1], 9.0, 9.0) and len(dump(spark, path)) == 4
 
 
@@ -271,6 +272,31 @@ def test_lists(spark):
     assert [tuple(r) for r in got.collect()] == [("1", "only"), ("2", "first")] and got.columns == ["代號", "名稱"]
 
 
+def test_written_lists(spark, tmp_path):
+    cols = "category string, code string, name string, isin string, date string, market string"
+    listed = spark.createDataFrame([("股票", "2", "b", "i2", "d", "m"), ("ETF", "9", "e", "i9", "d", "m"), ("股票", "1", "a", "i1", "d", "m")], cols)
+    otc = spark.createDataFrame([("股票", "2", "later", "x", "d", "m"), ("股票", "3", "c", "i3", "d", "m")], cols)
+    paths = listing.write_lists({"listed": listed, "otc": otc, "emerging": otc}, str(tmp_path / "lists"))
+    assert set(paths) == {"stocks", "etf", "emerging"}
+    back = sinks.read_ordered(spark, paths["stocks"], "code string, name string")
+    assert [tuple(r) for r in back.orderBy("row").collect()] == [("1", "a", 1), ("2", "b", 2), ("3", "c", 3)]
+    assert sinks.read_ordered(spark, paths["etf"], "code string, name string, isin string, date string, market string").first()["isin"] == "i9"
+
+
+@pytest.mark.parametrize("format", ["csv", "json", "parquet"])
+def test_order_of_many_files_and_splits(spark, tmp_path, format):
+    df = spark.range(5000).selectExpr("cast((id * 7919) % 5000 AS string) AS a", "cast(id % 17 AS int) AS b")
+    path = str(tmp_path / format)
+    sinks.write_ordered(df.repartition(7), path, ["b"], format=format)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = [(r["b"], r["a"]) for r in sinks.read_ordered(spark, path, "a string, b int", format=format).orderBy("row").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted((r["b"], r["a"]) for r in df.collect())
+
+
 def test_legacy_names(spark):
     df = spark.createDataFrame([(1, 2)], "trade_date int, v int")
     assert vendor.rename_legacy(df, schemas.LEGACY_NAMES).columns == ["date", "v"]
@@ -297,12 +323,100 @@ def test_bucketed_panel_needs_no_shuffle(spark, tmp_path):
     spark.sql("DROP TABLE bucketed_panel")
 
 
-def test_upsert_scans_only_touched_months(spark, tmp_path):
-    path = str(tmp_path / "t")
+def test_upsert_reads_only_touched_months(spark, tmp_path, monkeypatch):
+    path, asked = str(tmp_path / "t"), []
     tables.upsert(spark, path, frame(spark, [("a", d, 1.0, 1.0) for d in D]), ["k", "date"], day="date")
-    old = tables._touched(tables.read_table(spark, path), frame(spark, [("a", D[1], 9.0, 9.0)]), "date")
-    plan = old._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(part_month" in plan and "202401" in plan
+    real = tables._rows
+    monkeypatch.setattr(tables, "_rows", lambda s, p, v, months=None: asked.append(months) or real(s, p, v, months))
+    tables.upsert(spark, path, frame(spark, [("a", D[1], 9.0, 9.0)]), ["k", "date"], day="date")
+    assert asked == [["202401"]]
+    files = real(spark, path, tables.version_of(spark, path), ["202401"]).inputFiles()
+    assert files and all("part_month=202401" in f for f in files)
+
+
+def test_a_load_that_breaks_off_is_not_seen(spark, tmp_path, monkeypatch):
+    """Readers see the old rows until the pointer stands, also ones that began before; a broken pointer is passed over."""
+    path = str(tmp_path / "t")
+    old = [("a", D[1], 1.0, 1.0), ("b", D[3], 2.0, 2.0)]
+    tables.upsert(spark, path, frame(spark, old), ["k", "date"], day="date")
+    reader = tables.load_table(spark, path)
+    batch = frame(spark, [("a", D[1], 7.0, 7.0), ("b", D[3], 8.0, 8.0), ("c", D[0], 9.0, 9.0)])
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            tables.upsert(spark, path, batch, ["k", "date"], day="date")
+    assert dump(spark, path) == old
+    (tmp_path / "t" / "_versions" / "000000000002.json").write_text('{"number": 2, "sch')
+    assert dump(spark, path) == old
+    tables.upsert(spark, path, batch, ["k", "date"], day="date")
+    assert len(dump(spark, path)) == 3 and tables.version_of(spark, path).number == 3
+    assert sorted(tuple(r) for r in reader.select("k", "date", "v", "w").collect()) == old
+
+
+def test_of_two_loads_at_a_time_one_fails(spark, tmp_path, monkeypatch):
+    path, real = str(tmp_path / "t"), tables._write
+    tables.upsert(spark, path, frame(spark, [("a", D[1], 1.0, 1.0)]), ["k", "date"], day="date")
+
+    def late(*args):
+        monkeypatch.setattr(tables, "_write", real)
+        tables.upsert(spark, path, frame(spark, [("b", D[1], 2.0, 2.0)]), ["k", "date"], day="date")  # the other load
+        return real(*args)
+
+    monkeypatch.setattr(tables, "_write", late)
+    with pytest.raises(RuntimeError, match="was faster"):
+        tables.upsert(spark, path, frame(spark, [("c", D[1], 3.0, 3.0)]), ["k", "date"], day="date")
+    assert [r[0] for r in dump(spark, path)] == ["a", "b"]
+
+
+def test_plain_parquet_becomes_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame(spark, [("a", D[1], 1.0, 1.0), ("b", D[3], 2.0, 2.0)]).write.parquet(path)
+    tables.upsert(spark, path, frame(spark, [("a", D[1], 5.0, 5.0)]), ["k", "date"], day="date")
+    assert dump(spark, path) == [("a", D[1], 5.0, 5.0), ("b", D[3], 2.0, 2.0)]
+
+
+def test_stored_recency(spark, tmp_path):
+    """Late batches change nothing that is newer; what decides is kept with the rows, out of sight."""
+    path, how = str(tmp_path / "t"), dict(day="date", recency=["_src"], keep_recency=True)
+    cols = "k string, date date, v double, w double, _src string"
+    tables.upsert(spark, path, frame(spark, [("a", D[1], 2.0, 2.0, "f2"), ("a", D[1], 1.0, 1.0, "f1")], cols), ["k", "date"], **how)
+    tables.upsert(spark, path, frame(spark, [("a", D[1], 0.0, 0.0, "f0"), ("b", D[1], 0.0, 0.0, "f0")], cols), ["k", "date"], **how)
+    assert dump(spark, path) == [("a", D[1], 2.0, 2.0), ("b", D[1], 0.0, 0.0)]
+    tables.upsert(spark, path, frame(spark, [("a", D[1], 3.0, 3.0, "f2"), ("b", D[1], 4.0, 4.0, "f4")], cols), ["k", "date"], **how)
+    assert dump(spark, path) == [("a", D[1], 3.0, 3.0), ("b", D[1], 4.0, 4.0)]
+    assert tables.load_table(spark, path).columns == ["k", "date", "v", "w"]
+
+
+def test_stream_repeats_no_batch(spark, tmp_path):
+    src, path, progress = (str(tmp_path / n) for n in ("in", "t", "p"))
+    frame(spark, [("a", D[1], 1.0, 1.0)]).write.parquet(src)
+    stream = spark.readStream.schema("k string, date date, v double, w double").parquet(src)
+    stream_upsert(spark, stream, path, ["k", "date"], day="date", progress=progress).awaitTermination()
+    first = tables.version_of(spark, path)
+    assert first.merged == {progress: 0}
+    tables.upsert(spark, path, frame(spark, [("a", D[1], 5.0, 5.0)]), ["k", "date"], day="date", merged={progress: 7})
+    stream_upsert(spark, stream, path, ["k", "date"], day="date", progress=str(tmp_path / "p2")).awaitTermination()  # another stream
+    assert tables.version_of(spark, path).merged == {progress: 7, str(tmp_path / "p2"): 0}
+    frame(spark, [("a", D[1], 9.0, 9.0)]).write.mode("append").parquet(src)
+    stream_upsert(spark, stream, path, ["k", "date"], day="date", progress=progress).awaitTermination()  # its batch 1 is held already
+    assert dump(spark, path) == [("a", D[1], 1.0, 1.0)]
+
+
+def test_declared_tables(spark, tmp_path):
+    """Loads by table name: declared columns and types, whatever the files hold."""
+    from pyspark.sql.types import StructType
+
+    rows = frame(spark, [("2330 x", D[1], "A")], "security_code string, date date, alert_a string").withColumn("trade_count", F.lit(5))
+    loads.load_into(spark, str(tmp_path / "p"), rows, table="stock_price", master=str(tmp_path / "m"))
+    got = tables.load_table(spark, str(tmp_path / "p"))
+    assert got.schema == StructType.fromDDL(schemas.TABLES["stock_price"][0]) and got.first()["trade_count"] == 5.0
+    revenue = frame(spark, [("1", "n", D[1], 3)], "security_code string, security_name string, month date, revenue_ntd_thousand int")
+    loads.load_into(spark, str(tmp_path / "r"), revenue, table="monthly_revenue")
+    assert tables.load_table(spark, str(tmp_path / "r")).where("updated_at IS NULL").isEmpty()
+    with pytest.raises(ValueError, match="does not declare"):
+        loads.load_into(spark, str(tmp_path / "p"), rows.withColumn("other", F.lit(1)), table="stock_price")
+    for ddl, keys, day in schemas.TABLES.values():
+        assert {*keys, day} <= set(StructType.fromDDL(ddl).names)
 
 
 class _Session:
