@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finpanel.llm.common import _powers, by_value, checked_side, free_name, mix, span_hashes, text_groups
+from finpanel.llm.common import _BASE, by_value, checked_side, free_name, mix, span_hashes, text_groups
 from finpanel.llm.linking import link_components
 from finpanel.session import materialize
 
@@ -22,7 +22,7 @@ by_value(__name__)
 
 BLANK = " \t\r\x0b\x0c\x00"  # what is trimmed from lines
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-PIECE = 1 << 19  # characters that are hashed at once
+PIECE = 1 << 15  # characters that are hashed at once: arrays of this size stay in the cache
 
 
 def line_bins(lines: list[str], size: int, bins: int) -> np.ndarray:
@@ -31,19 +31,34 @@ def line_bins(lines: list[str], size: int, bins: int) -> np.ndarray:
     codes = np.frombuffer((pad.join(lines) + pad + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.array([len(x) for x in lines], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths + len(pad))[:-1]))
-    up, down = _powers(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
     counts = np.maximum(lengths - size + 1, 1)
     line = np.repeat(np.arange(len(lines)), counts)
     at = np.arange(len(line)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    hashes = mix((total[at + size] - total[at]) * down[at])
+    hashes = mix(window_sums(codes, size)[at])
     bin_ = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     held = np.full(len(lines) * bins, EMPTY)
-    np.minimum.at(held, line * bins + bin_, mix(hashes))
+    np.minimum.at(held, line * bins + bin_, hashes)
     return held.reshape(len(lines), bins)
 
 
+def window_sums(codes: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial of each run of ``size`` codes, modulo 2**64: runs are put together from runs of 1, 2, 4 and so on."""
+    base, width = _BASE, 1
+    run = codes.astype(np.uint64) + np.uint64(1)
+    total, done = np.zeros(len(codes), dtype=np.uint64), 0
+    while True:
+        n = len(codes) - size + 1
+        if size & width:
+            total[:n] += run[done : done + n] * np.uint64(pow(_BASE, done, 1 << 64))
+            done += width
+        width *= 2
+        if width > size:
+            return total[:n]
+        half = width // 2
+        run = run[: len(run) - half] + run[half:] * np.uint64(base)
+        base = base * base % (1 << 64)
+
+
 def pieces_of(line: str, size: int) -> list[str]:
     """A long line in pieces that overlap by a shingle less a character, so that they have the line's shingles."""
     return [line[i : i + PIECE + size - 1] for i in range(0, max(1, len(line) - size + 1), PIECE)]
@@ -86,15 +101,19 @@ def digests(lines: list[str]) -> np.ndarray:
     return np.frombuffer(packed, dtype="<i8").reshape(-1, 2)
 
 
+def normal_lines(text: str | None) -> list[str]:
+    """Lines as they are compared: trimmed and lower-cased."""
+    return [raw.strip(BLANK).lower() for raw in text.split("\n")] if text else []
+
+
 def _sign(size: int, bands: int, rows: int, most_bytes: int, named: Callable):
-    names = ["key", "t", "place", "d1", "d2", "line", "bands"]
+    names = ["key", "t", "place", "d1", "d2", "bands"]
 
     def run(batches):
         for part in text_groups(batches, "text", most_bytes):
             of, places, lines = [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
-                for place, raw in enumerate(text.split("\n")) if text else ():
-                    line = raw.strip(BLANK).lower()
+                for place, line in enumerate(normal_lines(text)):
                     if line:
                         of.append(i)
                         places.append(place)
@@ -103,7 +122,7 @@ def _sign(size: int, bands: int, rows: int, most_bytes: int, named: Callable):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
             rows_of = pa.array(of, pa.int64())
             columns = [part.column("key").take(rows_of), part.column("t").take(rows_of), pa.array(places, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.string()), lists], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, lists], names=names)
 
     return run
 
@@ -119,16 +138,29 @@ def items_of(line: str, size: int) -> np.ndarray:
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-def _sized(size: int):
+def _picked(size: int, most_bytes: int):
+    """The wanted lines of each text: node, line and number of distinct shingles."""
+
     def run(batches):
-        for batch in batches:
-            counts = pa.array([len(items_of(t, size)) for t in batch.column("items").to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("items"), counts], names=["node", "items", "size"])
+        for part in text_groups(batches, "text", most_bytes):
+            nodes, lines = [], []
+            for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
+                own = normal_lines(text)
+                nodes += [w["node"] for w in wanted]
+                lines += [own[w["place"]] for w in wanted]
+            sizes = pa.array([len(items_of(x, size)) for x in lines], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string()), sizes], names=["node", "items", "size"])
 
     return run
 
 
-MOST_PLACES = 4_000_000  # dropped lines in a side that is broadcast
+MOST_PLACES = 4_000_000  # lines that are named in a side that is broadcast
+
+
+def _places_side(stored: DataFrame, places: str) -> DataFrame:
+    """A stored table with a list of places in each row as one side of a join: broadcast if its lists are counted to be few and short."""
+    whole = stored.agg(F.sum(F.size(places))).first()[0] or 0
+    return checked_side(stored, 500_000) if whole <= MOST_PLACES else stored
 
 
 def _text_id(text):
@@ -149,19 +181,23 @@ def repeated_lines(
     """
     body = F.col(f"`{text}`").cast("string")
     source = documents.select(F.col(f"`{key}`").alias("key"), _text_id(body).alias("t"), body.alias("text"))
-    fields = "key {}, t long, place int, d1 long, d2 long, line string, bands array<long>".format(source.schema["key"].dataType.simpleString())
+    fields = "key {}, t long, place int, d1 long, d2 long, bands array<long>".format(source.schema["key"].dataType.simpleString())
     signed = materialize(source.mapInArrow(_sign(size, bands, rows, most_bytes, named), fields), "signed")
     members = signed.select("d1", "d2", F.explode("bands").alias("bucket"))
-    ends = members.groupBy("bucket").agg(*(f(c).alias(f"{n}{c}") for c in ("d1", "d2") for n, f in (("low", F.min), ("high", F.max))))
-    several = ends.filter("lowd1 < highd1 OR lowd2 < highd2").select(F.col("bucket").alias("shared"))
+    ends = members.groupBy("bucket").agg(F.min("d2").alias("low"), F.max("d2").alias("high"))  # two lines that agree in d2 alone are told apart below
+    several = ends.filter("low < high").select(F.col("bucket").alias("shared"))
     several = checked_side(materialize(several, "buckets"))
     shared = materialize(members.join(several, F.col("bucket") == F.col("shared"), "left_semi").distinct(), "buckets")
     nodes = materialize(shared.select("d1", "d2").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
     near = checked_side(nodes.select(F.col("d1").alias("n1"), F.col("d2").alias("n2"), "node"))
     is_near = (F.col("d1") == F.col("n1")) & (F.col("d2") == F.col("n2"))
     state = materialize(shared.join(near, is_near).select("node", "bucket"), "buckets")
-    texts = signed.select("d1", "d2", "line").join(near, is_near).groupBy("node").agg(F.first("line").alias("items"))
-    items = materialize(texts.mapInArrow(_sized(size), "node long, items string, size int"), "items")  # lines are shorter than their hashes
+    one = signed.select("key", "t", "place", "d1", "d2").join(near, is_near).groupBy("node").agg(F.min(F.struct("key", "t", "place")).alias("one"))
+    wanted = one.groupBy(F.col("one.key").alias("k"), F.col("one.t").alias("x")).agg(F.collect_list(F.struct("node", "one.place")).alias("wanted"))
+    wanted = _places_side(materialize(wanted, "wanted"), "wanted")
+    texts = source.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("x"))).select("text", "wanted")
+    lines = texts.mapInArrow(_picked(size, most_bytes), "node long, items string, size int").groupBy("node")  # repeated rows bring their lines again
+    items = materialize(lines.agg(F.first("items").alias("items"), F.first("size").alias("size")), "items")  # lines are shorter than their hashes
     groups = link_components(state, items, lambda line: items_of(line, size), least=least).withColumnRenamed("node", "of")
     linked = nodes.join(groups, F.col("node") == F.col("of")).select("d1", "d2", "component")
     equal = signed.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2", F.lit(None).cast("long").alias("component"))
@@ -188,14 +224,16 @@ def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
     n_lines, n_dropped = free_name(n_lines, names), free_name(n_dropped, names)
     lost = repeated_lines(documents, key=key, text=text, **options)
     lost = materialize(lost.select(F.col("key").alias("k"), "t", "places"), "lost")
-    if (lost.agg(F.sum(F.size("places"))).first()[0] or 0) <= MOST_PLACES:  # a row has one number for each line its document loses
-        lost = checked_side(lost, 500_000)
+    lost = _places_side(lost, "places")
     rows = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     own, body = F.col(f"c{names.index(key)}"), F.col(f"c{names.index(text)}").cast("string")
     joined = rows.join(lost, own.eqNullSafe(F.col("k")) & (_text_id(body) == F.col("t")), "left")
-    lines = F.split(body, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
-    kept = F.when(F.col("places").isNull(), body).otherwise(F.array_join(F.transform(left, lambda p: F.get(lines, p)), "\n"))
+    def rest(lines):
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
+        return F.array_join(F.transform(left, lambda p: F.get(lines, p)), "\n")
+
+    once = F.transform(F.array(F.split(body, "\n", -1)), rest)  # the lines are a lambda's variable: split once
+    kept = F.when(F.col("places").isNull(), body).otherwise(F.get(once, 0))
     n = F.coalesce(F.regexp_count(body, F.lit(r"[^ \t\r\x0B\x0C\x00\n][^\n]*")), F.lit(0)).cast("long")
     out = (kept.alias(c) if c == text else F.col(f"c{i}").alias(c) for i, c in enumerate(names))
     return joined.select(*out, n.alias(n_lines), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias(n_dropped))

@@ -41,20 +41,26 @@ def jaccard(one: np.ndarray, two: np.ndarray) -> float:
     return shared / (len(one) + len(two) - shared)
 
 
-def similarities(pairs: DataFrame, items: DataFrame, read: Callable) -> DataFrame:
-    """a, b, sim for pairs a, b; for ``items`` and ``read`` see ``link_components``. A frequent node is spread by adaptive skew joins."""
+def similarities(pairs: DataFrame, items: DataFrame, read: Callable, least: float) -> DataFrame:
+    """a, b, sim for pairs a, b; for ``items`` and ``read`` see ``link_components``. A frequent node is spread by adaptive skew joins.
 
-    def similarity(one: pd.Series, two: pd.Series) -> pd.Series:
+    A pair whose sizes alone keep it below ``least`` is not read and has no sim.
+    """
+
+    def similarity(one: pd.Series, two: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
         out, last, known = [], None, None
-        for a, b in zip(one, two):
+        for a, b, m, n in zip(one, two, n1, n2):
+            if min(m, n) < least * max(m, n):
+                out.append(None)
+                continue
             if known is None or b is not last and not np.array_equal(b, last):
                 last, known = b, read(b)  # rows come sorted by b
             out.append(jaccard(read(a), known))
         return pd.Series(out, dtype="float64")
 
-    one, two = (items.select(F.col("node").alias(f"n{i}"), F.col("items").alias(f"i{i}")) for i in "12")
+    one, two = (items.select(F.col("node").alias(f"n{i}"), F.col("items").alias(f"i{i}"), F.col("size").alias(f"s{i}")) for i in "12")
     both = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
-    return both.select("a", "b", F.pandas_udf(similarity, "double")("i1", "i2").alias("sim"))
+    return both.select("a", "b", F.pandas_udf(similarity, "double")("i1", "i2", "s1", "s2").alias("sim"))
 
 
 FEW = 24  # members of a group whose pairs are compared in a plain loop
@@ -181,7 +187,7 @@ def link_components(state: DataFrame, items: DataFrame, read: Callable = np.asar
         best = state.groupBy(F.col("bucket").alias("at")).agg(top.alias("top")).select("at", (-F.col("top.neg")).alias("pivot"), F.col("top.component").alias("theirs"))
         met = materialize(state.join(best, F.col("bucket") == F.col("at")).filter("node <> pivot").drop("at"), "buckets")
         pairs = met.filter("component <> theirs").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        sims = materialize(similarities(pairs, items, read), "pairs")
+        sims = materialize(similarities(pairs, items, read, least), "pairs")
         links = sims.filter(F.col("sim") >= least).select("a", "b")
         if groups is not None:
             links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
