@@ -23,10 +23,14 @@ def attach_market(df: DataFrame, market: DataFrame) -> DataFrame:
     return joined.withColumn("mkt_pct", F.coalesce("mkt_pct", F.lit(0.0)))
 
 
-# Logs that stand for a total loss. The stock's makes any return across the day exactly -1; the market's is
-# far larger and opposite in the excess total, so an excess return across it overflows and becomes null.
-STOCK_LOST = -1_000.0
-MARKET_LOST = 1_000_000.0
+# The log that stands for a total loss of a stock: any return across the day is exactly -1, gains of a hundred logs notwithstanding.
+STOCK_LOST = -128.0
+
+
+def market_lost(rows: int) -> float:
+    """The log that stands for a total loss of the market: in the excess total it outweighs a loss of the stock on each of ``rows`` rows, so that an excess
+    return across it overflows and becomes null. No larger than that, as totals behind it lose digits in proportion."""
+    return STOCK_LOST * (rows + 1) - 1024.0
 
 
 def _log_growth(pct: str, lost: float) -> Column:
@@ -101,7 +105,7 @@ def study_panel(
     df = df.withColumns(
         {
             "_s": _running(stock),
-            "_x": _running(stock - _log_growth("mkt_pct", -MARKET_LOST)),
+            "_x": _running(stock - _log_growth("mkt_pct", market_lost(max(horizon, *horizons)))),
             "_a": _running(F.coalesce("abnormal_amp", F.lit(0.0))),
             "_v": _running(F.coalesce("abnormal_vol", F.lit(0.0))),
         }

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +48,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCOPE: ContextVar[str] = ContextVar("scratch scope", default="")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, inside the current ``scratch_scope`` if there is one."""
+    return f"{shared_folder(spark)}{_SCOPE.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str = "job") -> Iterator[str]:
+    """Intermediate tables that are made inside are removed at the end. Results must be written elsewhere or collected before."""
+    token = _SCOPE.set(f"{_SCOPE.get()}/{name}-{uuid.uuid4().hex}")
+    folder = shared_folder(spark) + _SCOPE.get()
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

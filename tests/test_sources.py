@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finpanel import schemas
-from finpanel.session import materialize, scratch_path, shared_folder
+from finpanel.session import materialize, scratch_path, scratch_scope, shared_folder
 from finpanel.sources import listing, loads, sinks, tables, vendor
 from finpanel.streaming import stream_upsert
 
@@ -310,6 +310,16 @@ def test_shared_folder_comes_from_the_session(spark):
     assert out.count() == 3 and all(shared_folder(spark).split(":")[-1] in f for f in out.inputFiles())
 
 
+def test_scratch_of_a_job_is_removed(spark):
+    import os
+
+    kept = materialize(spark.range(2), "outside")
+    with scratch_scope(spark, "report") as folder:
+        inner = materialize(spark.range(3), "inside")
+        assert all(folder in f for f in inner.inputFiles()) and inner.count() == 3
+    assert not os.path.exists(folder) and kept.count() == 2 and "report" not in scratch_path(spark, "x")
+
+
 def test_bucketed_panel_needs_no_shuffle(spark, tmp_path):
     from finpanel.plans.events import amplitude_events
 
