@@ -52,11 +52,19 @@ CUT_NAMES = {
 }
 #: Of these, what often has more text than the article beside it.
 OUTGROWS = {"comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disclaimer", "discussion", "disqus", "gdpr", "replies", "reply", "respond", "shoutbox"}
+#: Parts that may stand beside those of CUT_NAMES in a name that marks what is no article; beside others, as in ``social-policy``, they mark nothing.
+PLACES = {
+    "area", "bar", "block", "blocks", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "entry", "form", "fixed", "global", "group", "head", "holder",
+    "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "lower", "main", "meta", "mobile", "module", "outer", "page", "panel", "post", "posts", "primary", "region",
+    "right", "row", "secondary", "section", "site", "stories", "sticky", "thread", "title", "tools", "top", "upper", "us", "wrap", "wrapper", "article", "articles", "story", "text", "blog", "user",
+}
 FILED_UNDER = re.compile(r"(?:category|cat|tag)[-_]", re.I)  # class names that say what an article is about
 GOOD_NAMES = {"article", "articles", "body", "content", "entry", "hentry", "main", "post", "story", "text", "blog", "page"}
 CONTAINERS = {"div", "section", "article", "main", "body", "td"}  # their own text counts for themselves, else for the parent
 COMMAS = ",、，،"
 SHARES = (1, 2, 6, 9, 12, 15)  # an ancestor gets a block's points divided by this, the last for all further up
+LEAD = 40  # characters outside links that make a text of its own
+NOTICE = re.compile(r"(?:©|\(c\)\s*\d{4}|copyright\s+(?:©|\(c\)|\d{4})|all rights reserved)", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -71,7 +79,7 @@ class Node:
 
 
 def _names(rest: str) -> tuple[frozenset, bool, bool]:
-    """Parts of class and id, without those that only say what the element has (``with-sidebar``) or is about (``tag-cookies``);
+    """Parts of class and id, without those that only say what the element has (``with-sidebar``) or is about (``tag-cookies``, ``social-policy``);
     whether attributes hide it; whether a name of its own, not one like ``post-comments``, says that it is an article.
     """
     parts, hidden, good = set(), False, False
@@ -84,7 +92,7 @@ def _names(rest: str) -> tuple[frozenset, bool, bool]:
                 words = [w.lower() for w in NAME_PART.findall(word)]
                 words = {w for i, w in enumerate(words) if not (i and words[i - 1] in ("has", "with", "no", "without", "is"))}
                 good |= bool(words & GOOD_NAMES) and not words & CUT_NAMES
-                parts |= words
+                parts |= words if {w for w in words if not w.isdigit()} <= CUT_NAMES | PLACES else words - CUT_NAMES
         elif name == "role":
             hidden |= value.strip("\"'").lower() in CUT_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value.strip("\"'").lower() == "true"):
@@ -188,14 +196,48 @@ def _close(here: Node, tag: str) -> Node:
     return here
 
 
-def _has_heading(node: Node) -> bool:
-    stack = [node]
+def _opens_article(header: Node) -> bool:
+    """Whether an article's own header belongs to its text: it has a heading, or a lead of its own."""
+    stack, free = [header], 0
     while stack:
-        kids = [k for k in stack.pop().kids if not isinstance(k, str)]
-        if any(k.tag in HEADINGS for k in kids):
-            return True
-        stack.extend(kids)
-    return False
+        for k in stack.pop().kids:
+            if isinstance(k, str):
+                free += len(k.strip())
+            elif k.tag in HEADINGS:
+                return True
+            elif k.tag != "a" and not k.cut:
+                stack.append(k)
+    return free >= LEAD
+
+
+def _cut_nested(order: list[Node], free: dict[Node, int]) -> None:
+    """Cut articles inside an article with a longer text of its own: its comments."""
+    inside: dict[Node, list[Node]] = {}
+    for node in order:
+        up = node.parent
+        while node.tag == "article" and up is not None and up.tag != "article":
+            up = up.parent
+        if node.tag == "article" and up is not None:
+            inside.setdefault(up, []).append(node)
+    for outer, nested in inside.items():
+        own = free[outer] - sum(free[n] for n in nested)
+        if own >= max(LEAD, *(free[n] for n in nested)):
+            for n in nested:
+                n.cut = True
+
+
+def _introduced(node: Node, inside: bool) -> bool:
+    """Whether a list of links is part of a text: a paragraph that ends in a colon stands before it, in an article any paragraph or heading."""
+    before = None
+    for k in node.parent.kids:
+        if k is node:
+            break
+        if not isinstance(k, str) and not k.cut or isinstance(k, str) and k.strip():
+            before = k
+    if before is None or isinstance(before, str):
+        return bool(before) and before.rstrip().endswith(":")
+    last = next((k for k in reversed(before.kids) if isinstance(k, str) and k.strip()), "")
+    return before.tag == "p" and last.rstrip().endswith(":") or inside and (before.tag == "p" or before.tag in HEADINGS)
 
 
 def _cut_named(root: Node, level: int) -> int:
@@ -216,8 +258,12 @@ def _cut_named(root: Node, level: int) -> int:
         free[node] = 0 if node.tag == "a" else sum(len(k.strip()) for k in node.kids if isinstance(k, str)) + sum(free[k] for k in kids)
         if node.tag in ("h1", "main") or any(k in leads for k in kids):
             leads.add(node)
+    _cut_nested(order, free)
+    unnamed = any(n.tag == "article" and not n.named and not n.cut and free[n] >= LEAD for n in order)
     for node in order:
-        if node.named:
+        if node.named and node.tag == "article" and unnamed:
+            node.cut = True  # a teaser or advert beside the article, however long
+        elif node.named:
             outgrows = bool(node.names & OUTGROWS)
             if level == 0:
                 node.cut = 2 * free[node] <= free[root] or outgrows and node not in leads
@@ -231,15 +277,17 @@ def _measure(root: Node) -> list[Node]:
 
     Returns the elements that are left, each before those inside it.
     """
-    order, stack = [], [(root, False)]
+    order, stack, within = [], [(root, False)], set()
     while stack:
         node, inside = stack.pop()
         if node.tag == "header" and not node.cut:
-            node.cut = not (inside and _has_heading(node))
+            node.cut = not (inside and _opens_article(node))
         if node.cut:
             continue
         order.append(node)
         inside |= node.tag in ("article", "main")
+        if inside:
+            within.add(node)
         stack.extend((k, inside) for k in node.kids if not isinstance(k, str))
     for node in reversed(order):
         links = own = 0
@@ -257,8 +305,8 @@ def _measure(root: Node) -> list[Node]:
                     own += k.chars
                     node.commas += k.commas
         node.chars += own
-        if node.tag in ("ul", "ol", "dl") and node.chars and node.linked >= 0.9 * node.chars and links >= 3:
-            node.cut = True  # a list of nothing but links
+        if node.tag in ("ul", "ol", "dl") and node.chars and node.linked >= 0.9 * node.chars and links >= 3 and not _introduced(node, node in within):
+            node.cut = True  # a menu: a list of nothing but links
             continue
         if node.tag in BLOCK:
             if own:
@@ -362,7 +410,7 @@ def _chosen(root: Node, order: list[Node]) -> list:
         elif k.cut or not k.chars:
             continue
         elif inside:
-            if k.tag in HEADINGS and not seen or k.tag == best.tag and _value(k) >= least:
+            if k.tag in HEADINGS and not seen or k.tag == best.tag and _value(k) >= 0.5 * _value(best):
                 out.append(k)
         elif _belongs(k, least):
             out.append(k)
@@ -393,6 +441,8 @@ def _blocks(nodes: list) -> list[str]:
                 stack.append((node, True))
             stack.extend((k, False) for k in reversed(node.kids))
     flush()
+    while len(out) > 1 and len(out[-1]) < 200 and NOTICE.match(out[-1]):
+        out.pop()  # the page's own notice, below the article
     return out
 
 
