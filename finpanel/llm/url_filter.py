@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finpanel.llm.common import by_value
+from finpanel.session import materialize
 
 by_value(__name__)
 
@@ -105,8 +106,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str
     """Verdict for every row of ``pages``: key, host, path, rule (null if none fits), verdict.
 
     ``rules`` has host, path and verdict (allow or block). A rule fits its host and all subdomains if the path starts with the
-    rule's; an empty host fits every url. The trie is broadcast in pieces of at most ``most_chars`` estimated characters, so what
-    a task holds is bounded; a larger rule set means more pieces over the same rows, and the longest rule of all pieces wins.
+    rule's; an empty host fits every url. The trie is broadcast in pieces of at most ``most_chars`` estimated characters; with more than
+    one, every piece is a pass of its own over rows of the shared folder, so that a task holds one at a time, and the longest rule of all passes wins.
     Rows are never shuffled, so a frequent host costs nothing extra.
 
     Null url or one without ``://``: empty host and path, which only a rule with an empty host and path can fit. Empty tables give
@@ -115,11 +116,10 @@ def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str
     """
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url")).select("key", host.alias("host"), path.alias("path"))
-    best = F.lit(None).cast(FOUND)
-    spark = pages.sparkSession
-    for trie in _tries(rules, most_chars):
-        found = _look_up(spark.sparkContext.broadcast(trie))("host", "path")
-        best = F.greatest(best, F.when(found["rule"].isNotNull(), found))
-    rows = rows.withColumn("best", best)
+    rows = rows.withColumn("best", F.lit(None).cast(FOUND))
+    for n, trie in enumerate(_tries(rules, most_chars)):
+        rows = materialize(rows, "verdicts") if n else rows
+        found = _look_up(pages.sparkSession.sparkContext.broadcast(trie))("host", "path")
+        rows = rows.withColumn("best", F.greatest("best", F.when(found["rule"].isNotNull(), found)))
     verdict = F.when(F.col("best.block") == 1, "block").when(F.col("best.block") == 0, "allow").otherwise(default)
     return rows.select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
