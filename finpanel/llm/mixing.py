@@ -16,6 +16,7 @@ from finpanel.session import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ROUNDS = 24
+COPIES = 4096  # equal rows that are put in place at once
 
 
 def n_words(text):
@@ -60,19 +61,26 @@ def permuted(i, n, *key):
 def placed(sized: DataFrame, sources: DataFrame, seed: int, rows_per_part: int = 4096) -> DataFrame:
     """Every document with its text's hash, its source's sid and the words before it in its source's stream (hashed order).
 
-    A source may hold most rows, so running totals are taken within parts of the hash range and added to totals of the parts.
+    A source may hold most rows, so running totals are taken within parts of the hash range and added to totals of the parts. Equal rows are one
+    row with a count until their places are known, and rows with one key but other texts are parted by the hash, so that neither makes a part large.
     """
-    bits = max(0, math.ceil(math.log2(max(1, sized.count() / rows_per_part))))
-    rows = sized.withColumn("h", F.xxhash64(F.lit(seed), F.lit("order"), "doc_id")).withColumn("part", F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("long"))
-    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
+    alike = sized.groupBy("doc_id", "source", "size", "t").agg(F.count("*").alias("n"))
+    alike = materialize(alike.withColumn("h", F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "t", "size")), "mix")
+    bits = max(0, math.ceil(math.log2(max(1, alike.count() / rows_per_part))))
+    rows = alike.withColumn("part", F.shiftright("h", 63 - bits) if bits else F.lit(0).cast("long"))
+    whole = F.col("size") * F.col("n")
+    parts = rows.groupBy("source", "part").agg(F.sum(whole).alias("words"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    named = sources.select(F.col("source").alias("n"), "sid")
-    parts = parts.join(named, F.col("s").eqNullSafe(F.col("n"))).select("s", "p", "base", "sid")
+    named = sources.select(F.col("source").alias("n_"), "sid")
+    parts = parts.join(named, F.col("s").eqNullSafe(F.col("n_"))).select("s", "p", "base", "sid")
     within = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.withColumn("inner", F.coalesce(F.sum(whole).over(within), F.lit(0)))
     joined = rows.join(parts, rows["source"].eqNullSafe(parts["s"]) & (rows["part"] == parts["p"]))
-    return joined.select("doc_id", "t", "size", "sid", (F.col("base") + F.col("inner")).alias("start"))
+    first = joined.select("doc_id", "t", "size", "sid", "n", (F.col("base") + F.col("inner")).alias("start"))
+    runs = first.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    copies = F.explode(F.sequence(F.col("run") * COPIES, F.least(F.col("n"), (F.col("run") + 1) * COPIES) - 1)).alias("copy")
+    return runs.select("doc_id", "t", "size", "sid", "start", copies).select("doc_id", "t", "size", "sid", (F.col("start") + F.col("copy") * F.col("size")).alias("start"))
 
 
 def drawn_slots(sources: DataFrame, seed: int, block: int, shard_slots: int) -> DataFrame:
@@ -166,16 +174,17 @@ class Mix:
     def blocks(self) -> DataFrame:
         """shard, slot, sid, n_words, text: the mix itself. Words keep the white space after them, a new line parts documents.
 
-        A document's spans are collected before they meet its text, which is cut once, so only the words of the mix are shuffled on.
+        A document's spans are collected before they meet its text, which is cut once, so only the words of the mix are shuffled on. Copies are documents
+        of their own, so what is collected is bounded by a document's words.
         """
-        each = self._spans().groupBy("sid", "doc_id", "t").agg(F.collect_list(F.struct("shard", "slot", "start", "word_from", "n_words")).alias("held"))
+        each = self._spans().groupBy("sid", "doc_id", "t", "start").agg(F.collect_list(F.struct("shard", "slot", "word_from", "n_words")).alias("held"))
         each = each.join(self.sources.select(F.col("sid").alias("n"), "source"), F.col("sid") == F.col("n"))
         texts = self.texts.withColumn("x", F.xxhash64("text")).groupBy("k", "s", "x").agg(F.first("text").alias("text"))
         found = each.join(texts, F.col("doc_id").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("t") == F.col("x")))
 
         def cut(words):
             return F.transform("held", lambda h: F.struct(
-                h["shard"].alias("shard"), h["slot"].alias("slot"), h["start"].alias("start"), h["n_words"].alias("n"),
+                h["shard"].alias("shard"), h["slot"].alias("slot"), F.col("start").alias("start"), h["n_words"].alias("n"),
                 F.array_join(F.slice(words, (h["word_from"] + 1).cast("int"), h["n_words"].cast("int")), "").alias("piece"),
             ))
 

@@ -143,3 +143,29 @@ def test_permutation(spark):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9))).collect()]
         assert sorted(got) == list(range(n))
     assert got != sorted(got)
+
+
+def test_null_and_repeated_keys_make_no_large_part(spark, monkeypatch):
+    """A third of the rows without a key, another third the same row: parts stay small, every copy has its own place."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, "a", f"text {i} of no key") for i in range(300)] + [(5, "a", "the same row")] * 300 + [(i, "ab"[i % 2], "w " * (i % 7)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("t"))
+    out = mixing.placed(sized, mixing.source_targets(sized), 3, rows_per_part=32).collect()
+    assert len(out) == len(rows)
+    for sid in {r.sid for r in out}:
+        at = 0
+        for r in sorted((r for r in out if r.sid == sid and r["size"]), key=lambda r: r.start):
+            assert r.start == at
+            at += r["size"]
+    mix = mixing.Mix(docs, block=8, shard_slots=16)
+    held = {}
+    for r in mix.blocks().collect():
+        assert len(r.text.split()) == r.n_words
+        held[r.sid] = held.get(r.sid, 0) + r.n_words
+    taken = {}
+    for r in mix.spans().collect():
+        taken[r.sid] = taken.get(r.sid, 0) + r.n_words
+    assert held == taken

@@ -158,3 +158,44 @@ def test_longest_matches(spark):
     d, b = spark.createDataFrame(docs[:3], "doc_id long, text string"), spark.createDataFrame(items[:1], "item_id long, text string")
     got = {r.doc_id: [tuple(m) for m in r.matches] for r in decontaminate.find_matches(d, b).collect()}
     assert got == {1: [("1", 0, 0, 40)], 2: [("1", 0, 1, 40)], 3: []}
+
+
+PARA = "The council met on Tuesday, and after a long debate, it agreed on the plan for the river, the bridge and the old town. "
+
+
+@pytest.mark.parametrize("html,want,gone", [
+    # names that say what a part is about cut nothing
+    (f'<article><h1>T</h1><section id="social-policy"><p>{PARA * 2}</p></section><div class="share-price-analysis"><p>Shares rose, and fell. {PARA}</p></div>'
+     f'<h2 id="search-methods">Methods of search</h2><p>{PARA}</p></article>', ["The council met", "Shares rose", "Methods of search"], []),
+    (f'<article><p>{PARA * 3}</p><div class="social-links">Follow us</div><div id="comments-area"><p>First! {PARA}</p></div><div class="newsletter signup-box">Mail me</div></article>',
+     ["The council met"], ["Follow us", "First!", "Mail me"]),
+    # lists of links that belong to the text, and menus
+    (f'<article><p>{PARA * 3}</p><h2>Sources</h2><ul><li><a href="/a">Report A</a></li><li><a href="/b">Report B</a></li><li><a href="/c">Report C</a></li></ul></article>',
+     ["Report A", "Report C"], []),
+    (f'<div><p>{PARA * 3}</p><p>See also:</p><ol><li><a href="/a">Step A</a></li><li><a href="/b">Step B</a></li><li><a href="/c">Step C</a></li></ol></div>', ["Step A"], []),
+    (f'<div><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul><p>{PARA * 3}</p></div>', ["The council met"], ["Sport"]),
+    # an article's header with a lead but no heading; one with a byline only
+    (f'<article><header><p>In brief: the bridge will be built, the river moved, and the town paid for it.</p></header><p>{PARA * 3}</p></article>', ["In brief"], []),
+    (f'<article><header><p>By A. Writer</p></header><p>{PARA * 3}</p></article>', ["The council met"], ["A. Writer"]),
+    # comments as articles inside the article
+    (f'<article><h1>T</h1><p>{PARA * 3}</p><section><article><p>I like it, really, a lot, as I always do.</p></article><article><p>Me too, said the reader.</p></article></section></article>',
+     ["The council met"], ["I like it", "Me too"]),
+    (f'<article class="feed"><article><p>One. {PARA}</p></article><article><p>Two. {PARA}</p></article></article>', ["One.", "Two."], []),
+    # a notice below, and a teaser that is longer than the article
+    (f'<div><div><p>{PARA * 3}</p></div><div>© 2024 The Paper. All rights reserved.</div></div>', ["The council met"], ["The Paper"]),
+    (f'<main><article><h1>T</h1><p>{PARA * 2}</p></article><article class="teaser"><p>Read on: {PARA * 4}</p></article></main>', ["The council met"], ["Read on"]),
+])
+def test_structure_rather_than_words(html, want, gone):
+    text = html_text.main_text(f"<html><body><nav><a href='/'>Start</a></nav>{html}</body></html>")
+    assert all(w in text for w in want), text
+    assert not any(g in text for g in gone), text
+
+
+def test_one_trie_at_a_time(spark):
+    """Rules in several pieces are several passes: the last plan holds one look-up, over stored rows."""
+    rules = spark.createDataFrame([(f"h{i}.org", "/", "block") for i in range(50)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/x") for i in range(60)], "page_id long, url string")
+    judged = url_filter.judge(pages, rules, most_chars=2000)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [look_up") == 1 and "FileScan parquet" in plan
+    assert {r.page_id for r in judged.collect() if r.verdict == "block"} == set(range(50))
