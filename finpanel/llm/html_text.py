@@ -441,8 +441,6 @@ def _blocks(nodes: list) -> list[str]:
                 stack.append((node, True))
             stack.extend((k, False) for k in reversed(node.kids))
     flush()
-    while len(out) > 1 and len(out[-1]) < 200 and NOTICE.match(out[-1]):
-        out.pop()  # the page's own notice, below the article
     return out
 
 
@@ -454,7 +452,12 @@ def main_text(html: str | None) -> str:
     for level in range(3):
         root = parse(html)
         free = _cut_named(root, level)
-        text = " ".join(_blocks(_chosen(root, _measure(root))))
+        chosen = _chosen(root, _measure(root))
+        blocks = _blocks(chosen)
+        if not any(n.tag in ("article", "main") for n in chosen if not isinstance(n, str)):
+            while len(blocks) > 1 and len(blocks[-1]) < 200 and NOTICE.match(blocks[-1]):
+                blocks.pop()  # no element says where the article ends: the page's own notice stands below it
+        text = " ".join(blocks)
         if len(text) > len(best):
             best = text
         if len(best) >= 0.1 * free or level == 1 and best:  # comments and notices only if there is nothing else
