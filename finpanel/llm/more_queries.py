@@ -1,12 +1,13 @@
-"""The registered queries of centroid clustering, line-first cleaning and the prefix trie, and their SQL for DuckDB."""
+"""The registered queries of centroid clustering, line-first cleaning, the prefix trie and ranked reply trees, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from finpanel.llm import centroids, line_rules, prefix_trie
+from finpanel.llm import centroids, chat, line_rules, prefix_trie
 from finpanel.llm.common import table
 from finpanel.session import materialize
 
@@ -113,5 +114,40 @@ ends AS (SELECT p, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS end
 SELECT known.conv_id, known.pos AS depth, up.conv_id AS parent_conv_id, known.n_convs, n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
 FROM known JOIN subtrees USING (p) LEFT JOIN ends USING (p) LEFT JOIN nodes AS up ON known.pos > 0 AND up.p = left(known.p, length(known.p) - 64)"""
 
-QUERIES = {"op11_centroids": op11_centroids, "op12_line_rules": op12_line_rules, "op13_prefix_trie": op13_prefix_trie}
-SQL = {"op11_centroids": centroids_sql(), "op12_line_rules": LINE_RULES, "op13_prefix_trie": PREFIX_TRIE}
+# ---- 6: ranked branches of reply trees --------------------------------------------------------------
+
+BEST_BRANCHES = 3
+
+
+def chat_branches(spark, sf):
+    """Reply trees of eight conversations each, the best branches of every tree.
+
+    Conversation k of a tree (conv_id modulo 8) continues the second turn of conversation (k - 1) div 2, or is a root if that has none. A turn's score is its text's length modulo 17.
+    """
+    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = table(spark, sf, "conversations").filter("conv_id IS NOT NULL").select("conv_id", turn.cast("long").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.expr("pmod(conv_id, 8)")
+    rows = rows.select(
+        F.floor(F.col("conv_id") / 8).alias("conv"), (place * 1000 + F.col("n")).alias("node"), "role", "text", (F.length("text") % 17).cast("double").alias("score"),
+        F.when(F.col("n") > 1, place * 1000 + F.col("n") - 1).when(place > 0, F.expr("(pmod(conv_id, 8) - 1) div 2 * 1000 + 2")).alias("parent"),
+    )
+    out = chat.format_trees(rows, best=BEST_BRANCHES).withColumn("turns", chat.read_turns(F.col("formatted")))
+    pieces = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(F.col("conv").alias("tree"), "leaf", "score", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(pieces, ""), 256).alias("turns_sha256"))
+
+
+CHAT_BRANCHES = f"""
+WITH RECURSIVE numbered AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, (conv_id % 8 + 8) % 8 AS k FROM numbered),
+nodes AS (SELECT (conv_id - k) // 8 AS tree, k * 1000 + n AS node, CASE WHEN n > 1 THEN k * 1000 + n - 1 WHEN k > 0 THEN (k - 1) // 2 * 1000 + 2 END AS parent,
+  CAST(length(text) % 17 AS DOUBLE) AS score, role || chr(10) || text || chr(10) AS piece FROM placed),
+linked AS (SELECT n.tree, n.node, p.node AS parent, n.score, n.piece FROM nodes n LEFT JOIN nodes p ON n.tree = p.tree AND n.parent = p.node),
+leaves AS (SELECT * FROM linked l WHERE NOT EXISTS (SELECT 1 FROM linked k WHERE k.tree = l.tree AND k.parent = l.node)),
+paths(tree, leaf, parent, score, turns, n_turns) AS (SELECT tree, node, parent, score, piece, 1 FROM leaves
+  UNION ALL SELECT p.tree, p.leaf, l.parent, p.score + l.score, l.piece || p.turns, p.n_turns + 1 FROM paths p JOIN linked l ON l.tree = p.tree AND l.node = p.parent),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY score DESC, leaf) AS rank FROM paths WHERE parent IS NULL)
+SELECT tree, leaf, score, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256 FROM ranked WHERE rank <= {BEST_BRANCHES}"""
+
+QUERIES = {"op11_centroids": op11_centroids, "op12_line_rules": op12_line_rules, "op13_prefix_trie": op13_prefix_trie, "chat_branches": chat_branches}
+SQL = {"op11_centroids": centroids_sql(), "op12_line_rules": LINE_RULES, "op13_prefix_trie": PREFIX_TRIE, "chat_branches": CHAT_BRANCHES}
