@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -187,21 +188,65 @@ def scan(index: Index, keep_text: bool, want_matches: bool, most_words: int):
     return run
 
 
+def _cut(window: int, most_words: int):
+    """Items as segments: item, at (place of the first word), n and words, joined by blanks. Segments of a longer item overlap by a window less a word."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
+                words = words_of((text or "").encode("utf-8", "surrogatepass"))
+                for at in range(0, max(1, len(words) - window + 1), most_words):
+                    part = words[at : at + most_words + window - 1]
+                    if part:
+                        out.append((key if key is not None else "null", at, len(part), b" ".join(part)))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["item", "at", "n", "words"])
+
+    return run
+
+
+def _built(window: int):
+    """The index of each part, as plain data in bytes, from sorted segments."""
+
+    def packed(part, held):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(vars(Index(held, window)))], pa.binary())], names=["part", "index"])
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for part, item, at, words in zip(*(batch.column(c).to_pylist() for c in ("part", "item", "at", "words"))):
+                if part != now and held:
+                    yield packed(now, held)
+                    held = []
+                now = part
+                held.append((item, at, words.split(b" ")))
+        if held:
+            yield packed(now, held)
+
+    return run
+
+
 def indexes(benchmark: DataFrame, key: str, text: str, window: int, most_words: int):
-    """The benchmark as indexes of at most about ``most_words`` words each. A longer item is cut into overlapping segments."""
-    held, size = [], 0
-    for r in benchmark.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).toLocalIterator():
-        words = words_of((r.t or "").encode("utf-8", "surrogatepass"))
-        for at in range(0, max(1, len(words) - window + 1), most_words):
-            part = words[at : at + most_words + window - 1]
-            if part:
-                held.append((r.k if r.k is not None else "null", at, part))
-                size += len(part)
-            if size >= most_words:
-                yield Index(held, window)
-                held, size = [], 0
-    if held:
-        yield Index(held, window)
+    """The benchmark's indexes, each of about ``most_words`` words, one after another.
+
+    Tasks cut items into segments and build the index of each part, a hashed share of the segments; they are kept in the shared folder, and the driver
+    holds one at a time.
+    """
+    rows = benchmark.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"))
+    segments = materialize(rows.mapInArrow(_cut(window, most_words), "item string, at long, n long, words binary"), "segments")
+    total = segments.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return
+    parts = -(-total // most_words)
+    dealt = segments.withColumn("part", F.pmod(F.xxhash64("item", "at"), F.lit(parts)).cast("int"))
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "item", "at", "words")
+    built = materialize(dealt.select("part", "item", "at", "words").mapInArrow(_built(window), "part int, index binary"), "indexes")
+    for part in range(parts):
+        for row in built.filter(F.col("part") == part).collect():  # one, or none if no segment fell into it
+            index = object.__new__(Index)
+            vars(index).update(pickle.loads(row["index"]))
+            yield index
 
 
 def _scanned(

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from finpanel.llm import centroids, chat, line_rules, prefix_trie
+from finpanel.llm import centroids, chat, decontaminate, line_rules, prefix_trie, url_filter
 from finpanel.llm.common import table
 from finpanel.session import materialize
 
@@ -149,5 +149,26 @@ paths(tree, leaf, parent, score, turns, n_turns) AS (SELECT tree, node, parent,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY score DESC, leaf) AS rank FROM paths WHERE parent IS NULL)
 SELECT tree, leaf, score, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256 FROM ranked WHERE rank <= {BEST_BRANCHES}"""
 
-QUERIES = {"op11_centroids": op11_centroids, "op12_line_rules": op12_line_rules, "op13_prefix_trie": op13_prefix_trie, "chat_branches": chat_branches}
-SQL = {"op11_centroids": centroids_sql(), "op12_line_rules": LINE_RULES, "op13_prefix_trie": PREFIX_TRIE, "chat_branches": CHAT_BRANCHES}
+# ---- 8: where benchmark passages stand --------------------------------------------------------------
+
+
+def benchmark_matches(spark, sf):
+    """The longest verbatim matches of benchmark items in documents: places are word numbers from 0."""
+    found = decontaminate.find_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.item_from", "m.doc_from", "m.n_words")
+
+
+_LOWER_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+BENCHMARK_MATCHES = rf"""
+WITH doc_words AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+item_words AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_LOWER_WORDS} AS w FROM benchmark),
+item_windows AS (SELECT item_id, j, least(len(w), 13) AS n, array_to_string(w[j:j + 12], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS j FROM item_words WHERE len(w) > 0)),
+doc_windows AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, i, j, d.n, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run
+  FROM doc_windows d JOIN item_windows b ON d.n = b.n AND d.gram = b.gram)
+SELECT doc_id, item_id, min(j) - 1 AS item_from, min(i) - 1 AS doc_from, count(*) + any_value(n) - 1 AS n_words FROM hits GROUP BY doc_id, item_id, i - j, run"""
+
+QUERIES = {"op11_centroids": op11_centroids, "op12_line_rules": op12_line_rules, "op13_prefix_trie": op13_prefix_trie, "chat_branches": chat_branches, "benchmark_matches": benchmark_matches}
+SQL = {"op11_centroids": centroids_sql(), "op12_line_rules": LINE_RULES, "op13_prefix_trie": PREFIX_TRIE, "chat_branches": CHAT_BRANCHES, "benchmark_matches": BENCHMARK_MATCHES}
