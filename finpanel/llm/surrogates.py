@@ -4,7 +4,8 @@ Mentions are found by one pattern; the distinct values behind them (addresses, n
 is reduced before any join, gets its surrogates there, and is checked: no two values of a kind share a surrogate and none is a value
 of the data. Values that fail are tried again. Every mention of a value gets the same surrogate, in all documents.
 
-Names are found behind titles and phrases; the words of a name so found are replaced wherever else they stand in that document.
+Names are found behind titles and phrases; the words of a name so found are replaced wherever else they stand in that document, in capitals too, unless
+the document has the same word in lower case or it is the name of a month or day. A mailbox that is made of names gets their surrogates.
 """
 
 from __future__ import annotations
@@ -24,11 +25,18 @@ FEMALE_NAMES = ["Mary", "Jane", "Anna", "Linda", "Susan", "Sarah", "Emily", "Jul
 #: Syllables and endings that surrogate names are made of.
 LATIN = ["ba", "be", "bri", "ca", "co", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "hel", "ja", "jo", "ka", "ke", "la", "le", "lo", "ma", "me", "mi", "na", "ne", "no", "pa", "pe", "ra", "re", "ro", "sa", "so", "ta", "to", "va", "ve", "wa", "ze"]
 CYRILLIC = ["ба", "бе", "ва", "ве", "га", "го", "да", "де", "до", "жа", "за", "зо", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "ми", "на", "не", "но", "па", "пе", "ра", "ре", "ро", "са", "со", "та", "те", "то", "фа", "фе"]
+GREEK = ["βα", "βε", "γα", "γε", "δα", "δο", "ζα", "θε", "κα", "κο", "λα", "λε", "λο", "μα", "με", "μι", "να", "νε", "νο", "πα", "πε", "ρα", "ρε", "ρο", "σα", "σο", "τα", "τε", "φα", "χα"]
 ENDINGS = {
-    ("given_m", False): ["n", "rd", "s", "mar", "vin", "ton"], ("given_f", False): ["lina", "ria", "nna", "ssa", "lia", "tta"], ("given_x", False): ["ris", "lex", "kim", "ren"],
-    ("surname", False): ["son", "mann", "rez", "ner", "well", "ber", "ton", "dal"],
-    ("given_m", True): ["н", "лав", "мир", "тин"], ("given_f", True): ["на", "рия", "лина", "са"], ("given_x", True): ["ша", "ня"], ("surname", True): ["ко", "нюк", "дзе", "шин"],
+    ("given_m", "latin"): ["n", "rd", "s", "mar", "vin", "ton"], ("given_f", "latin"): ["lina", "ria", "nna", "ssa", "lia", "tta"], ("given_x", "latin"): ["ris", "lex", "kim", "ren"],
+    ("surname", "latin"): ["son", "mann", "rez", "ner", "well", "ber", "ton", "dal"],
+    ("given_m", "cyrillic"): ["н", "лав", "мир", "тин"], ("given_f", "cyrillic"): ["на", "рия", "лина", "са"], ("given_x", "cyrillic"): ["ша", "ня"], ("surname", "cyrillic"): ["ко", "нюк", "дзе", "шин"],
+    ("given_m", "greek"): ["ος", "ης", "ων"], ("given_f", "greek"): ["ία", "ίνα", "ώ"], ("given_x", "greek"): ["ις", "η"], ("surname", "greek"): ["όπουλος", "ίδης", "άκης", "άτος"],
 }
+STEMS = {"latin": LATIN, "cyrillic": CYRILLIC, "greek": GREEK}
+#: Letters of scripts whose letters are drawn anew one by one.
+ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"}
+#: Names that are also months, days or seasons; alone they are no mention.
+AMBIGUOUS = ["April", "May", "June", "August", "Avril", "Juin", "Mai", "Juni", "Abril", "Mayo", "Junio", "Sunday", "Monday", "Friday", "Domingo", "Summer", "Winter", "Sommer"]
 
 #: Behind ``=`` and in quotes any value is a secret; behind a bare colon only one with a digit, as prose goes on there ("password: required").
 DIGIT_VALUE, ANY_VALUE = r"""(?=[^\s"',;]*\d)[^\s"',;]{6,}""", r"""(?=[^\s"',;]*[\p{L}\d])[^\s"',;]{6,}"""
@@ -45,11 +53,16 @@ TITLE = rf"(?:(?:{'|'.join(MALE + FEMALE + EITHER)})\.? )++"
 NAME = rf"{TITLE}{PREFIX}{WORD}(?:(?:[ -]|(?<=\.)){PREFIX}{WORD})*+"
 #: A part of a name that stands alone in the text.
 ALONE = rf"(?<![\p{{L}}\p{{N}}])(?:\p{{Lu}}['’]\p{{L}}[\p{{L}}\p{{M}}]++|\p{{Lu}}[\p{{L}}\p{{M}}]++(?:['’]\p{{Lu}}[\p{{L}}\p{{M}}]*+)*+)(?![\p{{L}}\p{{N}}])"
+#: A word of the text in lower case.
+LOWER_WORD = r"(?<![\p{L}\p{M}])\p{Ll}[\p{Ll}\p{M}]++(?![\p{L}])"
 CARD = r"(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?![\d-])"
 PATTERN = "(?<![\\p{L}\\p{N}])(?:" + "|".join([
     r"(?<![._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     SECRET,
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
+    r"gh[pousr]_[0-9A-Za-z]{36,}+",
+    r"eyJ[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+",
+    r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     CARD,
     r"\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -57,6 +70,7 @@ PATTERN = "(?<![\\p{L}\\p{N}])(?:" + "|".join([
     r"(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
     r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     r"\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    r"0\d{2,4}[ /-]\d{5,8}(?![\d-])",
     NAME,
 ]) + ")"
 
@@ -64,9 +78,9 @@ PATTERN = "(?<![\\p{L}\\p{N}])(?:" + "|".join([
 def kind_of(mention):
     """What a mention found by the pattern is."""
     return (
-        F.when(mention.rlike("^" + SECRET + "$"), "secret").when(mention.contains("@"), "email").when(mention.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$"), "key")
+        F.when(mention.rlike("^" + SECRET + "$"), "secret").when(mention.contains("@"), "email").when(mention.rlike("^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]+|eyJ[0-9A-Za-z_.-]+)$"), "key")
         .when(mention.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]+$"), "iban").when(mention.rlike("^" + CARD + "$"), "card").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(mention.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when(mention.rlike(r"^\p{L}"), "name").otherwise("phone")
+        .when(mention.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip").when(mention.rlike("^[0-9A-Fa-f]+:[0-9A-Fa-f:]+$"), "ip6").when(mention.rlike(r"^\p{L}"), "name").otherwise("phone")
     )
 
 
@@ -122,12 +136,17 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 
 def scrambled(value, digest, keep):
     """``value`` with every digit and letter after the first ``keep`` characters drawn anew, of the same class."""
-    hexed = value.rlike("^[0-9a-f]+$")
+    hexed, hexed_up = value.rlike("^[0-9a-f:]+$"), value.rlike("^[0-9A-F]+:[0-9A-F:]+$")
 
     def char(c, i):
         low = F.when(hexed, _char("abcdef", digest, i)).otherwise(_char(LOWER, digest, i))
-        foreign = F.when(c.rlike(r"\p{IsCyrillic}"), _char("абвгдежзиклмнопрстуфхцчшэюя", digest, i)).when(c.rlike(r"\p{L}"), _char(LOWER, digest, i)).otherwise(c)
-        drawn = F.when(c.between("0", "9"), _char(DIGITS, digest, i)).when(c.between("a", "z"), low).when(c.between("A", "Z"), _char(UPPER, digest, i)).otherwise(foreign)
+        high = F.when(hexed_up, _char("ABCDEF", digest, i)).otherwise(_char(UPPER, digest, i))
+        foreign = F.when(~c.rlike(r"\p{L}"), c)
+        for script, letters in ALPHABETS.items():
+            foreign = foreign.when(c.rlike(rf"\p{{Is{script}}}"), _char(letters, digest, i))
+        foreign = foreign.otherwise(_char(LOWER, digest, i))
+        foreign = F.when(c.rlike(r"\p{Lu}"), F.upper(foreign)).otherwise(foreign)
+        drawn = F.when(c.between("0", "9"), _char(DIGITS, digest, i)).when(c.between("a", "z"), low).when(c.between("A", "Z"), high).otherwise(foreign)
         return F.when(i < keep, c).otherwise(drawn)
 
     return F.array_join(F.transform(F.split(value, ""), char), "")
@@ -150,7 +169,7 @@ def surrogate(kind, value, attempt, key: str):
     grown = F.greatest(attempt - 12, F.lit(0))
     longer = F.concat(value, F.repeat(F.lit("0"), grown))
     country = F.length(F.regexp_extract(value, r"^\+?\d{1,3}(?=[ .(-])", 0))
-    keep = F.when(kind == "phone", F.when(value.startswith("+"), country).otherwise(0)).when(kind == "card", 1).when(kind.isin("iban", "key"), F.when(kind == "key", 4).otherwise(2)).otherwise(0)
+    keep = F.when(kind == "phone", F.when(value.startswith("+"), country).otherwise(0)).when(kind == "card", 1).when(kind.isin("iban", "key"), F.when(value.startswith("eyJ"), 3).when(kind == "key", 4).otherwise(2)).otherwise(0)
     chars = scrambled(longer, digest, keep)
     last = F.pmod(F.lit(10) - F.pmod(_luhn(_digits(F.concat(F.substr(chars, F.lit(1), F.length(chars) - 1), F.lit("0")))), F.lit(10)), F.lit(10))
     card = F.when((F.pmod(_luhn(_digits(value)), F.lit(10)) == 0) & (grown == 0), F.concat(F.substr(chars, F.lit(1), F.length(chars) - 1), last.cast("string"))).otherwise(chars)
@@ -161,15 +180,13 @@ def surrogate(kind, value, attempt, key: str):
         return F.when(wide, 100 + drawn % 155).when(F.length(o) == 2, 10 + drawn % 90).otherwise(1 + drawn % 9).cast("string")
 
     ip = F.array_join(F.transform(F.split(value, r"\."), octet), ".")
-    russian = value.rlike(r"\p{IsCyrillic}")
-
-    def name(of: str, cyrillic: bool):
-        stems = F.transform(F.sequence(F.lit(1), 2 + F.floor(attempt / 4).cast("int")), lambda i: _pick(CYRILLIC if cyrillic else LATIN, digest, i))
-        return F.initcap(F.concat(F.array_join(stems, ""), _pick(ENDINGS[of, cyrillic], digest, F.lit("end"))))
+    def name(of: str, script: str):
+        stems = F.transform(F.sequence(F.lit(1), 2 + F.floor(attempt / 4).cast("int")), lambda i: _pick(STEMS[script], digest, i))
+        return F.initcap(F.concat(F.array_join(stems, ""), _pick(ENDINGS[of, script], digest, F.lit("end"))))
 
     names = F.when(kind == "ip", ip).when(kind == "card", card)
     for of in ("given_m", "given_f", "given_x", "surname"):
-        names = names.when((kind == of) & russian, name(of, True)).when(kind == of, name(of, False))
+        names = names.when((kind == of) & value.rlike(r"\p{IsCyrillic}"), name(of, "cyrillic")).when((kind == of) & value.rlike(r"\p{IsGreek}"), name(of, "greek")).when(kind == of, name(of, "latin"))
     return names.otherwise(chars)
 
 
@@ -194,6 +211,26 @@ def assign(values: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     raise RuntimeError("no distinct surrogates found; the pattern lets through a kind with too few possible values")
 
 
+def name_mailboxes(table: DataFrame) -> DataFrame:
+    """``table`` with mailboxes made of names of the data (``john.smith``) named by the surrogates of these names.
+
+    A mailbox keeps the surrogate it has where its new one would be that of another, or a mailbox of the data.
+    """
+    names = table.filter(F.col("kind").isin("given_m", "given_f", "given_x", "surname")).groupBy(F.lower("value").alias("known")).agg(F.min(F.struct("kind", "surrogate"))["surrogate"].alias("named"))
+    boxes = table.filter("kind = 'mailbox'")
+    parts = boxes.select("value", F.posexplode(F.split("value", "[._-]")).alias("n", "part"))
+    made = parts.join(names, F.lower("part") == F.col("known"), "left").groupBy("value").agg(
+        F.sort_array(F.collect_list(F.struct("n", F.lower("named").alias("named")))).alias("parts"), F.bool_and(F.col("named").isNotNull()).alias("whole")
+    ).filter("whole")
+    gaps = F.regexp_extract_all("value", F.lit("([._-])"), F.lit(1))
+    new = F.array_join(F.transform("parts", lambda p, i: F.concat(p["named"], F.coalesce(F.get(gaps, i), F.lit("")))), "")
+    made = made.select("value", new.alias("new"))
+    taken = boxes.select(F.col("value").alias("other")).unionByName(boxes.select(F.col("surrogate").alias("other"))).distinct()
+    made = made.withColumn("same", F.count("*").over(Window.partitionBy("new"))).join(taken, F.col("new") == F.col("other"), "left_anti").filter("same = 1")
+    made = made.select(F.lit("mailbox").alias("k"), F.col("value").alias("v"), "new")
+    return table.join(made, (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")), "left").select("kind", "value", F.coalesce("new", "surrogate").alias("surrogate"))
+
+
 def replace(documents: DataFrame, *, key: str, text: str = "text", columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """``documents`` (``columns``, all by default) with surrogates in ``text`` and a last column n_replaced; and the surrogates' table.
 
@@ -213,18 +250,22 @@ def replace(documents: DataFrame, *, key: str, text: str = "text", columns: list
     mentions = stored.select("row", F.posexplode("found").alias("place", "mention"))
     known = materialize(mentions.groupBy("mention").agg(F.lit(1).alias("one")).select("mention", parts_of(F.col("mention")).alias("parts")), "surrogates")
     values = known.select(F.explode("parts").alias("p")).filter("p.kind IS NOT NULL").select("p.kind", "p.value").distinct()
-    table = assign(values, key)
+    table = materialize(name_mailboxes(assign(values, key)), "surrogates")
     parts = known.select("mention", F.posexplode("parts").alias("n", "p")).select("mention", "n", F.col("p.kind").alias("k"), F.col("p.value").alias("v"))
     built = parts.join(table, (F.col("k") == F.col("kind")) & (F.col("v") == F.col("value")), "left").groupBy("mention").agg(
         F.sort_array(F.collect_list(F.struct("n", F.coalesce("surrogate", "v").alias("s")))).alias("s")
     ).select(F.col("mention").alias("m"), F.array_join(F.transform("s", lambda x: x["s"]), "").alias("new"))
     fills = mentions.join(materialize(built, "surrogates"), F.col("mention") == F.col("m")).groupBy(F.col("row").alias("of")).agg(F.sort_array(F.collect_list(F.struct("place", "new"))).alias("fills"))
     parts_here = mentions.filter(is_name(F.col("mention"))).join(parts.filter(F.length("v") > 1).withColumnRenamed("mention", "m"), F.col("mention") == F.col("m"))
-    parts_here = parts_here.filter("k IS NOT NULL AND NOT endswith(v, '.')").groupBy("row", "v").agg(F.max("k").alias("k"))  # one that is a surname, too, stands for that
-    parts_here = parts_here.join(table, (F.col("k") == F.col("kind")) & (F.col("v") == F.col("value"))).select(F.col("row").alias("of"), "v", F.col("surrogate").alias("new"))
+    parts_here = parts_here.filter("k IS NOT NULL AND NOT endswith(v, '.')").filter(~F.col("v").isin(AMBIGUOUS))
+    parts_here = parts_here.groupBy("row", F.lower("v").alias("low")).agg(F.max(F.struct("k", "v")).alias("p")).select("row", "low", "p.k", "p.v")  # one that is a surname, too, stands for that
+    lower = stored.filter(F.exists("found", is_name)).select(F.col("row").alias("r"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(place), F.lit(LOWER_WORD), F.lit(0)))).alias("l"))
+    parts_here = parts_here.join(lower, (F.col("row") == F.col("r")) & (F.col("low") == F.col("l")), "left_anti")  # a word of the language as well
+    parts_here = parts_here.join(table, (F.col("k") == F.col("kind")) & (F.col("v") == F.col("value"))).select(F.col("row").alias("of"), "low", F.col("surrogate").alias("new"))
     between = stored.filter(F.exists("found", is_name)).select("row", F.posexplode(F.split(F.col(place), PATTERN, -1)).alias("gap", "text"))
     words = between.select("row", "gap", F.posexplode_outer(F.regexp_extract_all("text", F.lit(ALONE), F.lit(0))).alias("place", "word"))
-    words = words.join(parts_here, (F.col("row") == F.col("of")) & (F.col("word") == F.col("v")), "left").select("row", "gap", "place", F.coalesce("new", "word").alias("word"), F.col("new").isNotNull().cast("int").alias("n"))
+    cased = F.when((F.length("word") > 1) & (F.upper("word") == F.col("word")), F.upper("new")).otherwise(F.col("new"))
+    words = words.join(parts_here, (F.col("row") == F.col("of")) & (F.lower("word") == F.col("low")), "left").select("row", "gap", "place", F.coalesce(cased, "word").alias("word"), F.col("new").isNotNull().cast("int").alias("n"))
     texts = words.groupBy("row", "gap").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("words"), F.sum("n").alias("n"))
     texts = texts.groupBy(F.col("row").alias("named")).agg(F.sort_array(F.collect_list(F.struct("gap", "words"))).alias("again"), F.sum("n").alias("more")).filter("more > 0")
     joined = stored.join(fills, F.col("row") == F.col("of")).join(texts, F.col("row") == F.col("named"), "left")
