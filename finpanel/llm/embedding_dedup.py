@@ -148,12 +148,13 @@ def _compare(least: float):
 
 def links(
     vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, trees: int = 8, leaf: int = 128, block: int = 512,
-    most_sample: int = 20_000, seed: int = 11,
+    most_sample: int = 20_000, most_numbers: int = 8_000_000, seed: int = 11,
 ) -> DataFrame:
     """Per row: key, n_links (other rows linked directly), component_id (smallest key reached by links), kept (key is that one).
 
     Rows are linked if their labels are equal and not null and the cosine of their vectors, in double precision, is ``least`` or more.
-    The trees are fitted on at most ``most_sample`` (20,000) distinct vectors, the first by hash; all vectors go down them. Depth follows the
+    The trees are fitted on at most ``most_sample`` (20,000) distinct vectors with at most ``most_numbers`` (8,000,000) components, the first by hash; all
+    vectors go down them, in the precision that they have in the table. Depth follows the
     largest label, so that leaves hold some ``leaf`` vectors; a leaf that a dense cluster overfills is compared in pairs of blocks of
     ``block`` rows, all of them. The overlap is half the standard deviation of the distance along a random direction of a pair just linked.
     Equal vectors of a label are one node with a count from the start. Recall against all pairs: see README.
@@ -166,12 +167,17 @@ def links(
     rows = vectors.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").alias("vector"))
     finite = F.forall(values, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists(values, lambda x: x != 0), F.lit(False))
-    rows = rows.select("key", "label", values.alias("vector"), usable.alias("usable"))
+    kind = rows.schema["vector"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = rows.select("key", "label", F.col("vector").cast(kind).alias("vector"), usable.alias("usable"))
     rows = rows.withColumns({"d1": F.xxhash64(F.lit(1), "vector"), "d2": F.xxhash64(F.lit(2), "vector")})
     nodes = rows.filter("usable").groupBy("label", "d1", "d2").agg(F.first("vector").alias("vector"), F.min("key").alias("least_key"), F.count("*").alias("copies"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    sample = [np.array(r[0], dtype=np.float64) for r in nodes.orderBy(F.xxhash64("d1", "d2")).select("vector").limit(most_sample).collect()]
+    longest = nodes.agg(F.max(F.size("vector"))).first()[0] or 1
+    drawn = nodes.orderBy(F.xxhash64("d1", "d2")).select("vector").limit(min(most_sample, max(1, most_numbers // longest))).toArrow().column("vector").combine_chunks()
+    edges, numbers = drawn.offsets.to_numpy(), drawn.values.to_numpy(zero_copy_only=False)
+    sample = [numbers[a:b].astype(np.float64) for a, b in zip(edges[:-1], edges[1:])]
     depth = max(0, math.ceil(math.log2(max(1, largest) / leaf)))
     forests = {}
     for dim in {len(v) for v in sample}:
@@ -181,7 +187,7 @@ def links(
     margin = 0.5 * math.sqrt(2 - 2 * least) / math.sqrt(sum(dims) / len(dims))
     fields = nodes.schema["label"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(forests)
-    routed = materialize(nodes.select("node", "label", "copies", "vector").mapInArrow(_route(shared, seed, margin), f"node long, label {fields}, copies long, vector array<double>, codes array<long>"), "routed")
+    routed = materialize(nodes.select("node", "label", "copies", "vector").mapInArrow(_route(shared, seed, margin), f"node long, label {fields}, copies long, vector {kind}, codes array<long>"), "routed")
     spread = routed.withColumn("code", F.explode("codes"))
     large = spread.groupBy(F.col("label").alias("in"), F.col("code").alias("at")).agg(F.count("*").alias("held")).filter(F.col("held") > block)
     large = checked_side(materialize(large.withColumn("blocks", F.ceil(F.col("held") / block).cast("int")).drop("held"), "leaves"))
