@@ -223,7 +223,10 @@ REPORT_KEYS = ("kind", "measure", "high", "is_attention", "curve", "k", "feature
 
 
 def report_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All tables as one: section, item (the row's key values, joined by blanks), value_name, value (double; null where there is none)."""
+    """All tables as one: section, item (the row's key values, joined by blanks), value_name, value (double; null where there is none).
+
+    Every table is computed and stored on its own, so that no plan holds more than one of them.
+    """
     out = None
     for name, df in tables.items():
         keys = [c for c in REPORT_KEYS if c in df.columns]
@@ -231,5 +234,6 @@ def report_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
         kinds = dict(df.dtypes)
         values = {c: F.col(c) for c in df.columns if c not in keys and kinds[c] in ("bigint", "int", "double")}
         long = unpivot(df.withColumn("item", item), ["item"], values, label="value_name").select(F.lit(name).alias("section"), "item", "value_name", "value")
+        long = materialize(long, "report")
         out = long if out is None else out.unionByName(long)
     return out
