@@ -2,16 +2,14 @@
 
 A wanted rank lies in a range of values, at first the group's whole span. Each round cuts that range into equal sub-ranges, counts them, and goes
 on with the one that holds the rank, cut down to the smallest and largest value found in it. Counters are bounded by the number of sub-ranges, whatever
-the group's size, and counts prove where the rank is. A round separates a range's ends, so it always shrinks; a rank is found
-when it is the first or the last of its range. Two or three rounds do for most data.
+the group's size, and counts prove where the rank is and how many values are left. A round separates a range's ends, so it always shrinks; when no
+range has more than a few thousand values, these are sorted. One round does for groups of a million values, two for most others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 from itertools import count
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +57,13 @@ def _share(v: Column, lo: Column, hi: Column, ranges: int, first: bool) -> Colum
     )
 
 
+def _match(left: DataFrame, right: DataFrame, by: Sequence[str], few_groups: bool, how: str, *more: Column) -> DataFrame:
+    """Join on equal groups, null ones included, and further conditions; the group's columns stay once."""
+    side = right.withColumnsRenamed({b: f"_g_{b}" for b in by})
+    on = [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by]
+    return left.join(F.broadcast(side) if few_groups else side, [*on, *more], how).drop(*[f"_g_{b}" for b in by])
+
+
 def quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -67,62 +72,55 @@ def quantiles(
     names: Sequence[str] | None = None,
     *,
     ranges: int = 1024,
+    most_held: int = 4096,
     spans: DataFrame | None = None,
     few_groups: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles of the values: columns ``by``, ``n`` and one per quantile. Null and NaN are no values.
 
-    Runs its rounds at once; each reads the input, after the first only the few values inside the wanted ranges are counted. Store the input when it is
-    costly. ``spans``: the stored result of ``value_spans`` where a caller has it, which saves one reading. For ``few_groups`` see :func:`join_groups`.
+    Runs its rounds at once; each reads the input, after the first only the few values inside the wanted ranges are counted, and once no range has more
+    than ``most_held`` values, these are sorted. Store the input when it is costly. ``spans``: the stored result of ``value_spans`` where a caller has
+    it, which saves one reading. For ``few_groups`` see :func:`join_groups`.
     """
-    by, probs = list(by), list(probs)
+    keys, probs = list(by), list(probs)
     names = list(names or [f"p{round(p * 100)}" for p in probs])
-    wanted = range(2 * len(probs))
-    rows = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).where(F.col("_v").isNotNull())
-    start = spans.select(*by, "n", "_lo", "_hi") if spans is not None else value_spans(df, by, value)
+    rows = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).where(F.col("_v").isNotNull())
+    start = spans.select(*keys, "n", "_lo", "_hi") if spans is not None else value_spans(df, keys, value)
+    by = keys or ["_all"]
+    if not keys:
+        rows, start = rows.withColumn("_all", F.lit(0)), start.withColumn("_all", F.lit(0))
     places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
-    ranks = [f(p).cast("long") for p in places for f in (F.floor, F.ceil)]
-    whole = {"lo": F.col("_lo"), "hi": F.col("_hi"), "before": F.lit(0).cast("long"), "count": F.col("n")}
-    state = start.select(*by, "n", *[r.alias(f"_rank{j}") for j, r in zip(wanted, ranks)], *[c.alias(f"_{k}{j}") for j in wanted for k, c in whole.items()])
-
-    def col(kind: str, j: int) -> Column:
-        return F.col(f"_{kind}{j}")
-
-    def is_open(j: int) -> Column:
-        inside = col("rank", j) - col("before", j)
-        return (col("lo", j) < col("hi", j)) & (inside > 0) & (inside < col("count", j) - 1)
-
-    state = materialize(state, "ranks")
+    ranks = F.posexplode(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)])).alias("_j", "_rank")
+    state = materialize(start.where("n > 0").select(*by, "n", ranks, "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.col("n").alias("_count")), "ranks")
+    v, inside = F.col("_v"), F.col("_rank") - F.col("_before")
+    is_open = (F.col("_lo") < F.col("_hi")) & (inside > 0) & (inside < F.col("_count") - 1)
     for turn in count():
-        open_ = state.where(reduce(or_, [is_open(j) for j in wanted]))
-        if open_.isEmpty():
+        open_ = state.where(is_open)
+        most = open_.agg(F.max("_count")).first()[0]
+        if most is None:
             break
-        edges = open_.select(*by, *[F.when(is_open(j), col(k, j)).alias(f"_{k}{j}") for j in wanted for k in ("lo", "hi")])
-        met = join_groups(rows, edges, by, few_groups=few_groups, how="inner")
-        v, lo, hi = F.col("_v"), F.lit(None).cast("double"), F.lit(None).cast("double")
-        for j in reversed(wanted):
-            inside = (v >= col("lo", j)) & (v <= col("hi", j))
-            lo, hi = F.when(inside, col("lo", j)).otherwise(lo), F.when(inside, col("hi", j)).otherwise(hi)
-        met = met.select(*by, "_v", lo.alias("_from"), hi.alias("_to")).where(F.col("_from").isNotNull())
-        cell = F.when(v == F.col("_to"), F.lit(ranges)).otherwise(F.coalesce(F.floor(_share(v, F.col("_from"), F.col("_to"), ranges, first=turn == 0) * ranges), F.lit(0)).cast("int"))
-        cells = met.groupBy(*by, "_from", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-        upto = F.sum("_c").over(Window.partitionBy(*by, "_from").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
-        cells = cells.withColumn("_below", upto - F.col("_c"))
-        known = join_groups(cells, open_.drop("n"), by, few_groups=few_groups)
-        picks = []
-        for j in wanted:
-            inside = col("rank", j) - col("before", j) - F.col("_below")
-            holds = is_open(j) & (F.col("_from") == col("lo", j)) & (inside >= 0) & (inside < F.col("_c"))
-            picks.append(F.min(F.when(holds, F.struct("_least", "_most", "_below", "_c"))).alias(f"_pick{j}"))
-        found = join_groups(state, known.groupBy(*by).agg(*picks), by, few_groups=few_groups)
-        moved = {}
-        for j in wanted:
-            pick = F.col(f"_pick{j}")
-            moved |= {f"_lo{j}": F.coalesce(pick["_least"], col("lo", j)), f"_hi{j}": F.coalesce(pick["_most"], col("hi", j))}
-            moved |= {f"_before{j}": col("before", j) + F.coalesce(pick["_below"], F.lit(0)), f"_count{j}": F.coalesce(pick["_c"], col("count", j))}
-        state = materialize(found.withColumns(moved).select(*state.columns), "ranks")
-    out = []
-    for i, (place, name) in enumerate(zip(places, names)):
-        a, b = (F.when(col("rank", j) == col("before", j), col("lo", j)).otherwise(col("hi", j)) for j in (2 * i, 2 * i + 1))
-        out.append((a + (b - a) * (place - F.floor(place))).alias(name))
-    return state.select(*by, "n", *out)
+        edges = open_.select(*by, F.col("_lo").alias("_from"), F.col("_hi").alias("_to")).distinct()
+        met = _match(rows, edges, by, few_groups, "inner", v >= F.col("_from"), v <= F.col("_to"))
+        if most <= most_held:
+            held = met.groupBy(*by, "_from").agg(F.sort_array(F.collect_list("_v")).alias("_sorted"))
+            done = _match(state, held, by, few_groups, "left", F.col("_lo") == F.col("_from"))
+            exact = F.when(is_open, F.get("_sorted", inside.cast("int")))
+            moved = {"_lo": F.coalesce(exact, "_lo"), "_hi": F.coalesce(exact, "_hi")}
+        else:
+            share = _share(v, F.col("_from"), F.col("_to"), ranges, first=turn == 0)
+            cell = F.when(v == F.col("_to"), F.lit(ranges)).otherwise(F.coalesce(F.floor(share * ranges), F.lit(0)).cast("int"))
+            cells = met.groupBy(*by, "_from", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+            upto = F.sum("_c").over(Window.partitionBy(*by, "_from").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+            cells = cells.withColumn("_below", upto - F.col("_c")).drop("_cell")
+            holds = [F.col("_lo") == F.col("_from"), inside >= F.col("_below"), inside < F.col("_below") + F.col("_c")]
+            done = _match(state, cells, by, few_groups, "left", *holds).withColumn("_c", F.when(is_open, F.col("_c")))
+            found = F.col("_c").isNotNull()
+            moved = {
+                "_lo": F.when(found, F.col("_least")).otherwise(F.col("_lo")), "_hi": F.when(found, F.col("_most")).otherwise(F.col("_hi")),
+                "_before": F.col("_before") + F.when(found, F.col("_below")).otherwise(0), "_count": F.coalesce("_c", "_count"),
+            }
+        state = materialize(done.select(*[moved.get(c, F.col(c)).alias(c) for c in state.columns]), "ranks")
+    exact = F.when(inside == 0, F.col("_lo")).otherwise(F.col("_hi"))
+    wide = state.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_j") == j, exact)).alias(f"_q{j}") for j in range(2 * len(probs))])
+    out = [(F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * (p - F.floor(p))).alias(name) for i, (p, name) in enumerate(zip(places, names))]
+    return wide.select(*keys, "n", *out)

@@ -43,7 +43,7 @@ def test_quantiles_through_rounds(spark, shape):
         "sorted": np.arange(20_000.0),
         "scales": np.concatenate([10.0 ** rng.uniform(-300, 300, 2000), -(10.0 ** rng.uniform(-3, 30, 1000))]),
     }[shape]
-    check_quantiles(spark, {"big": xs.tolist(), "small": [1, 2, 3]}, ranges=32)
+    check_quantiles(spark, {"big": xs.tolist(), "small": [1, 2, 3]}, ranges=32, most_held=50)
 
 
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -56,7 +56,7 @@ def test_quantiles_without_groups(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "x double")
     row = quantiles(df, [], "x", [0.8], ["cut"]).first()
     assert (row["n"], row["cut"]) == (101, 80.0)
-    big = quantiles(df, [], "x", [0.8], ["cut"], ranges=3).first()
+    big = quantiles(df, [], "x", [0.8], ["cut"], ranges=3, most_held=4).first()
     assert big["cut"] == 80.0
 
 

@@ -274,7 +274,7 @@ def test_hot_day_and_hot_value_sort(spark):
     from finpanel.operators.quantiles import quantiles
 
     df = spark.createDataFrame([(DAY, float(x)) for x in xs] + [(DAY + dt.timedelta(1), 2.0)], "date date, bm double")
-    got = quantiles(df, ["date"], "bm", [0.3, 0.7], ["lo", "hi"], ranges=16).where(F.col("date") == DAY).first()
+    got = quantiles(df, ["date"], "bm", [0.3, 0.7], ["lo", "hi"], ranges=16, most_held=20).where(F.col("date") == DAY).first()
     assert (got["lo"], got["hi"]) == pytest.approx(tuple(np.quantile(xs, [0.3, 0.7])))
 
 
