@@ -262,7 +262,7 @@ def large_group_quantiles(spark, sf):
     """Quantiles of groups of all sizes, among them all line items in one group."""
     rows = v.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("price"))
     every = rows.withColumn("l_returnflag", F.lit("all"))
-    marks = quantiles(materialize(rows.unionByName(every), "prices"), ["l_returnflag"], "price", [0.001, 0.1, 0.5, 0.9, 0.999], ["p01", "p10", "p50", "p90", "p99"])
+    marks = quantiles(materialize(rows.unionByName(every), "prices"), ["l_returnflag"], "price", [0.001, 0.1, 0.5, 0.9, 0.999], ["p01", "p10", "p50", "p90", "p99"], most_held=1000)
     return r6(marks, "p01", "p10", "p50", "p90", "p99")
 
 

@@ -3,7 +3,7 @@
 A wanted rank lies in a range of values, at first the group's whole span. Each round cuts that range into equal sub-ranges, counts them, and goes
 on with the one that holds the rank, cut down to the smallest and largest value found in it. Counters are bounded by the number of sub-ranges, whatever
 the group's size, and counts prove where the rank is and how many values are left. A round separates a range's ends, so it always shrinks; when no
-range has more than a few thousand values, these are sorted. One round does for groups of a million values, two for most others.
+range has more than a bounded number of values, these are sorted.
 """
 
 from __future__ import annotations
@@ -64,6 +64,11 @@ def _match(left: DataFrame, right: DataFrame, by: Sequence[str], few_groups: boo
     return left.join(F.broadcast(side) if few_groups else side, [*on, *more], how).drop(*[f"_g_{b}" for b in by])
 
 
+def _settled(df: DataFrame, few_groups: bool) -> DataFrame:
+    """A small table, computed: stored in the shared folder, or, with few groups, held by the driver as plain columns."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema) if few_groups else materialize(df, "ranks")
+
+
 def quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -72,14 +77,14 @@ def quantiles(
     names: Sequence[str] | None = None,
     *,
     ranges: int = 1024,
-    most_held: int = 4096,
+    most_held: int = 100_000,
     spans: DataFrame | None = None,
     few_groups: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles of the values: columns ``by``, ``n`` and one per quantile. Null and NaN are no values.
 
     Runs its rounds at once; each reads the input, after the first only the few values inside the wanted ranges are counted, and once no range has more
-    than ``most_held`` values, these are sorted. Store the input when it is costly. ``spans``: the stored result of ``value_spans`` where a caller has
+    than ``most_held`` values (0.8 MB), these are sorted. Store the input when it is costly. ``spans``: the stored result of ``value_spans`` where a caller has
     it, which saves one reading. For ``few_groups`` see :func:`join_groups`.
     """
     keys, probs = list(by), list(probs)
@@ -91,7 +96,7 @@ def quantiles(
         rows, start = rows.withColumn("_all", F.lit(0)), start.withColumn("_all", F.lit(0))
     places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
     ranks = F.posexplode(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)])).alias("_j", "_rank")
-    state = materialize(start.where("n > 0").select(*by, "n", ranks, "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.col("n").alias("_count")), "ranks")
+    state = _settled(start.where("n > 0").select(*by, "n", ranks, "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.col("n").alias("_count")), few_groups)
     v, inside = F.col("_v"), F.col("_rank") - F.col("_before")
     is_open = (F.col("_lo") < F.col("_hi")) & (inside > 0) & (inside < F.col("_count") - 1)
     for turn in count():
@@ -119,7 +124,9 @@ def quantiles(
                 "_lo": F.when(found, F.col("_least")).otherwise(F.col("_lo")), "_hi": F.when(found, F.col("_most")).otherwise(F.col("_hi")),
                 "_before": F.col("_before") + F.when(found, F.col("_below")).otherwise(0), "_count": F.coalesce("_c", "_count"),
             }
-        state = materialize(done.select(*[moved.get(c, F.col(c)).alias(c) for c in state.columns]), "ranks")
+        state = _settled(done.select(*[moved.get(c, F.col(c)).alias(c) for c in state.columns]), few_groups)
+        if most <= most_held:
+            break
     exact = F.when(inside == 0, F.col("_lo")).otherwise(F.col("_hi"))
     wide = state.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_j") == j, exact)).alias(f"_q{j}") for j in range(2 * len(probs))])
     out = [(F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * (p - F.floor(p))).alias(name) for i, (p, name) in enumerate(zip(places, names))]
