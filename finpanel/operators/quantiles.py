@@ -106,24 +106,27 @@ def quantiles(
             break
         edges = open_.select(*by, F.col("_lo").alias("_from"), F.col("_hi").alias("_to")).distinct()
         met = _match(rows, edges, by, few_groups, "inner", v >= F.col("_from"), v <= F.col("_to"))
+        wanted = open_.select(*by, "_j", F.col("_lo").alias("_start"), inside.alias("_inside"))
+        # What is joined back is one row per wanted rank: the lists and counters themselves grow with the groups and stay in their tasks.
         if most <= most_held:
             held = met.groupBy(*by, "_from").agg(F.sort_array(F.collect_list("_v")).alias("_sorted"))
-            done = _match(state, held, by, few_groups, "left", F.col("_lo") == F.col("_from"))
-            exact = F.when(is_open, F.get("_sorted", inside.cast("int")))
-            moved = {"_lo": F.coalesce(exact, "_lo"), "_hi": F.coalesce(exact, "_hi")}
+            picked = _match(held, wanted, by, few_groups, "inner", F.col("_start") == F.col("_from"))
+            picked = picked.select(*by, F.col("_j").alias("_of"), F.get("_sorted", F.col("_inside").cast("int")).alias("_exact"))
+            moved = {"_lo": F.coalesce("_exact", "_lo"), "_hi": F.coalesce("_exact", "_hi")}
         else:
             share = _share(v, F.col("_from"), F.col("_to"), ranges, first=turn == 0)
             cell = F.when(v == F.col("_to"), F.lit(ranges)).otherwise(F.coalesce(F.floor(share * ranges), F.lit(0)).cast("int"))
             cells = met.groupBy(*by, "_from", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
             upto = F.sum("_c").over(Window.partitionBy(*by, "_from").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
-            cells = cells.withColumn("_below", upto - F.col("_c")).drop("_cell")
-            holds = [F.col("_lo") == F.col("_from"), inside >= F.col("_below"), inside < F.col("_below") + F.col("_c")]
-            done = _match(state, cells, by, few_groups, "left", *holds).withColumn("_c", F.when(is_open, F.col("_c")))
+            cells = cells.withColumn("_below", upto - F.col("_c"))
+            holds = [F.col("_start") == F.col("_from"), F.col("_inside") >= F.col("_below"), F.col("_inside") < F.col("_below") + F.col("_c")]
+            picked = _match(cells, wanted, by, few_groups, "inner", *holds).select(*by, F.col("_j").alias("_of"), "_least", "_most", "_below", "_c")
             found = F.col("_c").isNotNull()
             moved = {
                 "_lo": F.when(found, F.col("_least")).otherwise(F.col("_lo")), "_hi": F.when(found, F.col("_most")).otherwise(F.col("_hi")),
                 "_before": F.col("_before") + F.when(found, F.col("_below")).otherwise(0), "_count": F.coalesce("_c", "_count"),
             }
+        done = _match(state, picked, by, few_groups, "left", F.col("_j") == F.col("_of"))
         state = _settled(done.select(*[moved.get(c, F.col(c)).alias(c) for c in state.columns]), few_groups)
         if most <= most_held:
             break

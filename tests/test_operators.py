@@ -224,3 +224,17 @@ def test_round_histogram(spark):
     assert got == {("a", -0.4): (1, 0.1), ("a", -0.3): (1, 0.1), ("a", 0.0): (1, 0.1), ("a", 0.2): (1, 0.1), ("a", 5.0): (1, 0.1), ("a", 5.5): (1, 0.1), ("b", 7.0): (1, 1e-9)}
     wide = ss.round_histogram(df, "x", ["g"], most_bins=3).where("g = 'a'").collect()
     assert {r["width"] for r in wide} == {5.0} and sum(r["cnt"] for r in wide) == 6
+
+
+@pytest.mark.parametrize("most_held", [100_000, 50])
+def test_quantiles_hand_over_one_row_per_wanted_rank(spark, monkeypatch, most_held):
+    from pyspark.sql import types as T
+
+    handed, mark = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda side: handed.append(side) or mark(side))
+    df = spark.range(40 * 500).select((F.col("id") % 40).cast("int").alias("g"), (F.col("id") * 7919 % 20011).cast("double").alias("x"))
+    got = {r.g: (r.lo, r.hi) for r in quantiles(df, ["g"], "x", [0.3, 0.7], ["lo", "hi"], ranges=64, most_held=most_held, few_groups=True).collect()}
+    assert max(side.count() for side in handed) <= 40 * 4
+    assert not any(isinstance(f.dataType, T.ArrayType) for side in handed for f in side.schema)
+    xs = np.array([i * 7919 % 20011 for i in range(40 * 500)], float).reshape(500, 40)
+    assert all(np.allclose(got[g], np.quantile(xs[:, g], [0.3, 0.7])) for g in range(40))
