@@ -299,7 +299,7 @@ def vendor_skipped(spark, sf):
         part.coalesce(1).write.options(sep="\t", **how).csv(f"{folder}/{kind}")
     _rename_parts(spark, f"{folder}/torn", ".gz")
     raw, skipped = vendor.read_vendor(spark, f"{folder}/*/*", key="證券代碼")
-    rows = raw.groupBy(F.substring("證券代碼", 1, 4).alias("name"), F.substring("年月日", 1, 4).alias("detail")).agg(F.count(F.lit(1)).alias("cnt"))
+    rows = raw.groupBy(F.substring_index("證券代碼", " ", 1).alias("name"), F.substring("年月日", 1, 4).alias("detail")).agg(F.count(F.lit(1)).alias("cnt"))
     left = skipped.groupBy(F.element_at(F.split("path", "/"), -2).alias("name"), F.col("reason").alias("detail")).agg(F.count(F.lit(1)).alias("cnt"))
     return rows.unionByName(left)
 

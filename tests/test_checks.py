@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 import __spark_entry__ as driver
@@ -40,3 +41,19 @@ def test_all_rows_and_both_kinds(spark, con):
     for kind in ("big", "sml"):
         assert sorted(logit.filter(f"kind = '{kind}'").drop("kind").collect()) == sorted(study.rp.persistence_logit(rows, kind).collect())
     assert {r.kind for r in logit.collect()} == {"big", "sml"}
+
+
+def test_vendor_skipped_keeps_codes_of_any_length(spark, tmp_path):
+    from datetime import datetime
+
+    day = {i: datetime(1993 + i % 6, 3, 1) for i in range(12)}
+    lines = [(i, i, 500 + (i % 2) * 9000 + i // 6 * 10, 1, 5.0, 1000.0 + i, 0.05, 0.02, "A", "F", day[i]) for i in day]
+    spark.createDataFrame(lines, spark.read.parquet(f"{SF}/lineitem.parquet").schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    suppliers = [(k, f"s{k}", 1, 10.0) for k in sorted({r[2] for r in lines})]
+    spark.createDataFrame(suppliers, spark.read.parquet(f"{SF}/supplier.parquet").schema).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    small = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        small.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = driver.queries()["vendor_skipped"](spark, str(tmp_path))
+    assert differences(got, small, driver.oracle_sql()["vendor_skipped"]) == []
+    assert {"10500", "10510"} & {r.name for r in got.select("name").collect()}
