@@ -69,9 +69,7 @@ def security_codes(spark, sf):
 
 def reject_counts(spark, sf):
     rows = dirty(spark, sf).withColumns({"date": c.parse_day(F.col("day_text")), "num": c.clean_number(F.col("num_text"))})
-    good, bad = ks.split_rejects(rows, {"date": F.col("date").isNull(), "number": F.col("num").isNull()})
-    per = bad.groupBy(F.col("reject_reason").alias("reason")).agg(F.count(F.lit(1)).alias("cnt"))
-    return per.unionByName(good.agg(F.lit("clean").alias("reason"), F.count(F.lit(1)).alias("cnt")))
+    return ks.reject_totals(rows, {"date": F.col("date").isNull(), "number": F.col("num").isNull()})
 
 
 def _chip_text(spark, sf):
@@ -242,7 +240,7 @@ def streamed_late(spark, sf):
     schema = arrivals[0][0].schema
     for files in arrivals:
         for rows in files:
-            rows.coalesce(1).write.mode("append").parquet(src)
+            rows.write.mode("append").parquet(src)
         source = spark.readStream.schema(schema).parquet(src)
         stream_upsert(spark, source, path, KEYS, day="date", progress=progress, recency=["_file"]).awaitTermination()
     return tables.load_table(spark, path)
@@ -271,11 +269,12 @@ def legacy_names(spark, sf):
 
 def vendor_files(spark, sf):
     """The panel written as UTF-16 text in two layouts (other column order, other columns), read back by name."""
-    p, folder = v.panel(spark, sf), scratch_path(spark, "vendor")
+    p = materialize(v.panel(spark, sf).select("stock_code", "date", "amp_pct", "return_pct", "volume"), "panel")
+    folder = scratch_path(spark, "vendor")
     key, day = F.concat("stock_code", F.lit(" 名稱")).alias("證券代碼"), F.date_format("date", "yyyyMMdd").alias("年月日")
     amp, ret, vol = (F.col(n).cast("string").alias(h) for n, h in (("amp_pct", "高低價差%"), ("return_pct", "報酬率％"), ("volume", "成交量(千股)")))
     for part, cols in ((p.where("date < '1998-01-01'"), [key, day, amp, ret]), (p.where("date >= '1998-01-01'"), [day, key, vol, amp])):
-        part.select(*cols).coalesce(2).write.mode("append").options(sep="\t", header=True, encoding="UTF-16").csv(folder)
+        part.select(*cols).write.mode("append").options(sep="\t", header=True, encoding="UTF-16").csv(folder)
     raw, _ = vendor.read_vendor(spark, f"{folder}/*.csv", key="證券代碼", columns=list(schemas.PRICE_COLUMNS))
     good, _ = loads.daily_table(raw, schemas.PRICE_COLUMNS, text=schemas.PRICE_TEXT)
     return loads.research_panel(good).select("stock_code", "name", "date", "amp_pct", "return_pct", "volume")

@@ -32,7 +32,8 @@ def clean_percent(c: Column) -> Column:
 def parse_day(c: Column) -> Column:
     """Date from exactly eight digits ``YYYYMMDD``; an impossible day is null."""
     text = F.trim(c)
-    return F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd"))
+    dashed = F.overlay(F.overlay(text, F.lit("-"), 7, 0), F.lit("-"), 5, 0)  # a cast is cheaper than a parser, most of all for impossible days
+    return F.when(text.rlike("^[0-9]{8}$"), dashed.try_cast("date"))
 
 
 def parse_month_end(c: Column) -> Column:

@@ -22,25 +22,41 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], recency: Sequence[str]) ->
 
     An aggregate, not a ranking window: a key with very many copies is reduced before the shuffle.
     """
-    return _pick(df, keys, F.max_by, recency)
+    return _pick(df, keys, F.max, recency)
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], priority: Sequence[str]) -> DataFrame:
     """Keep, per key, the row that is smallest by ``priority`` (then by the whole row)."""
-    return _pick(df, keys, F.min_by, priority)
+    return _pick(df, keys, F.min, priority)
 
 
 def _pick(df: DataFrame, keys: Sequence[str], pick, order: Sequence[str]) -> DataFrame:
-    rank = F.struct(*[F.col(f"`{c}`") for c in order], *_ordered_columns(df))
-    rest = [f"`{c}`" for c in df.columns if c not in keys]
-    chosen = df.groupBy(*[f"`{k}`" for k in keys]).agg(pick(F.struct(*rest), rank).alias("_row"))
+    rest = [c for c in df.columns if c not in keys]
+    by = [F.col(f"`{k}`") for k in keys]
+    if any(isinstance(df.schema[c].dataType, T.MapType) for c in rest):  # maps can't be compared, so the row travels beside its rank
+        rank = F.struct(*[F.col(f"`{c}`") for c in order], *_ordered_columns(df))
+        best = (F.max_by if pick is F.max else F.min_by)(F.struct(*[F.col(f"`{c}`") for c in rest]), rank)
+    else:  # the rank is the row, its recency first; keys are equal within a group
+        first = [c for c in dict.fromkeys(order) if c not in keys]
+        best = pick(F.struct(*[F.col(f"`{c}`") for c in [*first, *[c for c in rest if c not in first]]]))
+    chosen = df.groupBy(*by).agg(best.alias("_row")) if rest else df.select(*by).distinct()
     return chosen.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`") for c in df.columns])
 
 
+def _marked(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    bad = [F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()]
+    return df.withColumn("reject_reason", F.nullif(F.concat_ws(",", *bad), F.lit("")))
+
+
+def reject_totals(df: DataFrame, rules: Mapping[str, Column], *, clean: str = "clean") -> DataFrame:
+    """Rows per reason, as ``split_rejects`` gives them, and of clean rows, from one reading: columns ``reason`` and ``cnt``."""
+    reason = F.coalesce("reject_reason", F.lit(clean))
+    return _marked(df, rules).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def split_rejects(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(clean rows, rejected rows with ``reject_reason``). A rule is true for a bad row."""
-    bad = [F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()]
-    marked = df.withColumn("reject_reason", F.nullif(F.concat_ws(",", *bad), F.lit("")))
+    marked = _marked(df, rules)
     good = marked.where(F.col("reject_reason").isNull()).drop("reject_reason")
     return good, marked.where(F.col("reject_reason").isNotNull())
 

@@ -57,3 +57,14 @@ def test_vendor_skipped_keeps_codes_of_any_length(spark, tmp_path):
     got = driver.queries()["vendor_skipped"](spark, str(tmp_path))
     assert differences(got, small, driver.oracle_sql()["vendor_skipped"]) == []
     assert {"10500", "10510"} & {r.name for r in got.select("name").collect()}
+
+
+@pytest.mark.parametrize("name", ["streamed_late", "vendor_files"])
+def test_files_are_written_by_all_tasks(spark, monkeypatch, name):
+    from pyspark.sql import DataFrame
+
+    asked = []
+    monkeypatch.setattr(DataFrame, "coalesce", lambda self, n: asked.append(n) or self)
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda self, n: asked.append(n) or self)
+    driver.queries()[name](spark, SF)
+    assert asked == []

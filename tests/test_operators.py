@@ -238,3 +238,28 @@ def test_quantiles_hand_over_one_row_per_wanted_rank(spark, monkeypatch, most_he
     assert not any(isinstance(f.dataType, T.ArrayType) for side in handed for f in side.schema)
     xs = np.array([i * 7919 % 20011 for i in range(40 * 500)], float).reshape(500, 40)
     assert all(np.allclose(got[g], np.quantile(xs[:, g], [0.3, 0.7])) for g in range(40))
+
+
+def test_reject_totals_read_the_rows_once(spark, tmp_path):
+    spark.createDataFrame([("a", 1), (None, 1), ("b", None), (None, None), ("c", 2)], "k string, v int").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    totals = ks.reject_totals(df, {"key": F.col("k").isNull(), "number": F.col("v").isNull()})
+    assert {(r.reason, r.cnt) for r in totals.collect()} == {("clean", 2), ("key", 1), ("number", 1), ("key,number", 1)}
+    assert totals._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_reject_counts_query_has_one_reading(spark):
+    from checks import data
+
+    plan = data.reject_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
+@pytest.mark.parametrize("pick, want", [(ks.dedupe_latest, (3, "z", 9.0)), (ks.dedupe_first, (1, "a", 4.0))])
+def test_picked_rows_travel_once(spark, pick, want):
+    rows = [("k", 3, "y", 5.0), ("k", 3, "z", 9.0), ("k", 1, "b", 7.0), ("k", 1, "a", 4.0), ("m", None, None, None)]
+    df = spark.createDataFrame(rows, "key string, at int, name string, x double")
+    out = pick(df, ["key"], ["at"])
+    assert {tuple(r) for r in out.collect()} == {("k", *want), ("m", None, None, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "min_by" not in plan
