@@ -87,11 +87,9 @@ def curve_bands(df: DataFrame, curves: Mapping[str, float], by: Sequence[str], *
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_n)
     df = join_groups(df, sizes, by, few_groups=few_groups).where(F.col("_rows").isNotNull())
 
-    def scaled(curve: str, scale: float) -> Column:
-        return F.struct(F.lit(curve).alias("curve"), F.transform(curve, lambda y: y * scale).alias("ys"))
-
-    items = F.array(*[scaled(c, s) for c, s in curves.items()])
-    long = df.select(*by, F.explode(items).alias("_c")).select(*by, "_c.curve", F.posexplode("_c.ys").alias("k", "value"))
+    items = F.array(*[F.struct(F.lit(c).alias("curve"), F.lit(float(s)).alias("scale"), F.col(c).alias("ys")) for c, s in curves.items()])
+    each = df.select(*by, F.explode(items).alias("_c")).select(*by, "_c.curve", "_c.scale", F.posexplode("_c.ys").alias("k", "_y"))
+    long = each.select(*by, "curve", "k", (F.col("_y") * F.col("scale")).alias("value"))  # scaled behind the explode, in compiled code
     return quantiles(long, [*by, "curve", "k"], "value", [0.25, 0.5, 0.75], ["p25", "median", "p75"], few_groups=few_groups).withColumnRenamed("n", "cnt")
 
 

@@ -263,3 +263,11 @@ def test_picked_rows_travel_once(spark, pick, want):
     assert {tuple(r) for r in out.collect()} == {("k", *want), ("m", None, None, None)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in plan and "min_by" not in plan
+
+
+def test_curves_are_scaled_in_compiled_code(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [0.0, float(i), None]) for i in range(8)], "g int, c array<double>")
+    plans = []
+    monkeypatch.setattr(ss, "quantiles", lambda long, *a, **k: plans.append(long._jdf.queryExecution().optimizedPlan().toString()) or quantiles(long, *a, **k))
+    got = {r.k: (r.cnt, r.median) for r in ss.curve_bands(df, {"c": 100.0}, ["g"]).collect()}
+    assert got == {0: (8, 0.0), 1: (8, 350.0)} and "transform(" not in plans[0]
