@@ -81,3 +81,11 @@ def test_json_number(spark):
     texts = ['{"k": 5, "ROE(A)－稅後": "7.5"}', '{"k": "x"}', "broken", None]
     assert one(spark, texts, lambda c: fn.json_number(c, "k")) == [5.0, None, None, None]
     assert one(spark, texts[:1], lambda c: fn.json_number(c, "ROE(A)－稅後")) == [7.5]
+
+
+def test_plain_characters_are_taken_out_without_a_pattern(spark):
+    texts = ["1,234.5", "[1]", "+1,0", "a,b", None, ","]
+    assert one(spark, texts, fn.clean_number) == [1234.5, None, 10.0, None, None, None]
+    assert one(spark, ["[1]", "1%", "1a2"], lambda c: fn.clean_number(c, drop="[a-b]")) == [None, None, 12.0]
+    df = spark.range(1).select(fn.clean_number(F.col("id").cast("string")))
+    assert "regexp_replace" not in df._jdf.queryExecution().analyzed().toString()
