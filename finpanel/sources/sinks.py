@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finpanel.session import materialize
+
 
 def write_csv(df: DataFrame, path: str, *, order: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """CSV with a header, globally ordered over its part files when ``order`` is given."""
@@ -35,21 +37,22 @@ def write_ordered(df: DataFrame, path: str, order: Sequence[str], *, format: str
 def read_ordered(spark: SparkSession, path: str | Sequence[str], schema: str, *, format: str = "csv", row: str = "row", **options) -> DataFrame:
     """Rows of ``write_ordered`` with their number, from 1, in column ``row``: earlier files first, then place in the file.
 
-    Places are counted within splits of bounded size; what stands before a split is a running total over the splits, a narrow row for each.
+    The files are read once: rows are stored with the running id they get in the scan. A split's rows have ids one after another, so that its first id and what
+    stands before it, a running total over the splits with a narrow row for each, number its rows without ordering them again. File names are taken apart per split.
     """
     if format == "csv":
         options = {"header": True} | options
     found = spark.read.schema(schema).format(format).options(**options).load(path)
     names = found.columns
-    folder = F.regexp_replace("_metadata.file_path", "[^/]*$", "")
-    split = F.struct(folder.alias("folder"), F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"))
-    rows = found.select(*names, split.alias("_split"), F.monotonically_increasing_id().alias("_id"))
-    sizes = rows.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_split.folder").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("_split").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_split").orderBy("_id"))
-    placed = rows.withColumn("_at", within).join(sizes, F.col("_split") == F.col("_of"))
-    return placed.select(*names, (F.col("_before") + F.col("_at")).alias(row))
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = materialize(found.select(*names, *place, F.monotonically_increasing_id().alias("_id")), "read")
+    sizes = rows.groupBy(F.col("_path").alias("_of"), F.col("_start").alias("_from")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    name = F.substring_index("_of", "/", -1)
+    sizes = sizes.withColumns({"_folder": F.expr("left(_of, length(_of) - length(substring_index(_of, '/', -1)))"), "_file": F.regexp_extract(name, r"^part-(\d+)", 1).cast("int"), "_name": name})
+    before = Window.partitionBy("_folder").orderBy("_file", "_name", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialize(sizes.select("_of", "_from", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "splits")
+    placed = rows.join(sizes, (F.col("_path") == F.col("_of")) & (F.col("_start") == F.col("_from")))
+    return placed.select(*names, (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias(row))
 
 
 def write_panel(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:

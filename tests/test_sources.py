@@ -297,6 +297,16 @@ def test_order_of_many_files_and_splits(spark, tmp_path, format):
     assert got == sorted((r["b"], r["a"]) for r in df.collect())
 
 
+def test_ordered_files_are_read_once_and_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    sinks.write_ordered(spark.range(3000).selectExpr("id AS a").repartition(5), path, ["a"])
+    back = sinks.read_ordered(spark, path, "a long")
+    assert not [f for f in back.inputFiles() if path in f]  # the text itself is not parsed again
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "RegExp" not in plan and "regexp" not in plan
+    assert [tuple(r) for r in back.orderBy("row").collect()] == [(i, i + 1) for i in range(3000)]
+
+
 def test_legacy_names(spark):
     df = spark.createDataFrame([(1, 2)], "trade_date int, v int")
     assert vendor.rename_legacy(df, schemas.LEGACY_NAMES).columns == ["date", "v"]
