@@ -58,9 +58,10 @@ def _share(v: Column, lo: Column, hi: Column, ranges: int, first: bool) -> Colum
 
 
 def _match(left: DataFrame, right: DataFrame, by: Sequence[str], few_groups: bool, how: str, *more: Column) -> DataFrame:
-    """Join on equal groups, null ones included, and further conditions; the group's columns stay once."""
+    """Join on equal groups, null ones included, and further conditions; the group's columns stay once. Columns that are never null are matched by plain equality,
+    which costs less."""
     side = right.withColumnsRenamed({b: f"_g_{b}" for b in by})
-    on = [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by]
+    on = [F.col(b).eqNullSafe(F.col(f"_g_{b}")) if left.schema[b].nullable else F.col(b) == F.col(f"_g_{b}") for b in by]
     return left.join(F.broadcast(side) if few_groups else side, [*on, *more], how).drop(*[f"_g_{b}" for b in by])
 
 

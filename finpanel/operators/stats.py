@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -83,14 +84,23 @@ def curve_bands(df: DataFrame, curves: Mapping[str, float], by: Sequence[str], *
 
     ``curves`` maps each array column to its scale. Groups with fewer than ``min_n`` rows are left out.
     """
-    by = list(by)
+    by, names = list(by), list(curves)
+    number = F.row_number().over(Window.orderBy(*by)) if few_groups and by else F.monotonically_increasing_id()
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_n)
+    sizes = materialize(sizes.select(*by, "_rows", number.alias("_group")), "sizes")
     df = join_groups(df, sizes, by, few_groups=few_groups).where(F.col("_rows").isNotNull())
 
-    items = F.array(*[F.struct(F.lit(c).alias("curve"), F.lit(float(s)).alias("scale"), F.col(c).alias("ys")) for c, s in curves.items()])
-    each = df.select(*by, F.explode(items).alias("_c")).select(*by, "_c.curve", "_c.scale", F.posexplode("_c.ys").alias("k", "_y"))
-    long = each.select(*by, "curve", "k", (F.col("_y") * F.col("scale")).alias("value"))  # scaled behind the explode, in compiled code
-    return quantiles(long, [*by, "curve", "k"], "value", [0.25, 0.5, 0.75], ["p25", "median", "p75"], few_groups=few_groups).withColumnRenamed("n", "cnt")
+    # A group and a curve are one number, so that the many values behind the explode are matched and counted by whole numbers. Each curve is read alone.
+    def of(i: int, curve: str) -> DataFrame:
+        line = F.coalesce("_group", F.lit(0)) * len(names) + i
+        each = df.select(line.alias("_line"), F.posexplode(curve).alias("k", "_y"))
+        return each.select("_line", "k", (F.col("_y") * float(curves[curve])).alias("value"))  # scaled behind the explode, in compiled code
+
+    long = reduce(DataFrame.unionAll, [of(i, c) for i, c in enumerate(names)])
+    marks = quantiles(long, ["_line", "k"], "value", [0.25, 0.5, 0.75], ["p25", "median", "p75"], few_groups=few_groups)
+    curve = F.element_at(F.array(*map(F.lit, names)), (F.col("_line") % len(names) + 1).cast("int")).alias("curve")
+    marks = marks.select(F.expr(f"_line div {len(names)}").alias("_group"), curve, "k", F.col("n").alias("cnt"), "p25", "median", "p75")
+    return join_groups(marks, sizes, ["_group"], few_groups=few_groups).select(*by, "curve", "k", "cnt", "p25", "median", "p75")
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str], *, bins: int = 60, few_groups: bool = False) -> DataFrame:

@@ -195,7 +195,8 @@ def overlap_of_persistent(events: DataFrame, *, min_events: int = 10) -> DataFra
 def full_report(panel: DataFrame, index_rows: DataFrame) -> dict[str, DataFrame]:
     """Every table of the report, by name, from a study panel and the index rows.
 
-    Event rows and market breadth are stored once; quantiles and the logit run their rounds at once, the rest is lazy.
+    Event rows and market breadth are stored once; quantiles and the logit run their rounds at once, the rest is lazy. The panel need not be stored: it is
+    read for the events, whose rows alone get curves, and for the breadth, which needs the flags alone.
     """
     events = event_rows(panel)
     breadth = materialize(market_breadth(panel), "breadth")

@@ -271,3 +271,23 @@ def test_curves_are_scaled_in_compiled_code(spark, monkeypatch):
     monkeypatch.setattr(ss, "quantiles", lambda long, *a, **k: plans.append(long._jdf.queryExecution().optimizedPlan().toString()) or quantiles(long, *a, **k))
     got = {r.k: (r.cnt, r.median) for r in ss.curve_bands(df, {"c": 100.0}, ["g"]).collect()}
     assert got == {0: (8, 0.0), 1: (8, 350.0)} and "transform(" not in plans[0]
+
+
+def test_curves_of_groups_by_number(spark, monkeypatch):
+    """Null groups, small ones, curves of several lengths, no grouping: as numpy has them, and matched by whole numbers that are never null."""
+    rows = [(None if i % 3 == 0 else f"g{i % 3}", i % 2, [float(i), float(i * i % 7)], [None, -float(i), 0.5]) for i in range(40)] + [("few", 0, [1.0], [1.0])] * 4
+    df = spark.createDataFrame(rows, "g string, h int, a array<double>, b array<double>")
+    keys, real = [], ss.quantiles
+    monkeypatch.setattr(ss, "quantiles", lambda d, by, *a, **kw: keys.append([(d.schema[b].dataType.typeName(), d.schema[b].nullable) for b in by]) or real(d, by, *a, **kw))
+    for by, few in ((["g", "h"], True), (["g", "h"], False), ([], True)):
+        got = {tuple(r)[: len(by) + 2]: (r["cnt"], r["p25"], r["median"], r["p75"]) for r in ss.curve_bands(df, {"a": 1.0, "b": 100.0}, by, few_groups=few).collect()}
+        want = {}
+        for g, h, a, b in rows:
+            for name, ys, scale in (("a", a, 1.0), ("b", b, 100.0)):
+                for k, y in enumerate(ys):
+                    if y is not None and not (by and g == "few"):
+                        want.setdefault((*((g, h) if by else ()), name, k), []).append(y * scale)
+        assert got.keys() == want.keys()
+        for at, values in want.items():
+            assert got[at] == pytest.approx((len(values), *np.quantile(values, [0.25, 0.5, 0.75])))
+    assert all(kind in ("integer", "long") and not nullable for by in keys for kind, nullable in by)

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -415,3 +416,19 @@ def test_running_products_against_whole_windows():
         want[window:] = lo._solve(lo._windows(x, window)[:-1], np.lib.stride_tricks.sliding_window_view(y, window)[:-1], 20)
         assert np.array_equal(np.isnan(got), np.isnan(want))
         assert np.allclose(got, want, rtol=1e-7, atol=1e-9, equal_nan=True), (gaps, missing, odd)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+def test_report_stores_curves_of_events_only(spark, monkeypatch):
+    """The study behind the report stores no curves, and of the panel the columns that are read."""
+    from checks import study as queries
+
+    seen = []
+    monkeypatch.setattr(queries.rp, "full_report", lambda panel, index: seen.append(panel) or {"none": index, "return_histograms": index})
+    monkeypatch.setattr(queries.rp, "report_rows", lambda tables: spark.sql("SELECT 1.0D AS value"))
+    queries.full_report(spark, "/root/testdata/sf0.001")
+    stored = {f.name for path in {p.rsplit("/", 1)[0] for p in seen[0].inputFiles()} for f in spark.read.parquet(path).schema}
+    assert "market_cap" in stored and not stored & {"cum_amp", "cum_ret", "cum_exc"}
+    narrow = queries.study(spark, "/root/testdata/sf0.001", "beta")
+    stored = {f.name for path in {p.rsplit("/", 1)[0] for p in narrow.inputFiles() if "/panel-" in p} for f in spark.read.parquet(path).schema}
+    assert stored == {*queries.READ, "beta"}
