@@ -432,3 +432,11 @@ def test_report_stores_curves_of_events_only(spark, monkeypatch):
     narrow = queries.study(spark, "/root/testdata/sf0.001", "beta")
     stored = {f.name for path in {p.rsplit("/", 1)[0] for p in narrow.inputFiles() if "/panel-" in p} for f in spark.read.parquet(path).schema}
     assert stored == {*queries.READ, "beta"}
+
+
+def test_universe_and_study_share_a_sort(spark):
+    cols = "stock_code string, date date, amp_pct double, return_pct double, volume double, disposition_d string, full_delivery_y string, alert_a string"
+    rows = spark.createDataFrame([("1101", DAY, 1.0, 0.0, 1.0, None, None, None)], cols)
+    chosen = un.apply_universe(rows, min_days=1)
+    plan = ev.amplitude_events(chosen)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [stock_code") == 1 and chosen.count() == 1
