@@ -88,7 +88,7 @@ def persistence_curves(events: DataFrame) -> DataFrame:
 def attention_stats(events: DataFrame, *, min_n: int = 5) -> DataFrame:
     """Excess return over the longest horizon, attention days against others (groups of ``min_n`` events)."""
     sizes = events.groupBy("kind", "is_attention").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_n)
-    rows = join_groups(events, sizes, ["kind", "is_attention"], few_groups=True).where(F.col("_size").isNotNull())
+    rows = join_groups(events, materialize(sizes, "sizes"), ["kind", "is_attention"], few_groups=True).where(F.col("_size").isNotNull())
     return describe(rows, "fwd_exc_20", ["kind", "is_attention"], few_groups=True)
 
 

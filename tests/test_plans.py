@@ -15,6 +15,7 @@ from finpanel.plans import market as mk
 from finpanel.plans import report as rp
 from finpanel.plans import study as st
 from finpanel.plans import universe as un
+from finpanel.session import materialize
 
 DAY = dt.date(2020, 1, 1)
 
@@ -440,3 +441,12 @@ def test_universe_and_study_share_a_sort(spark):
     chosen = un.apply_universe(rows, min_days=1)
     plan = ev.amplitude_events(chosen)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [stock_code") == 1 and chosen.count() == 1
+
+
+def test_attention_sizes_are_counted_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(rp, "materialize", lambda df, name="stage": stored.append(name) or materialize(df, name))
+    rows = [("big" if i % 3 else None, i % 2, float(i)) for i in range(60)] + [("sml", 1, 5.0)] * 4
+    got = rp.attention_stats(spark.createDataFrame(rows, "kind string, is_attention int, fwd_exc_20 double"))
+    assert stored == ["sizes"]
+    assert sorted(((r["kind"] or "", r["is_attention"], r["cnt"]) for r in got.collect())) == [("", 0, 10), ("", 1, 10), ("big", 0, 20), ("big", 1, 20)]
