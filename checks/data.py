@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -284,18 +285,26 @@ def vendor_skipped(spark, sf):
     """Panel rows by year in files of several kinds: rows per security and year that were read, and the files that were not, with the reason.
 
     Plain and compressed files are good; one kind has no header, one is no compressed file though its name says so, one is in an encoding that can't be read to its end.
+    All tasks write the files of a kind, but the two that are not read are counted as one file each. The kinds are written side by side.
     """
     folder = scratch_path(spark, "kinds")
-    p = materialize(v.panel(spark, sf).select(F.concat("stock_code", F.lit(" 名稱")).alias("證券代碼"), F.date_format("date", "yyyyMMdd").alias("年月日"), F.col("amp_pct").alias("高低價差%")), "panel-text")
+    text = v.panel(spark, sf).select(F.concat("stock_code", F.lit(" 名稱")).alias("證券代碼"), F.date_format("date", "yyyyMMdd").alias("年月日"), F.col("amp_pct").alias("高低價差%"))
+    p = materialize(text.withColumn("year", F.substring("年月日", 1, 4)), "panel-text", "year")
     kinds = {
         "plain": dict(header=True, encoding="UTF-16"), "bare": dict(header=True, encoding="UTF-16LE"), "packed": dict(header=True, encoding="UTF-16", compression="gzip"),
         "headless": dict(header=False, encoding="UTF-16"), "torn": dict(header=True, encoding="UTF-16"), "mixed": dict(header=True, encoding="UTF-16LE"),
     }
-    for year, (kind, how) in enumerate(kinds.items(), 1993):
-        part = p.where(F.substring("年月日", 1, 4) == str(year))
+
+    def write(year: int, kind: str) -> None:
+        part = p.where(F.col("year") == str(year)).drop("year")
         if kind == "mixed":  # half of a pair of code units, as cut by a careless tool
             part = part.withColumn("高低價差%", F.concat(F.col("高低價差%").cast("string"), F.lit("\ufffd")))
-        part.coalesce(1).write.options(sep="\t", **how).csv(f"{folder}/{kind}")
+        if kind in ("headless", "torn"):
+            part = part.coalesce(1)
+        part.write.options(sep="\t", **kinds[kind]).csv(f"{folder}/{kind}")
+
+    with ThreadPoolExecutor(len(kinds)) as pool:
+        list(pool.map(write, range(1993, 1993 + len(kinds)), kinds))
     _rename_parts(spark, f"{folder}/torn", ".gz")
     raw, skipped = vendor.read_vendor(spark, f"{folder}/*/*", key="證券代碼")
     rows = raw.groupBy(F.substring_index("證券代碼", " ", 1).alias("name"), F.substring("年月日", 1, 4).alias("detail")).agg(F.count(F.lit(1)).alias("cnt"))

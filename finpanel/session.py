@@ -69,12 +69,13 @@ def scratch_scope(spark: SparkSession, name: str = "job") -> Iterator[str]:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", *by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, and lets several later passes read only the
-    columns they need instead of repeating the windows and shuffles above.
+    columns they need instead of repeating the windows and shuffles above. The last columns can be named
+    in ``by``: passes over some of their values then read only those.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

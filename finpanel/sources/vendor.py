@@ -1,8 +1,9 @@
 """Vendor text files: tab-separated UTF-16 with differing headers, and comma files with a byte-order mark.
 
 The driver reads the first bytes of each file: they tell the encoding and the header. Plain files are then scanned once, in splits of any size that
-begin at line ends; what the scan gives is stored, with the files whose text can't be trusted marked. Those, and compressed files, are read one by one, strictly, each
-to rows or to one reason why it can't be read. A file enters with all its rows or not at all.
+begin at line ends; what the scan gives is stored, with the files whose text can't be trusted marked. Those, and compressed files, are decoded strictly in pieces of
+whole lines, which tasks share. A file with a piece that can't be understood without the others is read by one task, to rows or to one reason why it can't be read. A file
+enters with all its rows or not at all.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import zlib
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import chain, groupby
+from operator import itemgetter
 from typing import NamedTuple
 from urllib.parse import unquote
 
@@ -31,6 +34,8 @@ from finpanel.sources.files import first_bytes
 
 MARK, UNREADABLE = "\ufeff", "\ufffd"
 HEAD_BYTES = 1 << 16
+#: Pieces of an unpacked file are about PIECE_BYTES long, so that a batch of them stays small, and about PARSED_BYTES are parsed at once; what has no line end for LINE_BYTES is no text.
+PARSED_BYTES, PIECE_BYTES, LINE_BYTES = 1 << 20, 1 << 12, 1 << 24
 PACKED = {".gz": lambda raw: gzip.GzipFile(fileobj=raw), ".bz2": bz2.BZ2File}
 
 # Tasks get these functions by value: executors need not have this package.
@@ -85,14 +90,91 @@ def _head(spark: SparkSession, path: str, keys: Sequence[str], sep: str, encodin
     return Head(path, reason="no header")
 
 
+def _record(path: str, rows: list, error: str | None) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.list_(pa.string()), pa.string())
+    columns = ([path] * len(rows), rows, [error] * len(rows))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "cells", "error"])
+
+
+ROWS = "path string, cells array<string>, error string"
+
+
+def _whole_lines(raw: bytes, end: bytes) -> tuple[list[bytes], bytes]:
+    """``raw`` in pieces of whole lines, and what stands behind the last line end. A line end stands at a full character."""
+    pieces, start = [], 0
+    while True:
+        at = raw.find(end, start + PIECE_BYTES)
+        while at % len(end) and at >= 0:
+            at = raw.find(end, at + 1)
+        if at < 0:
+            return pieces, raw[start:]
+        pieces.append(raw[start : at + len(end)])
+        start = at + len(end)
+
+
+def _unpacked(encodings: Mapping[str, str]):
+    """Rows path, content: compressed files in pieces of whole lines; a row without content for a file that can't be unpacked to its end or cut into lines."""
+
+    def record(path: str, pieces: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(pieces), pa.string()), pa.array(pieces, pa.binary())], names=["path", "content"])
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                raw, end, rest = PACKED[_packed(path)](io.BytesIO(memoryview(content.as_buffer()))), "\n".encode(encodings[path]), b""
+                try:
+                    while (more := raw.read(PARSED_BYTES)) and len(rest) < LINE_BYTES:
+                        pieces, rest = _whole_lines(rest + more, end)
+                        yield record(path, pieces)
+                    yield record(path, [None] if more else [rest] if rest else [])
+                except (EOFError, OSError, zlib.error):
+                    yield record(path, [None])
+
+    return run
+
+
+def _strict_pieces(sep: str, files: Mapping[str, tuple[str, str]]):
+    """Rows path, cells of pieces of whole lines; ``files`` has a listed path and an encoding by plain path. A row path, error tells that the file must be read
+    as a whole: a piece can't be decoded by itself, or a cell goes on behind a line end."""
+
+    def cells(pieces: list, encoding: str) -> list[list[str]]:
+        end = "\n".encode(encoding)
+        if any(p is None or len(p) % len(end) for p in pieces):  # of a character that looks like a line end, one half stands in the next piece
+            raise ValueError
+        text = b"".join(p if p.endswith(end) else p + end for p in pieces).decode(encoding)
+        lines = csv.reader(chain(io.StringIO(text, newline=""), ["the end"]), delimiter=sep)
+        rows = list(lines)
+        if lines.line_num != len(rows):
+            raise ValueError
+        return rows[:-1]
+
+    def portions(pieces):
+        held, size = [], 0
+        for piece in pieces:
+            held.append(piece)
+            size += len(piece or b"")
+            if size >= PARSED_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def run(batches):
+        for batch in batches:
+            for found, rows in groupby(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()), itemgetter(0)):
+                path, encoding = files[_plain(found)]
+                for pieces in portions(content for _, content in rows):
+                    try:
+                        yield _record(path, cells(pieces, encoding), None)
+                    except (ValueError, csv.Error):
+                        yield _record(path, [None], "not by lines")
+
+    return run
+
+
 def _strict(sep: str, encodings: Mapping[str, str]):
     """Rows path, cells of whole files, or one row path, error for a file that can't be decoded or unpacked to its end."""
 
-    def record(path: str, rows: list, error: str | None) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.list_(pa.string()), pa.string())
-        columns = ([path] * len(rows), rows, [error] * len(rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "cells", "error"])
-
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
@@ -103,11 +185,11 @@ def _strict(sep: str, encodings: Mapping[str, str]):
                     for cells in csv.reader(text, delimiter=sep):
                         rows.append(cells)
                         if len(rows) >= 5000:
-                            yield record(path, rows, None)
+                            yield _record(path, rows, None)
                             rows = []
-                    yield record(path, rows, None)
+                    yield _record(path, rows, None)
                 except (EOFError, OSError, UnicodeError, csv.Error, zlib.error) as err:
-                    yield record(path, [None], _why(err))
+                    yield _record(path, [None], _why(err))
 
     return run
 
@@ -135,18 +217,38 @@ def _scan(spark: SparkSession, names: Sequence[str], files: list[str], sep: str,
     return _cells_of(raw, [F.col(s) for s in slots], names, key, columns, F.col("_metadata.file_name").alias("_src"), F.col("_metadata.file_path").alias("_path"), odd.alias("_odd"))
 
 
+def _read_pieces(spark: SparkSession, heads: list[Head], sep: str) -> DataFrame:
+    """Files in pieces of whole lines: Spark cuts plain ones into lines, and one task unpacks a compressed one for all."""
+    packed, parts = [h for h in heads if _packed(h.path)], []
+    for encoding in sorted({h.encoding for h in heads if not _packed(h.path)}):
+        lines = spark.read.options(lineSep="\n", encoding=encoding).text([h.path for h in heads if h.encoding == encoding and not _packed(h.path)])
+        parts.append(lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("content")))
+    if packed:
+        content = spark.read.format("binaryFile").load([h.path for h in packed]).select("path", "content")
+        parts.append(materialize(content.mapInArrow(_unpacked({h.path: h.encoding for h in packed}), "path string, content binary"), "unpacked"))
+    return reduce(lambda a, b: a.union(b), parts).mapInArrow(_strict_pieces(sep, {_plain(h.path): (h.path, h.encoding) for h in heads}), ROWS)
+
+
 def _read_strictly(spark: SparkSession, heads: list[Head], sep: str, key: str, columns: Sequence[str] | None) -> tuple[list[DataFrame], list[tuple[str, str]]]:
-    """Rows of files that are read one by one, by header, and (path, reason) of the broken ones."""
+    """Rows of files that are decoded strictly, by header, and (path, reason) of the broken ones: in pieces, and those where that does not do one by one."""
+
+    def named(found: DataFrame, good: list[Head]) -> list[DataFrame]:
+        out = []
+        for names in sorted({h.names for h in good}):
+            rows = found.where(F.col("path").isin([h.path for h in good if h.names == names]))
+            out.append(_cells_of(rows, [F.get("cells", i) for i in range(len(names))], names, key, columns, F.element_at(F.split("path", "/"), -1).alias("_src")))
+        return out
+
     if not heads:
         return [], []
-    content = spark.read.format("binaryFile").load([h.path for h in heads]).select("path", "content")
-    found = materialize(content.mapInArrow(_strict(sep, {h.path: h.encoding for h in heads}), "path string, cells array<string>, error string"), "files")
-    broken = {r["path"]: r["error"] for r in found.where("error IS NOT NULL").collect()}  # one row per broken file
-    good = [h for h in heads if h.path not in broken]
-    out = []
-    for names in sorted({h.names for h in good}):
-        rows = found.where(F.col("path").isin([h.path for h in good if h.names == names]))
-        out.append(_cells_of(rows, [F.get("cells", i) for i in range(len(names))], names, key, columns, F.element_at(F.split("path", "/"), -1).alias("_src")))
+    found, broken = materialize(_read_pieces(spark, heads, sep), "pieces"), {}
+    whole = {r["path"] for r in found.where("error IS NOT NULL").select("path").distinct().collect()}  # at most one row per file
+    out = named(found, [h for h in heads if h.path not in whole])
+    if left := [h for h in heads if h.path in whole]:
+        content = spark.read.format("binaryFile").load([h.path for h in left]).select("path", "content")
+        found = materialize(content.mapInArrow(_strict(sep, {h.path: h.encoding for h in left}), ROWS), "files")
+        broken = {r["path"]: r["error"] for r in found.where("error IS NOT NULL").collect()}  # one row per broken file
+        out += named(found, [h for h in left if h.path not in broken])
     return out, sorted(broken.items())
 
 

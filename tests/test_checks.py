@@ -68,3 +68,22 @@ def test_files_are_written_by_all_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda self, n: asked.append(n) or self)
     driver.queries()[name](spark, SF)
     assert asked == []
+
+
+def test_vendor_skipped_writes_only_skipped_kinds_in_one_task(spark, con, monkeypatch):
+    asked, kind = [], type(spark.range(1))
+    keep = kind.coalesce
+    monkeypatch.setattr(kind, "coalesce", lambda self, n: asked.append(n) or keep(self, n))
+    got = driver.queries()["vendor_skipped"](spark, SF)
+    assert asked == [1, 1]
+    assert differences(got, con, driver.oracle_sql()["vendor_skipped"]) == []
+
+
+def test_vendor_skipped_with_rows_of_one_kind_only(spark, tmp_path):
+    from datetime import datetime
+
+    lines = [(i, i, 5, 1, 5.0, 1000.0 + i, 0.05, 0.02, "A", "F", datetime(1998, 3, 1 + i)) for i in range(9)]
+    spark.createDataFrame(lines, spark.read.parquet(f"{SF}/lineitem.parquet").schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5, "s", 1, 10.0)], spark.read.parquet(f"{SF}/supplier.parquet").schema).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = driver.queries()["vendor_skipped"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("1005", "1998", 9), ("torn", "damaged compression", 1)]  # an empty file is passed over

@@ -1,3 +1,4 @@
+import bz2
 import datetime as dt
 import gzip
 from datetime import date
@@ -94,6 +95,62 @@ def test_broken_files_have_reasons(spark, tmp_path):
     assert reasons["half.csv"] == "not in its encoding" and reasons["cut.csv.gz"] == "cut off" and reasons["noheader.csv"] == "no header"
 
 
+def test_odd_and_compressed_files_are_shared_by_tasks(spark, tmp_path, monkeypatch):
+    """Text with U+FFFD in it and compressed text: no task reads a whole file, unless a piece of it can't be understood without the others."""
+    lines = [f"{i} \ufffd名{i}\t20240102\t\"{i}\"" for i in range(600)]
+    for name, mark, encoding, end in (("le", "\ufeff", "utf-16-le", "\r\n"), ("bare", "", "utf-16-le", "\n"), ("be", "\ufeff", "utf-16-be", "\n")):
+        content = (mark + end.join([f"{KEY}\t年月日\t高低價差%", *lines])).encode(encoding)
+        (tmp_path / f"{name}.csv").write_bytes(content)
+        (tmp_path / f"{name}.csv.gz").write_bytes(gzip.compress(content))
+        (tmp_path / f"{name}.csv.bz2").write_bytes(bz2.compress(content + "\n".encode(encoding)))
+    monkeypatch.setattr(vendor, "_strict", lambda *_: pytest.fail("a file is read as a whole"))
+    monkeypatch.setattr(vendor, "PIECE_BYTES", 500, raising=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "12001")
+    try:
+        raw, skipped = vendor.read_vendor(spark, str(tmp_path), key=KEY)
+        rows = raw.collect()
+        odd = vendor._read_pieces(spark, [vendor._head(spark, str(tmp_path / "le.csv"), [KEY], "\t", ["UTF-16"])], "\t")
+        assert odd.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert skipped.isEmpty() and len({r["_src"] for r in rows}) == 9
+    for name in {r["_src"] for r in rows}:
+        assert sorted((int(r["高低價差%"]), r[KEY], r["年月日"]) for r in rows if r["_src"] == name) == [(i, f"{i} \ufffd名{i}", "20240102") for i in range(600)]
+
+
+@pytest.mark.parametrize("piece", [1, 40])
+def test_pieces_give_what_whole_files_give(spark, tmp_path, monkeypatch, piece):
+    top = f"{KEY}\t年月日"
+    texts = {
+        "plain": f"{top}\r\n1 x\t20240102\r\n\r\n2 y\t20240103", "runs_on": f"{top}\n1 x\t\"a\nb\"\n2 y\t\"c\rd\"\n", "never_closed": f"{top}\n1 x\t\"a\n2 y\tb\n",
+        "last_open": f"{top}\n1 x\ta\n2 y\t\"b", "inside": f"{top}\n1 \"x\"\ta\"b\n\"2 \"\"y\"\"\"z\tc\n", "returns": f"{top}\r1 x\ta\n2 y\tb\r3 z\tc\n", "blank": f"{top}\n\n1 x\n\t\t\t\n\n",
+        "alike": f"{top}\n1 x\u0a31\u4e00y\t\u6100\n\u0a00\u000a\u0a0a\u000a2 z\u0100\t\u010a\u000a", "long": f"{top}\n1 {'x' * 140_000}\ta\n",
+    }
+    for name, text in texts.items():
+        for kind in ("utf-16-le", "utf-16-be"):
+            content = ("\ufeff" + text).encode(kind)
+            pair, packed = content + "\ud800".encode(kind, "surrogatepass") + "\n".encode(kind), gzip.compress(content)
+            for end, data in (("csv", content), ("csv.gz", packed), ("csv.bz2", bz2.compress(content)), ("cut.csv.gz", packed[:-9]), ("half.csv", content + b"\xd8"), ("pair.csv.gz", gzip.compress(pair))):
+                (tmp_path / f"{name}.{kind}.{end}").write_bytes(data)
+        (tmp_path / f"{name}.utf-8.csv").write_bytes(b"\xef\xbb\xbf" + text.encode())
+    listed = [r["path"] for r in spark.read.format("binaryFile").load(str(tmp_path)).select("path").collect()]
+    heads = [vendor._head(spark, p, [KEY], "\t", ["UTF-16", "UTF-8"]) for p in listed]
+    assert len(heads) == len(texts) * 13 and not any(h.reason for h in heads)
+    monkeypatch.setattr(vendor, "PIECE_BYTES", piece)
+    monkeypatch.setattr(vendor, "PARSED_BYTES", 7 * piece + 1000)
+
+    def read():
+        frames, broken = vendor._read_strictly(spark, heads, "\t", KEY, None)
+        rows = vendor._united(frames).select(KEY, "年月日", "_src").collect()
+        return sorted(map(str, rows)), broken
+
+    pieces = read()
+    monkeypatch.setattr(vendor, "_strict_pieces", lambda sep, files: lambda batches: (vendor._record(files[vendor._plain(p)][0], [None], "not by lines") for b in batches for p in set(b.column("path").to_pylist())))
+    whole = read()
+    assert pieces == whole and len(whole[1]) > 2 * len(texts) and len(whole[0]) > 10 * len(texts)
+
+
 def test_comma_files_by_name(spark, tmp_path):
     put(tmp_path, "2024a.csv", "currency,date,close,open,high,low,change%\nusd,2024-01-02,9,1,1,1,1%\n ,2024-01-03,1,1,1,1,1%\n", "utf-8-sig")
     put(tmp_path, "2024b.csv", "date,close,currency,open,high,low,change%\n2024-01-02,1,usd,1,1,1,1%\n", "utf-8")
