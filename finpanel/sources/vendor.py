@@ -134,8 +134,8 @@ def _unpacked(encodings: Mapping[str, str]):
 
 
 def _strict_pieces(sep: str, files: Mapping[str, tuple[str, str]]):
-    """Rows path, cells of pieces of whole lines; ``files`` has a listed path and an encoding by plain path. A row path, error tells that the file must be read
-    as a whole: a piece can't be decoded by itself, or a cell goes on behind a line end."""
+    """Rows path, cells of pieces of whole lines; ``files`` has listed paths and encodings, by listed path of a compressed file and by plain path of a plain one.
+    A row path, error tells that the file must be read as a whole: a piece can't be decoded by itself, or a cell goes on behind a line end."""
 
     def cells(pieces: list, encoding: str) -> list[list[str]]:
         end = "\n".encode(encoding)
@@ -162,7 +162,7 @@ def _strict_pieces(sep: str, files: Mapping[str, tuple[str, str]]):
     def run(batches):
         for batch in batches:
             for found, rows in groupby(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()), itemgetter(0)):
-                path, encoding = files[_plain(found)]
+                path, encoding = files.get(found) or files[_plain_url(found)]
                 for pieces in portions(content for _, content in rows):
                     try:
                         yield _record(path, cells(pieces, encoding), None)
@@ -226,7 +226,8 @@ def _read_pieces(spark: SparkSession, heads: list[Head], sep: str) -> DataFrame:
     if packed:
         content = spark.read.format("binaryFile").load([h.path for h in packed]).select("path", "content")
         parts.append(materialize(content.mapInArrow(_unpacked({h.path: h.encoding for h in packed}), "path string, content binary"), "unpacked"))
-    return reduce(lambda a, b: a.union(b), parts).mapInArrow(_strict_pieces(sep, {_plain(h.path): (h.path, h.encoding) for h in heads}), ROWS)
+    files = {h.path if _packed(h.path) else _plain(h.path): (h.path, h.encoding) for h in heads}
+    return reduce(lambda a, b: a.union(b), parts).mapInArrow(_strict_pieces(sep, files), ROWS)
 
 
 def _read_strictly(spark: SparkSession, heads: list[Head], sep: str, key: str, columns: Sequence[str] | None) -> tuple[list[DataFrame], list[tuple[str, str]]]:
@@ -271,7 +272,8 @@ def read_files(
     if scans:
         stored = materialize(_united(scans), "vendor")
         odd = [r["_path"] for r in stored.where("_odd").select("_path").distinct().collect()]  # at most one row per file
-        strict += [h for h in plain if _plain(h.path) in {_plain(p) for p in odd}]
+        again = {_plain_url(p) for p in odd}
+        strict += [h for h in plain if _plain(h.path) in again]
         parts.append((stored.where(~F.col("_path").isin(odd)) if odd else stored).drop("_path", "_odd"))
     more, broken = _read_strictly(spark, strict, sep, key, columns)
     parts += more
@@ -283,8 +285,13 @@ def _united(frames: list[DataFrame]) -> DataFrame:
 
 
 def _plain(path: str) -> str:
-    """Path as plain text, without scheme: the same for a listed path and for its URL form."""
-    return "/" + unquote(path).split(":", 1)[-1].lstrip("/")
+    """A listed path without its scheme."""
+    return "/" + path.split(":", 1)[-1].lstrip("/")
+
+
+def _plain_url(path: str) -> str:
+    """The same out of the path's URL form."""
+    return unquote(_plain(path))
 
 
 def read_vendor(

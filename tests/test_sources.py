@@ -119,6 +119,15 @@ def test_odd_and_compressed_files_are_shared_by_tasks(spark, tmp_path, monkeypat
         assert sorted((int(r["高低價差%"]), r[KEY], r["年月日"]) for r in rows if r["_src"] == name) == [(i, f"{i} \ufffd名{i}", "20240102") for i in range(600)]
 
 
+def test_names_with_percent_signs_and_odd_text(spark, tmp_path):
+    names = ["a%41.csv", "aA.csv", "a%2541.csv", "b%41.csv.gz", "bA.csv.gz", "c 名%20.csv"]
+    for name in names:
+        content = f"{KEY}\t年月日\n{name} \ufffd\t20240102\n".encode("utf-16")
+        (tmp_path / name).write_bytes(gzip.compress(content) if name.endswith(".gz") else content)
+    raw, skipped = vendor.read_vendor(spark, str(tmp_path), key=KEY)
+    assert skipped.isEmpty() and sorted(r[KEY] for r in raw.collect()) == sorted(f"{n} \ufffd" for n in names)
+
+
 @pytest.mark.parametrize("piece", [1, 40])
 def test_pieces_give_what_whole_files_give(spark, tmp_path, monkeypatch, piece):
     top = f"{KEY}\t年月日"
@@ -146,7 +155,7 @@ def test_pieces_give_what_whole_files_give(spark, tmp_path, monkeypatch, piece):
         return sorted(map(str, rows)), broken
 
     pieces = read()
-    monkeypatch.setattr(vendor, "_strict_pieces", lambda sep, files: lambda batches: (vendor._record(files[vendor._plain(p)][0], [None], "not by lines") for b in batches for p in set(b.column("path").to_pylist())))
+    monkeypatch.setattr(vendor, "_strict_pieces", lambda sep, files: lambda batches: (vendor._record((files.get(p) or files[vendor._plain_url(p)])[0], [None], "not by lines") for b in batches for p in set(b.column("path").to_pylist())))
     whole = read()
     assert pieces == whole and len(whole[1]) > 2 * len(texts) and len(whole[0]) > 10 * len(texts)
 
